@@ -22,12 +22,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +37,17 @@ from loomspan.llm.common import Store, drop_folder, small_batches, stored, tasks
 LEAST, MEAN, MOST = 256, 1024, 8192
 PACK_BYTES = 64 << 20
 #: Pieces whose ids a worker remembers.
-CACHE = 400_000
-#: Where a space may not end a piece: before white space, at the end, or near characters that libraries class differently.
-_ODD = re.compile(r" (?:\s|\Z)|[\x1c-\x1f\x85᠎]")
+CACHE = 1_000_000
+#: What libraries class differently as white space.
+_ODD = "[\x1c-\x1f\x85\u180e]"
+#: Between one of these letters and these marks the pre-tokenizer always cuts.
+_LETTERS, _MARKS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))), ".,;:!?"
 
 
 class Encoder:
-    """Ids of whole texts, as bytes. Texts are encoded by pieces that the byte-level pre-tokenizer never joins (it starts a new
-    piece at each space before a visible character), so that a worker encodes each distinct piece once."""
+    """Ids of whole texts, as bytes. A byte-level pre-tokenizer starts a new piece at each space before a visible character, so
+    texts are cut there and a worker encodes each distinct piece once, many in a call. Texts that might be cut otherwise are
+    encoded as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,28 +56,87 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        kind = (json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {})
+        kind = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
         self.by_piece = kind.get("type") == "ByteLevel" and kind.get("use_regex", False) and not kind.get("add_prefix_space", True)
-        self.spaced: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        if self.by_piece:
+            vocab = self.tokenizer.get_vocab()
+            self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that start with a space
+            self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+            self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+            self.tails: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut = [None if not self.by_piece or _ODD.search(t) else t.split(" ") for t in texts]
-        slow = [i for i, c in enumerate(cut) if c is None]
-        for i, b in zip(slow, self._whole([texts[i] for i in slow])):
-            out[i] = b
-        if len(self.spaced) > CACHE:
-            self.spaced.clear()
-        known = self.spaced
-        new = list({p for c in cut if c is not None for p in c[1:] if p not in known})
-        known.update(zip(new, self._whole([f" {p}" for p in new])))
-        fast = [i for i, c in enumerate(cut) if c is not None]
-        for i, first in zip(fast, self._whole([cut[i][0] for i in fast])):
-            out[i] = first + b"".join([known[p] for p in cut[i][1:]])
-        return out
+    def _joined(self, pieces: list[str], mark: str) -> list[bytes]:
+        """The ids of visible pieces, each after a space or a line end, in one call: the ids tell where each piece starts."""
+        data, w = self._whole([mark + mark.join(pieces)])[0], self.dtype.itemsize
+        ids = np.frombuffer(data, self.dtype)
+        starts = np.flatnonzero(self.opens[ids] if mark == " " else ids == self.line) * w
+        return [data[a:z] for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(data)])]
+
+    def _apart(self, pieces: list[str], mark: str, known: dict) -> None:
+        """Put visible pieces, each after mark, into known: a piece's ids are those of what stands before its last marks, then theirs."""
+        heads = [p.rstrip(_MARKS) for p in pieces]
+        heads = [h if h and h[-1] in _LETTERS else p for h, p in zip(heads, pieces)]
+        new = list(set(heads) - known.keys())
+        if new:
+            known.update(zip(new, self._joined(new, mark), strict=True))
+        tails = self.tails
+        for h, p in zip(heads, pieces):
+            if len(h) != len(p):
+                t = p[len(h):]
+                if t not in tails:
+                    tails[t] = self._whole([t])[0]
+                known[p] = known[h] + tails[t]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Put pieces, each after a space, into known; None for one that can't be encoded apart."""
+        other = [p for p in pieces if not p.isprintable() or not p]
+        lines = [x for p in other if len(x := p.split("\n")) == 2 and x[0] and x[1] and x[0].isprintable() and x[1].isprintable()]
+        self._apart([*(p for p in pieces if p.isprintable() and p), *(x[0] for x in lines)], " ", self.known)
+        after: dict[str, bytes] = {}
+        self._apart(list({x[1] for x in lines}), "\n", after)
+        self.known.update(dict.fromkeys(other))
+        self.known.update((f"{a}\n{z}", self.known[a] + after[z]) for a, z in lines)
+        rest = [p for p in other if p and not p[0].isspace() and self.known[p] is None]
+        self.known.update(zip(rest, self._whole([f" {p}" for p in rest])))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by end_id, and where each text's ids end. Arrow cuts texts and numbers the
+        distinct pieces; Python sees each of these once a batch."""
+        texts = texts.fill_null("")
+        n = len(texts)
+        slow = np.ones(n, bool) if not self.by_piece else pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = lists.flatten().dictionary_encode()
+        index, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        first = np.zeros(len(index), bool)
+        first[offsets[:-1]] = True
+        after = np.zeros(len(pieces), bool)  # pieces that stand after a space somewhere
+        after[index[~first]] = True
+        if len(self.known) > CACHE:
+            self.known.clear()
+            self.tails.clear()
+        if self.by_piece:
+            self._learn({pieces[i] for i in np.flatnonzero(after).tolist()} - self.known.keys())
+        ids = [self.known.get(p) if a else b"" for p, a in zip(pieces, after.tolist())]
+        bad = np.array([x is None for x in ids], bool)
+        slow |= np.maximum.reduceat(bad[index] & ~first, offsets[:-1]) if n else False
+        # A text's first piece, or a slow text as a whole, and the end id, are entries of their own.
+        heads = [t if s else p for t, p, s in zip(pc.if_else(pa.array(slow), texts, "").to_pylist(), (pieces[i] for i in index[offsets[:-1]].tolist()), slow.tolist())]
+        ids = [x or b"" for x in ids] + self._whole(heads) + [np.array([end_id], self.dtype).tobytes()]
+        index[offsets[:-1]] = len(pieces) + np.arange(n)
+        keep = first | ~np.repeat(slow, np.diff(offsets))
+        counts = np.add.reduceat(keep, offsets[:-1], dtype=np.int64) if n else np.zeros(0, np.int64)
+        index = np.insert(index[keep], np.cumsum(counts), len(ids) - 1)
+        size = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+        flat, start, length = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size) - size, size[index]
+        done = np.cumsum(length)
+        return flat[np.repeat(start[index] - (done - length), length) + np.arange(done[-1] if n else 0)], done[np.cumsum(counts + 1) - 1]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -136,16 +198,13 @@ def _packer(root: str, tokenizer: str, end_id: int, schema: pa.Schema):
 
         enc, store, part = encoder(tokenizer), Store(root), TaskContext.get().partitionId()
         press = zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], enc.dtype).tobytes()
         known: dict[bytes, tuple[str, int, int]] = {}
         held: list[bytes] = []
         size, pack, row = 0, 0, part << 33
         name = f"{part:06d}-{pack:03d}"
         for b in batches:
-            ids = [x + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
-            ends = np.cumsum([len(x) // enc.dtype.itemsize for x in ids]).astype(np.int64)
-            data = b"".join(ids)
-            flat, w = np.frombuffer(data, enc.dtype), enc.dtype.itemsize
+            flat, ends = enc.encode(b.column(1), end_id)
+            data, w = flat.tobytes(), enc.dtype.itemsize
             recipes, a = [], 0
             for own in cuts(flat, ends) if len(ends) else []:
                 chunks = []
