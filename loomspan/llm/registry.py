@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspan.llm.decontaminate import OP3_SQL, op3_spaced_seed_leaks
+from loomspan.llm.langid import op2_language_mixture
+from loomspan.llm.media import op10_media_archive
+from loomspan.llm.mixing import OP8_SQL, op8_systematic_mix
+from loomspan.llm.pii import op1_bilstm_crf_pii
+from loomspan.llm.sharding import op7_interleaved_shards
+from loomspan.llm.simhash import op9_simhash_pigeonring
+from loomspan.llm.substring import OP5_SQL, op5_log_structured_substrings
 from loomspan.llm.token_store import op6_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_token_store": op6_token_store}
+    return {
+        f.__name__: f
+        for f in (op1_bilstm_crf_pii, op2_language_mixture, op3_spaced_seed_leaks, op5_log_structured_substrings, op6_token_store, op7_interleaved_shards, op8_systematic_mix, op9_simhash_pigeonring, op10_media_archive)
+    }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op3_spaced_seed_leaks": OP3_SQL, "op5_log_structured_substrings": OP5_SQL, "op8_systematic_mix": OP8_SQL}
