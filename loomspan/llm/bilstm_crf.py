@@ -100,7 +100,7 @@ class BiLstmCrf:
             g[f"W{d}"], g[f"c{d}"] = gw, gb
         return float((whole - gold).mean()), g
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 48, rate: float = 0.01, seed: int = 1) -> list[float]:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 0.01, seed: int = 1) -> list[float]:
         """Adam over shuffled batches; gives the loss of each epoch."""
         r, m, v, step, losses = np.random.default_rng(seed), {k: np.zeros_like(p) for k, p in self.w.items()}, {k: np.zeros_like(p) for k, p in self.w.items()}, 0, []
         for epoch in range(epochs):

@@ -122,6 +122,15 @@ def _respelled(kind: str, text: str, r: random.Random) -> str:
     return r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "00 {} {} {}"]).format(d[:3], d[3:6], d[6:])
 
 
+def _varied(kind: str, text: str, r: random.Random) -> str:
+    """Another datum of the kind: for an address, other letters and a name of other length."""
+    if kind != "email":
+        return text
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda a, z: "".join(r.choice(letters) for _ in range(r.randint(a, z)))
+    return r.choice([word(2, 8), f"{word(2, 6)}.{word(2, 8)}", f"{word(2, 6)}{r.randint(1, 99)}"]) + "@" + ".".join(word(2, 8) for _ in range(r.randint(1, 2))) + "." + r.choice(["com", "org", "net", "de", "fr"])
+
+
 def labelled(texts: list[str], most: int = SAMPLE_WINDOWS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Windows and tags from texts: around base spans, as they are and respelled, and around other digits and marks."""
     r = random.Random(seed)
@@ -141,20 +150,19 @@ def labelled(texts: list[str], most: int = SAMPLE_WINDOWS, seed: int = 5) -> tup
         x.append(sym)
         y.append(tag)
 
-    by_kind = {k: [f for f in found if f[1][2] == k] for k in KINDS}
-    for _, own in by_kind.items():
-        for t, (s, e, kind) in own[:most // 8]:
-            add(t, base_spans(t), r.randrange(s, e))
-            new = _respelled(kind, t[s:e], r)
-            lead, tail = t[max(0, s - 80):s], t[e:e + 80]
-            add(lead + new + tail, [(len(lead), len(lead) + len(new), kind)], len(lead) + r.randrange(len(new)))
-    for t in texts:
-        if len(x) >= most:
-            break
-        spans = base_spans(t)
-        free = [m.start() for m in _SIGN.finditer(t) if not any(s <= m.start() < e for s, e, _ in spans)]
-        for p in r.sample(free, min(2, len(free))):
-            add(t, spans, p)
+    for kind in KINDS:
+        own = [f for f in found if f[1][2] == kind]
+        for n in range(most // 6 if own else 0):
+            t, (s, e, _) = own[n % len(own)]
+            if n % 3 == 0:
+                add(t, base_spans(t), r.randrange(s, e))
+            else:
+                new = _respelled(kind, _varied(kind, t[s:e], r), r)
+                lead, tail = t[max(0, s - 80):s], t[e:e + 80]
+                add(lead + new + tail, [(len(lead), len(lead) + len(new), kind)], len(lead) + r.randrange(len(new)))
+    free = [(t, m.start()) for t in texts for spans in [base_spans(t)] for m in _SIGN.finditer(t) if not any(s <= m.start() < e for s, e, _ in spans)]
+    for t, p in r.sample(free, min(len(free), most // 3)) if x else []:
+        add(t, base_spans(t), p)
     return np.array(x).reshape(-1, WINDOW), np.array(y).reshape(-1, WINDOW)
 
 
