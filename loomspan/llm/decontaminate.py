@@ -46,7 +46,7 @@ def _bounded(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, text_hash, item_id, at (the token of the document where the item would start), matched, compared, overlap of each leak; the best offset of each document and item."""
+    """doc_id, text_hash, item_id, place (the token of the document where the item would start), matched, compared, overlap of each leak; the best offset of each document and item."""
     spark = docs.sparkSession
     folder = work_folder(spark, "leaks")
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("m")).where(F.size("m") >= SPAN)
@@ -56,8 +56,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     known = stored(known, f"{folder}/seeds")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).alias("text"))
     # A place is hit once for each (item, offset), whatever the masks and the places along it.
-    places = rows.select("doc_id", "text_hash", F.posexplode(seeds(tokens(F.col("text")))).alias("k", "h"))
-    hits = places.join(_bounded(known, 24), "h").select("doc_id", "text_hash", "item_id", (F.expr(f"k div {step}") - F.col("q")).cast("int").alias("at")).distinct()
+    places = rows.select("doc_id", "text_hash", tokens(F.col("text")).alias("w")).select("doc_id", "text_hash", F.posexplode(seeds(F.col("w"))).alias("k", "h"))
+    hits = places.join(_bounded(known, 24), "h").select("doc_id", "text_hash", "item_id", (F.expr(f"k div {step}") - F.col("q")).cast("int").alias("place")).distinct()
     hits = stored(hits, f"{folder}/hits")
     docs_hit = stored(hits.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct(), f"{folder}/docs")
     keys = _bounded(docs_hit, 40)
@@ -67,10 +67,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     both = hits.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}).join(_bounded(items, 1024), "item_id")
     both = again.join(both, again["doc_id"].eqNullSafe(F.col("d")) & (again["text_hash"] == F.col("t"))).drop("d", "t")
     n = F.least(F.size("m"), F.lit(WINDOW))
-    same = F.transform("m", lambda x, j: F.when((F.col("at") + j >= 0) & (F.get("w", F.col("at") + j) == x), 1).otherwise(0))
-    best = both.withColumn("same", same).withColumn("n", n).withColumn("matched", F.array_max(F.transform(F.sequence(F.lit(1), F.size("m") - F.col("n") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("n")), F.lit(0), lambda a, x: a + x))))
-    found = best.where(F.col("matched") >= F.col("n") * F.lit(SHARE)).select("doc_id", "text_hash", "item_id", "at", "matched", F.col("n").alias("compared"), (F.col("matched") / F.col("n")).alias("overlap"))
-    return found.groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("at", "matched", "compared", "overlap"), F.struct("overlap", -F.col("at"))).alias("x")).select("doc_id", "text_hash", "item_id", "x.*")
+    same = F.transform("m", lambda x, j: F.when((F.col("place") + j >= 0) & (F.get("w", F.col("place") + j) == x), 1).otherwise(0))
+    held = stored(both.select("doc_id", "text_hash", "item_id", "place", n.alias("n"), same.alias("same")), f"{folder}/held")
+    best = held.withColumn("matched", F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("n") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("n")), F.lit(0), lambda a, x: a + x))))
+    found = best.where(F.col("matched") >= F.col("n") * F.lit(SHARE)).select("doc_id", "text_hash", "item_id", "place", "matched", F.col("n").alias("compared"), (F.col("matched") / F.col("n")).alias("overlap"))
+    return found.groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("place", "matched", "compared", "overlap"), F.struct("overlap", -F.col("place"))).alias("x")).select("doc_id", "text_hash", "item_id", "x.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
@@ -91,10 +92,10 @@ b AS (SELECT min(item_id) AS item_id, m FROM (SELECT item_id, list_filter(regexp
 o AS (SELECT unnest({[list(m) for m in MASKS]}) AS o),
 dk AS (SELECT doc_id, text, w, p, o, list_transform(o, lambda x: w[p + 1 + x]) AS k FROM (SELECT *, unnest(range(0, len(w) - {SPAN} + 1)) AS p FROM d), o),
 bk AS (SELECT item_id, m, q, o, list_transform(o, lambda x: m[q + 1 + x]) AS k FROM (SELECT *, unnest(range(0, len(m) - {SPAN} + 1)) AS q FROM b), o),
-h AS (SELECT DISTINCT doc_id, text, item_id, p - q AS at FROM dk JOIN bk ON dk.o = bk.o AND dk.k = bk.k),
-s AS (SELECT h.*, least(len(m), {WINDOW}) AS n, len(m) AS lm, list_transform(range(0, len(m)), lambda j: CASE WHEN at + j >= 0 AND at + j < len(w) AND w[at + j + 1] = m[j + 1] THEN 1 ELSE 0 END) AS same
+h AS (SELECT DISTINCT doc_id, text, item_id, p - q AS place FROM dk JOIN bk ON dk.o = bk.o AND dk.k = bk.k),
+s AS (SELECT h.*, least(len(m), {WINDOW}) AS n, len(m) AS lm, list_transform(range(0, len(m)), lambda j: CASE WHEN place + j >= 0 AND place + j < len(w) AND w[place + j + 1] = m[j + 1] THEN 1 ELSE 0 END) AS same
       FROM h JOIN b USING (item_id) JOIN d ON h.doc_id = d.doc_id AND h.text = d.text),
 t AS (SELECT *, list_max(list_transform(range(1, lm - n + 2), lambda x: list_sum(same[x:x + n - 1]))) AS matched FROM s)
-SELECT doc_id, item_id, CAST(at AS INTEGER) AS at, CAST(matched AS INTEGER) AS matched, CAST(n AS INTEGER) AS compared, matched / n AS overlap
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY matched / n DESC, at) AS r FROM t WHERE matched >= n * {SHARE}) WHERE r = 1
+SELECT doc_id, item_id, CAST(place AS INTEGER) AS place, CAST(matched AS INTEGER) AS matched, CAST(n AS INTEGER) AS compared, matched / n AS overlap
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY matched / n DESC, place) AS r FROM t WHERE matched >= n * {SHARE}) WHERE r = 1
 """
