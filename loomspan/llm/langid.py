@@ -144,14 +144,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = [F.col(c) for c in keep]
+    inside = text_col in keep and docs.schema[text_col].dataType.simpleString() == "string"  # then the text isn't sent twice
+    at = list(keep).index(text_col) if inside else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            got = [own.predict(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "lang_pred", "score"])
+            got = [own.predict(t) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[0 if inside else 1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *kept)
+    rows = docs.select(*([] if inside else [F.col(text_col).cast("string").alias("_text")]), *kept)
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"]))
 

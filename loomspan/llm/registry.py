@@ -18,7 +18,9 @@ from loomspan.llm.token_store import op6_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {
         f.__name__: f
         for f in (op1_bilstm_crf_pii, op2_language_mixture, op3_spaced_seed_leaks, op5_log_structured_substrings, op6_token_store, op7_interleaved_shards, op8_systematic_mix, op9_simhash_pigeonring, op10_media_archive)
     }
