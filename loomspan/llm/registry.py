@@ -10,6 +10,7 @@ from loomspan.llm.decontaminate import OP3_SQL, op3_spaced_seed_leaks
 from loomspan.llm.langid import op2_language_mixture
 from loomspan.llm.media import op10_media_archive
 from loomspan.llm.mixing import OP8_SQL, op8_systematic_mix
+from loomspan.llm.ngram_lm import op4_elias_fano_trie
 from loomspan.llm.pii import op1_bilstm_crf_pii
 from loomspan.llm.sharding import op7_interleaved_shards
 from loomspan.llm.simhash import op9_simhash_pigeonring
@@ -22,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {"pipeline": corpus_pipeline.run} | {
         f.__name__: f
-        for f in (op1_bilstm_crf_pii, op2_language_mixture, op3_spaced_seed_leaks, op5_log_structured_substrings, op6_token_store, op7_interleaved_shards, op8_systematic_mix, op9_simhash_pigeonring, op10_media_archive)
+        for f in (op1_bilstm_crf_pii, op2_language_mixture, op3_spaced_seed_leaks, op4_elias_fano_trie, op5_log_structured_substrings, op6_token_store, op7_interleaved_shards, op8_systematic_mix, op9_simhash_pigeonring, op10_media_archive)
     }
 
 
