@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def _rows(df):
     cols = sorted(df.columns)
     clean = lambda v: None if v is None or v != v else f"{float(v):.6f}" if isinstance(v, float) or type(v).__name__.startswith("float") else str(v)
-    return sorted(tuple(clean(v) for v in r) for r in df[cols].astype(object).itertuples(index=False))
+    return sorted((tuple(clean(v) for v in r) for r in df[cols].astype(object).itertuples(index=False)), key=str)
 
 
 @pytest.fixture(scope="module")
