@@ -17,9 +17,12 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 class BiLstmCrf:
     """Parameters: an embedding, two LSTM directions, a linear layer to tag scores, transitions, and scores of first tags."""
 
-    def __init__(self, symbols: int, tags: int, embed: int = 12, hidden: int = 20, seed: int = 1):
+    def __init__(self, symbols: int, tags: int, embed: int = 12, hidden: int = 20, seed: int = 1, never: np.ndarray | None = None):
+        """never: (tags + 1, tags), true where a tag never follows another; the last row is for the first tag."""
         r = np.random.default_rng(seed)
         self.hidden = hidden
+        bar = np.where(never, -1e4, 0).astype(np.float32) if never is not None else np.zeros((tags + 1, tags), np.float32)
+        self.bar, self.bar_first = bar[:-1], bar[-1]
         w = {"E": r.normal(0, 0.3, (symbols, embed)), "O": r.normal(0, 0.2, (2 * hidden, tags)), "b": np.zeros(tags), "T": np.zeros((tags, tags)), "S": np.zeros(tags)}
         for d in "fr":
             w[f"W{d}"] = r.normal(0, 1 / np.sqrt(embed + hidden), (embed + hidden, 4 * hidden))
@@ -58,7 +61,7 @@ class BiLstmCrf:
         scores, h, kept_f, kept_r = self._emit(x)
         steps, rows, tags = scores.shape
         y = y.T
-        trans, start = self.w["T"], self.w["S"]
+        trans, start = self.w["T"] + self.bar, self.w["S"] + self.bar_first
         alpha, beta = [start + scores[0]], [np.zeros((rows, tags), np.float32)]
         for t in range(1, steps):
             alpha.append(_logsum(alpha[-1][:, :, None] + trans[None], 1) + scores[t])
@@ -122,9 +125,10 @@ class BiLstmCrf:
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
         """The best tags for the scores of one stretch (time, tags)."""
-        best, back = self.w["S"] + scores[0], []
+        trans = self.w["T"] + self.bar
+        best, back = self.w["S"] + self.bar_first + scores[0], []
         for s in scores[1:]:
-            x = best[:, None] + self.w["T"]
+            x = best[:, None] + trans
             back.append(x.argmax(0))
             best = x.max(0) + s
         path = [int(best.argmax())]

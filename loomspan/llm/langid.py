@@ -138,8 +138,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     return Model(languages, counts)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """The columns in keep, lang_pred and score for each row."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] = (), pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """The columns in keep, the predicted language and its score for each row."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -151,11 +151,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         own = shared.value
         for b in batches:
             got = [own.predict(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[0 if inside else 1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[0 if inside else 1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, pred_col, score_col])
 
     rows = docs.select(*([] if inside else [F.col(text_col).cast("string").alias("_text")]), *kept)
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"]))
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"`{pred_col}` string", f"`{score_col}` double"]))
 
 
 def op2_language_mixture(spark: SparkSession, root: str) -> DataFrame:

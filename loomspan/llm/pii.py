@@ -91,6 +91,8 @@ for _c in range(128):
     _ch = chr(_c)
     _ASCII[_c] = ord(_ch.lower()) - 96 if _ch.isalpha() else _DIGIT if _ch.isdigit() else _SPACE if _ch.isspace() else 31 + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~".find(_ch) if _ch in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else _OTHER
 SYMBOLS, TAGS = 31 + 32, 1 + 2 * len(KINDS)
+#: Tags: 0 for none, then for each kind one for its first character and one for the others, which only follows these two.
+_NEVER = np.array([[t and t % 2 == 0 and f not in (t - 1, t) for t in range(TAGS)] for f in range(TAGS + 1)], bool)
 
 
 def symbols(text: str) -> np.ndarray:
@@ -158,7 +160,7 @@ def labelled(texts: list[str], most: int = SAMPLE_WINDOWS, seed: int = 5) -> tup
                 add(t, base_spans(t), r.randrange(s, e))
             else:
                 new = _respelled(kind, _varied(kind, t[s:e], r), r)
-                lead, tail = t[max(0, s - 80):s], t[e:e + 80]
+                lead, tail = t[max(0, s - r.randint(0, 80)):s], t[e:e + r.randint(0, 80)]
                 add(lead + new + tail, [(len(lead), len(lead) + len(new), kind)], len(lead) + r.randrange(len(new)))
     free = [(t, m.start()) for t in texts for spans in [base_spans(t)] for m in _SIGN.finditer(t) if not any(s <= m.start() < e for s, e, _ in spans)]
     for t, p in r.sample(free, min(len(free), most // 3)) if x else []:
@@ -171,7 +173,7 @@ def train(texts: list[str], seed: int = 5) -> BiLstmCrf | None:
     x, y = labelled(texts, seed=seed)
     if not len(x) or not y.any():
         return None
-    model = BiLstmCrf(SYMBOLS, TAGS, seed=seed)
+    model = BiLstmCrf(SYMBOLS, TAGS, seed=seed, never=_NEVER)
     model.train(x, y, seed=seed)
     return model
 

@@ -1,0 +1,403 @@
+"""Operators against brute force over small, awkward documents."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+
+from loomspan.llm import decontaminate, langid, media, mixing, ngram_lm, pii, sharding, simhash, substring, token_store
+from loomspan.llm.common import Store, work_folder
+from loomspan.llm.components import components
+from loomspan.llm.elias_fano import EliasFano
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+def multi(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+# Token ids
+
+
+def test_encoder_equals_the_library():
+    e = token_store.encoder(token_store.default_tokenizer())
+    texts = ["", None, " ", "a  b", "don't stop.\nNow", "x \n\n y", "tab\tend ", "é ñ ½ ² !!", "foo.\nBar baz, qux; 12 3.4", " lead", "a\x1cb c", "　wide　space", "<|endoftext|> x"]
+    flat, ends = e.encode(pa.array(texts, pa.string()), 2)
+    starts = [0, *ends[:-1]]
+    for t, a, z in zip(texts, starts, ends):
+        assert flat[a:z].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], t
+
+
+def test_cuts_follow_content():
+    r = np.random.default_rng(1)
+    x = r.integers(0, 50000, 60000).astype(np.uint16)
+    a = token_store.cuts(x, np.array([60000]))[0]
+    b = token_store.cuts(np.concatenate((x[:5000], x[5001:])), np.array([59999]))[0]
+    assert a[-1] == 60000 and len({v - 1 for v in a if v > 20000} & set(b)) > 20
+    assert max(np.diff([0, *a])) <= token_store.MOST
+
+
+def test_token_store(spark, docs, rows, none):
+    at = work_folder(spark, "t")
+    token_store.write_store(docs, at, token_store.default_tokenizer())
+    got = token_store.read_store(spark, at).collect()
+    e = token_store.encoder(token_store.default_tokenizer())
+    want = sorted(((r[0], tuple(e.tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + (2,)) for r in rows), key=str)
+    assert sorted(((g["doc_id"], tuple(g["ids"])) for g in got), key=str) == want
+    got.sort(key=lambda g: g["start"])
+    ids = [g["doc_id"] for g in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    at_ = 0
+    for g in got:
+        assert (g["start"], g["n_tokens"]) == (at_, len(g["ids"])) and g["ids_crc32"] == zlib.crc32(np.array(g["ids"], "<u4").tobytes())
+        at_ += g["n_tokens"]
+    index = spark.read.parquet(f"{at}/index")
+    assert index.count() == index.select("digest").distinct().count() and token_store.verify_store(spark, at)
+    name = index.select("pack").first()[0]
+    with Store(at).open(f"packs/{name}.bin") as f:
+        data = bytearray(f.read())
+    data[10] ^= 255
+    Store(at).write(f"packs/{name}.bin", [bytes(data)])
+    with pytest.raises(Exception, match="damaged|[Zz]std|decompress"):
+        token_store.read_store(spark, at).collect()
+    empty = work_folder(spark, "t")
+    token_store.write_store(none, empty, token_store.default_tokenizer())
+    assert token_store.read_store(spark, empty).count() == 0
+
+
+# Shards and mixes
+
+
+def test_shards(spark, docs, rows, none):
+    got = sharding.interleave(docs, 4).collect()
+    assert len(got) == len(rows)
+    slots = defaultdict(list)
+    for g in got:
+        slots[g["shard"]].append(g["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert Counter((g["doc_id"], g["size"], g["text_crc32"]) for g in got) == Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
+    of = Counter()
+    for g in sharding.interleave(docs, 4, carry=docs.columns).collect():
+        of[g["shard"], g["row"]["source"]] += 1
+    for s in {r[3] for r in rows}:
+        n = sum(r[3] == s for r in rows)
+        assert all(abs(of[k, s] - n / 4) < 2 for k in range(4))
+    assert multi(sharding.interleave(docs, 4)) == multi(sharding.interleave(docs.repartition(7), 4))
+    assert sharding.interleave(none, 4).count() == 0
+
+
+def level(sizes, weights, total):
+    """Targets by resharing the excess until none is above."""
+    target, open_ = {}, set(sizes)
+    while True:
+        rest = total - sum(target.values())
+        w = sum(weights[s] for s in open_)
+        over = [s for s in open_ if rest * weights[s] / w > 2 * sizes[s]]
+        if not over:
+            return target | {s: rest * weights[s] / w for s in open_}
+        for s in over:
+            target[s] = 2 * sizes[s]
+            open_.discard(s)
+        if not open_:
+            return target
+
+
+def test_mix(docs, rows, none):
+    got = mixing.mix(docs).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = level(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}, 1.5 * sum(sizes.values()))
+    by_size = {sizes[s]: want[s] for s in names}
+    taken, most = Counter(), Counter()
+    for g in got:
+        assert g["target"] == pytest.approx(by_size[g["source_size"]]) and g["taken"] <= 2 * g["size"] and g["taken"] == g["copies"] * g["size"]
+        taken[g["source_size"]] += g["taken"]
+        most[g["source_size"]] = max(most[g["source_size"]], g["size"])
+    assert all(abs(taken[k] - by_size[k]) <= 2 * most[k] for k in taken)
+    assert multi(mixing.mix(docs)) == multi(mixing.mix(docs.repartition(5))) and mixing.mix(none).count() == 0
+
+
+# Near duplicates
+
+
+def brute_simhash(t):
+    w = words((t or "").translate(LOW))
+    shingles = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(docs, rows, none):
+    got = simhash.near_duplicates(docs).collect()
+    fp = [brute_simhash(r[1]) for r in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= 2:
+                a, b = comp[i], comp[j]
+                comp = [b if c == a else c for c in comp]
+    least = {c: min((r[0] for r, d in zip(rows, comp) if d == c and r[0] is not None), default=None) for c in comp}
+    want = Counter((r[0], f"{f:016x}", least[c]) for r, f, c in zip(rows, fp, comp))
+    assert Counter((g["doc_id"], g["fingerprint"], g["component_id"]) for g in got) == want
+    left = simhash.deduplicate(docs).collect()
+    assert Counter(x["doc_id"] for x in left if x["doc_id"] is not None) == Counter(set(least.values()) - {None})
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_chain_misses_no_pair(spark):
+    r = np.random.default_rng(3)
+    base = r.integers(-(1 << 62), 1 << 62, 60)
+    near = [int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in r.integers(0, 63, (6, 2))]
+    every = sorted({int(b) for b in base} | set(near))
+    got = {x["fp"]: x["root"] for x in simhash.classes(spark.createDataFrame([(x,) for x in every], "fp long")).collect()}
+    root = {x: x for x in every}
+    changed = True
+    while changed:
+        changed = False
+        for a in every:
+            for b in every:
+                if ((a ^ b) & (2**64 - 1)).bit_count() <= 2 and root[a] != root[b]:
+                    root[a] = root[b] = min(root[a], root[b])
+                    changed = True
+    assert len(set(got.values())) == len(set(root.values())) and all((got[a] == got[b]) == (root[a] == root[b]) for a in every for b in every[:40])
+
+
+def test_components(spark):
+    links = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (7, 7), (101, 102), (300, 200), (5, 30)]
+    got = {r["u"]: r["v"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {k: 1 for k in range(2, 41)} | {101: 100, 102: 100, 300: 200}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# Substrings
+
+
+def test_substrings(docs, rows, none):
+    got = Counter((g["doc_id"], g["n_words"], g["n_removed"], g["kept"]) for g in substring.dedupe(docs).collect())
+    all_words, seen = [words(r[1]) for r in rows], defaultdict(list)
+    for d, w in enumerate(all_words):
+        for s in range(len(w) - 34):
+            seen[tuple(w[s:s + 35])].append((d, s))
+    gone = {(d, i) for at in seen.values() if len(at) > 1 for d, s in at for i in range(s, s + 35)}
+    want = Counter()
+    for d, (r, w) in enumerate(zip(rows, all_words)):
+        kept = [x for i, x in enumerate(w) if (d, i) not in gone]
+        want[r[0], len(w), len(w) - len(kept), " ".join(kept)] += 1
+    assert got == want and substring.dedupe(none).count() == 0
+
+
+def test_index_merges_runs(spark):
+    index = substring.FingerprintIndex(spark, work_folder(spark, "i"), 2, most=2)
+    for batch in ([(1, 1, 1), (2, 2, 1)], [(2, 3, 1)], [(4, 4, 2)], [(1, 1, 1)]):
+        index.append(spark.createDataFrame(batch, "fp long, span long, n long"))
+    assert len(index.runs) <= 2
+    assert multi(index.shared()) == [(1, 1, 2, 1), (2, 2, 1, 2), (2, 3, 1, 2), (4, 4, 2, 1)]
+    index.close()
+
+
+# Decontamination
+
+
+def test_leaks(spark, docs, rows, none):
+    item = rows[15][1].split()[45:75]
+    some = list(item)
+    some[3], some[15], some[22] = "zz", "yy", "xx"
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item).upper()), (3, " ".join(some)), (4, "too short"), (5, None), (6, ""), (7, " ".join(f"other{k}" for k in range(30)))], "item_id long, text string")
+    got = decontaminate.leaks(docs, bench).collect()
+    leaky = {r[0] for r in rows if " ".join(item) in (r[1] or "")}
+    assert leaky and {g["doc_id"] for g in got if g["item_id"] == 1} == leaky == {g["doc_id"] for g in got if g["item_id"] == 3}
+    assert {g["item_id"] for g in got} == {1, 3} and all(g["overlap"] == 1 for g in got if g["item_id"] == 1) and len(got) == 2 * len(leaky)
+    clean = decontaminate.clean(docs, bench)
+    assert Counter(r["doc_id"] for r in clean.collect()) == Counter(r[0] for r in rows if r[0] not in leaky) and clean.columns == docs.columns
+    assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+# Languages
+
+
+def test_languages(spark, none):
+    import random
+
+    r = random.Random(1)
+    make = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(3)) for _ in range(n))
+    one, two = ["the", "ing", "er", "ou"], ["schw", "ö", "ich", "ung"]
+    train = spark.createDataFrame([(make(one, 80), "en", 1) for _ in range(30)] + [(make(two, 80), "de", 2) for _ in range(30)] + [(make(one, 5), None, 3), (None, "en", 4)], "text string, lang string, score int")
+    model = langid.fit(train)
+    assert model.languages == ["de", "en"]
+    mixed = make(one, 60) + " " + make(two, 30)
+    parts = model.proportions(mixed)
+    assert set(parts) == {"de", "en"} and 0.4 < parts["en"] < 0.8
+    assert model.proportions(make(two, 50)) == {"de": 1.0}
+    rows = spark.createDataFrame([(1, make(one, 50), "x"), (2, make(two, 2), "x"), (3, None, "x"), (4, "", "x"), (5, "123 !?", "x"), (6, mixed, "x")], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in langid.predict(rows, model, keep=["doc_id"]).collect()}
+    assert {k: v["lang_pred"] for k, v in got.items()} == {1: "en", 2: "de", 3: "und", 4: "und", 5: "und", 6: "en"}
+    assert got[3]["score"] == 0 and all(0 <= v["score"] <= 1 for v in got.values())
+    assert langid.fit(none).languages == [] and langid.fit(none).predict("abc") == ("und", 0.0)
+    assert langid.predict(rows, model, keep=rows.columns).columns == [*rows.columns, "lang_pred", "score"]
+
+
+# Personal data
+
+_EMAIL, _IPX, _CARDX, _PHONEX = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
+
+
+def brute_spans(t):
+    n = lambda s: len(re.sub("[^0-9]", "", s))
+    checks = (("email", _EMAIL, lambda s: True), ("ip", _IPX, lambda s: all(int(p) <= 255 for p in s.split("."))), ("card", _CARDX, lambda s: 12 <= n(s) <= 19 and pii.luhn(re.sub("[^0-9]", "", s))), ("phone", _PHONEX, lambda s: 9 <= n(s) <= 15))
+    found = [(m.start(), k, m.end()) for k, p, ok in checks for m in re.finditer(p, t) if ok(m[0])]
+    return sorted(((s, e, k) for s, k, e in found), key=lambda x: (x[0], pii.KINDS.index(x[2])))
+
+
+def test_base_spans():
+    import random
+
+    r = random.Random(2)
+    fixed = ["a@b.co", "x@y", "a.b@c-d.e.f@g.h", "1.2.3.4.5.6.7.8", "256.1.1.1", "0001.2.3.4", "4111 1111-1111 1111", "+1 (917) 555-2670 x", "+12", "@", "a@@b.c", "4111111111111111 5", "é+1 917 555 2670"]
+    for t in fixed + ["".join(r.choice("ab@.-+ 0123456789()4") for _ in range(r.randint(0, 60))) for _ in range(3000)]:
+        assert pii.base_spans(t) == brute_spans(t), t
+    pii.base_spans("a" * 200_000 + "1" * 200_000 + "+1" + " " * 200_000)
+
+
+def test_gradients():
+    from loomspan.llm.bilstm_crf import BiLstmCrf
+
+    r = np.random.default_rng(1)
+    m = BiLstmCrf(6, 3, embed=3, hidden=4)
+    m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
+    x, y = r.integers(0, 6, (3, 5)), r.integers(0, 3, (3, 5))
+    _, g = m._gradients(x, y)
+    for k, v in m.w.items():
+        at = tuple(r.integers(0, n) for n in v.shape)
+        old, e = v[at], 1e-5
+        v[at] = old + e
+        up = m._gradients(x, y)[0]
+        v[at] = old - e
+        down = m._gradients(x, y)[0]
+        v[at] = old
+        assert (up - down) / (2 * e) == pytest.approx(g[k][at], abs=2e-4), k
+
+
+def test_model_adds_spans(spark, none):
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("thernoile") for _ in range(r.randint(2, 7)))
+    data = lambda: r.choice([f"{word()}.{word()}@{word()}.example.com", ".".join(str(r.randrange(256)) for _ in range(4)), "4111111111111111", f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"])
+    texts = [" ".join([*(word() for _ in range(20)), data(), *(word() for _ in range(20)), str(r.randrange(10**6))]) for _ in range(120)]
+    model = pii.train(texts)
+    found = sum(bool(pii.model_spans(model, [f"{word()} {word()} {n} {word()} {word()}"])[0]) for n in ["(917) 555-2670", "joe.smith @ mail.example.com", "10[.]20[.]30[.]40", "4111.1111.1111.1111"])
+    assert found >= 3
+    assert not any(pii.model_spans(model, [" ".join(word() for _ in range(60)) + " 1999 12" for _ in range(20)]))
+    rows = [(1, texts[0]), (2, None), (3, ""), (None, "plain words"), (1, texts[0]), (4, "call (917) 555-2670 now")]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert Counter((g["doc_id"], g["base_sha256"]) for g in got) == Counter((d, hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in brute_spans(t or "")).encode()).hexdigest()) for d, t in rows)
+    assert pii.find(none, None).count() == 0 and pii.train([]) is None
+
+
+# Scores
+
+
+@pytest.mark.parametrize(("n", "universe"), [(0, 10), (1, 1 << 56), (7, 7), (500, 1 << 50), (5000, 6000), (300, 20)])
+def test_elias_fano(n, universe):
+    r = np.random.default_rng(n)
+    v = np.sort(r.integers(0, universe, n, dtype=np.uint64))
+    e = EliasFano(EliasFano.build(v, universe))
+    assert (e.get(np.arange(n)) == v).all()
+    q = np.concatenate((v, r.integers(0, universe, 300, dtype=np.uint64)))
+    at = e.find(q)
+    assert ((at >= 0) == np.isin(q, v)).all() and (n == 0 or (v[at[at >= 0]] == q[at >= 0]).all())
+    assert n == 0 or (e.successor(q) == np.searchsorted(v, q)).all()
+
+
+def test_scores(spark, docs, rows, none):
+    at = work_folder(spark, "m")
+    train = [r for r in rows if zlib.crc32((str(r[0]) if r[0] is not None else "").encode()) % 5 != 1]
+    ngram_lm.fit(docs.where(~langid.held_out(docs["doc_id"], 5, 1)), at)
+    got = ngram_lm.score(docs, at, keep=["doc_id", "n_chars"]).collect()
+    tokens = lambda t: [*words((t or "").translate(LOW)), "\n"]
+    c, pair, succ, ctx = Counter(), Counter(), defaultdict(set), Counter()
+    for r in train:
+        w = tokens(r[1])
+        c.update(w)
+        for a, b in zip(["^", *w], w):
+            pair[a, b] += 1
+            succ[a].add(b)
+            ctx[a] += 1
+    n, v = sum(c.values()), len(c)
+    p1 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    want = Counter((r[0], len(w := tokens(r[1])), sum(x in c for x in w), n, round(sum(math.log10(p1(x)) for x in w), 6)) for r in rows)
+    assert Counter((g["doc_id"], g["n_tokens"], g["n_known"], g["train_tokens"], round(g["base_score"], 6)) for g in got) == want
+    # The model's own sum, with each shard's discount; quantising moves a token by less than 0.2.
+    trie = ngram_lm.Trie(at)
+    for g in got:
+        text = next(r[1] for r in rows if r[0] == g["doc_id"] and r[4] == g["n_chars"])
+        w, s = tokens(text), 0.0
+        for a, b in zip(["^", *w], w):
+            h = ngram_lm._hash({"^": ngram_lm.START}.get(a, a.encode()))
+            k = int(np.searchsorted(trie.bounds, np.uint64(h), "right")) - 1
+            d = trie._shard(k).discount if k in trie.made else 0
+            s += math.log10((pair[a, b] - d if pair[a, b] else 0) / ctx[a] + d * len(succ[a]) / ctx[a] * p1(b)) if ctx[a] else math.log10(p1(b))
+        assert g["score"] == pytest.approx(s, abs=0.2 * len(w)), text
+    empty = work_folder(spark, "m")
+    ngram_lm.fit(none, empty)
+    assert ngram_lm.score(none, empty).count() == 0
+    assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in ngram_lm.score(docs.limit(3), empty).collect())
+
+
+# Media
+
+
+def test_media(spark, docs, rows, none):
+    spark.dataSource.register(media.MediaArchive)
+    at = work_folder(spark, "a")
+    media.to_media(docs).write.format("media_archive").mode("append").option("path", at).save()
+    got = media.features(spark.read.format("media_archive").option("path", at).option("range_bytes", "300").load()).collect()
+    want = Counter()
+    for r in rows:
+        b = (r[1] or "").encode()
+        p = b + bytes(-len(b) % 64 if b else 64)
+        want[r[0], len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
+    assert Counter((g["doc_id"], g["n_bytes"], g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) for g in got) == want
+    for r in got:
+        assert r["media_bytes"] > 0 and re.fullmatch(r"\d+x64:\d+:[0-9a-f]{16}", r["feature"])
+    empty = work_folder(spark, "a")
+    media.to_media(none).write.format("media_archive").mode("append").option("path", empty).save()
+    assert spark.read.format("media_archive").option("path", empty).load().count() == 0
+
+
+def test_member_is_read_again(tmp_path):
+    store, data = Store(str(tmp_path)), b"abcdefgh" * 10
+    store.write("a.arc", [data])
+
+    class Flaky:
+        def __init__(self):
+            self.opened = 0
+
+        def open(self, name):
+            self.opened += 1
+            if self.opened < 3:
+                raise OSError("gone")
+            return store.open(name)
+
+    f = Flaky()
+    assert media.read_member(f, "a.arc", 8, 16, zlib.crc32(data[8:24])) == data[8:24] and f.opened == 3
+    with pytest.raises(ValueError, match="CRC"):
+        media.read_member(store, "a.arc", 8, 16, 1)
+    with pytest.raises(ValueError, match="damaged"):
+        media.from_png(media.to_png(bytes(64))[:-2] + b"xx")
