@@ -113,11 +113,11 @@ def integrity(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT DISTINCT o_custkey AS m FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01'), n AS (SELECT DISTINCT o_custkey AS m FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01')
+WITH c AS (SELECT DISTINCT o_custkey AS m FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), n AS (SELECT DISTINCT o_custkey AS m FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')
 SELECT coalesce(c.m, n.m) AS member, CASE WHEN c.m IS NULL THEN 'added' WHEN n.m IS NULL THEN 'removed' ELSE 'retained' END AS state FROM c FULL JOIN n ON c.m = n.m
 """)
 def membership_transitions(spark: SparkSession, root: str) -> DataFrame:
     """Customers before and after a day: added, removed or retained. One pass, no join."""
-    o = table(spark, root, "orders").select("o_custkey", (F.col("o_orderdate") < F.expr("TIMESTAMP_NTZ '1995-01-01 00:00:00'")).alias("early"))
+    o = table(spark, root, "orders").select("o_custkey", (F.col("o_orderdate") < F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")).alias("early"))
     per = o.groupBy(F.col("o_custkey").alias("member")).agg(F.bool_or("early").alias("was"), F.bool_or(~F.col("early")).alias("is"))
     return per.select("member", F.when(~F.col("was"), "added").when(~F.col("is"), "removed").otherwise("retained").alias("state"))
