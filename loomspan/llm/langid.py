@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import small_batches
+from loomspan.llm.common import release_memory, small_batches
 from loomspan.sources.tables import table
 
 BITS = 15
@@ -152,6 +152,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         for b in batches:
             got = [own.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[0 if inside else 1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, pred_col, score_col])
+        release_memory()
 
     rows = docs.select(*([] if inside else [F.col(text_col).cast("string").alias("_text")]), *kept)
     types = {f.name: f.dataType.simpleString() for f in rows.schema}

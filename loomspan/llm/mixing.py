@@ -54,8 +54,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGE
     level = targets(counts.groupBy("s", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, budget, limit)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "s").cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     level = level.withColumn("u", offset).withColumn("e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).drop("source")
-    run = Window.partitionBy("s").orderBy("size", "b").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("s", "size", "b", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
+    # Rows before a bucket: those of smaller sizes (a row for each size of a source), and those of its size in buckets before.
+    run = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    smaller = counts.groupBy("s", "size").agg(F.sum("n").alias("n")).select("s", "size", F.coalesce(F.sum("n").over(run("s").orderBy("size")), F.lit(0)).alias("smaller"))
+    beside = counts.select("s", "size", "b", F.coalesce(F.sum("n").over(run("s", "size").orderBy("b")), F.lit(0)).alias("beside"))
+    before = beside.join(smaller, ["s", "size"]).select("s", "size", "b", (F.col("smaller") + F.col("beside")).alias("before"))
     placed = rows.drop("source").join(before, ["s", "size", "b"]).withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("s", "size", "b").orderBy("h", "doc_id")))
     crossed = F.floor(F.col("i") * F.col("e") + F.col("u")) - F.floor((F.col("i") - 1) * F.col("e") + F.col("u"))
     out = placed.join(level, "s").withColumn("copies", crossed).withColumn("taken", F.col("copies") * F.col("size"))

@@ -248,10 +248,14 @@ def _join(spans: list[tuple[int, int, str]]) -> str:
 
 
 def sample(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_TEXTS) -> list[str]:
-    """The texts with an @ or a digit that stand first by a hash: at most `most`, in an order that doesn't depend on files."""
+    """The distinct texts with an @ or a digit that stand first by a hash: at most `most`, whatever the files and copies. The
+    hashes are looked at first, so that tasks send no texts but those of the sample."""
     t = F.col(text_col).cast("string")
     rows = docs.select(t.alias("t"), F.xxhash64(F.lit(9), t).alias("h")).where((F.length("t") <= SAMPLE_CHARS) & F.col("t").rlike("[0-9@]"))
-    return [r["t"] for r in rows.orderBy("h", "t").limit(most).collect()]
+    first = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(most).collect()]
+    if not first:
+        return []
+    return [r["t"] for r in rows.where(F.col("h") <= first[-1]).dropDuplicates(["h"]).orderBy("h").collect()]
 
 
 def find(docs: DataFrame, model: BiLstmCrf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

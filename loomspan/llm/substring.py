@@ -2,7 +2,7 @@
 
 A window is `words` consecutive words of one document. Its fingerprint is the hash of its least gram (of the window's grams of
 `gram` words, the one with the least hash, the leftmost of equals): equal windows have it at the same offset, and neighbouring
-windows mostly share it, so an index of fingerprints has one entry for some fifteen windows and misses none. Windows that
+windows mostly share it, so an index of fingerprints has one entry for some twelve windows and misses none. Windows that
 follow each other and share their gram make one entry: (fp, span), span the hash of the text that they cover and of their layout.
 
 The index is a list of immutable runs, tables of (fp, span, n) bucketed and sorted by fp. A new batch becomes a run of its own
@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import drop_folder, small_batches, stored, tasks, work_folder
 from loomspan.sources.tables import table
 
-WORDS, GRAM, BATCHES, RUNS = 35, 6, 3, 4
+WORDS, GRAM, BATCHES, RUNS = 35, 12, 3, 4
 #: Words hashed at a time, however long a text is.
 BLOCK = 1 << 19
 #: Most bytes of one side that is broadcast; beyond it the join shuffles.
@@ -39,20 +40,6 @@ _ODD = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-class WordHashes(dict):
-    """Hashes of words, remembered up to a bound."""
-
-    MOST = 1 << 19
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= self.MOST:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word, 5)
-        return h
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd number and of its inverse, modulo 2**64."""
     if n not in _POWERS:
@@ -83,50 +70,46 @@ def least_grams(h: np.ndarray, words: int, gram: int) -> tuple[np.ndarray, np.nd
     return at, grams
 
 
-def entries(texts: list[str | None], hashes: WordHashes, words: int = WORDS, gram: int = GRAM):
-    """doc, first window, number of windows, fp, span for each entry of each text."""
-    from xxhash import xxh3_64_intdigest
-
-    held: list[tuple[int, list[bytes], int]] = []
-    size = 0
-
-    def flush():
-        h = np.fromiter(map(hashes.__getitem__, (w for _, ws, _ in held for w in ws)), np.uint64, size)
+def entries(texts: pa.Array, words: int = WORDS, gram: int = GRAM):
+    """doc, first window, number of windows, fp, span for each entry of each text, in blocks. Arrow cuts texts into words and
+    numbers the distinct ones, so that each is hashed once a batch."""
+    from xxhash import xxh3_64_intdigest, xxh64_intdigest
+
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.fill_null("")))
+    first = lists.offsets.to_numpy().astype(np.int64)
+    first -= first[0]
+    flat = lists.flatten()
+    coded = flat.dictionary_encode()
+    hashes = np.array([xxh64_intdigest(w, 5) for w in coded.dictionary.to_pylist()], np.uint64)
+    codes = coded.indices.to_numpy()
+    # Lines of words joined by one space, and where each word starts in them.
+    lines = pc.binary_join(lists, " ")
+    data = memoryview(lines.buffers()[2] or b"")
+    line = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset:lines.offset + len(lines)].astype(np.int64)
+    size = pc.binary_length(flat).to_numpy().astype(np.int64)
+    count = np.diff(first)
+    owner = np.repeat(np.arange(len(count)), count)
+    start = np.cumsum(size) - size + np.arange(len(size))
+    place = start - np.repeat(start[np.minimum(first[:-1], max(0, len(start) - 1))] if len(start) else first[:-1], count) + line[owner]
+    place = np.append(place, 0)
+    for block in range(0, len(codes), BLOCK):
+        h = hashes[codes[block:block + BLOCK + words - 1]]
+        if len(h) < words:
+            break
         at, grams = least_grams(h, words, gram)
-        ends = np.cumsum([len(ws) for _, ws, _ in held])
-        starts = ends - [len(ws) for _, ws, _ in held]
-        ok = np.zeros(len(at), bool)
-        own = np.full(len(at), -1, np.int32)
-        for k, (a, z) in enumerate(zip(starts.tolist(), ends.tolist())):
-            ok[a:z - words + 1] = True
-            own[a:z - words + 1] = k
-        good = np.flatnonzero(ok)
+        begin = np.arange(block, block + len(at))
+        good = np.flatnonzero(begin + words <= first[owner[begin] + 1])
+        if not len(good):
+            continue
+        own = owner[begin[good]]
         change = np.ones(len(good), bool)
-        change[1:] = (at[good[1:]] != at[good[:-1]]) | (own[good[1:]] != own[good[:-1]])
-        first = np.flatnonzero(change)
-        s, n = good[first], np.diff(np.append(first, len(good)))
-        p, k = at[s], own[s]
-        fp = grams[p].view(np.int64)
-        lines, offsets = [b" ".join(ws) for _, ws, _ in held], [np.cumsum([0] + [len(w) + 1 for w in ws]) for _, ws, _ in held]
-        span = []
-        for i, a, c, g in zip(k.tolist(), (s - starts[k]).tolist(), n.tolist(), (p - s).tolist()):
-            o = offsets[i]
-            span.append(xxh3_64_intdigest(lines[i][o[a]:o[a + c - 1 + words] - 1], g * 64 + c))
-        base = np.array([b for _, _, b in held])
-        yield np.array([d for d, _, _ in held])[k], s - starts[k] + base[k], n, fp, np.array(span, np.uint64).view(np.int64)
-
-    for d, text in enumerate(texts):
-        ws = (text or "").encode().split()
-        for a in range(0, max(1, len(ws) - words + 1), BLOCK):
-            part = ws[a:a + BLOCK + words - 1]
-            if len(part) >= words:
-                held.append((d, part, a))
-                size += len(part)
-                if size >= BLOCK:
-                    yield from flush()
-                    held, size = [], 0
-    if held:
-        yield from flush()
+        change[1:] = (at[good[1:]] != at[good[:-1]]) | (own[1:] != own[:-1])
+        head = np.flatnonzero(change)
+        s, n, d = good[head], np.diff(np.append(head, len(good))), own[head]
+        p, a = at[s], begin[s]
+        last = a + n - 1 + words - 1
+        span = [xxh3_64_intdigest(data[x:y], k) for x, y, k in zip(place[a].tolist(), (place[last] + size[last]).tolist(), ((p - s) * 64 + n).tolist())]
+        yield d, a - first[d], n, grams[p].view(np.int64), np.array(span, np.uint64).view(np.int64)
 
 
 def counted(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
@@ -134,9 +117,8 @@ def counted(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            for _, _, _, fp, span in entries(b.column(0).to_pylist(), hashes, words, gram):
+            for _, _, _, fp, span in entries(b.column(0), words, gram):
                 both, n = np.unique(np.stack((fp, span), 1), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n.astype(np.int64))], names=["fp", "span", "n"])
 
@@ -147,9 +129,8 @@ def located(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     """doc_id, k, s, c, fp, span: each entry with its document (k: hash of the text), its first window and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            for d, s, n, fp, span in entries(b.column(2).to_pylist(), hashes, words, gram):
+            for d, s, n, fp, span in entries(b.column(2), words, gram):
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)), pa.array(s.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(fp), pa.array(span)], names=["doc_id", "k", "s", "c", "fp", "span"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -257,7 +238,7 @@ def repeated(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int
     index.compact()
     shared = stored(index.shared(), f"{folder}/shared")
     index.close()
-    found = stored(located(docs, words, gram).join(_bounded(shared, 48), ["fp", "span"]), f"{folder}/found")
+    found = stored(located(docs, words, gram).join(shared, ["fp", "span"]), f"{folder}/found")
 
     # Where spans of a fingerprint differ, the windows of one occurrence of each.
     edge = found.where("spans > 1").groupBy("fp", "span").agg(F.min(F.struct("doc_id", "k", "s", "c")).alias("x"))

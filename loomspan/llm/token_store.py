@@ -31,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Store, drop_folder, small_batches, stored, tasks, work_folder
+from loomspan.llm.common import Store, drop_folder, release_memory, small_batches, stored, tasks, work_folder
 
 #: Ids in a chunk: least, on average past that, most.
 LEAST, MEAN, MOST = 256, 1024, 8192
 PACK_BYTES = 64 << 20
-#: Pieces whose ids a worker remembers.
-CACHE = 1_000_000
+#: Pieces whose ids a worker remembers, within a task.
+CACHE = 600_000
 #: What libraries class differently as white space.
 _ODD = "[\x1c-\x1f\x85\u180e]"
 #: Between one of these letters and these marks the pre-tokenizer always cuts.
@@ -103,6 +103,12 @@ class Encoder:
         rest = [p for p in other if p and not p[0].isspace() and self.known[p] is None]
         self.known.update(zip(rest, self._whole([f" {p}" for p in rest])))
 
+    def forget(self) -> None:
+        """Workers outlive tasks: what one remembered mustn't take memory from the next stage's."""
+        self.known.clear()
+        self.tails.clear()
+        release_memory()
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end_id, and where each text's ids end. Arrow cuts texts and numbers the
         distinct pieces; Python sees each of these once a batch."""
@@ -136,7 +142,7 @@ class Encoder:
         size = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
         flat, start, length = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size) - size, size[index]
         done = np.cumsum(length)
-        return flat[np.repeat(start[index] - (done - length), length) + np.arange(done[-1] if n else 0)], done[np.cumsum(counts + 1) - 1]
+        return flat[np.repeat((start[index] - (done - length)).astype(np.int32), length) + np.arange(done[-1] if n else 0, dtype=np.int32)], done[np.cumsum(counts + 1) - 1]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -229,6 +235,7 @@ def _packer(root: str, tokenizer: str, end_id: int, schema: pa.Schema):
             row += len(ends)
         if held:
             store.write(f"staging/{name}.bin", held)
+        enc.forget()
 
     return run
 
