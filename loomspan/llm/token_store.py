@@ -38,6 +38,8 @@ LEAST, MEAN, MOST = 256, 1024, 8192
 PACK_BYTES = 64 << 20
 #: Pieces whose ids a worker remembers, within a task.
 CACHE = 600_000
+#: Pieces that go to the tokenizer in one call, which holds some 200 bytes for each of their ids; bytes of texts encoded at a time.
+CALL, BLOCK_BYTES = 1 << 14, 5 << 20
 #: What libraries class differently as white space.
 _ODD = "[\x1c-\x1f\x85\u180e]"
 #: Between one of these letters and these marks the pre-tokenizer always cuts.
@@ -70,7 +72,9 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, pieces: list[str], mark: str) -> list[bytes]:
-        """The ids of visible pieces, each after a space or a line end, in one call: the ids tell where each piece starts."""
+        """The ids of visible pieces, each after a space or a line end, CALL in one call: the ids tell where each piece starts."""
+        if len(pieces) > CALL:
+            return [x for i in range(0, len(pieces), CALL) for x in self._joined(pieces[i:i + CALL], mark)]
         data, w = self._whole([mark + mark.join(pieces)])[0], self.dtype.itemsize
         ids = np.frombuffer(data, self.dtype)
         starts = np.flatnonzero(self.opens[ids] if mark == " " else ids == self.line) * w
@@ -154,6 +158,17 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, in runs of at most this many bytes of column, or of one row where that is longer."""
+    for b in batches:
+        size = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        done, a = np.cumsum(size), 0
+        while a < len(size):
+            z = max(a + 1, int(np.searchsorted(done, done[a] - size[a] + most, "right")))
+            yield b.slice(a, z - a)
+            a = z
+
+
 def cuts(ids: np.ndarray, ends: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[list[int]]:
     """For each document (ids up to each of ends), where its chunks end. A cut depends on the 16 ids before it and on the
     distance to the cut before; it never looks across a document's start."""
@@ -208,7 +223,7 @@ def _packer(root: str, tokenizer: str, end_id: int, schema: pa.Schema):
         held: list[bytes] = []
         size, pack, row = 0, 0, part << 33
         name = f"{part:06d}-{pack:03d}"
-        for b in batches:
+        for b in blocks(batches, 1):
             flat, ends = enc.encode(b.column(1), end_id)
             data, w = flat.tobytes(), enc.dtype.itemsize
             recipes, a = [], 0
