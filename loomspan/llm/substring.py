@@ -92,12 +92,15 @@ def entries(texts: pa.Array, words: int = WORDS, gram: int = GRAM):
     start = np.cumsum(size) - size + np.arange(len(size))
     place = start - np.repeat(start[np.minimum(first[:-1], max(0, len(start) - 1))] if len(start) else first[:-1], count) + line[owner]
     place = np.append(place, 0)
+    share = words - gram + 1  # the most windows that can have one gram in common
     for block in range(0, len(codes), BLOCK):
-        h = hashes[codes[block:block + BLOCK + words - 1]]
+        # One window before the block and as many after it as an entry may have: an entry is that of the block it starts in, whole.
+        low = max(0, block - 1)
+        h = hashes[codes[low:block + BLOCK + share + words - 1]]
         if len(h) < words:
             break
         at, grams = least_grams(h, words, gram)
-        begin = np.arange(block, block + len(at))
+        begin = np.arange(low, low + len(at))
         good = np.flatnonzero(begin + words <= first[owner[begin] + 1])
         if not len(good):
             continue
@@ -106,6 +109,8 @@ def entries(texts: pa.Array, words: int = WORDS, gram: int = GRAM):
         change[1:] = (at[good[1:]] != at[good[:-1]]) | (own[1:] != own[:-1])
         head = np.flatnonzero(change)
         s, n, d = good[head], np.diff(np.append(head, len(good))), own[head]
+        here = (begin[s] >= block) & (begin[s] < block + BLOCK)
+        s, n, d = s[here], n[here], d[here]
         p, a = at[s], begin[s]
         last = a + n - 1 + words - 1
         span = [xxh3_64_intdigest(data[x:y], k) for x, y, k in zip(place[a].tolist(), (place[last] + size[last]).tolist(), ((p - s) * 64 + n).tolist())]

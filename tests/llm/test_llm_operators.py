@@ -202,6 +202,20 @@ def test_substrings(docs, rows, none):
     assert got == want and substring.dedupe(none).count() == 0
 
 
+def test_entries_depend_on_the_text_alone(rows, monkeypatch):
+    def found(texts):
+        out = [[] for _ in texts]
+        for block in substring.entries(pa.array(texts, pa.string())):
+            for d, *entry in zip(*(x.tolist() for x in block)):
+                out[d].append(tuple(entry))
+        return out
+
+    texts = [r[1] for r in rows]
+    whole = [found([t])[0] for t in texts]
+    monkeypatch.setattr(substring, "BLOCK", 300)
+    assert sum(map(len, whole)) > 100 and found(texts) == whole and found(texts[7:]) == whole[7:] and [found([t])[0] for t in texts] == whole
+
+
 def test_index_merges_runs(spark):
     index = substring.FingerprintIndex(spark, work_folder(spark, "i"), 2, most=2)
     for batch in ([(1, 1, 1), (2, 2, 1)], [(2, 3, 1)], [(4, 4, 2)], [(1, 1, 1)]):
