@@ -133,12 +133,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes_of=near_duplicates) -> DataFrame:
     """docs with one document of each component, that of the smallest doc_id; all columns stay. Rows equal in all columns are
     one document. Rows without a doc_id stay: nothing names them. The ids that go are broadcast while their count is small."""
     spark = docs.sparkSession
     folder = work_folder(spark, "deduplicate")
-    found = stored(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), f"{folder}/classes")
+    found = stored(classes_of(docs, id_col, text_col).select("doc_id", "component_id"), f"{folder}/classes")
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), f"{folder}/gone")
     ids = F.broadcast(gone) if gone.count() * 24 <= BROADCAST_BYTES else gone
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -27,6 +28,33 @@ def test_language_keeps_texts_with_letters(spark, docs, rows):
     assert gone == Counter(r[0] for r in rows if not any(map(str.isalpha, r[1] or "")))
 
 
+def test_near_duplicates_by_shingles(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    texts = [None, " ", "one two", "One  two", "two one"]
+    for _ in range(12):
+        base = [word() for _ in range(120)]
+        for changes in (0, 1, 2, 2, 3, 6):
+            own = list(base)
+            for at in r.sample(range(120), changes):
+                own[at] = "new" + word()
+            texts.append(" ".join(own))
+    texts += ["same opening line of many pages " * 3 + word() + " " + " ".join(word() for _ in range(r.randint(2, 30))) for _ in range(30)]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    comp = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    want = sorted({c: i for i, c in reversed(list(enumerate(comp)))}.values())
+    out = p.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), ROOT)
+    assert out.columns == ["doc_id", "text"] and sorted(x["doc_id"] for x in out.collect()) == want
+    assert 20 < len(want) < len(texts) - 20
+
+
 def test_mix_repeats_rows(spark, docs):
     from loomspan.llm import mixing
 
