@@ -5,13 +5,14 @@ passages give equal chunks wherever they stand. A chunk is named by the SHA-256
 
     packs/P.bin       unique chunks (zstd over little-endian ids), one after the other
     index/            Parquet: digest, pack, offset, length
-    recipes/          Parquet, in ascending doc_id order: doc_id, start, n_tokens, the chunks, the leaf hash
-    manifest/         Parquet: for each part of the recipes, the Merkle root over its leaves
+    recipes/part=K/   Parquet, parts and rows in ascending doc_id order: doc_id, start, n_tokens, rank in its part, the chunks, the leaf
+    manifest/         Parquet: for each part of the recipes, the root of a Merkle tree over its leaves, and their number
     root.json         the root over all parts, the width of an id, the end id, the number of ids
 
 Encoding runs once, inside the scan's tasks, without moving texts: tasks write staging packs, a groupBy over chunk names
-(some 40 bytes each) names one copy of each chunk, and a second pass keeps only those. Reading follows the recipes,
-checks each chunk against its name and each document against its leaf, and rebuilds the roots.
+(some 40 bytes each) names one copy of each chunk, and a second pass keeps only those. A leaf is the hash of doc_id, start,
+n_tokens and the chunks' names. Reading follows the recipes and checks each chunk against its name and each document against
+its leaf; verify_store rebuilds the roots from the recipes as stored, by levels of FAN leaves, so that no part is gathered.
 
 Defined results: a null or empty text is the end id alone. Null doc_ids come first. Repeated doc_ids each have their own
 recipe, in order of arrival. An empty table gives an empty store. Other columns are ignored.
@@ -36,117 +37,161 @@ from loomspan.llm.common import Store, drop_folder, release_memory, small_batche
 #: Ids in a chunk: least, on average past that, most.
 LEAST, MEAN, MOST = 256, 1024, 8192
 PACK_BYTES = 64 << 20
-#: Pieces whose ids a worker remembers, within a task.
-CACHE = 600_000
-#: Pieces that go to the tokenizer in one call, which holds some 200 bytes for each of their ids; bytes of texts encoded at a time.
+#: Children of a node of the Merkle tree.
+FAN = 1024
+#: Words whose ids a worker remembers, within a task: half of them are the latest, half are from the generation before.
+CACHE = 300_000
+#: Words that go to the tokenizer in one call, which holds some 200 bytes for each of their ids; bytes of texts encoded at a time.
 CALL, BLOCK_BYTES = 1 << 14, 5 << 20
-#: What libraries class differently as white space.
-_ODD = "[\x1c-\x1f\x85\u180e]"
-#: Between one of these letters and these marks the pre-tokenizer always cuts.
-_LETTERS, _MARKS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))), ".,;:!?"
+#: White space in any sense, the space and the line end apart: a text with it is encoded as it is.
+_ODD = "[\\t\\x{0b}\\f\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: A letter and marks at the end: the pre-tokenizer always cuts between the two.
+_MARKS, _TAIL = ".,;:!?", "[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?]{1,4}$"
+
+
+class _Words:
+    """Ids of words, as bytes, each after the same sign: the latest of them are remembered."""
+
+    def __init__(self, encode):
+        self.encode, self.young, self.old = encode, {}, {}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        out = [young.get(w) or old.get(w) for w in words]
+        new = [w for w, x in zip(words, out) if x is None]
+        if new:
+            found = dict(zip(new, self.encode(new), strict=True))
+            out = [found[w] if x is None else x for w, x in zip(words, out)]
+        young.update(zip(words, out))
+        if len(young) > CACHE // 2:
+            self.young, self.old = {}, young
+        return out
+
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
 
 
 class Encoder:
-    """Ids of whole texts, as bytes. A byte-level pre-tokenizer starts a new piece at each space before a visible character, so
-    texts are cut there and a worker encodes each distinct piece once, many in a call. Texts that might be cut otherwise are
-    encoded as they are."""
+    """Ids of whole texts, as bytes. A byte-level pre-tokenizer starts a new piece at each space before a visible character and
+    at each line end, and one after it; so texts are cut there and each distinct word is encoded once, many in a call. Texts
+    that might be cut otherwise (other white space, several spaces or empty lines, literals of added tokens) are encoded as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        kind = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
-        self.by_piece = kind.get("type") == "ByteLevel" and kind.get("use_regex", False) and not kind.get("add_prefix_space", True)
-        self.known: dict[str, bytes | None] = {}
+        conf = json.loads(self.tokenizer.to_str())
+        kind = conf.get("pre_tokenizer") or {}
+        self.by_piece = kind.get("type") == "ByteLevel" and kind.get("use_regex", False) and not kind.get("add_prefix_space", True) and not conf.get("normalizer")
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.by_piece:
             vocab = self.tokenizer.get_vocab()
             self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that start with a space
             self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
             self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-            self.tails: dict[str, bytes] = {}
+            self.after_space, self.after_line = _Words(lambda w: self._joined(w, " ", 0)), _Words(lambda w: self._joined(w, "\n", self.dtype.itemsize))
+            self.tails = _Words(self._whole)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[str], mark: str) -> list[bytes]:
-        """The ids of visible pieces, each after a space or a line end, CALL in one call: the ids tell where each piece starts."""
-        if len(pieces) > CALL:
-            return [x for i in range(0, len(pieces), CALL) for x in self._joined(pieces[i:i + CALL], mark)]
-        data, w = self._whole([mark + mark.join(pieces)])[0], self.dtype.itemsize
+    def _joined(self, words: list[str], mark: str, skip: int) -> list[bytes]:
+        """The ids of words, each after mark, without the first `skip` bytes; CALL words in one call: the ids tell where each starts."""
+        if len(words) > CALL:
+            return [x for i in range(0, len(words), CALL) for x in self._joined(words[i:i + CALL], mark, skip)]
+        data, w = self._whole([mark + mark.join(words)])[0], self.dtype.itemsize
         ids = np.frombuffer(data, self.dtype)
         starts = np.flatnonzero(self.opens[ids] if mark == " " else ids == self.line) * w
-        return [data[a:z] for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(data)])]
-
-    def _apart(self, pieces: list[str], mark: str, known: dict) -> None:
-        """Put visible pieces, each after mark, into known: a piece's ids are those of what stands before its last marks, then theirs."""
-        heads = [p.rstrip(_MARKS) for p in pieces]
-        heads = [h if h and h[-1] in _LETTERS else p for h, p in zip(heads, pieces)]
-        new = list(set(heads) - known.keys())
-        if new:
-            known.update(zip(new, self._joined(new, mark), strict=True))
-        tails = self.tails
-        for h, p in zip(heads, pieces):
-            if len(h) != len(p):
-                t = p[len(h):]
-                if t not in tails:
-                    tails[t] = self._whole([t])[0]
-                known[p] = known[h] + tails[t]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Put pieces, each after a space, into known; None for one that can't be encoded apart."""
-        other = [p for p in pieces if not p.isprintable() or not p]
-        lines = [x for p in other if len(x := p.split("\n")) == 2 and x[0] and x[1] and x[0].isprintable() and x[1].isprintable()]
-        self._apart([*(p for p in pieces if p.isprintable() and p), *(x[0] for x in lines)], " ", self.known)
-        after: dict[str, bytes] = {}
-        self._apart(list({x[1] for x in lines}), "\n", after)
-        self.known.update(dict.fromkeys(other))
-        self.known.update((f"{a}\n{z}", self.known[a] + after[z]) for a, z in lines)
-        rest = [p for p in other if p and not p[0].isspace() and self.known[p] is None]
-        self.known.update(zip(rest, self._whole([f" {p}" for p in rest])))
+        return [data[a + skip:z] for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(data)])]
+
+    def _pieces(self, pieces: pa.Array, words: _Words) -> pa.Array:
+        """The ids of visible pieces: those of what stands before their last marks, then those of the marks."""
+        pieces = pieces.cast(pa.string())
+        cut = pc.match_substring_regex(pieces, _TAIL)
+        heads = pc.if_else(cut, pc.utf8_rtrim(pieces, characters=_MARKS), pieces)
+        coded = heads.dictionary_encode()
+        out = pa.array(words.ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        length = (pc.binary_length(pieces).to_numpy() - pc.binary_length(heads).to_numpy()).astype(np.int64)
+        tails, place = [b""], np.zeros(len(pieces), np.int64)
+        for n in range(1, 5):
+            at = np.flatnonzero(length == n)
+            if len(at):
+                own = pc.utf8_slice_codeunits(pieces.take(pa.array(at)), start=-n).dictionary_encode()
+                place[at] = len(tails) + own.indices.to_numpy()
+                tails += self.tails.ids(own.dictionary.to_pylist())
+        return pc.binary_join_element_wise(out, pa.array(tails, pa.large_binary()).take(pa.array(place)), pa.scalar(b"", pa.large_binary()))
 
     def forget(self) -> None:
         """Workers outlive tasks: what one remembered mustn't take memory from the next stage's."""
-        self.known.clear()
-        self.tails.clear()
+        if self.by_piece:
+            for x in (self.after_space, self.after_line, self.tails):
+                x.forget()
         release_memory()
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by end_id, and where each text's ids end. Arrow cuts texts and numbers the
-        distinct pieces; Python sees each of these once a batch."""
-        texts = texts.fill_null("")
-        n = len(texts)
-        slow = np.ones(n, bool) if not self.by_piece else pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(texts, " ")
+        """The ids of all texts, each followed by end_id, and where each text's ids end. Arrow cuts texts, numbers the distinct
+        pieces and strings their ids together; Python sees each distinct word once a block."""
+        texts = texts.fill_null("").cast(pa.string())
+        n, w, end = len(texts), self.dtype.itemsize, np.array([end_id], self.dtype).tobytes()
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        slow = np.ones(n, bool)
+        if self.by_piece:
+            slow = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+            for x in self.literals:
+                slow = slow | pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        # A line end opens the piece that it stands before; a piece without it stood after a space.
+        lists = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(slow), "", texts), "\n", " \n"), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = lists.flatten().dictionary_encode()
-        index, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        index, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         first = np.zeros(len(index), bool)
         first[offsets[:-1]] = True
-        after = np.zeros(len(pieces), bool)  # pieces that stand after a space somewhere
+        # Empty pieces (after several spaces) and empty lines that follow each other are cut otherwise.
+        bare, empty = (pc.equal(pieces, x).to_numpy(zero_copy_only=False)[index] for x in ("\n", ""))
+        bad = empty & ~first
+        bad[1:] |= bare[1:] & bare[:-1] & ~first[1:]
+        slow |= np.maximum.reduceat(bad, offsets[:-1])
+        lined = pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False)
+        after = np.zeros(len(pieces), bool)  # pieces that stand after something
         after[index[~first]] = True
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.tails.clear()
         if self.by_piece:
-            self._learn({pieces[i] for i in np.flatnonzero(after).tolist()} - self.known.keys())
-        ids = [self.known.get(p) if a else b"" for p, a in zip(pieces, after.tolist())]
-        bad = np.array([x is None for x in ids], bool)
-        slow |= np.maximum.reduceat(bad[index] & ~first, offsets[:-1]) if n else False
-        # A text's first piece, or a slow text as a whole, and the end id, are entries of their own.
-        heads = [t if s else p for t, p, s in zip(pc.if_else(pa.array(slow), texts, "").to_pylist(), (pieces[i] for i in index[offsets[:-1]].tolist()), slow.tolist())]
-        ids = [x or b"" for x in ids] + self._whole(heads) + [np.array([end_id], self.dtype).tobytes()]
-        index[offsets[:-1]] = len(pieces) + np.arange(n)
+            parts, place = [], np.zeros(len(pieces), np.int64)
+            at = np.flatnonzero(after & ~lined & (pc.binary_length(pieces).to_numpy() > 0))
+            place[at] = np.arange(len(at))
+            parts.append(self._pieces(pieces.take(pa.array(at)), self.after_space))
+            own = np.flatnonzero(lined)
+            place[own] = len(at) + np.arange(len(own))
+            rest = pc.utf8_slice_codeunits(pieces.take(pa.array(own)), start=1)
+            some = pc.binary_length(rest).to_numpy() > 0
+            line = pa.array([np.array([self.line], self.dtype).tobytes()], pa.large_binary())[0]
+            ids = pa.array([b""], pa.large_binary()).take(pa.array(np.zeros(len(own), np.int64)))
+            if some.any():
+                ids = pc.replace_with_mask(ids, pa.array(some), self._pieces(rest.filter(pa.array(some)), self.after_line))
+            parts.append(pc.binary_join_element_wise(line, ids, pa.scalar(b"", pa.large_binary())) if len(own) else ids)
+            # Each text's first piece stands after nothing, as one after a line end does.
+            opening = pieces.take(pa.array(index[offsets[:-1]])).dictionary_encode()
+            words = opening.dictionary.to_pylist()
+            known = dict(zip((v := [x for x in words if x]), self.after_line.ids(v)))
+            opened = pa.array([known.get(x, b"") for x in words], pa.large_binary()).take(opening.indices)
+            size = len(at) + len(own)
+        else:
+            parts, place, size, opened = [], np.zeros(len(pieces), np.int64), 0, pa.array([b""] * n, pa.large_binary())
+        at = np.flatnonzero(slow)
+        if len(at):
+            opened = pc.replace_with_mask(opened, pa.array(slow), pa.array(self._whole(texts.take(pa.array(at)).to_pylist()), pa.large_binary()))
+        every = pa.concat_arrays([*parts, opened, pa.array([end], pa.large_binary())])
+        index = place[index]
+        index[offsets[:-1]] = size + np.arange(n)
         keep = first | ~np.repeat(slow, np.diff(offsets))
-        counts = np.add.reduceat(keep, offsets[:-1], dtype=np.int64) if n else np.zeros(0, np.int64)
-        index = np.insert(index[keep], np.cumsum(counts), len(ids) - 1)
-        size = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
-        flat, start, length = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size) - size, size[index]
-        done = np.cumsum(length)
-        return flat[np.repeat((start[index] - (done - length)).astype(np.int32), length) + np.arange(done[-1] if n else 0, dtype=np.int32)], done[np.cumsum(counts + 1) - 1]
+        counts = np.add.reduceat(keep, offsets[:-1], dtype=np.int64)
+        index = np.insert(index[keep], np.cumsum(counts), len(every) - 1)
+        got = every.take(pa.array(index))
+        where = np.frombuffer(got.buffers()[1], np.int64)[got.offset:got.offset + len(got) + 1]
+        return np.frombuffer(got.buffers()[2], self.dtype)[where[0] // w:where[-1] // w], (where[np.cumsum(counts + 1)] - where[0]) // w
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -205,11 +250,19 @@ def cuts(ids: np.ndarray, ends: np.ndarray, least: int = LEAST, mean: int = MEAN
 _RECIPE = "row long, doc_id {}, n_tokens long, chunks array<struct<digest:binary,pack:string,offset:long,length:int,n:int>>"
 
 
-def _merkle(leaves: list[bytes]) -> bytes:
-    level = leaves or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"".join(level[i:i + 2])).digest() for i in range(0, len(level), 2)]
-    return level[0]
+def _top(roots: list[str]) -> str:
+    return hashlib.sha256("".join(roots).encode()).hexdigest()
+
+
+def _roots(leaves: DataFrame, most: int) -> DataFrame:
+    """part, root, docs from leaves (part, rank from 1, leaf): each FAN neighbours become one node, until a part has one."""
+    level, counts = leaves.select("part", (F.col("rank") - 1).alias("at"), "leaf"), leaves.groupBy("part").agg(F.count("*").alias("docs"))
+    while True:
+        node = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "leaf"))), lambda x: x["leaf"]), "")
+        level = level.groupBy("part", F.floor(F.col("at") / FAN).alias("at")).agg(F.sha2(node, 256).alias("leaf"))
+        most = -(-most // FAN)
+        if most <= 1:
+            return level.select("part", F.col("leaf").alias("root")).join(counts, "part")
 
 
 def _packer(root: str, tokenizer: str, end_id: int, schema: pa.Schema):
@@ -226,9 +279,8 @@ def _packer(root: str, tokenizer: str, end_id: int, schema: pa.Schema):
         for b in blocks(batches, 1):
             flat, ends = enc.encode(b.column(1), end_id)
             data, w = flat.tobytes(), enc.dtype.itemsize
-            recipes, a = [], 0
+            digests, packs, starts, lengths, sizes, per, a = [], [], [], [], [], [], 0
             for own in cuts(flat, ends) if len(ends) else []:
-                chunks = []
                 for z in own:
                     raw = data[a * w:z * w]
                     digest = hashlib.sha256(raw).digest()
@@ -238,15 +290,22 @@ def _packer(root: str, tokenizer: str, end_id: int, schema: pa.Schema):
                         held.append(packed)
                         size += len(packed)
                     p, o, n = known[digest]
-                    chunks.append({"digest": digest, "pack": p, "offset": o, "length": n, "n": z - a})
+                    digests.append(digest)
+                    packs.append(p)
+                    starts.append(o)
+                    lengths.append(n)
+                    sizes.append(z - a)
                     a = z
-                recipes.append(chunks)
+                per.append(len(own))
                 if size >= PACK_BYTES:
                     store.write(f"staging/{name}.bin", held)
                     held, size, pack = [], 0, pack + 1
                     name = f"{part:06d}-{pack:03d}"
             n_tokens = np.diff(ends, prepend=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ends))), b.column(0), pa.array(n_tokens), pa.array(recipes, schema.field(3).type)], schema=schema)
+            kind = schema.field(3).type
+            columns = [pa.array(x, kind.value_type.field(k).type) for k, x in enumerate((digests, packs, starts, lengths, sizes))]
+            recipes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *per]), pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind.value_type))).cast(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ends))), b.column(0), pa.array(n_tokens), recipes], schema=schema)
             row += len(ends)
         if held:
             store.write(f"staging/{name}.bin", held)
@@ -295,37 +354,41 @@ def write_store(docs: DataFrame, root: str, tokenizer: str, end_id: int = 2, id_
         first.select("row", F.posexplode("chunks").alias("k", "c")).select("row", "k", "c.digest", "c.n")
         .join(index, "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "pack", "offset", "length", "n"))).alias("chunks"))
     )
-    digests = F.transform("chunks", lambda c: F.hex(c["digest"]))
-    ordered = first.drop("chunks").join(placed, "row").withColumn("leaf", F.sha2(F.concat_ws("", digests), 256))
+    ordered = first.drop("chunks").join(placed, "row")
     ordered = ordered.repartitionByRange(tasks(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row").withColumn("part", F.spark_partition_id())
     parts = stored(ordered, f"{root}/unplaced")
     total = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
     before = parts.groupBy("part").agg(F.sum("n_tokens").alias("ids")).withColumn("before", F.coalesce(F.sum("ids").over(total), F.lit(0))).drop("ids")
     within = Window.partitionBy("part").orderBy("doc_id", "row")
     recipes = parts.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.sum("n_tokens").over(within) - F.col("n_tokens")).drop("before")
-    recipes = stored(recipes.withColumn("rank", F.row_number().over(within)).sortWithinPartitions("doc_id", "row"), f"{root}/recipes")
-
-    def part_root(g):
-        import pandas as pd
-
-        g = g.sort_values("rank")
-        return pd.DataFrame({"part": [g["part"].iloc[0]], "root": [_merkle([bytes.fromhex(x) for x in g["leaf"]]).hex()], "docs": [len(g)], "ids": [int(g["n_tokens"].sum())]})
-
-    manifest = stored(recipes.select("part", "rank", "leaf", "n_tokens").groupBy("part").applyInPandas(part_root, "part int, root string, docs long, ids long"), f"{root}/manifest")
-    top = manifest.orderBy("part").collect()  # one row for each part: as many as shuffle partitions
-    whole = _merkle([bytes.fromhex(x["root"]) for x in top]).hex()
-    Store(root).write("root.json", [json.dumps({"root": whole, "dtype": encoder(tokenizer).dtype.str, "end_id": end_id, "ids": sum(x["ids"] for x in top)}).encode()])
+    recipes = recipes.withColumn("rank", F.row_number().over(within)).withColumn("leaf", _leaf())
+    recipes.sortWithinPartitions("part", "doc_id", "row").write.partitionBy("part").parquet(f"{root}/recipes")
+    recipes = spark.read.schema(recipes.schema).parquet(f"{root}/recipes")
+    counts = recipes.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("ids")).agg(F.max("n").alias("most"), F.sum("ids").alias("ids")).first()
+    manifest = stored(_roots(recipes.select("part", "rank", "leaf"), counts["most"] or 0), f"{root}/manifest")
+    whole = _top([r["root"] for r in manifest.orderBy("part").collect()])  # one row for each part: as many as shuffle partitions
+    Store(root).write("root.json", [json.dumps({"root": whole, "dtype": encoder(tokenizer).dtype.str, "end_id": end_id, "ids": counts["ids"] or 0, "recipes": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in recipes.schema)}).encode()])
     for x in ("staging_recipes", "unplaced"):
         drop_folder(spark, f"{root}/{x}")
     return whole
 
 
+def _leaf():
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "start", "n_tokens")]
+    return F.sha2(F.concat_ws(":", *own, F.concat_ws("", F.transform("chunks", lambda c: F.hex(c["digest"])))), 256)
+
+
+def _recipes(spark: SparkSession, root: str) -> DataFrame:
+    with Store(root).open("root.json") as f:
+        return spark.read.schema(json.loads(bytes(f.read()))["recipes"]).parquet(f"{root}/recipes")
+
+
 def read_store(spark: SparkSession, root: str, with_ids: bool = True) -> DataFrame:
     """Documents rebuilt from a store: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids. A chunk or document that
     doesn't match its hash stops the job."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    recipes = spark.read.parquet(f"{root}/recipes").select("doc_id", "start", "n_tokens", "leaf", "chunks")
+    recipes = _recipes(spark, root).select("doc_id", "start", "n_tokens", F.when(_leaf() == F.col("leaf"), F.col("leaf")).alias("leaf"), F.transform("chunks", lambda c: c.dropFields("k")).alias("chunks"))
     ddl = f"doc_id {recipes.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
 
@@ -338,7 +401,7 @@ def read_store(spark: SparkSession, root: str, with_ids: bool = True) -> DataFra
         files: dict[str, object] = {}
         for b in batches:
             crc, all_ids = [], []
-            for leaf, chunks in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+            for n, leaf, chunks in zip(*(c.to_pylist() for c in b.columns[2:])):
                 raw = []
                 for c in chunks:
                     if c["pack"] not in files:
@@ -351,9 +414,9 @@ def read_store(spark: SparkSession, root: str, with_ids: bool = True) -> DataFra
                     if hashlib.sha256(ids).digest() != c["digest"]:
                         raise ValueError(f"chunk {c['digest'].hex()} in {c['pack']} is damaged")
                     raw.append(ids)
-                if hashlib.sha256("".join(c["digest"].hex().upper() for c in chunks).encode()).hexdigest() != leaf:
-                    raise ValueError("a recipe doesn't match its leaf")
                 ids = np.frombuffer(b"".join(raw), dtype)
+                if len(ids) != n or leaf is None:
+                    raise ValueError("a recipe doesn't match its leaf")
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 all_ids.append(ids.astype(np.int32))
             cols = [b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())]
@@ -366,18 +429,12 @@ def read_store(spark: SparkSession, root: str, with_ids: bool = True) -> DataFra
 
 def verify_store(spark: SparkSession, root: str) -> bool:
     """Whether the recipes as stored give the manifest's roots, and these the store's root."""
-    got = {r["part"]: r["root"] for r in spark.read.parquet(f"{root}/manifest").collect()}
-
-    def part_root(g):
-        import pandas as pd
-
-        g = g.sort_values("rank")
-        return pd.DataFrame({"part": [g["part"].iloc[0]], "root": [_merkle([bytes.fromhex(x) for x in g["leaf"]]).hex()]})
-
-    new = spark.read.parquet(f"{root}/recipes").select("part", "rank", "leaf").groupBy("part").applyInPandas(part_root, "part int, root string").collect()
+    manifest, recipes = spark.read.parquet(f"{root}/manifest"), _recipes(spark, root).select("part", "rank", _leaf().alias("leaf"))
+    got = {r["part"]: r["root"] for r in manifest.collect()}  # one row for each part
+    new = {r["part"]: r["root"] for r in _roots(recipes, manifest.agg(F.max("docs")).first()[0] or 0).collect()}
     with Store(root).open("root.json") as f:
         top = json.loads(bytes(f.read()))["root"]
-    return {r["part"]: r["root"] for r in new} == got and _merkle([bytes.fromhex(got[k]) for k in sorted(got)]).hex() == top
+    return new == got and _top([got[k] for k in sorted(got)]) == top
 
 
 def default_tokenizer() -> str:
@@ -387,9 +444,11 @@ def default_tokenizer() -> str:
 
 
 def op6_token_store(spark: SparkSession, root: str) -> DataFrame:
-    """documents as token ids in a store in the shared folder, read back from its files."""
+    """documents as token ids in a store in the shared folder, verified by its roots and read back from its files."""
     from loomspan.sources.tables import table
 
     at = work_folder(spark, "tokens")
     write_store(table(spark, root, "documents"), at, default_tokenizer())
+    if not verify_store(spark, at):
+        raise ValueError(f"the store at {at} doesn't match its root")
     return read_store(spark, at, with_ids=False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -34,12 +35,17 @@ def multi(df):
 
 
 def test_encoder_equals_the_library():
-    e = token_store.encoder(token_store.default_tokenizer())
-    texts = ["", None, " ", "a  b", "don't stop.\nNow", "x \n\n y", "tab\tend ", "é ñ ½ ² !!", "foo.\nBar baz, qux; 12 3.4", " lead", "a\x1cb c", "　wide　space", "<|endoftext|> x"]
+    from tokenizers import Tokenizer
+
+    e, plain = token_store.encoder(token_store.default_tokenizer()), Tokenizer.from_file(token_store.default_tokenizer())
+    r = random.Random(3)
+    bits = [" ", " ", "\n", "  ", "\n\n", "\t", "a", "word", "The", "é", "ß", ".", ",", "!!", "...", "'s", "'", "12", "\xa0", "\r\n", "<|endoftext|>", "日本", "🙂", "\u200d", ";)", "\x1c", "Ġ", "Ċ", "\x00", "-", "e\u0301", "\u2028", "!?!?!?"]
+    texts = ["", None, " ", "a  b", "don't stop.\nNow", "x \n\n y", "tab\tend ", "é ñ ½ ² !!", "foo.\nBar baz, qux; 12 3.4", " lead", "a\x1cb c", "　wide　space", "<|endoftext|> x", "a <|endoftext|> b", "q <|endoftext|> z", "\n", "\n\n", " \n", "\n ", "a\n", "a \n b"]
+    texts += ["".join(r.choice(bits) for _ in range(r.randint(1, 14))) for _ in range(4000)]
     flat, ends = e.encode(pa.array(texts, pa.string()), 2)
     starts = [0, *ends[:-1]]
     for t, a, z in zip(texts, starts, ends):
-        assert flat[a:z].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], t
+        assert flat[a:z].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 2], t
 
 
 def test_cuts_follow_content():
@@ -51,7 +57,7 @@ def test_cuts_follow_content():
     assert max(np.diff([0, *a])) <= token_store.MOST
 
 
-def test_token_store(spark, docs, rows, none):
+def test_token_store(spark, docs, rows, none, monkeypatch):
     at = work_folder(spark, "t")
     token_store.write_store(docs, at, token_store.default_tokenizer())
     got = token_store.read_store(spark, at).collect()
@@ -65,6 +71,14 @@ def test_token_store(spark, docs, rows, none):
     for g in got:
         assert (g["start"], g["n_tokens"]) == (at_, len(g["ids"])) and g["ids_crc32"] == zlib.crc32(np.array(g["ids"], "<u4").tobytes())
         at_ += g["n_tokens"]
+    # Files stand in ascending doc_id order, part after part; the roots notice a recipe that is missing.
+    stand = [(r["part"], r["rank"]) for r in sorted(spark.read.parquet(f"{at}/recipes").collect(), key=lambda r: r["start"])]
+    assert stand == sorted(stand) and len(stand) == len(rows)
+    part = max(p for p, _ in stand)
+    whole = token_store._recipes
+    monkeypatch.setattr(token_store, "_recipes", lambda *a: whole(*a).where(f"NOT (part = {part} AND rank = 1)"))
+    assert not token_store.verify_store(spark, at)
+    monkeypatch.undo()
     index = spark.read.parquet(f"{at}/index")
     assert index.count() == index.select("digest").distinct().count() and token_store.verify_store(spark, at)
     name = index.select("pack").first()[0]
