@@ -256,6 +256,52 @@ def test_leaks(spark, docs, rows, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_miss_nothing():
+    """For an item of any length, whatever fifth of its tokens differs, some mask stands where none does."""
+    from itertools import combinations
+
+    for n in range(1, decontaminate.WINDOW + 1):
+        places = [{p + o for o in (*range(a), *range(a + g, a + g + b))} for a, g, b in decontaminate.masks_of(n) for p in range(n - (a + g + b) + 1)]
+        for bad in combinations(range(n), n - -(-decontaminate.P * n // decontaminate.Q)):
+            assert any(not s & set(bad) for s in places), (n, bad)
+
+
+def test_leaks_equal_a_plain_scan(spark):
+    r = random.Random(11)
+    word = lambda: r.choice("abcdefghij")
+    items = [[word() + word() for _ in range(n)] for n in (1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 10, 11, 12, 15, 19, 20, 21, 35, 70, 140)]
+    items += [items[5], []]
+    docs = [None, "", "--"]
+    for k in range(160):
+        own = list(r.choice(items[:-1]))
+        for at in r.sample(range(len(own)), r.randint(0, max(1, len(own) // 4))):
+            own[at] = word() + word() + word()
+        own = own[r.choice([0, 0, 0, 1, 3]):]
+        docs.append(" ".join([word() for _ in range(r.randint(0, 30))] + own + [word() for _ in range(r.choice([0, 5, 30]))]))
+    docs.append(docs[20])
+    cut = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    want = set()
+    for d, t in enumerate(docs):
+        w = cut(t)
+        for i, m in enumerate(items[:-2]):
+            if m in items[:i]:
+                continue
+            n, found = min(20, len(m)), []
+            for place in range(-len(m) + 1, len(w)):
+                same = [0 <= place + j < len(w) and w[place + j] == x for j, x in enumerate(m)]
+                best = max(sum(same[s:s + n]) for s in range(len(m) - n + 1))
+                if 5 * best >= 4 * n:
+                    found.append((-best, place))
+            if found:
+                want.add((d, i, min(found)[1], -min(found)[0], n))
+    clash = "doc_id long, text string, w string, m string, h string, p string, item_id string"
+    docs_df = spark.createDataFrame([(d, t, *"wmhpi") for d, t in enumerate(docs)] + [(None, " ".join(items[-3]), *"wmhpi")], clash)
+    got = decontaminate.leaks(docs_df, spark.createDataFrame([(i, " ".join(m), "n") for i, m in enumerate(items)], "item_id long, text string, b string"))
+    rows = {(x["doc_id"], x["item_id"], x["place"], x["matched"], x["compared"]) for x in got.collect()}
+    assert {x for x in rows if x[0] is not None} == want and {x[1] for x in rows if x[0] is None} >= {len(items) - 3}
+    assert len({x[1] for x in want}) > 15
+
+
 # Languages
 
 
