@@ -1,8 +1,8 @@
 """SimHash near-duplicates, with pigeonring filtering of candidates.
 
 A 64-bit fingerprint's m segments stand on a ring. If two fingerprints differ in t bits at most, then from some segment on,
-every chain of l consecutive segments differs in l * t / m bits at most. With m = 8 and t = 2 the first three segments of that
-chain must be equal (a join key of 24 bits, for each of 8 starts), the first seven may differ in one bit, and only then is the
+every chain of l consecutive segments differs in l * t / m bits at most. With m = 16 and t = 2 the first seven segments of that
+chain must be equal (a join key of 28 bits, for each of 16 starts), the first fifteen may differ in one bit, and only then is the
 full distance looked at.
 
 Only distinct fingerprints are compared, so exact copies cost nothing. A large group of near copies would still give links by
@@ -28,7 +28,7 @@ from loomspan.llm.common import release_memory, small_batches, stored, work_fold
 from loomspan.llm.components import components
 from loomspan.sources.tables import table
 
-SHINGLE, SEED, SEGMENTS, DISTANCE = 3, 42, 8, 2
+SHINGLE, SEED, SEGMENTS, DISTANCE = 3, 42, 16, 2
 #: Shingles whose bits are counted at a time, however long a text is.
 BLOCK = 1 << 17
 #: Most bytes of ids that are broadcast; beyond it the join shuffles.

@@ -11,7 +11,8 @@ recorded as shared. When runs are many they are merged into one, counts summed,
 
 Shared fingerprints are candidates. To verify: an entry whose whole span occurs twice is repeated as a whole. Where spans
 differ (at the edges of a copied passage), the windows of one occurrence of each span are compared by the hash of their own
-words. Groups of copies only ever meet as counts; no pairs of documents are made.
+words. Both comparisons are of 128 bits in all (fp and span, or fp and the window's own hash), so at 10**12 entries two different
+ones meet with a chance of some 10**-15. Groups of copies only ever meet as counts; no pairs of documents are made.
 
 Defined results: a null or empty text has no words. Repeated rows (doc_id and text equal) get equal results. Null doc_ids
 are kept. Documents shorter than a window stay whole. An empty table gives no rows. Other columns are ignored.
@@ -36,6 +37,8 @@ WORDS, GRAM, BATCHES, RUNS = 35, 12, 3, 4
 BLOCK = 1 << 19
 #: Most bytes of one side that is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 48 << 20
+#: A name is hot if it has this part of a task's share of all occurrences, or more.
+SHARE = 4
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -202,9 +205,24 @@ class FingerprintIndex:
         drop_folder(self.spark, self.folder)
 
 
-def _bounded(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df (stored), to be broadcast if it is small enough by count."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def _bounded(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """df (stored), to be broadcast if the sum of its rows' bytes is small enough."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _found(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """rows (of located) joined with shared (stored) by name. A name that a large part of rows may have is dealt over as many
+    salts as a stage has tasks; such names are fewer than SHARE times the tasks, so their list may be broadcast."""
+    n = tasks(rows.sparkSession)
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = shared.where(F.col("n") * (n * SHARE) > total).select("fp", "span").withColumn("hot", F.lit(True))
+    if total < n * SHARE or not hot.limit(1).count():
+        return rows.join(shared, ["fp", "span"])
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "k", "s"), F.lit(n)).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(hot), ["fp", "span"], "left").withColumn("salt", salt).drop("hot")
+    every = shared.join(F.broadcast(hot), ["fp", "span"], "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    return dealt.join(every, ["fp", "span", "salt"]).drop("salt")
 
 
 def _windows(docs: DataFrame, words: int) -> DataFrame:
@@ -243,12 +261,12 @@ def repeated(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int
     index.compact()
     shared = stored(index.shared(), f"{folder}/shared")
     index.close()
-    found = stored(located(docs, words, gram).join(shared, ["fp", "span"]), f"{folder}/found")
+    found = stored(_found(located(docs, words, gram), shared), f"{folder}/found")
 
     # Where spans of a fingerprint differ, the windows of one occurrence of each.
     edge = found.where("spans > 1").groupBy("fp", "span").agg(F.min(F.struct("doc_id", "k", "s", "c")).alias("x"))
     edge = stored(edge.groupBy("x.doc_id", "x.k").agg(F.collect_list(F.struct("x.s", "x.c", "fp", "span")).alias("parts")), f"{folder}/edge")
-    keys = _bounded(edge.select(F.col("doc_id").alias("d2"), F.col("k").alias("k2")), 40)
+    keys = _bounded(edge.select(F.col("doc_id").alias("d2"), F.col("k").alias("k2")), 96)
     texts = docs.join(keys, (docs["doc_id"].eqNullSafe(F.col("d2"))) & (docs["k"] == F.col("k2")), "left_semi")
     both = texts.join(edge.withColumnRenamed("doc_id", "d2").withColumnRenamed("k", "k2"), (texts["doc_id"].eqNullSafe(F.col("d2"))) & (texts["k"] == F.col("k2")))
     w = _windows(both, words).distinct()
@@ -257,7 +275,7 @@ def repeated(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int
     whole = F.expr("shiftleft(1L, c) - 1")
     marks = found.join(stored(bits, f"{folder}/bits"), ["fp", "span"], "left").withColumn("m", F.when(F.col("n") > 1, whole).otherwise(F.coalesce("bits", F.lit(0))))
     parts = marks.where("m <> 0").groupBy("doc_id", "k", "s").agg(F.bit_or("m").alias("m")).groupBy("doc_id", "k").agg(F.collect_list(F.struct("s", "m")).alias("parts"))
-    parts = _bounded(stored(parts, f"{folder}/parts"), 512).withColumnRenamed("doc_id", "d2").withColumnRenamed("k", "k2")
+    parts = _bounded(stored(parts, f"{folder}/parts"), F.size("parts") * 40 + 96).withColumnRenamed("doc_id", "d2").withColumnRenamed("k", "k2")
     return docs.join(parts, (docs["doc_id"].eqNullSafe(F.col("d2"))) & (docs["k"] == F.col("k2")), "left").select("doc_id", "text", "parts")
 
 
