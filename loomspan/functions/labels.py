@@ -52,7 +52,11 @@ def video_id(url: Column) -> Column:
     return F.nullif(F.when(host == "youtu.be", short).when(long_host & (watch != ""), watch).when(long_host, shorts).otherwise(""), F.lit(""))
 
 
-def person_of_domain(domain: Column, reserved: tuple[str, ...] = ("www", "blog", "mail", "app", "dev", "github", "com", "co", "org")) -> Column:
+#: Labels of hosts that are no person's name.
+RESERVED = ("www", "www2", "blog", "mail", "shop", "store", "app", "api", "dev", "staging", "cdn", "static", "docs", "wiki", "news", "forum", "forums", "status", "support")
+
+
+def person_of_domain(domain: Column, reserved: tuple[str, ...] = RESERVED) -> Column:
     """First Last of first.last.tld, where none of the labels is reserved; null otherwise."""
     parts = F.split(F.regexp_replace(F.lower(F.trim(domain)), r"\.$", ""), r"\.")
     good = (F.size(parts) == 3) & F.forall(parts, lambda p: p.rlike("^[a-z]{2,24}$")) & ~F.get(parts, F.lit(0)).isin(*reserved) & ~F.get(parts, F.lit(1)).isin(*reserved)
