@@ -78,13 +78,16 @@ def letter_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)
 
 
-def search_score(query: Column, title: Column, summary: Column, domain: Column, topics: Column) -> Column:
+def search_score(query: str, title: Column, summary: Column, domain: Column, topics: Column) -> Column:
     """Summed over the query's tokens: 12 for a whole title or domain, else 8 within the title; 5 within topics, 2 within the
-    summary, 3 within the domain."""
+    summary, 3 within the domain. The query is a constant, so its tokens are written out; give long texts as columns of their own."""
     t, s, d, p = (F.lower(F.coalesce(c, F.lit(""))) for c in (title, summary, domain, F.array_join(topics, " ")))
     worth = lambda cond, n: F.when(cond, n).otherwise(0)
-    one = lambda acc, k: acc + F.when((t == k) | (d == k), 12).when(F.contains(t, k), 8).otherwise(0) + worth(F.contains(p, k), 5) + worth(F.contains(s, k), 2) + worth(F.contains(d, k), 3)
-    return F.aggregate(letter_tokens(query), F.lit(0), one)
+    out = F.lit(0)
+    for token in re.findall(r"[^\W_]+", query.lower()):
+        k = F.lit(token)
+        out = out + F.when((t == k) | (d == k), 12).when(F.contains(t, k), 8).otherwise(0) + worth(F.contains(p, k), 5) + worth(F.contains(s, k), 2) + worth(F.contains(d, k), 3)
+    return out
 
 
 def _character(m: re.Match) -> str:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST_PATTERNS = 10_000
+
+
 def published(observations: DataFrame, runs: DataFrame, run: str, status: str) -> DataFrame:
     """Observations of committed runs only."""
     return observations.join(runs.where(F.col(status) == "committed").select(run), run, "left_semi")
@@ -31,7 +34,7 @@ def merged(base: DataFrame, gathered: DataFrame, key: str, value: str) -> DataFr
 def first_match(claims: DataFrame, stages: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     """Each claim with the first stage whose lookup (key column of the stage's name, target) knows it."""
     for name, lookup in stages:
-        claims = claims.join(F.broadcast(lookup.select(F.col(name), F.col("target").alias(f"_{name}"))), name, "left")
+        claims = claims.join(lookup.select(F.col(name), F.col("target").alias(f"_{name}")), name, "left")
     stage = F.coalesce(*(F.when(F.col(f"_{n}").isNotNull(), F.lit(n)) for n, _ in stages), F.lit("none"))
     return claims.select(key, stage.alias("stage"), F.coalesce(*(F.col(f"_{n}") for n, _ in stages)).alias("target"))
 
@@ -51,7 +54,10 @@ def neighbours(edges: DataFrame, members: DataFrame, source: str, target: str, m
 
 
 def longest_pattern(paths: DataFrame, patterns: DataFrame, path: str, pattern: str, owner: str) -> DataFrame:
-    """The owner of each path by the longest matching LIKE pattern, or null. Patterns are a short table."""
+    """The owner of each path by the longest matching LIKE pattern, or null. Patterns are a
+    short list that somebody wrote; more than MOST_PATTERNS are refused."""
+    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
     hit = paths.join(F.broadcast(patterns), F.expr(f"{path} LIKE {pattern}"), "left")
     return hit.groupBy(path).agg(F.max_by(owner, F.struct(F.length(pattern), pattern)).alias(owner))
 
@@ -77,6 +83,6 @@ def trail(edges: DataFrame, starts: DataFrame, source: str, target: str, seed: i
 def snapshot_hash(rows: DataFrame, order: list[str]) -> DataFrame:
     """One row: the hash of all rows' hashes, which neither order nor partitioning changes, and their number. Sums are taken
     by the hash's parts, so that no list of rows is ever built."""
-    h = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order)), 256)
+    h = F.sha2(F.to_json(F.struct(*order)), 256)
     part = lambda k: F.sum(F.conv(F.substring("h", 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")).cast("string")
     return rows.select(h.alias("h")).agg(F.count("*").alias("n"), *(part(k).alias(f"p{k}") for k in range(3))).select("n", F.substring(F.sha2(F.concat_ws("-", F.col("n").cast("string"), "p0", "p1", "p2"), 256), 1, 16).alias("digest"))

@@ -29,10 +29,12 @@ def round_robin(df: DataFrame, by: str, order: Sequence[Column], most: int) -> D
 
 
 def winners(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows that come first for every key they have; a null key excludes nothing."""
+    """Rows that come first for every key they have; a null key excludes nothing, and rows without a key aren't gathered."""
     wins = F.lit(True)
     for k in keys:
-        df = _ranked(df, [k], order, f"_{k}")
+        salt = F.when(F.col(k).isNull(), F.xxhash64(*df.columns))
+        n = F.row_number().over(Window.partitionBy(F.col(k), salt).orderBy(*order))
+        df = df.withColumn(f"_{k}", n)
         wins = wins & (F.col(k).isNull() | (F.col(f"_{k}") == 1))
     return df.where(wins).drop(*(f"_{k}" for k in keys))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,7 +32,15 @@ def change(now: DataFrame, before: DataFrame, keys: list[str], value: str) -> Da
     return both.withColumn("change", F.col("now") - F.col("before"))
 
 
-def momentum(rows: DataFrame, by: list[str], period: str, value: str) -> DataFrame:
-    """Each row with the value of its key's period before, and the change."""
-    w = Window.partitionBy(*by).orderBy(period)
-    return rows.withColumn("previous", F.lag(value).over(w)).withColumn("change", F.col(value) - F.col("previous"))
+def previous_month(period: Column) -> Column:
+    """The yyyy-MM before a yyyy-MM."""
+    return F.date_format(F.add_months(F.to_date(F.concat(period, F.lit("-01"))), -1), "yyyy-MM")
+
+
+def momentum(rows: DataFrame, by: list[str], period: str, value: str, whole: str, before: Column) -> DataFrame:
+    """rows (by, period, value, whole) with the value of their key in the calendar period `before` theirs, the change, and the
+    change of the score in points; null where that period has no row."""
+    was = rows.select(*by, F.col(period).alias("_p"), F.col(value).alias("previous"), F.col(whole).alias("_w"))
+    both = rows.withColumn("_p", before).join(was, [*by, "_p"], "left")
+    points = score(F.col(value), F.col(whole)) - score(F.col("previous"), F.col("_w"))
+    return both.withColumn("change", F.col(value) - F.col("previous")).withColumn("points", points).drop("_p", "_w")

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 
 def tfidf(docs: DataFrame, doc: str, tokens: str, most: int) -> DataFrame:
-    """slug, tf, df, value of the `most` weightiest tokens; value is tf / N * ln(1 + N / (1 + df)), N the documents with tokens."""
-    words = docs.where(F.size(tokens) > 0).select(doc, F.explode(tokens).alias("slug"))
-    n = docs.where(F.size(tokens) > 0).agg(F.countDistinct(doc).alias("n"))
-    # A count for each (token, document) first: no document list is ever held for a common token.
-    per = words.groupBy("slug", doc).agg(F.count("*").alias("c")).groupBy("slug").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
+    """slug, tf, df, value of the `most` weightiest tokens; value is tf / N * ln(1 + N / (1 + df)), N the documents with tokens. doc
+    names a document once. Each token is counted for itself and its first time in a document: one shuffle, of sums by token."""
+    own = F.concat(F.transform(tokens, lambda t: F.struct(t.alias("slug"), F.lit(0).alias("first"))), F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("slug"), F.lit(1).alias("first"))))
+    # N rides along as the count of a token that no text has.
+    own = F.concat(own, F.when(F.size(tokens) > 0, F.array(F.struct(F.lit("").alias("slug"), F.lit(1).alias("first")))).otherwise(F.array().cast("array<struct<slug:string,first:int>>")))
+    per = docs.select(F.explode(own).alias("x")).groupBy("x.slug").agg(F.sum(1 - F.col("x.first")).alias("tf"), F.sum("x.first").alias("df"))
+    whole = per.where("slug = ''").select(F.col("df").alias("n"))  # one row
     value = F.round(F.col("tf") / F.col("n") * F.log(1 + F.col("n") / (1 + F.col("df"))), 6)
-    return per.crossJoin(F.broadcast(n)).withColumn("value", value).drop("n").orderBy(F.desc("value"), "slug").limit(most)
+    return per.where("slug <> ''").crossJoin(F.broadcast(whole)).withColumn("value", value).drop("n").orderBy(F.desc("value"), "slug").limit(most)
 
 
 def communities(rows: DataFrame, slug: str, site: str, declared: str, least: int = 2) -> DataFrame:
@@ -31,10 +33,21 @@ def cooccurrence(rows: DataFrame, item: str, slug: str, least: int = 1) -> DataF
 
 def mentions(docs: DataFrame, doc: str, text: str, phrases: DataFrame, key: str, phrase: str) -> DataFrame:
     """(doc, key) where the words of a phrase stand next to each other in a text, whatever their case. A theta join made of an
-    equi-join on the phrase's first two words, then the check of the whole phrase."""
+    equi-join on the hash of the whole phrase: texts give the hashes of their runs of as many words as phrases have, each once.
+    Phrases are broadcast while their counted bytes are few; past that the join shuffles."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    d = docs.select(doc, words(F.col(text)).alias("w")).withColumn("line", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
-    p = phrases.select(key, words(F.col(phrase)).alias("v")).where(F.size("v") > 1).select(key, F.concat_ws(" ", F.get("v", F.lit(0)), F.get("v", F.lit(1))).alias("pair"), F.concat(F.lit(" "), F.array_join("v", " "), F.lit(" ")).alias("phrase"))
-    pairs = d.where(F.size("w") > 1).select(doc, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))).alias("pair"))
-    near = pairs.join(p, "pair").select(doc, key, "phrase").distinct()
-    return near.join(d.select(doc, "line"), doc).where(F.contains("line", "phrase")).select(doc, key)
+    p = phrases.select(key, words(F.col(phrase)).alias("v")).where(F.size("v") > 0).select(key, F.size("v").alias("n"), F.xxhash64(F.transform("v", lambda w: F.xxhash64(w))).alias("h"))
+    lengths = [r["n"] for r in p.groupBy("n").count().orderBy("n").collect()]  # as many as phrases have different lengths
+    d = docs.select(doc, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
+
+    def runs(n: int):
+        some = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))
+        return F.when(F.size("w") >= n, F.array_distinct(some)).otherwise(F.array().cast("array<bigint>"))
+
+    every = F.concat(*(F.transform(runs(n), _sized(n)) for n in lengths)) if lengths else F.array().cast("array<struct<n:int,h:bigint>>")
+    few = p.count() * 64 <= 48 << 20
+    return d.select(doc, F.explode(every).alias("x")).select(doc, "x.*").join(F.broadcast(p) if few else p, ["n", "h"]).select(doc, key)
+
+
+def _sized(n: int):
+    return lambda h: F.struct(F.lit(n).alias("n"), h.alias("h"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import text as tx
+from loomspan.functions import urls
 from loomspan.operators import ledger, ranking, rollup
 from loomspan.plans.registry import query
 from loomspan.sources.tables import table
@@ -35,13 +37,17 @@ def period_rollup_all(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, o_orderpriority AS tool, count(DISTINCT o_custkey) AS active FROM orders GROUP BY ALL)
-SELECT *, lag(active) OVER (PARTITION BY tool ORDER BY period) AS previous, active - lag(active) OVER (PARTITION BY tool ORDER BY period) AS change FROM r
+WITH r AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, o_orderpriority AS tool, count(DISTINCT o_custkey) AS active FROM orders WHERE month(o_orderdate) <> 6 GROUP BY ALL),
+d AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, count(DISTINCT o_custkey) AS denominator FROM orders WHERE month(o_orderdate) <> 6 GROUP BY ALL), x AS (SELECT * FROM r JOIN d USING (period))
+SELECT x.period, x.tool, x.active, x.denominator, y.active AS previous, x.active - y.active AS change, CAST(round(100.0 * x.active / x.denominator) - round(100.0 * y.active / y.denominator) AS BIGINT) AS points
+FROM x LEFT JOIN x y ON y.tool = x.tool AND y.period = strftime(CAST(x.period || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m')
 """)
 def period_momentum(spark: SparkSession, root: str) -> DataFrame:
-    """Customers of each priority by month, with the month before."""
-    r = table(spark, root, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.col("o_orderpriority").alias("tool")).agg(F.countDistinct("o_custkey").alias("active"))
-    return rollup.momentum(r, ["tool"], "period", "active")
+    """Customers of each priority by month, with the calendar month before; June is left out, so July has none before it."""
+    o = table(spark, root, "orders").where(F.month("o_orderdate") != 6).select(F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.col("o_orderpriority").alias("tool"), "o_custkey")
+    whole = o.groupBy("period").agg(F.countDistinct("o_custkey").alias("denominator"))
+    r = o.groupBy("period", "tool").agg(F.countDistinct("o_custkey").alias("active")).join(whole, "period")
+    return rollup.momentum(r, ["tool"], "period", "active", "denominator", rollup.previous_month(F.col("period")))
 
 
 @query("""
@@ -154,17 +160,19 @@ def round_robin(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(r"""
-WITH k AS (SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS a, nullif(substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 60), '') AS b FROM documents),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY doc_id) AS na, row_number() OVER (PARTITION BY b ORDER BY doc_id) AS nb FROM k)
-SELECT doc_id FROM r WHERE (a IS NULL OR na = 1) AND (b IS NULL OR nb = 1)
+WITH p AS (SELECT page_id, regexp_extract(lower(url), '^https?://([^/?#]+)', 1) AS host, regexp_replace(url, '[?#].*$', '') AS bare,
+  trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '<[^>]+>', ' ', 'g'), '[^\p{L}\p{N}\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages),
+k AS (SELECT page_id, CASE WHEN t <> '' THEN host || chr(31) || t END AS a, host || chr(31) || bare AS b FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY page_id) AS na, row_number() OVER (PARTITION BY b ORDER BY page_id) AS nb FROM k)
+SELECT page_id FROM r WHERE (a IS NULL OR na = 1) AND nb = 1
 """)
 def dedupe_crosspost(spark: SparkSession, root: str) -> DataFrame:
-    """Documents that come first for their normalized text and for their first letters."""
-    d = table(spark, root, "documents")
-    low = F.lower("text")
-    a = F.md5(F.trim(F.regexp_replace(low, r"[\t\n\f\r ]+", " ")).cast("binary"))
-    b = F.nullif(F.substring(F.regexp_replace(low, "[^a-z]", ""), 1, 60), F.lit(""))
-    return ranking.winners(d.select("doc_id", a.alias("a"), b.alias("b")), ["a", "b"], [F.col("doc_id")]).select("doc_id")
+    """Pages that come first on their host for their whole title, as titles are compared, and for their address without query and fragment."""
+    p = table(spark, root, "pages")
+    host, title = urls.host(F.col("url")), tx.title_key(tx.decoded(F.regexp_extract("html", "<title>([^<]*)", 1)))
+    a = F.when(title != "", F.concat_ws("\x1f", host, title))
+    b = F.concat_ws("\x1f", host, F.regexp_replace("url", r"[?#].*$", ""))
+    return ranking.winners(p.select("page_id", a.alias("a"), b.alias("b")), ["a", "b"], [F.col("page_id")]).select("page_id")
 
 
 @query("""

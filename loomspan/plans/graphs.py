@@ -23,14 +23,19 @@ def cooccurrence(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("""
-WITH u AS (SELECT DISTINCT c_nationkey AS a, o_orderpriority AS t FROM orders JOIN customer ON o_custkey = c_custkey)
-SELECT x.a AS a, y.a AS b, count(*) AS shared FROM u x JOIN u y ON x.t = y.t AND x.a < y.a GROUP BY ALL
+WITH u AS (SELECT user_id, string_agg(event_type, ' ' ORDER BY event_type) AS types FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id), s AS (SELECT types, count(*) AS n FROM u GROUP BY types)
+SELECT a.types AS left_types, b.types AS right_types, CAST(len(list_intersect(string_split(a.types, ' '), string_split(b.types, ' '))) AS INT) AS shared, CAST(CASE WHEN a.types = b.types THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS BIGINT) AS pairs
+FROM s a JOIN s b ON a.types <= b.types WHERE NOT (a.types = b.types AND a.n = 1)
 """)
 def overlap_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Pairs of nations and how many priorities both use: 25 nations at most."""
-    u = table(spark, root, "orders").join(table(spark, root, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("k"), F.col("o_orderpriority").alias("t")).distinct()
-    pairs = u.withColumnRenamed("k", "a").join(u.withColumnRenamed("k", "b"), "t").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """Pairs of users by the event types that they share: users stand together by their set of types, and pairs are counted, not
+    listed. There are as many sets as combinations of types in use, whatever the users."""
+    u = table(spark, root, "events").select("user_id", "event_type").distinct().groupBy("user_id").agg(F.array_sort(F.collect_list("event_type")).alias("types"))
+    s = u.groupBy("types").agg(F.count("*").alias("n")).withColumn("name", F.array_join("types", " "))
+    a, b = (s.select(*(F.col(c).alias(f"{c}_{x}") for c in s.columns)) for x in "ab")
+    both = a.join(b, F.col("name_a") <= F.col("name_b"))
+    pairs = F.when(F.col("name_a") == F.col("name_b"), (F.col("n_a") * (F.col("n_a") - 1) / 2).cast("bigint")).otherwise(F.col("n_a") * F.col("n_b"))
+    return both.select(F.col("name_a").alias("left_types"), F.col("name_b").alias("right_types"), F.size(F.array_intersect("types_a", "types_b")).alias("shared"), pairs.alias("pairs")).where("pairs > 0")
 
 
 @query("""
@@ -50,14 +55,14 @@ def usage_graph(spark: SparkSession, root: str) -> DataFrame:
 
 @query("""
 WITH a AS (SELECT p_type AS tool, substr(p_name, 1, 5) AS alias FROM part), g AS (SELECT alias, count(DISTINCT tool) AS n, min(tool) AS tool FROM a GROUP BY alias),
-c AS (SELECT p_partkey, substr(p_name, 1, 5) AS alias FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'none' || p_size FROM part WHERE p_partkey % 3 = 1)
+c AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'none' || p_size ELSE substr(p_name, 1, 5) END AS alias FROM part)
 SELECT p_partkey, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS verdict, CASE WHEN n = 1 THEN tool END AS tool FROM c LEFT JOIN g USING (alias)
 """)
 def catalog_resolution(spark: SparkSession, root: str) -> DataFrame:
     """Labels looked up in a catalog of aliases: unique, ambiguous or none."""
     p, alias = table(spark, root, "part"), F.substring("p_name", 1, 5)
     g = p.groupBy(alias.alias("alias")).agg(F.countDistinct("p_type").alias("n"), F.min("p_type").alias("t"))
-    claims = p.where("p_partkey % 3 = 0").select("p_partkey", alias.alias("alias")).union(p.where("p_partkey % 3 = 1").select("p_partkey", F.concat(F.lit("none"), "p_size")))
+    claims = p.select("p_partkey", F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("none"), F.col("p_size").cast("string"))).otherwise(alias).alias("alias"))
     verdict = F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "unique").otherwise("ambiguous")
     return claims.join(g, "alias", "left").select("p_partkey", verdict.alias("verdict"), F.when(F.col("n") == 1, F.col("t")).alias("tool"))
 
@@ -79,7 +84,7 @@ SELECT primary_key, count(DISTINCT s_suppkey) AS members, min(s_suppkey) AS firs
 """)
 def site_families(spark: SparkSession, root: str) -> DataFrame:
     """Suppliers contracted to their nations' regions."""
-    f = table(spark, root, "supplier").join(F.broadcast(table(spark, root, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    f = table(spark, root, "supplier").join(table(spark, root, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return f.groupBy(F.col("n_regionkey").alias("primary_key")).agg(F.countDistinct("s_suppkey").alias("members"), F.min("s_suppkey").alias("first"))
 
 

@@ -83,13 +83,12 @@ def connection_observations(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(f"""
-WITH e AS (SELECT * FROM ({_EDGES}) WHERE source % 3 = 0 AND target % 4 = 1), o AS (SELECT source AS n, count(*) AS c FROM e GROUP BY 1), i AS (SELECT target AS n, count(*) AS c FROM e GROUP BY 1)
+WITH e AS ({_EDGES}), o AS (SELECT source AS n, count(*) AS c FROM e GROUP BY 1), i AS (SELECT target AS n, count(*) AS c FROM e GROUP BY 1)
 SELECT n_nationkey, coalesce(o.c, 0) AS outgoing, coalesce(i.c, 0) AS incoming FROM nation LEFT JOIN o ON o.n = n_nationkey LEFT JOIN i ON i.n = n_nationkey
 """)
 def participant_index(spark: SparkSession, root: str) -> DataFrame:
     """Outgoing and incoming links of every nation; unlinked ones stay."""
-    e = _edges(spark, root).where("source % 3 = 0 AND target % 4 = 1")
-    return observation.neighbours(e, table(spark, root, "nation"), "source", "target", "n_nationkey")
+    return observation.neighbours(_edges(spark, root), table(spark, root, "nation"), "source", "target", "n_nationkey")
 
 
 @query("""
@@ -121,7 +120,7 @@ def link_trail(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT sha256(c_custkey || '|' || c_name || '|' || c_mktsegment) AS h FROM customer),
+WITH h AS (SELECT sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}') AS h FROM customer),
 s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 12) AS HUGEINT)) AS a, sum(CAST('0x' || substr(h, 13, 12) AS HUGEINT)) AS b, sum(CAST('0x' || substr(h, 25, 12) AS HUGEINT)) AS c FROM h)
 SELECT n, substr(sha256(n || '-' || a || '-' || b || '-' || c), 1, 16) AS digest FROM s
 """)
@@ -132,12 +131,12 @@ def freeze_snapshot(spark: SparkSession, root: str) -> DataFrame:
 
 @query("""
 SELECT 'site' AS type, CAST(n_nationkey AS VARCHAR) AS id, n_name AS title FROM nation UNION ALL SELECT 'topic', CAST(r_regionkey AS VARCHAR), r_name FROM region
-UNION ALL SELECT 'content', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE p_size = 1
+UNION ALL SELECT 'content', CAST(p_partkey AS VARCHAR), p_name FROM part
 """)
 def search_documents(spark: SparkSession, root: str) -> DataFrame:
     """Three kinds of search documents in one table."""
     kind = lambda df, k, i, t: df.select(F.lit(k).alias("type"), F.col(i).cast("string").alias("id"), F.col(t).alias("title"))
-    return kind(table(spark, root, "nation"), "site", "n_nationkey", "n_name").unionByName(kind(table(spark, root, "region"), "topic", "r_regionkey", "r_name")).unionByName(kind(table(spark, root, "part").where("p_size = 1"), "content", "p_partkey", "p_name"))
+    return kind(table(spark, root, "nation"), "site", "n_nationkey", "n_name").unionByName(kind(table(spark, root, "region"), "topic", "r_regionkey", "r_name")).unionByName(kind(table(spark, root, "part"), "content", "p_partkey", "p_name"))
 
 
 @query("""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,22 +23,23 @@ def slugify(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "part").select("p_partkey", tx.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
 
 
-@query(rf"""
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en')
-SELECT word, CASE WHEN word IN {tx.NO_PLURALS} OR length(word) < 5 THEN word WHEN word LIKE '%ies' THEN substr(word, 1, length(word) - 3) || 'y'
+@query(r"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS word FROM documents)
+SELECT word, CASE WHEN word IN ('acoustics', 'alias', 'analysis', 'analytics', 'athletics', 'atlas', 'business', 'canvas', 'chaos', 'classics', 'css', 'devops', 'economics', 'ethics', 'gas', 'go', 'graphics', 'lens', 'linguistics', 'mathematics', 'mechanics',
+  'news', 'physics', 'plus', 'politics', 'postgres', 'robotics', 'series', 'species', 'statistics', 'this', 'windows') OR length(word) < 5 THEN word WHEN word LIKE '%ies' THEN substr(word, 1, length(word) - 3) || 'y'
   WHEN regexp_matches(word, '(xes|zes|ches|shes|sses)$') THEN substr(word, 1, length(word) - 2)
   WHEN word LIKE '%s' AND NOT regexp_matches(word, '(ss|sis|us|is|as|os)$') THEN substr(word, 1, length(word) - 1) ELSE word END AS folded FROM w
 """)
 def plural_fold(spark: SparkSession, root: str) -> DataFrame:
-    """The distinct English words of documents and their singulars."""
-    w = table(spark, root, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word")).distinct()
+    """The distinct words of documents and their singulars."""
+    w = table(spark, root, "documents").select(F.explode(tx.letter_tokens(F.col("text"))).alias("word")).distinct()
     return w.select("word", tx.singular(F.col("word")).alias("folded"))
 
 
 @query(r"""
-SELECT page_id, CASE WHEN contains(url, '?') AND len(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: starts_with(lower(split_part(p, '=', 1)), 'utm_') OR lower(split_part(p, '=', 1)) IN ('fbclid', 'gclid', 'gbraid', 'wbraid', 'msclkid', 'mc_cid', 'mc_eid', 'igshid', '_ga', '_gl'))) > 0
+SELECT page_id, CASE WHEN contains(url, '?') AND len(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: starts_with(lower(split_part(p, '=', 1)), 'utm_') OR lower(split_part(p, '=', 1)) IN ('fbclid', 'gclid', 'dclid', 'gbraid', 'wbraid', 'msclkid', 'mc_cid', 'mc_eid', 'igshid', '_ga', '_gl'))) > 0
   THEN regexp_extract(url, '^([^?#]*)', 1)
-    || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: NOT (starts_with(lower(split_part(p, '=', 1)), 'utm_') OR lower(split_part(p, '=', 1)) IN ('fbclid', 'gclid', 'gbraid', 'wbraid', 'msclkid', 'mc_cid', 'mc_eid', 'igshid', '_ga', '_gl'))), '&'), ''), '')
+    || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: NOT (starts_with(lower(split_part(p, '=', 1)), 'utm_') OR lower(split_part(p, '=', 1)) IN ('fbclid', 'gclid', 'dclid', 'gbraid', 'wbraid', 'msclkid', 'mc_cid', 'mc_eid', 'igshid', '_ga', '_gl'))), '&'), ''), '')
     || regexp_extract(url, '(#.*)$', 1) ELSE url END AS url FROM pages
 """)
 def strip_tracking(spark: SparkSession, root: str) -> DataFrame:
@@ -57,17 +57,29 @@ def url_origin(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages").select("page_id", urls.origin(u).alias("origin"), urls.without_fragment(u).alias("bare"))
 
 
-_ROLE_SQL = " ".join(f"WHEN regexp_matches(p, '{pattern}') THEN '{role}'" for role, pattern in urls.ROLES)
-
-
-@query(rf"""
-WITH p AS (SELECT page_id, lower(coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/')) AS p FROM pages),
-r AS (SELECT page_id, CASE {_ROLE_SQL} ELSE 'unknown' END AS role FROM p)
-SELECT page_id, role, CASE WHEN role IN ('article', 'note', 'project') THEN 'full' WHEN role IN ('home', 'about', 'portfolio', 'documentation') THEN 'profile' WHEN role IN ('utility', 'legal', 'error', 'generated') THEN 'none' ELSE 'limited' END AS share FROM r
+@query(r"""
+WITH p AS (SELECT page_id, lower(coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/')) AS p, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS t FROM pages),
+x AS (SELECT page_id, p || unnest(['', '/posts/1', '/a', '/notes/2026-08-30-0952']) AS p, t, unnest(['', 'posts', 'a', 'notes']) AS k FROM p
+  UNION ALL SELECT page_id, '/' || w, t, w FROM p, (SELECT unnest(['health', 'homelab.html', 'galleries', 'galleries/x', 'fiction/x', 'fiction', 'photos/', 'speaking', 'tools.php', 'seeking', 'seeking/docs', 'index.htm', 'terms', 'tags/x', 'archive', 'essays/x', 'feed', 'docs/x']) AS w) WHERE page_id % 100 = 0),
+y AS (SELECT *, CASE WHEN p = '/' THEN p ELSE regexp_replace(p, '/+$', '') END AS q FROM x),
+r AS (SELECT page_id, k, CASE WHEN regexp_matches(t, '\b404\b|not found') THEN 'error' WHEN regexp_matches(t, 'license|privacy policy|terms of|datapolicy|datenschutz|impressum') OR regexp_matches(q, 'licen[cs]e|third.?party|privacy|terms|legal|cookie|datenschutz|impressum') THEN 'legal'
+  WHEN regexp_matches(q, '/(tag|tags|category|categories|topic|topics)\b') THEN 'tag-index' WHEN regexp_matches(q, '/(archive|archives|index)\b|/(posts|blog)$') THEN 'archive'
+  WHEN regexp_matches(q, '/(about|bio|profile)\b') OR regexp_matches(q, '^/(me|now|uses|health|homelab|workouts|social|elsewhere|colophon|neighborhood|interests|site)(/|$|\.html?$)') THEN 'about'
+  WHEN regexp_matches(q, '^/(portfolio|work|project|projects|gallery|galleries|albums|photography|photo|photos|art|illustration|artwork|painting|paintings|fiction|music|discography|tracks|videos|film|animation|game|games|interactive|exhibitions|design)/[^/]+') AND NOT q IN ('/photo/x') THEN 'project'
+  WHEN substr(q, 2) IN ('portfolio', 'work', 'project', 'projects', 'gallery', 'galleries', 'albums', 'photography', 'photos', 'art', 'illustration', 'artwork', 'music', 'discography', 'tracks', 'videos', 'film', 'animation', 'game', 'games', 'interactive', 'exhibitions', 'design') THEN 'portfolio'
+  WHEN regexp_matches(q, '/(doc|docs|documentation|guide|handbook)\b') THEN 'documentation' WHEN q IN ('/seeking', '/seeking.html') OR regexp_matches(q, '/(util|utility|login|search|feed|rss|atom)\b') THEN 'utility'
+  WHEN q IN ('/speaking', '/talks', '/presentations', '/slides') THEN 'speaking-archive' WHEN q IN ('/tools.php', '/tools', '/sitemap', '/collections') THEN 'collection' WHEN q IN ('/', '/index.html', '/index.htm') THEN 'home'
+  WHEN regexp_matches(q, '/notes/[0-9]{4}-[0-9]{2}-[0-9]{2}(-[0-9]{3,4})?(/|$)') THEN 'note' WHEN regexp_matches(q, '/(post|posts|blog|note|notes|essay|essays|tip|tips)/') THEN 'article' ELSE 'unknown' END AS role FROM y)
+SELECT page_id, k, role, CASE WHEN role IN ('article', 'note', 'project') THEN 'full' WHEN role IN ('home', 'about', 'portfolio', 'documentation') THEN 'profile' WHEN role IN ('utility', 'legal', 'error', 'generated') THEN 'none' ELSE 'limited' END AS share FROM r
 """)
 def page_role(spark: SparkSession, root: str) -> DataFrame:
-    """Roles of pages by their paths, and how much each says of its site's topics."""
-    return table(spark, root, "pages").select("page_id", urls.page_role(F.col("url")).alias("role")).withColumn("share", urls.topic_share(F.col("role")))
+    """Roles of pages and of places below them, by path and title, and how much each says of its site's topics."""
+    p = table(spark, root, "pages").select("page_id", urls.origin(F.col("url")).alias("o"), urls.path(F.col("url")).alias("path"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    below = F.array(*(F.struct(F.lit(k).alias("k"), F.concat("o", "path", F.lit(tail)).alias("u")) for k, tail in (("", ""), ("posts", "/posts/1"), ("a", "/a"), ("notes", "/notes/2026-08-30-0952"))))
+    words = ("health", "homelab.html", "galleries", "galleries/x", "fiction/x", "fiction", "photos/", "speaking", "tools.php", "seeking", "seeking/docs", "index.htm", "terms", "tags/x", "archive", "essays/x", "feed", "docs/x")
+    more = F.array(*(F.struct(F.lit(w).alias("k"), F.concat("o", F.lit("/" + w)).alias("u")) for w in words))
+    rows = p.select("page_id", "title", F.explode(F.when(F.col("page_id") % 100 == 0, F.concat(below, more)).otherwise(below)).alias("x"))
+    return rows.select("page_id", "x.k", urls.page_role(F.col("x.u"), F.col("title")).alias("role")).withColumn("share", urls.topic_share(F.col("role")))
 
 
 @query(r"""
@@ -94,57 +106,57 @@ def unicode_normalize(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", nfc("text").alias("text"))
 
 
-@query()
+@query(r"""
+WITH c AS (SELECT doc_id, list_transform(string_split(trim(regexp_replace(text, '[\s\x0B\x{a0}\x{2028}\x{2029}\x{202f}\x{3000}\x{feff}\x{1680}\x{205f}\x{2000}-\x{200a}]+', ' ', 'g')), ''), lambda x: unicode(x)) AS c FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, flatten(list_transform(list_filter(c, lambda x: x >= 0), lambda x: CASE WHEN x >= 65536 THEN [55296 + (x - 65536) // 1024, 56320 + (x - 65536) % 1024] ELSE [x] END)) AS u FROM c)
+SELECT doc_id, CASE WHEN len(u) = 0 THEN '' ELSE lpad(printf('%x', CAST(list_reduce(list_prepend(2166136261, u), lambda h, x: (xor(CAST(h AS BIGINT), CAST(x AS BIGINT)) * 16777619) & 4294967295) AS BIGINT)), 8, '0') END AS fnv FROM u
+""")
 def fnv_fingerprint(spark: SparkSession, root: str) -> DataFrame:
-    """32-bit FNV-1a of part names."""
-    @F.pandas_udf("long")
-    def fnv(s: pd.Series) -> pd.Series:
-        data = [(x or "").encode() for x in s]
-        h = np.full(len(data), 2166136261, np.uint64)
-        n = np.array([len(x) for x in data])
-        for k in range(int(n.max()) if len(n) else 0):
-            at = np.flatnonzero(n > k)
-            h[at] = ((h[at] ^ np.array([data[i][k] for i in at], np.uint64)) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
-        return pd.Series(h.astype(np.int64))
-
-    return table(spark, root, "part").select("p_partkey", fnv("p_name").alias("fnv"))
+    """32-bit FNV-1a over the UTF-16 units of whole document texts, as eight hex digits; empty for a blank text."""
+    step = lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295))
+    both = lambda h, x: F.when(x < 65536, step(h, x)).otherwise(step(step(h, F.expr("55296L") + F.floor((x - 65536) / 1024)), F.expr("56320L") + (x - 65536) % 1024))
+    chars = F.transform(F.filter(F.split("t", ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+    d = table(spark, root, "documents").where("text IS NOT NULL").select("doc_id", tx.squeezed(F.col("text")).alias("t"))
+    h = F.aggregate(chars, F.lit(2166136261).cast("bigint"), both)
+    return d.select("doc_id", F.when(F.col("t") == "", "").otherwise(F.lower(F.lpad(F.hex(h), 8, "0"))).alias("fnv"))
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 2)) AS slug FROM documents WHERE lang = 'en'),
+WITH t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'), lambda w: length(w) > 2)) AS slug FROM documents),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM t), g AS (SELECT slug, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY slug)
 SELECT slug, tf, df, round(tf / n * ln(1 + n / (1 + df)), 6) AS value FROM g, n ORDER BY value DESC, slug LIMIT 200
 """)
 def topic_tfidf(spark: SparkSession, root: str) -> DataFrame:
-    """The 200 weightiest words of English documents."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), lambda w: F.length(w) > 2)
-    d = table(spark, root, "documents").where("lang = 'en'").select("doc_id", words.alias("w"))
+    """The 200 weightiest words of documents."""
+    words = F.filter(tx.letter_tokens(F.col("text")), lambda w: F.length(w) > 2)
+    d = table(spark, root, "documents").select("doc_id", words.alias("w"))
     return topics.tfidf(d, "doc_id", "w", 200)
 
 
 @query(r"""
-WITH s AS (SELECT unnest(regexp_split_to_array(lower(text), '[.!?\n]+')) AS s FROM documents WHERE lang = 'en'),
-w AS (SELECT regexp_extract_all(s, '[a-z]+') AS w FROM s),
+WITH s AS (SELECT unnest(regexp_split_to_array(lower(text), '[.!?\n]+')) AS s FROM documents),
+w AS (SELECT regexp_extract_all(s, '[\p{L}\p{M}\p{N}]+') AS w FROM s),
 b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM w WHERE len(w) > 1)
 SELECT phrase, count(*) AS n FROM b GROUP BY phrase ORDER BY n DESC, phrase LIMIT 100
 """)
 def phrases_bigrams(spark: SparkSession, root: str) -> DataFrame:
-    """The 100 commonest pairs of words within sentences of English documents."""
-    s = table(spark, root, "documents").where("lang = 'en'").select(F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("s"))
-    w = s.select(F.regexp_extract_all("s", F.lit("([a-z]+)"), 1).alias("w")).where(F.size("w") > 1)
+    """The 100 commonest pairs of words within sentences of documents."""
+    s = table(spark, root, "documents").select(F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("s"))
+    w = s.select(tx.letter_tokens(F.col("s")).alias("w")).where(F.size("w") > 1)
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
     return w.select(F.explode(pairs).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(100)
 
 
 @query(r"""
-WITH t AS (SELECT DISTINCT source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS slug FROM documents WHERE lang = 'en'),
+WITH t AS (SELECT DISTINCT source, doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'), lambda x: length(x) >= 9)) AS slug FROM documents),
 g AS (SELECT slug, source, max(coalesce(quality, 0)) AS d FROM t LEFT JOIN labels USING (doc_id) GROUP BY ALL),
 c AS (SELECT slug, count(*) AS members, max(d) = 1 AS declared FROM g GROUP BY slug)
 SELECT slug, members, declared FROM c WHERE members >= 2 OR declared
 """)
 def topic_communities(spark: SparkSession, root: str) -> DataFrame:
     """Long words as topics: public with two sources, or with one document of quality."""
-    d = table(spark, root, "documents").where("lang = 'en'").select("source", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{9,})"), 1))).alias("slug"))
+    long = F.filter(tx.letter_tokens(F.col("text")), lambda w: F.length(w) >= 9)
+    d = table(spark, root, "documents").select("source", "doc_id", F.explode(F.array_distinct(long)).alias("slug"))
     rows = d.join(table(spark, root, "labels"), "doc_id", "left").withColumn("declared", F.coalesce("quality", F.lit(0)) == 1)
     return topics.communities(rows, "slug", "source", "declared").where("public").drop("public")
 
@@ -170,19 +182,20 @@ SELECT doc_id, source, CAST(score AS INT) AS score FROM c WHERE n <= 3 ORDER BY
 """)
 def search_rank(spark: SparkSession, root: str) -> DataFrame:
     """The best 40 documents for two words, three of a source at most."""
-    title = F.array_join(F.slice(tx.letter_tokens(F.col("text")), 1, 8), " ")
-    d = table(spark, root, "documents").select("doc_id", "source", tx.search_score(F.lit("The tion"), title, F.col("text"), F.col("source"), F.array().cast("array<string>")).alias("score")).where("score > 0")
+    head = F.regexp_extract("text", r"^(?:[^\p{L}\p{M}\p{N}]*[\p{L}\p{M}\p{N}]+){0,8}", 0)
+    d = table(spark, root, "documents").select("doc_id", "source", F.array_join(tx.letter_tokens(head), " ").alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("body"))
+    d = d.select("doc_id", "source", tx.search_score("The tion", F.col("title"), F.col("body"), F.col("source"), F.array().cast("array<string>")).alias("score")).where("score > 0")
     return ranking.capped(d, ["source"], [F.desc("score"), F.col("doc_id")], 3).orderBy(F.desc("score"), "doc_id").limit(40)
 
 
 @query(r"""
-WITH w AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS slug FROM documents WHERE source IN ('src1', 'src2')),
+WITH w AS (SELECT DISTINCT source, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+'), lambda x: length(x) >= 7)) AS slug FROM documents WHERE source IN ('src1', 'src2')),
 a AS (SELECT slug FROM w WHERE source = 'src1'), b AS (SELECT slug FROM w WHERE source = 'src2')
 SELECT coalesce(a.slug, b.slug) AS slug, CASE WHEN a.slug IS NULL THEN 'added' WHEN b.slug IS NULL THEN 'removed' ELSE 'retained' END AS state FROM a FULL JOIN b ON a.slug = b.slug
 """)
 def topic_diff(spark: SparkSession, root: str) -> DataFrame:
     """Long words of two sources: added, removed or retained from one to the other."""
-    w = table(spark, root, "documents").where("source IN ('src1', 'src2')").select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{7,})"), 1)).alias("slug")).distinct()
+    w = table(spark, root, "documents").where("source IN ('src1', 'src2')").select("source", F.explode(F.filter(tx.letter_tokens(F.col("text")), lambda x: F.length(x) >= 7)).alias("slug")).distinct()
     per = w.groupBy("slug").agg(F.bool_or(F.col("source") == "src1").alias("was"), F.bool_or(F.col("source") == "src2").alias("is"))
     return per.select("slug", F.when(~F.col("was"), "added").when(~F.col("is"), "removed").otherwise("retained").alias("state"))
 

@@ -34,8 +34,8 @@ def test_text(spark):
 
 def test_search_score(spark):
     topics_ = F.array(F.lit("rust"))
-    assert one(spark, tx.search_score(F.lit("rust"), F.lit("Rust"), F.lit("on rust"), F.lit("rust.example"), topics_)) == 12 + 5 + 2 + 3
-    assert one(spark, tx.search_score(F.lit(""), F.lit("Rust"), F.lit("x"), F.lit("y"), topics_)) == 0
+    assert one(spark, tx.search_score("rust", F.lit("Rust"), F.lit("on rust"), F.lit("rust.example"), topics_)) == 12 + 5 + 2 + 3
+    assert one(spark, tx.search_score("", F.lit("Rust"), F.lit("x"), F.lit("y"), topics_)) == 0
 
 
 @pytest.mark.parametrize(("url", "out"), [("https://a.org/?utm_source=x&b=1#f", "https://a.org/?b=1#f"), ("https://a.org/?gclid=1", "https://a.org/"), ("https://a.org/x?b=%20", "https://a.org/x?b=%20"), ("mailto:x", "mailto:x")])
