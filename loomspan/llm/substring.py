@@ -213,15 +213,14 @@ def _bounded(df: DataFrame, row_bytes: Column | int) -> DataFrame:
 
 def _found(rows: DataFrame, shared: DataFrame) -> DataFrame:
     """rows (of located) joined with shared (stored) by name. A name that a large part of rows may have is dealt over as many
-    salts as a stage has tasks; such names are fewer than SHARE times the tasks, so their list may be broadcast."""
+    salts as a stage has tasks; such names are SHARE times the tasks at most."""
     n = tasks(rows.sparkSession)
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    hot = shared.where(F.col("n") * (n * SHARE) > total).select("fp", "span").withColumn("hot", F.lit(True))
-    if total < n * SHARE or not hot.limit(1).count():
+    total, name = shared.agg(F.sum("n")).first()[0] or 0, F.xxhash64("fp", "span")
+    hot = [r["h"] for r in shared.where(F.col("n") * (n * SHARE) > total).select(name.alias("h")).collect()] if total > n * SHARE else []
+    if not hot:
         return rows.join(shared, ["fp", "span"])
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "k", "s"), F.lit(n)).cast("int")).otherwise(0)
-    dealt = rows.join(F.broadcast(hot), ["fp", "span"], "left").withColumn("salt", salt).drop("hot")
-    every = shared.join(F.broadcast(hot), ["fp", "span"], "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    dealt = rows.withColumn("salt", F.when(name.isin(hot), F.pmod(F.xxhash64("doc_id", "k", "s"), F.lit(n)).cast("int")).otherwise(0))
+    every = shared.withColumn("salt", F.explode(F.when(name.isin(hot), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(every, ["fp", "span", "salt"]).drop("salt")
 
 
