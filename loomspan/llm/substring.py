@@ -250,10 +250,17 @@ def _key(text: Column) -> Column:
 
 
 def repeated(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int = BATCHES, folder: str | None = None) -> DataFrame:
-    """docs (doc_id, text) joined with parts: array of (s, m), m the bits of the windows from s on that occur elsewhere too (null: none)."""
+    """docs (doc_id, text) joined with parts: array of (s, m), m the bits of the windows from s on that occur elsewhere too (null: none).
+
+    Texts are dealt once, into a table of buckets by r, 128 bits that name a row by its doc_id and text; whatever is found of them
+    later comes to them there, so that they don't move again."""
     spark = docs.sparkSession
-    folder = folder or work_folder(spark, "substrings")
-    docs = docs.withColumn("k", _key(F.col("text")))
+    folder, buckets = folder or work_folder(spark, "substrings"), tasks(spark)
+    name = f"texts_{uuid.uuid4().hex[:12]}"
+    row = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("k").cast("string")).cast("binary"))
+    placed = docs.withColumn("k", _key(F.col("text"))).withColumn("r", row)
+    placed.repartition(buckets, "r").write.format("parquet").bucketBy(buckets, "r").option("path", f"{folder}/{name}").saveAsTable(name)
+    docs = spark.table(name)
     index = FingerprintIndex(spark, f"{folder}/index")
     for b in range(batches):
         index.append(counted(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(b"x")), F.lit(batches)) == b), words, gram))
@@ -264,18 +271,16 @@ def repeated(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int
 
     # Where spans of a fingerprint differ, the windows of one occurrence of each.
     edge = found.where("spans > 1").groupBy("fp", "span").agg(F.min(F.struct("doc_id", "k", "s", "c")).alias("x"))
-    edge = stored(edge.groupBy("x.doc_id", "x.k").agg(F.collect_list(F.struct("x.s", "x.c", "fp", "span")).alias("parts")), f"{folder}/edge")
-    keys = _bounded(edge.select(F.col("doc_id").alias("d2"), F.col("k").alias("k2")), 96)
-    texts = docs.join(keys, (docs["doc_id"].eqNullSafe(F.col("d2"))) & (docs["k"] == F.col("k2")), "left_semi")
-    both = texts.join(edge.withColumnRenamed("doc_id", "d2").withColumnRenamed("k", "k2"), (texts["doc_id"].eqNullSafe(F.col("d2"))) & (texts["k"] == F.col("k2")))
-    w = _windows(both, words).distinct()
+    edge = edge.select("x.*", "fp", "span").groupBy(row.alias("r")).agg(F.collect_list(F.struct("s", "c", "fp", "span")).alias("parts"))
+    edge = _bounded(stored(edge, f"{folder}/edge"), F.size("parts") * 64 + 96)
+    w = _windows(docs.join(edge, "r"), words).distinct()
     twice = w.groupBy("fp", "w").agg(F.count("*").alias("n")).where("n > 1").select("fp", "w")
     bits = w.join(twice, ["fp", "w"]).groupBy("fp", "span").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("bits"))
     whole = F.expr("shiftleft(1L, c) - 1")
     marks = found.join(stored(bits, f"{folder}/bits"), ["fp", "span"], "left").withColumn("m", F.when(F.col("n") > 1, whole).otherwise(F.coalesce("bits", F.lit(0))))
-    parts = marks.where("m <> 0").groupBy("doc_id", "k", "s").agg(F.bit_or("m").alias("m")).groupBy("doc_id", "k").agg(F.collect_list(F.struct("s", "m")).alias("parts"))
-    parts = _bounded(stored(parts, f"{folder}/parts"), F.size("parts") * 40 + 96).withColumnRenamed("doc_id", "d2").withColumnRenamed("k", "k2")
-    return docs.join(parts, (docs["doc_id"].eqNullSafe(F.col("d2"))) & (docs["k"] == F.col("k2")), "left").select("doc_id", "text", "parts")
+    parts = marks.where("m <> 0").groupBy("doc_id", "k", "s").agg(F.bit_or("m").alias("m")).groupBy(row.alias("r")).agg(F.collect_list(F.struct("s", "m")).alias("parts"))
+    parts = _bounded(stored(parts, f"{folder}/parts"), F.size("parts") * 40 + 96)
+    return docs.join(parts, "r", "left").select("doc_id", "text", "parts")
 
 
 def kept_words(text: str | None, parts: list[dict] | None, words: int = WORDS) -> tuple[int, list[bytes]]:
