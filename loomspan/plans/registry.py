@@ -43,4 +43,4 @@ def adoption_daily(spark: SparkSession, root: str) -> DataFrame:
 
 def load() -> None:
     """Register all queries of the package."""
-    from loomspan.plans import activity, extracts, general, graphs, labels, observations, texts  # noqa: F401
+    from loomspan.plans import activity, extracts, general, graphs, labels, observations, rules, texts  # noqa: F401
