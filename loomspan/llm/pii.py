@@ -2,11 +2,13 @@
 
 Base spans come from patterns (see base_spans), over whole texts, in time linear in the text. The model, a bidirectional LSTM
 with CRF transitions, finds forms that the patterns miss (numbers without a plus, cards with other separators, addresses
-spelled with spaces or brackets). It is trained here, in numpy, on labelled spans: base spans of a bounded sample of texts,
-and the same spans respelled in place. A text is cut into overlapping windows; windows are scored, scores at a character are averaged over the
-windows that hold it, weighed by the distance to the window's edge, and each stretch of joined windows is decoded once, as a
-whole. A span of the model counts if it has an @ or a digit, so a window with neither can't add any and isn't scored; every
-other window of every text is.
+spelled with spaces, brackets or words). It is trained here, in numpy, on labelled spans: base spans of a bounded sample of
+texts, and the same spans respelled in place.
+
+A text is cut into overlapping windows; scores at a character are averaged over all windows that hold it, weighed by the
+distance to the window's edge, and each stretch is decoded once, as a whole. A span of the model needs a sign: a digit, an @, or
+a word that stands for one. So only stretches around signs are decoded, and only windows that reach into them are scored, all of
+them: scores there are those of scoring every window (a test holds both against each other, decoding whole texts too).
 
 The model only adds: base spans stay, and a model span that touches a base span or fails its kind's checks is dropped.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,8 @@ from loomspan.sources.tables import table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
-#: The bound of the training sample: texts, the longest of them, and windows made from them.
-SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_WINDOWS = 400, 20_000, 1600
+#: The bound of the training sample: texts of each kind, and of other texts with signs, the longest of them, and windows made from them.
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_WINDOWS = 100, 20_000, 1600
 #: The least mean margin, over a span, of its tags' scores over those of no span.
 MARGIN = 2.0
 
@@ -42,7 +45,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SIGN = re.compile(r"[0-9@]")
+_SIGN = re.compile(r"[0-9@]|[\[({]\s*[aA][tT]\s*[\])}]|\b[dD][oO][tT]\b")
+#: What texts that may hold a kind look like, to Spark.
+_LIKE = {"email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9]([\x20-]?[0-9]){11}", "phone": r"\+[0-9][\x20().0-9-]{7}"}
 
 
 def luhn(digits: str) -> bool:
@@ -100,20 +105,20 @@ def symbols(text: str) -> np.ndarray:
     return np.where(x < 128, _ASCII[np.minimum(x, 127)], _LETTER)
 
 
-def windows(text: str) -> list[int]:
-    """Starts of the windows that hold an @ or a digit."""
+def windows(text: str) -> tuple[list[int], int]:
+    """The numbers of the windows that hold a sign, and of the last window. A window starts at its number times STRIDE."""
     last = max(0, -(-(len(text) - WINDOW) // STRIDE))
     own: set[int] = set()
     for m in _SIGN.finditer(text):
-        k = m.start() // STRIDE
-        own.update(j for j in (k - 1, k) if 0 <= j <= last)
-    return [k * STRIDE for k in sorted(own)]
+        for k in range(max(0, m.start() // STRIDE - 1), min(last, (m.end() - 1) // STRIDE) + 1):
+            own.add(k)
+    return sorted(own), last
 
 
 def _respelled(kind: str, text: str, r: random.Random) -> str:
     """A form of the same datum that the patterns don't take."""
     if kind == "email":
-        at, dot = r.choice([(" @ ", "."), ("@", " . "), (" @ ", " . "), ("(@)", "."), ("[@]", "[.]"), ("@", "[.]")])
+        at, dot = r.choice([(" @ ", "."), ("@", " . "), (" @ ", " . "), ("(@)", "."), ("[@]", "[.]"), ("@", "[.]"), (" at ", " dot "), (" AT ", " DOT "), ("[at]", "[dot]"), (" (at) ", ".")])
         return text.replace("@", at).replace(".", dot)
     if kind == "ip":
         return text.replace(".", r.choice(["[.]", " . ", "(.)"]))
@@ -169,9 +174,12 @@ def labelled(texts: list[str], most: int = SAMPLE_WINDOWS, seed: int = 5) -> tup
 
 
 def train(texts: list[str], seed: int = 5) -> BiLstmCrf | None:
-    """A model from the labelled spans of texts; None where there are none."""
+    """A model from the labelled spans of texts; None where there are none. A kind that no text holds isn't learned: that is warned of."""
     x, y = labelled(texts, seed=seed)
-    if not len(x) or not y.any():
+    kinds = {KINDS[(t - 1) // 2] for t in np.unique(y) if t} if len(x) else set()
+    if missing := [k for k in KINDS if k not in kinds]:
+        warnings.warn(f"no text of the sample holds {', '.join(missing)}: the model can't find these kinds", stacklevel=2)
+    if not kinds:
         return None
     model = BiLstmCrf(SYMBOLS, TAGS, seed=seed, never=_NEVER)
     model.train(x, y, seed=seed)
@@ -184,7 +192,8 @@ _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(
 def _plausible(kind: str, text: str) -> bool:
     n = len(_digits(text))
     if kind == "email":
-        return "@" in text and len(text) >= 6
+        spelled = re.search(r"(?i)\bat\b", text) and re.search(r"(?i)\bdot\b|\.", text)
+        return len(text) >= 6 and bool("@" in text or spelled) and len(text.split()) <= 9
     if kind == "ip":
         return 4 <= n <= 12 and len(parts := re.findall("[0-9]+", text)) == 4 and all(int(p) <= 255 for p in parts)
     if kind == "card":
@@ -192,33 +201,54 @@ def _plausible(kind: str, text: str) -> bool:
     return 9 <= n <= 15 and not re.search("[A-Za-z]", text) and len(re.findall(r"[^0-9]+", text)) >= 2
 
 
-def model_spans(model: BiLstmCrf, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """The model's spans in each text."""
+def model_spans(model: BiLstmCrf, texts: list[str], whole: bool = False) -> list[list[tuple[int, int, str]]]:
+    """The model's spans in each text. whole: score and decode all of every text, not only what lies around signs."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    at = [(d, a) for d, t in enumerate(texts) for a in windows(t)]
-    scores = []
-    for block in range(0, len(at), 1024):
-        own = at[block:block + 1024]
-        x = np.zeros((len(own), WINDOW), np.int64)
-        for k, (d, a) in enumerate(own):
-            s = symbols(texts[d][a:a + WINDOW])
-            x[k, :len(s)] = s
-        scores.extend(model.emissions(x))
-    k = 0
-    while k < len(at):
-        z = k + 1  # a stretch: windows that overlap
-        while z < len(at) and at[z][0] == at[k][0] and at[z][1] - at[z - 1][1] <= STRIDE:
-            z += 1
-        d, first = at[k]
-        n = min(len(texts[d]), at[z - 1][1] + WINDOW) - first
-        total, weight = np.zeros((n + WINDOW, TAGS), np.float32), np.zeros(n + WINDOW, np.float32)
-        for j in range(k, z):
-            o = at[j][1] - first
-            total[o:o + WINDOW] += scores[j] * _WEIGHT[:, None]
-            weight[o:o + WINDOW] += _WEIGHT
-        joined = total[:n] / weight[:n, None]
+    stretches: list[tuple[int, int, int]] = []  # text, first and last window
+    need: list[tuple[int, int]] = []
+    for d, t in enumerate(texts):
+        own, last = windows(t)
+        if whole:
+            own = list(range(last + 1)) if t else []
+        for k in own:
+            if stretches and stretches[-1][0] == d and stretches[-1][2] == k - 1:
+                stretches[-1] = (d, stretches[-1][1], k)
+            else:
+                stretches.append((d, k, k))
+        need += [(d, k) for k in sorted({j for k in own for j in (k - 1, k, k + 1) if 0 <= j <= last})]
+    place = {x: n for n, x in enumerate(need)}
+    done, scores = 0, []  # emissions of need[done:], no more than a stretch needs
+
+    def emissions(n: int) -> np.ndarray:
+        nonlocal done, scores
+        while n >= done + len(scores):
+            a = done + len(scores)
+            own = need[a:a + 1024]
+            x = np.zeros((len(own), WINDOW), np.int64)
+            for j, (d, k) in enumerate(own):
+                sym = symbols(texts[d][k * STRIDE:k * STRIDE + WINDOW])
+                x[j, :len(sym)] = sym
+            scores.extend(model.emissions(x))
+        return scores[n - done]
+
+    for d, k, z in stretches:
+        first = k * STRIDE
+        n = min(len(texts[d]), z * STRIDE + WINDOW) - first
+        total, weight = np.zeros((n, TAGS), np.float32), np.zeros(n, np.float32)
+        for j in range(k - 1, z + 2):
+            if (d, j) in place:
+                o = j * STRIDE - first
+                a, e = max(0, o), min(n, o + WINDOW)
+                if a < e:
+                    own = emissions(place[d, j])[a - o:e - o]
+                    total[a:e] += own * _WEIGHT[a - o:e - o, None]
+                    weight[a:e] += _WEIGHT[a - o:e - o]
+        joined = total / weight[:, None]
         out[d] += _read(model.decode(joined), joined, first, texts[d])
-        k = z
+        if len(scores) > 4096:  # stretches come in order: what lies well before this one is done with
+            drop = place[d, k] - done - 2
+            if drop > 0:
+                scores, done = scores[drop:], done + drop
     return out
 
 
@@ -248,14 +278,22 @@ def _join(spans: list[tuple[int, int, str]]) -> str:
 
 
 def sample(docs: DataFrame, text_col: str = "text", most: int = SAMPLE_TEXTS) -> list[str]:
-    """The distinct texts with an @ or a digit that stand first by a hash: at most `most`, whatever the files and copies. The
-    hashes are looked at first, so that tasks send no texts but those of the sample."""
+    """Distinct texts by hash: of each kind about `most` whose texts look like it, and as many others with digits. One pass counts
+    the texts of each kind by a sketch, another takes its share of them; copies are one."""
     t = F.col(text_col).cast("string")
-    rows = docs.select(t.alias("t"), F.xxhash64(F.lit(9), t).alias("h")).where((F.length("t") <= SAMPLE_CHARS) & F.col("t").rlike("[0-9@]"))
-    first = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(most).collect()]
-    if not first:
-        return []
-    return [r["t"] for r in rows.where(F.col("h") <= first[-1]).dropDuplicates(["h"]).orderBy("h").collect()]
+    h = F.xxhash64(F.lit(9), t)
+    rows = docs.select(t.alias("t"), h.alias("h"), *(t.rlike(p).alias(k) for k, p in _LIKE.items())).where(F.length("t") <= SAMPLE_CHARS)
+    rows = rows.withColumn("other", F.col("t").rlike("[0-9]") & ~F.greatest(*_LIKE))
+    kinds = [*_LIKE, "other"]
+    n = rows.agg(*(F.approx_count_distinct(F.when(F.col(k), F.col("h")), 0.02).alias(k) for k in kinds)).first()
+    share = (F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53)))
+    mine = [F.col(k) & (share < 1.5 * most / max(1, n[k])) for k in kinds]
+    drawn = rows.where(F.greatest(*mine)).dropDuplicates(["h"]).select("h", "t", *kinds).collect()  # some 1.5 * most for each kind
+    drawn.sort(key=lambda r: r["h"] & (1 << 64) - 1)
+    picked: dict[int, str] = {}
+    for k in kinds:
+        picked |= {r["h"]: r["t"] for r in [r for r in drawn if r[k]][:most]}
+    return [picked[k] for k in sorted(picked)]
 
 
 def find(docs: DataFrame, model: BiLstmCrf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

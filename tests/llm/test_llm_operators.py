@@ -381,7 +381,26 @@ def test_model_adds_spans(spark, none):
     rows = [(1, texts[0]), (2, None), (3, ""), (None, "plain words"), (1, texts[0]), (4, "call (917) 555-2670 now")]
     got = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
     assert Counter((g["doc_id"], g["base_sha256"]) for g in got) == Counter((d, hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in brute_spans(t or "")).encode()).hexdigest()) for d, t in rows)
-    assert pii.find(none, None).count() == 0 and pii.train([]) is None
+    with pytest.warns(UserWarning, match="email, ip, card, phone"):
+        assert pii.find(none, None).count() == 0 and pii.train([]) is None
+    # Around signs the spans are those of scoring and decoding whole texts; a very long text, other columns and copies change nothing.
+    long = [" ".join(word() for _ in range(r.randint(0, 40))).join(["", data(), " joe dot smith at mail dot example ", f" 10[.]20[.]30[.]{r.randrange(99)} ", ""]) for _ in range(60)]
+    assert pii.model_spans(model, long) == pii.model_spans(model, long, whole=True) and sum(map(len, pii.model_spans(model, long))) > 60
+    huge = " ".join(long) * 8
+    clash = spark.createDataFrame([(1, huge, "x", 5), (1, huge, "y", 6)], "doc_id long, text string, spans string, n_email int")
+    a, b = pii.find(clash, model).collect()
+    assert a == b and a["n_email"] == sum(k == "email" for _, _, k in brute_spans(huge))
+
+
+def test_forms_that_were_held_out(spark):
+    """Recall on respellings that training never sees: separators and brackets of other kinds."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("thernoile") for _ in range(r.randint(2, 7)))
+    data = lambda: r.choice([f"{word()}.{word()}@{word()}.example.com", ".".join(str(r.randrange(256)) for _ in range(4)), "4111111111111111", f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"])
+    model = pii.train([" ".join([*(word() for _ in range(20)), data(), *(word() for _ in range(20)), str(r.randrange(10**6))]) for _ in range(160)])
+    forms = [lambda: f"{word()}{{@}}{word()}.example.com", lambda: f"{word()} [at] {word()} dot example dot org", lambda: "10{.}20{.}30{.}" + str(r.randrange(256)), lambda: "4111:1111:1111:1111", lambda: f"{r.randrange(200, 999)}/{r.randrange(200, 999)}/{r.randrange(1000, 9999)}"]
+    hit = [bool(pii.model_spans(model, [f"{word()} {word()} {f()} {word()} {word()}"])[0]) for f in forms for _ in range(20)]
+    assert sum(hit) >= 0.4 * len(hit), [sum(hit[i:i + 20]) for i in range(0, 100, 20)]
 
 
 # Scores
