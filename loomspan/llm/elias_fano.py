@@ -6,6 +6,8 @@ next high value clears one. Everything is an array that can be memory-mapped; lo
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 _U = np.uint64
@@ -39,12 +41,18 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.width = (int(x) for x in arrays["shape"])
         self.low, self.high, self.rank = arrays["low"], arrays["high"], arrays["rank"]
-        self.zeros = np.arange(len(self.high), dtype=np.int64) * 64 - self.rank.astype(np.int64)
+
+    @cached_property
+    def zeros(self) -> np.ndarray:
+        """Clear bits before each word."""
+        return np.arange(len(self.high), dtype=np.int64) * 64 - self.rank.astype(np.int64)
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
-        """values: sorted uint64 below universe (at most 2**56)."""
+        """values: sorted uint64, fewer than 2**32, below universe (at most 2**63)."""
         n = len(values)
+        if n >> 32 or universe > 1 << 63:
+            raise ValueError(f"{n} numbers below {universe} are too many")
         width = max(0, (max(1, universe) // max(1, n)).bit_length() - 1)
         top = (max(1, universe) - 1) >> width
         bits = np.zeros((n + top + 1 + 63) // 64 * 64 + 64, np.uint8)

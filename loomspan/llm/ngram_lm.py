@@ -1,22 +1,27 @@
-"""Language-model scoring with a bigram trie in Elias-Fano levels.
+"""Language-model scoring with a trigram trie in Elias-Fano levels.
 
-Training counts every pair of neighbouring tokens (a text's start, its words, its end). Tasks count within an Arrow batch and
-send, for each shard of the contexts' hash range, one block of sorted contexts and successors, so that a pair costs some six
-bytes in the shuffle. A shard becomes one file of the trie, in levels:
+Training counts the pairs and triples of neighbouring tokens (a text's start, its words, its end). Tasks count within an Arrow
+batch and send each shard one block of sorted contexts, successors and theirs, so that a token costs some twelve bytes in the
+shuffle. A shard becomes one file of the trie, in levels:
 
     contexts     the words' hashes, a sorted sequence
     counts       running sums of the contexts' counts: a word's count is the difference of two neighbours
     pointers     where each context's successors begin in the next level
-    successors   context's place * 2**LABEL_BITS + label of the next word: sorted, relative to its context
-    codes        for each successor a byte: its discounted probability, quantised by the shard's own 256 levels
-
-All sequences are Elias-Fano coded and memory-mapped from the shared folder. A pair is looked up by the context's place, then by a successor
-search in the range of that context. With count c of the pair, C of the context, T different successors and the shard's
-discount D, the probability is (c - D) / C + (D T / C) p(word), p being the smoothed share of the word in training, which needs
-no training to be defined; an unknown context gives p(word).
-
-The trie grows with the corpus and is never in one place: each shard is made by one task, and a task that scores maps the
-files and touches the parts that its batch needs. Words are known by 56 bits of their hash.
+    pairs        context's place * 2**LABEL_BITS + label of the next word: sorted, relative to its context
+    pointers3    where each pair's successors begin in the last level
+    triples      pair's place * 2**LABEL_BITS + label of the next word: sorted, relative to its pair
+    codes        for each pair and triple a byte: its discounted count, quantised by 256 levels of the shard's own
+
+All sequences are Elias-Fano coded and memory-mapped from the shared folder. A pair is looked up by the context's place, a triple
+by the pair's, each by a successor search in the range of what it follows. Over the count of its context a discounted count is
+the smoothed probability: with count c, context's count C, T different successors and the shard's discount D of the level,
+P = (c - D) / C + (D T / C) P', P' being the same of the context without its first token, and at last p(word), the smoothed share
+of the word in training; an unknown context gives P'.
+
+A pair lies in the shard of its context's hash. Contexts that a large part of all tokens follow (found in a bounded sample; the
+text's start always) lie in all shards, a pair by the hash of both words; their counts are summed up, some for each shard. A
+shard takes about SHARD_BYTES of text, so shards grow in number with the corpus and not in size; each is made by one task, and a
+task that scores maps the files and touches the parts that its batch needs. Words are known by 56 bits of their hash.
 
 Defined results: a null or empty text is its end alone; null doc_ids count as the empty text where the id's CRC holds documents
 out, and are kept; repeated rows are counted and scored each. Without training rows every count is 0. An empty table gives no
@@ -34,15 +39,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Store, small_batches, stored, tasks, work_folder
+from loomspan.llm.common import LOWER, SPACES, UPPER, Store, release_memory, small_batches, stored, tasks, work_folder
 from loomspan.llm.elias_fano import EliasFano
 from loomspan.llm.langid import held_out
 from loomspan.sources.tables import table
 
 HASH_BITS, LABEL_BITS = 56, 40
+#: Text of a shard; text of the sample in which hot contexts are looked for.
+SHARD_BYTES, SAMPLE_BYTES = 24 << 20, 32 << 20
 #: Stand for a text's start (a context only) and its end (a token): no word has a space.
 START, END = b" start", b" end"
-_SEQUENCES = ("contexts", "counts", "pointers", "successors")
+_SEQUENCES = ("contexts", "counts", "pointers", "pairs", "pointers3", "triples")
+_LOW = np.uint64(HASH_BITS - LABEL_BITS)
+_WIDE = LABEL_BITS // 8
 
 
 def _hash(word: bytes) -> int:
@@ -75,71 +84,144 @@ def _contexts(known: np.ndarray, tokens: np.ndarray, ends: np.ndarray) -> np.nda
     return before
 
 
-def _block(known: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted pairs (context * len(known) + word) as bytes: contexts, numbers of successors, labels, counts."""
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal sorted keys begin."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+
+
+class Counts:
+    """A batch's distinct pairs (a, b: places in known; c: counts) and triples (pair: place in them, w: the next word, n: counts),
+    and for each token its pair and, past a text's first, its triple."""
+
+    def __init__(self, texts: pa.Array):
+        self.known, self.tokens, self.ends = read_tokens(texts)
+        m = len(self.known)
+        keys = _contexts(self.known, self.tokens, self.ends) * m + self.tokens
+        pairs, self.of, self.c = np.unique(keys, return_inverse=True, return_counts=True)
+        self.a, self.b = np.divmod(pairs, m)
+        self.starts = np.concatenate(([0], self.ends[:-1])) if len(self.ends) else np.zeros(0, np.int64)
+        follows = np.ones(len(self.tokens), bool)
+        follows[self.starts] = False
+        self.at = np.flatnonzero(follows)  # tokens with a triple
+        triples, self.first, self.triple_of, self.n = np.unique(self.of[self.at - 1] * m + self.tokens[self.at], return_index=True, return_inverse=True, return_counts=True)
+        self.pair, self.w = np.divmod(triples, m)
+
+
+class Layout:
+    """Which shard a pair lies in."""
+
+    def __init__(self, shards: int, hot: np.ndarray):
+        self.shards, self.hot = shards, np.sort(np.asarray(hot, np.uint64))
+        self.bounds = np.array([(k << HASH_BITS) // shards for k in range(shards)], np.uint64)
+
+    def is_hot(self, a: np.ndarray) -> np.ndarray:
+        return np.isin(a, self.hot)
+
+    def of_word(self, a: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, a, "right") - 1
+
+    def of_pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))
+        return np.where(self.is_hot(a), ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(self.shards)).astype(np.int64), self.of_word(a))
+
+
+def _labels(x: np.ndarray) -> bytes:
+    return (x >> _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDE].tobytes()
+
+
+def _unlabels(data: bytes, n: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :_WIDE] = np.frombuffer(data, np.uint8, n * _WIDE, at).reshape(n, _WIDE)
+    return out.view("<u8").reshape(-1)
+
+
+def _block(a: np.ndarray, b: np.ndarray, c: np.ndarray, per: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs of hashes (a sorted, b) with counts and numbers of triples, and the triples' words and counts, as bytes."""
     import zstandard
 
-    c, w = np.divmod(pairs, len(known))
-    first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-    labels = (known[w] >> np.uint64(HASH_BITS - LABEL_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LABEL_BITS // 8]
-    head = np.array([len(first), len(pairs)], "<i8").tobytes()
-    packed = zstandard.ZstdCompressor(level=1).compress(np.diff(np.append(first, len(c))).astype("<u4").tobytes() + counts.astype("<u4").tobytes())
-    return head + known[c[first]].astype("<u8").tobytes() + labels.tobytes() + packed
+    first = _runs(a)
+    head = np.array([len(first), len(a), len(w)], "<i8").tobytes()
+    packed = b"".join(x.astype("<u4").tobytes() for x in (np.diff(np.append(first, len(a))), c, per, n))
+    return head + a[first].astype("<u8").tobytes() + _labels(b) + _labels(w) + zstandard.ZstdCompressor(level=1).compress(packed)
 
 
-def _unblock(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context, label and count of each pair."""
+def _unblock(data: bytes) -> tuple[np.ndarray, ...]:
+    """Context, label and count of each pair; pair, label and count of each triple."""
     import zstandard
 
-    n, m = np.frombuffer(data, "<i8", 2)
-    at = 16 + 8 * n
-    contexts = np.frombuffer(data, "<u8", n, 16)
-    wide = LABEL_BITS // 8
-    labels = np.zeros((m, 8), np.uint8)
-    labels[:, :wide] = np.frombuffer(data, np.uint8, m * wide, at).reshape(m, wide)
-    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at + m * wide:]), "<u4")
-    return np.repeat(contexts, rest[:n]), labels.view("<u8").reshape(-1), rest[n:].astype(np.int64)
+    k, m, t = (int(x) for x in np.frombuffer(data, "<i8", 3))
+    at = 24 + 8 * k
+    contexts = np.frombuffer(data, "<u8", k, 24)
+    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at + (m + t) * _WIDE:]), "<u4")
+    count, per = rest[k:k + m], rest[k + m:k + 2 * m]
+    return np.repeat(contexts, rest[:k]), _unlabels(data, m, at), count.astype(np.int64), np.repeat(np.arange(m), per), _unlabels(data, t, at + m * _WIDE), rest[k + 2 * m:].astype(np.int64)
 
 
-def _counter(shards: int):
+def _counter(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = np.array([(k << HASH_BITS) // shards for k in range(1, shards)], np.uint64)
-        for b in batches:
-            if not b.num_rows:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            known, tokens, ends = read_tokens(b.column(0))
-            pairs = np.sort(_contexts(known, tokens, ends) * len(known) + tokens)
-            first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
-            pairs, counts = pairs[first], np.diff(np.append(first, len(pairs)))
-            cut = [0, *np.searchsorted(pairs, np.searchsorted(known, bounds) * len(known)).tolist(), len(pairs)]
-            own = [k for k in range(shards) if cut[k] < cut[k + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([_block(known, pairs[cut[k]:cut[k + 1]], counts[cut[k]:cut[k + 1]]) for k in own], pa.binary())], names=["shard", "block"])
+            x = Counts(batch.column(0))
+            a, b = x.known[x.a], x.known[x.b]
+            shard = layout.of_pair(a, b)
+            order = np.lexsort((np.arange(len(a)), shard))
+            place = np.empty(len(a), np.int64)
+            place[order] = np.arange(len(a))
+            by_pair = np.argsort(place[x.pair], kind="stable")
+            per = np.bincount(place[x.pair], minlength=len(a))
+            done = np.concatenate(([0], np.cumsum(per)))
+            a, b, c, shard, w, n = a[order], b[order], x.c[order], shard[order], x.known[x.w][by_pair], x.n[by_pair]
+            first = _runs(shard)
+            names, data = [], []
+            for i, z in zip(first.tolist(), [*first[1:].tolist(), len(a)]):
+                names.append(int(shard[i]))
+                data.append(_block(a[i:z], b[i:z], c[i:z], per[i:z], w[done[i]:done[z]], n[done[i]:done[z]]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], names=["shard", "block"])
+        release_memory()
 
     return run
 
 
-def levels(contexts: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """The arrays of one shard, from its pairs in any order."""
+def _summed(owner: np.ndarray, label: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys (owner * 2**LABEL_BITS + label), their counts, and where each row went."""
+    keys = (owner.astype(np.uint64) << np.uint64(LABEL_BITS)) | label
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = _runs(keys)
+    where = np.empty(len(order), np.int64)
+    where[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return keys[first], np.add.reduceat(count[order], first) if len(first) else count[:0], where
+
+
+def _quantised(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Codes of discounted counts, the logarithms that they stand for, and the discount."""
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    values, at = np.unique(counts, return_inverse=True)
+    logs = np.log10(values - discount) if len(values) else np.zeros(1)
+    book = logs[np.linspace(0, len(logs) - 1, 256).round().astype(np.int64)] if len(logs) > 256 else np.pad(logs, (0, 256 - len(logs)), mode="edge")
+    right = np.clip(np.searchsorted(book, logs), 1, 255)
+    code = np.where(logs - book[right - 1] <= book[right] - logs, right - 1, right).astype(np.uint8)
+    return (code[at] if len(values) else np.zeros(0, np.uint8)), book, discount
+
+
+def levels(contexts: np.ndarray, labels: np.ndarray, counts: np.ndarray, pair: np.ndarray, words: np.ndarray, times: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of one shard, from its pairs (context, label, count) and triples (place in the pairs, label, count) in any order."""
     known, place = np.unique(contexts, return_inverse=True)
-    keys = (place.astype(np.uint64) << np.uint64(LABEL_BITS)) | labels
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    keys, counts = keys[first], np.add.reduceat(counts, first)
-    owner = (keys >> np.uint64(LABEL_BITS)).astype(np.int64)
-    begin = np.searchsorted(owner, np.arange(len(known) + 1))
+    keys, counts, where = _summed(place, labels, counts)
+    keys3, counts3, _ = _summed(where[pair], words, times)
+    if max(len(known), len(keys)) >> (63 - LABEL_BITS) or len(keys3) >> 32:
+        raise ValueError(f"a shard of {len(known)} contexts, {len(keys)} pairs and {len(keys3)} triples is too large: lower SHARD_BYTES")
+    owner, owner3 = ((k >> np.uint64(LABEL_BITS)).astype(np.int64) for k in (keys, keys3))
+    begin, begin3 = np.searchsorted(owner, np.arange(len(known) + 1)), np.searchsorted(owner3, np.arange(len(keys) + 1))
     total = np.add.reduceat(counts, begin[:-1])
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    discount = once / (once + 2 * twice) if 0 < once and twice else 0.5
-    p = np.log10((counts - discount) / total[owner])
-    values = np.unique(p)
-    book = values[np.linspace(0, len(values) - 1, 256).round().astype(np.int64)] if len(values) > 256 else np.resize(values, 256)
-    book = np.sort(book)
-    right = np.clip(np.searchsorted(book, p), 1, 255)
-    codes = np.where(p - book[right - 1] <= book[right] - p, right - 1, right).astype(np.uint8)
     sums = np.concatenate(([0], np.cumsum(total))).astype(np.uint64)
-    out = {"codes": codes, "book": book, "discount": np.array([discount]), "totals": np.array([len(known), int(total.sum()), len(keys)], np.int64)}
-    for name, v, u in (("contexts", known, 1 << HASH_BITS), ("counts", sums, int(sums[-1]) + 1), ("pointers", begin.astype(np.uint64), len(keys) + 1), ("successors", keys, len(known) << LABEL_BITS)):
+    out = {"known": known, "total": total, "many": np.diff(begin)}  # for meta, not for the file
+    for name, c in (("codes", counts), ("codes3", counts3)):
+        code, book, discount = _quantised(c)
+        out |= {name: code, f"{name}.book": book, f"{name}.discount": np.array([discount])}
+    for name, v, u in (("contexts", known, 1 << HASH_BITS), ("counts", sums, int(sums[-1]) + 1), ("pointers", begin.astype(np.uint64), len(keys) + 1), ("pairs", keys, len(known) << LABEL_BITS), ("pointers3", begin3.astype(np.uint64), len(keys3) + 1), ("triples", keys3, max(1, len(keys)) << LABEL_BITS)):
         out |= {f"{name}.{k}": x for k, x in EliasFano.build(v, u).items()}
     return out
 
@@ -164,8 +246,8 @@ class Shard:
         n = int(data[:8].view("<i8")[0])
         base = 8 + n
         self.arrays = {k: np.ndarray((m,), t, data, base + at) for k, (t, at, m) in json.loads(data[8:8 + n].tobytes()).items()}
-        self.contexts, self.counts, self.pointers, self.successors = (EliasFano({k: self.arrays[f"{s}.{k}"] for k in ("shape", "low", "high", "rank")}) for s in _SEQUENCES)
-        self.codes, self.book, self.discount = self.arrays["codes"], self.arrays["book"], float(self.arrays["discount"][0])
+        self.contexts, self.counts, self.pointers, self.pairs, self.pointers3, self.triples = (EliasFano({k: self.arrays[f"{s}.{k}"] for k in ("shape", "low", "high", "rank")}) for s in _SEQUENCES)
+        self.discount, self.discount3 = float(self.arrays["codes.discount"][0]), float(self.arrays["codes3.discount"][0])
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place (or -1), count and number of successors of each word as a context."""
@@ -176,30 +258,72 @@ class Shard:
         many[ok] = (self.pointers.get(i + 1) - self.pointers.get(i)).astype(np.int64)
         return at, count, many
 
-    def pairs(self, places: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        """The discounted probability of each successor; 0 where the pair isn't there."""
-        at = self.successors.find((places.astype(np.uint64) << np.uint64(LABEL_BITS)) | labels)
-        return np.where(at >= 0, 10.0 ** self.book[self.codes[np.maximum(at, 0)]], 0.0)
+    def _found(self, level: EliasFano, codes: str, owner: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place (or -1) and discounted count (or 0) of each successor of an owner (or of -1, which has none)."""
+        at = np.where(owner >= 0, level.find((np.maximum(owner, 0).astype(np.uint64) << np.uint64(LABEL_BITS)) | labels), -1)
+        if not level.n:
+            return at, np.zeros(len(at))
+        return at, np.where(at >= 0, 10.0 ** self.arrays[f"{codes}.book"][self.arrays[codes][np.maximum(at, 0)]], 0.0)
 
+    def successors(self, owner: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place, discounted count, count and number of successors of each pair."""
+        at, kept = self._found(self.pairs, "codes", owner, labels)
+        i = np.maximum(at, 0)
+        many = (self.pointers3.get(i + 1) - self.pointers3.get(i)).astype(np.int64) if self.pairs.n else np.zeros(len(at), np.int64)
+        return at, kept, np.where(at >= 0, kept + self.discount, 0.0), np.where(at >= 0, many, 0)
 
-def fit(docs: DataFrame, root: str, text_col: str = "text") -> dict[str, int]:
+    def last(self, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """The discounted count of each triple."""
+        return self._found(self.triples, "codes3", owner, labels)[1]
+
+
+def layout_of(docs: DataFrame) -> Layout:
+    """Shards by the bytes of docs (text), and the contexts that more than a quarter of a shard's share of tokens follow in a
+    sample by hash: fewer than four for each shard, whatever the corpus."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(tasks(spark), -(-size // SHARD_BYTES))
+    part = max(1, size // SAMPLE_BYTES)
+    low = F.translate("text", UPPER, LOWER)
+    words = docs.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select(F.explode(F.split(low, SPACES)).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    hot = [r["w"] for r in words.where(F.col("n") * (4 * shards) > total).select("w").collect()]
+    return Layout(shards, np.array([_hash(START), *(_hash(w.encode()) for w in hot)], np.uint64))
+
+
+def fit(docs: DataFrame, root: str, text_col: str = "text") -> dict:
     """Count docs and write the trie under root; gives its totals."""
     spark = docs.sparkSession
     small_batches(spark)
-    shards = tasks(spark)
+    docs = docs.select(F.col(text_col).cast("string").alias("text"))
+    layout = layout_of(docs)
 
     def build(key, g):
         import pandas as pd
 
-        parts = [_unblock(x) for x in g["block"]]
+        parts, base = [], 0
+        for block in g["block"]:
+            x = list(_unblock(block))
+            x[3] = x[3] + base
+            base += len(x[0])
+            parts.append(x)
         arrays = levels(*(np.concatenate(x) for x in zip(*parts)))
+        known, total, many = (arrays.pop(k) for k in ("known", "total", "many"))
         Store(root).write(f"trie/{key[0]:06d}.bin", _file(arrays))
-        n, total, pairs = arrays["totals"].tolist()
-        return pd.DataFrame({"shard": [key[0]], "contexts": [n], "tokens": [total], "pairs": [pairs]})
-
-    blocks = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counter(shards), "shard int, block binary")
-    made = stored(blocks.repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard int, contexts long, tokens long, pairs long"), f"{root}/made").collect()  # a row for each shard
-    meta = {"shards": shards, "made": sorted(r["shard"] for r in made), "tokens": sum(r["tokens"] for r in made), "words": sum(r["contexts"] for r in made), "pairs": sum(r["pairs"] for r in made)}
+        hot = layout.is_hot(known)
+        rows = {"shard": [key[0]], "contexts": [int((~hot).sum())], "tokens": [int(total.sum())], "hot": [known[hot].view(np.int64).tolist()], "counts": [total[hot].tolist()], "mass": [(many[hot] * float(arrays["codes.discount"][0])).tolist()]}
+        del arrays, parts
+        release_memory()
+        return pd.DataFrame(rows)
+
+    blocks = docs.mapInArrow(_counter(layout), "shard int, block binary")
+    made = stored(blocks.repartition(layout.shards, "shard").groupBy("shard").applyInPandas(build, "shard int, contexts long, tokens long, hot array<long>, counts array<long>, mass array<double>"), f"{root}/made")
+    hot = made.select(F.explode(F.arrays_zip("hot", "counts", "mass")).alias("x")).groupBy("x.hot").agg(F.sum("x.counts").alias("n"), F.sum("x.mass").alias("mass")).collect()  # fewer than four for each shard
+    rows = made.select("shard", "contexts", "tokens").collect()  # one for each shard
+    meta = {
+        "shards": layout.shards, "layout": [int(x) for x in layout.hot], "made": sorted(r["shard"] for r in rows), "tokens": sum(r["tokens"] for r in rows), "words": sum(r["contexts"] for r in rows) + len(hot),
+        "hot": [[r["hot"], r["n"], r["mass"]] for r in hot],
+    }
     Store(root).write("meta.json", [json.dumps(meta).encode()])
     return meta
 
@@ -211,8 +335,8 @@ class Trie:
         self.store, self.shards = Store(root), {}
         with self.store.open("meta.json") as f:
             self.meta = json.loads(bytes(f.read()))
-        self.made, n = set(self.meta["made"]), self.meta["shards"]
-        self.bounds = np.array([(k << HASH_BITS) // n for k in range(n)], np.uint64)
+        self.made, self.layout = set(self.meta["made"]), Layout(self.meta["shards"], np.array(self.meta["layout"], np.uint64))
+        self.hot = {int(np.int64(h).view(np.uint64)): (n, mass) for h, n, mass in self.meta["hot"]}
         self.floor = self.meta["tokens"] + 0.5 * (self.meta["words"] + 1)
 
     def _shard(self, k: int) -> Shard:
@@ -220,35 +344,58 @@ class Trie:
             self.shards[k] = Shard(self.store.mapped(f"trie/{k:06d}.bin"))
         return self.shards[k]
 
+    def _words(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each word, and the mass that it leaves to the next shorter context (1 where it is unknown)."""
+        count, mass = np.zeros(len(known), np.int64), np.zeros(len(known))
+        shard, hot = self.layout.of_word(known), self.layout.is_hot(known)
+        first = _runs(shard)
+        for i, z in zip(first.tolist(), [*first[1:].tolist(), len(known)]):
+            if shard[i] in self.made:
+                s = self._shard(int(shard[i]))
+                _, count[i:z], many = s.words(known[i:z])
+                mass[i:z] = s.discount * many
+        for i in np.flatnonzero(hot).tolist():
+            count[i], mass[i] = self.hot.get(int(known[i]), (0, 0.0))
+        return count, np.divide(mass, count, out=np.ones(len(known)), where=count > 0)
+
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """n_tokens, n_known, base_score and score of each text."""
-        known, tokens, ends = read_tokens(texts)
-        starts = np.concatenate(([0], ends[:-1]))
-        before = _contexts(known, tokens, ends)
-        pairs, back = np.unique(before * len(known) + tokens, return_inverse=True)
-        ctx, word = np.divmod(pairs, len(known))
-        place, count, many = (np.full(len(known), x, np.int64) for x in (-1, 0, 0))
-        found, discount = np.zeros(len(pairs)), np.zeros(len(known))
-        cut = np.append(np.searchsorted(known, self.bounds), len(known))
-        rows = np.searchsorted(ctx, cut)
-        for k in range(len(self.bounds)):
-            a, z = cut[k], cut[k + 1]
-            if a < z and k in self.made:
-                s = self._shard(k)
-                place[a:z], count[a:z], many[a:z] = s.words(known[a:z])
-                discount[a:z] = s.discount
-                own = rows[k] + np.flatnonzero(place[ctx[rows[k]:rows[k + 1]]] >= 0)
-                found[own] = s.pairs(place[ctx[own]], known[word[own]] >> np.uint64(HASH_BITS - LABEL_BITS))
+        x = Counts(texts)
+        known = x.known
+        count, share = self._words(known)
         # As a token, the end occurs as often as the start does as a context.
         start, end = np.searchsorted(known, np.array([_hash(START), _hash(END)], np.uint64))
         occurs = count.copy()
         occurs[end], occurs[start] = count[start], 0
         p1 = (occurs + 0.5) / self.floor
-        share = np.divide(discount * many, count, out=np.ones(len(known)), where=count > 0)
-        pair = np.log10(found + share[ctx] * p1[word])
+        labels = known >> _LOW
+        pairs, triples = len(x.a), len(x.pair)
+        kept2, count2, many2, kept3, rest3 = np.zeros(pairs), np.zeros(pairs), np.zeros(pairs, np.int64), np.zeros(triples), np.ones(triples)
+        shard = self.layout.of_pair(known[x.a], known[x.b])
+        order, order3 = np.argsort(shard, kind="stable"), np.argsort(shard[x.pair], kind="stable")
+        cut, cut3 = (np.searchsorted(v, np.arange(self.layout.shards + 1)) for v in (shard[order], shard[x.pair][order3]))
+        place = np.full(pairs, -1, np.int64)
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            if k not in self.made:
+                continue
+            s, own, own3 = self._shard(k), order[cut[k]:cut[k + 1]], order3[cut3[k]:cut3[k + 1]]
+            ctx, back = np.unique(x.a[own], return_inverse=True)
+            place[own], kept2[own], count2[own], many2[own] = s.successors(s.contexts.find(known[ctx])[back], labels[x.b[own]])
+            if len(own3):
+                pair = x.pair[own3]
+                kept3[own3] = s.last(place[pair], labels[x.w[own3]])
+                rest3[own3] = s.discount3 * many2[pair]
+        total = count[x.a]
+        p2 = np.divide(kept2, total, out=np.zeros(pairs), where=total > 0) + share[x.a] * p1[x.b]
+        below = p2[x.of[x.at[x.first]]] if triples else np.zeros(0)
+        whole = count2[x.pair]
+        seen = (whole > 0) & (many2[x.pair] > 0)
+        p3 = np.where(seen, np.divide(kept3 + rest3 * below, whole, out=np.zeros(triples), where=whole > 0), below)
+        logs = np.log10(p2)[x.of]
+        logs[x.at] = np.log10(p3)[x.triple_of]
         return {
-            "n_tokens": ends - starts, "n_known": np.add.reduceat((occurs > 0)[tokens].astype(np.int64), starts),
-            "base_score": np.add.reduceat(np.log10(p1)[tokens], starts), "score": np.add.reduceat(pair[back], starts),
+            "n_tokens": x.ends - x.starts, "n_known": np.add.reduceat((occurs > 0)[x.tokens].astype(np.int64), x.starts),
+            "base_score": np.add.reduceat(np.log10(p1)[x.tokens], x.starts), "score": np.add.reduceat(logs, x.starts),
         }
 
 
