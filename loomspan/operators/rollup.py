@@ -44,3 +44,26 @@ def momentum(rows: DataFrame, by: list[str], period: str, value: str, whole: str
     both = rows.withColumn("_p", before).join(was, [*by, "_p"], "left")
     points = score(F.col(value), F.col(whole)) - score(F.col("previous"), F.col("_w"))
     return both.withColumn("change", F.col(value) - F.col("previous")).withColumn("points", points).drop("_p", "_w")
+
+
+def full(claims: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rollup of one period: slot, tool, active (distinct origins), units (the most of each origin, summed), denominator of the
+    slot (distinct origins, or the units of all its claims where its basis is units), score, name (the one most claims use, the least of
+    equals), purposes (the number of distinct ones), ever (distinct origins of changes in the period). claims: slot, tool, origin,
+    units, basis, name, purpose; changes: tool, origin."""
+    per = claims.groupBy("slot", "tool", "origin", "basis").agg(F.max("units").alias("u"))
+    rows = per.groupBy("slot", "tool", "basis").agg(F.count("*").alias("active"), F.sum("u").alias("units"))
+    whole = claims.groupBy("slot", "basis").agg(F.countDistinct("origin").alias("o"), F.sum("units").alias("all_units"))
+    votes = claims.groupBy("slot", "tool", "name").agg(F.count("*").alias("n")).groupBy("slot", "tool").agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("name"))
+    purposes = claims.groupBy("slot", "tool").agg(F.countDistinct("purpose").alias("purposes"))
+    ever = changes.groupBy("tool").agg(F.countDistinct("origin").alias("ever"))
+    out = rows.join(whole, ["slot", "basis"]).join(votes, ["slot", "tool"]).join(purposes, ["slot", "tool"]).join(ever, "tool", "left")
+    base = F.when(F.col("basis") == "units", F.col("all_units")).otherwise(F.col("o"))
+    part = F.when(F.col("basis") == "units", F.col("units")).otherwise(F.col("active"))
+    return out.select("slot", "tool", "active", "units", base.alias("denominator"), score(part, base).alias("score"), "name", "purposes", F.coalesce("ever", F.lit(0)).alias("ever"))
+
+
+def one_per_tool(rows: DataFrame, home: DataFrame) -> DataFrame:
+    """Of several rows of a tool (slot, tool, active) the one with the larger count, then that of its home slot, then of the lesser slot."""
+    both = rows.join(home.select("tool", F.col("slot").alias("_home")), "tool", "left")
+    return both.groupBy("tool").agg(F.max_by(F.struct("slot", "active"), F.struct("active", F.coalesce(F.col("slot") == F.col("_home"), F.lit(False)), F.transform(F.split("slot", ""), lambda c: -F.ascii(c)))).alias("x")).select("tool", "x.*")

@@ -38,19 +38,37 @@ def overlap_pairs(spark: SparkSession, root: str) -> DataFrame:
     return both.select(F.col("name_a").alias("left_types"), F.col("name_b").alias("right_types"), F.size(F.array_intersect("types_a", "types_b")).alias("shared"), pairs.alias("pairs")).where("pairs > 0")
 
 
-@query("""
-WITH u AS (SELECT DISTINCT user_id, event_type FROM events),
-c AS (SELECT a.event_type AS s, b.event_type AS t, count(*) AS n FROM u a JOIN u b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY ALL HAVING count(*) >= 2)
+_USES = "u AS (SELECT DISTINCT user_id, event_type FROM events), m AS (SELECT c_custkey, c_mktsegment FROM customer)"
+
+
+@query(f"""
+WITH {_USES}, c AS (SELECT a.event_type AS s, b.event_type AS t, count(*) AS n FROM u a JOIN u b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY ALL HAVING count(*) >= 2)
 SELECT 'tool:' || event_type AS source, 'kind:event' AS target, 'is_a' AS relation, count(*) AS members FROM u GROUP BY event_type
-UNION ALL SELECT 'tool:' || s, 'tool:' || t, 'co_used_with', n FROM c
+UNION ALL SELECT 'tool:' || s, 'tool:' || t, 'co_used_with', n FROM c UNION ALL SELECT 'member:' || user_id, 'tool:' || event_type, 'uses', 1 FROM u
+UNION ALL SELECT 'tool:' || event_type, 'case:' || c_mktsegment, 'used_for', count(*) FROM u JOIN m ON c_custkey = user_id GROUP BY ALL
 """)
 def usage_graph(spark: SparkSession, root: str) -> DataFrame:
-    """Edges of the usage graph: types and their kind, and types used by the same two users or more."""
+    """Edges of the usage graph: tools and their kind, tools used by the same two members or more, members and tools, tools and purposes."""
     u = table(spark, root, "events").select("user_id", "event_type").distinct()
-    kinds = u.groupBy("event_type").agg(F.count("*").alias("members")).select(F.concat(F.lit("tool:"), "event_type").alias("source"), F.lit("kind:event").alias("target"), F.lit("is_a").alias("relation"), "members")
+    tool, cases = F.concat(F.lit("tool:"), "event_type"), table(spark, root, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    kinds = u.groupBy("event_type").agg(F.count("*").alias("members")).select(tool.alias("source"), F.lit("kind:event").alias("target"), F.lit("is_a").alias("relation"), "members")
+    # Pairs come from a member's set of tools, which is as short as tools have kinds.
     pairs = topics.cooccurrence(u, "user_id", "event_type", 2)
     used = pairs.select(F.concat(F.lit("tool:"), "left_slug").alias("source"), F.concat(F.lit("tool:"), "right_slug").alias("target"), F.lit("co_used_with").alias("relation"), F.col("shared").alias("members"))
-    return kinds.unionByName(used)
+    own = u.select(F.concat(F.lit("member:"), F.col("user_id").cast("string")).alias("source"), tool.alias("target"), F.lit("uses").alias("relation"), F.lit(1).cast("long").alias("members"))
+    purpose = u.join(cases, "user_id").groupBy(tool.alias("source"), F.concat(F.lit("case:"), "c_mktsegment").alias("target")).agg(F.count("*").alias("members")).select("source", "target", F.lit("used_for").alias("relation"), "members")
+    return kinds.unionByName(used).unionByName(own).unionByName(purpose)
+
+
+@query(f"""
+WITH {_USES} SELECT 'tool:' || event_type AS id, 'tool' AS kind FROM u UNION SELECT 'kind:event', 'category' UNION SELECT 'member:' || user_id, 'member' FROM u UNION SELECT 'case:' || c_mktsegment, 'case' FROM m
+""")
+def usage_nodes(spark: SparkSession, root: str) -> DataFrame:
+    """Nodes of the usage graph, each once: tools, their kind, members, purposes."""
+    u = table(spark, root, "events").select("user_id", "event_type")
+    node = lambda df, prefix, c, kind: df.select(F.concat(F.lit(prefix), F.col(c).cast("string")).alias("id"), F.lit(kind).alias("kind"))
+    every = node(u, "tool:", "event_type", "tool").union(node(u, "member:", "user_id", "member")).union(node(table(spark, root, "customer"), "case:", "c_mktsegment", "case"))
+    return every.union(spark.range(1).select(F.lit("kind:event"), F.lit("category"))).dropDuplicates(["id"])
 
 
 @query("""

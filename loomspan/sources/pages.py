@@ -9,13 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.sources.html import attribute, decoded_all, without_scripts
+
 #: Elements whose text isn't read, and those that aren't part of a page's main text.
 SILENT, AROUND = frozenset({"script", "style", "noscript", "template"}), frozenset({"nav", "header", "footer", "aside"})
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """page_id, href for each link, in the page's order."""
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), 1)).alias("href"))
+    """page_id, href for each link, in the page's order, quoted in any way or not; links in scripts and comments aren't any."""
+    bare = F.regexp_replace(without_scripts(F.col("html")), r"(?s)<!--.*?-->", " ")
+    tags = F.filter(F.regexp_extract_all(bare, F.lit(r"(?is)<a\b([^>]*)>"), 1), lambda a: a.rlike(r"(?i)\bhref\s*="))
+    return pages.select("page_id", F.explode(decoded_all(F.transform(tags, lambda a: attribute(a, "href")))).alias("href"))
 
 
 class _Regions(HTMLParser):
