@@ -43,4 +43,4 @@ def adoption_daily(spark: SparkSession, root: str) -> DataFrame:
 
 def load() -> None:
     """Register all queries of the package."""
-    from loomspan.plans import activity, catalogs, extracts, general, graphs, history, labels, network, observations, rules, texts  # noqa: F401
+    from loomspan.plans import activity, catalogs, extracts, general, graphs, history, labels, network, observations, rules, texts, views  # noqa: F401
