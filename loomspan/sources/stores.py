@@ -24,8 +24,8 @@ def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append_events(spark: SparkSession, events: DataFrame, path: str, key: str, at: str) -> None:
-    """Add events to a log by period, each id once. Only periods that get rows are read and written anew."""
-    rows = events.withColumn("period", F.date_format(at, "yyyy-MM")).dropDuplicates([key])
+    """Add events to a log by period, each id once; those without a time have a period of their own. Only periods that get rows are read."""
+    rows = events.withColumn("period", F.coalesce(F.date_format(at, "yyyy-MM"), F.lit("none"))).dropDuplicates([key])
     if exists(spark, path):
         periods = rows.select("period").distinct()
         known = spark.read.schema(rows.schema).parquet(path).join(periods, "period", "left_semi")
