@@ -19,9 +19,12 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (one machine, as in tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session on one machine (as in tests) gets a folder
+    of our own; on a cluster there is none to guess."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"{tempfile.gettempdir()}/loomspan-shared"
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():

@@ -112,12 +112,13 @@ class Model:
         return language, min(1.0, mix[language])
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from the texts and non-null languages of docs."""
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, id_col: str = "doc_id") -> Model:
+    """Learn from the texts and non-null languages of docs. Where docs has no id_col, the text alone draws the sample."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    name = [F.col(id_col).cast("string")] if id_col in docs.columns else []
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(3), F.col(text_col).cast("string"), *name).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
     share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    drawn = rows.join(F.broadcast(share), "lang").where((F.shiftrightunsigned(F.xxhash64(F.lit(3), "text"), 11).cast("double") / F.lit(float(1 << 53))) < F.col("share"))
+    drawn = rows.join(share, "lang").where((F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))) < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}

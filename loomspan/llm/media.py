@@ -1,12 +1,13 @@
 """Media columns: payloads kept as images in archive files, behind a Spark data source of our own.
 
 A payload (UTF-8 text padded with zero bytes to a multiple of 64) is stored as the 8-bit grey samples of a PNG, 64 samples in
-a row, rows unfiltered. An archive file holds members one after the other, then a directory (an Arrow stream: id, offset,
-length, CRC-32, unpadded size) and a fixed footer that says where the directory is. The folder's _archives.json, written when the whole job
+a row, rows unfiltered. An archive file holds members one after the other, then a directory in blocks (Arrow streams: id, offset,
+length, CRC-32, unpadded size), one for the members that start in each RANGE_BYTES of the file, then a short list of the blocks
+and a fixed footer that says where that list is. The folder's _archives.json, written when the whole job
 commits, names the archives that count, so files of failed attempts don't.
 
-Reading: the driver sees names and sizes only, and plans byte ranges over them. A task reads its archive's directory, takes
-the members that start in its range, streams them in batches of bounded size, and checks each against its CRC; one that fails
+Reading: the driver sees names and sizes only, and plans byte ranges over them. A task reads the blocks of the directory
+that its range needs, takes the members that start in it, streams them in batches of bounded size, and checks each against its CRC; one that fails
 is read again by its own offset, the file opened anew, before the task is given up.
 
 Defined results: a null or empty text is 64 zero bytes; null and repeated doc_ids are kept as they are; an empty table gives
@@ -36,8 +37,8 @@ from loomspan.sources.tables import table
 WIDTH = 64
 #: Bytes of an archive that one partition reads, and attempts for each member.
 RANGE_BYTES, ATTEMPTS = 32 << 20, 3
-#: The file signature of PNG; our footer is the directory's offset and length, then a mark.
-SIGNATURE, MARK, FOOTER = b"\x89PNG\r\n\x1a\n", b"LOOMARC1", struct.Struct("<QQ8s")
+#: The file signature of PNG; our footer is the offset and length of the list of blocks, then a mark.
+SIGNATURE, MARK, FOOTER = b"\x89PNG\r\n\x1a\n", b"LOOMARC2", struct.Struct("<QQ8s")
 LIST = "_archives.json"
 
 
@@ -118,7 +119,8 @@ def read_member(store: Store, name: str, offset: int, length: int, crc: int, att
     raise error
 
 
-def directory(store: Store, name: str) -> pa.Table:
+def directory(store: Store, name: str, start: int = 0, end: int | None = None) -> pa.Table:
+    """The entries of an archive's members that start in [start, end): only the blocks that hold them are read."""
     with store.open(name) as f:
         f.seek(0, 2)
         f.seek(f.tell() - FOOTER.size)
@@ -126,7 +128,15 @@ def directory(store: Store, name: str) -> pa.Table:
         if mark != MARK:
             raise ValueError(f"{name} is no archive")
         f.seek(at)
-        return pa.ipc.open_stream(bytes(f.read(n))).read_all()
+        blocks, parts = json.loads(bytes(f.read(n))), []
+        for k, (low, block, size) in enumerate(blocks):
+            if (end is None or low < end) and (k + 1 == len(blocks) or blocks[k + 1][0] > start):
+                f.seek(block)
+                parts.append(pa.ipc.open_stream(bytes(f.read(size))).read_all())
+        rows = pa.concat_tables(parts)
+        offset = rows["offset"].to_numpy()
+        a = int(np.searchsorted(offset, start))
+        return rows.slice(a, (len(rows) if end is None else int(np.searchsorted(offset, end))) - a)
 
 
 class _Reader(DataSourceReader):
@@ -142,9 +152,7 @@ class _Reader(DataSourceReader):
         if not partition.name:
             return
         store, held = Store(self.root), {}
-        own = directory(store, partition.name)
-        at = own["offset"].to_numpy()
-        own = own.slice(a := int(np.searchsorted(at, partition.start)), int(np.searchsorted(at, partition.end)) - a)
+        own = directory(store, partition.name, partition.start, partition.end)
         rows, media, size = 0, [], 0
         for o, n, c in zip(own["offset"].to_pylist(), own["length"].to_pylist(), own["crc"].to_pylist()):
             media.append(read_member(store, partition.name, o, n, c, held=held))
@@ -179,14 +187,22 @@ class _Writer(DataSourceArrowWriter):
                 entries.append(pa.RecordBatch.from_arrays([b.column(0), pa.array(offsets), pa.array(lengths), pa.array([zlib.crc32(x) for x in media], pa.int64()), b.column(1)], names=["id", "offset", "length", "crc", "n_bytes"]))
                 at += int(lengths.sum())
                 yield from media
-            sink = pa.BufferOutputStream()
+            place, blocks = at, []
             if entries:
-                with pa.ipc.new_stream(sink, entries[0].schema) as w:
-                    for e in entries:
-                        w.write_batch(e)
-            index = sink.getvalue().to_pybytes()
+                rows = pa.Table.from_batches(entries)
+                block = rows["offset"].to_numpy() // RANGE_BYTES
+                first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(rows) else np.zeros(1, np.int64)
+                for a, z in zip(first.tolist(), [*first[1:].tolist(), len(rows)]):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, rows.schema) as w:
+                        w.write_table(rows.slice(a, z - a))
+                    data = sink.getvalue().to_pybytes()
+                    blocks.append([int(block[a]) * RANGE_BYTES if len(rows) else 0, place, len(data)])
+                    place += len(data)
+                    yield data
+            index = json.dumps(blocks).encode()
             yield index
-            yield FOOTER.pack(at, len(index), MARK)
+            yield FOOTER.pack(place, len(index), MARK)
 
         Store(self.root).write(name, parts())
         return _Written(name, at, sum(len(e) for e in entries))
@@ -254,7 +270,7 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def op10_media_archive(spark: SparkSession, root: str) -> DataFrame:
-    """documents as images in archives in the shared folder, read back by byte ranges."""
+    """All documents as images in archives in the shared folder, read back by byte ranges; null texts count as empty ones."""
     spark.dataSource.register(MediaArchive)
     at = work_folder(spark, "media")
     to_media(table(spark, root, "documents")).write.format("media_archive").mode("append").option("path", at).save()

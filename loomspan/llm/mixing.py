@@ -9,8 +9,8 @@ the copies taken), copies expected are summed along that order, one random offse
 emitted once for each integer that the sum crosses. A source may hold most rows: its documents are numbered in buckets of
 (size, hash bits) with the counts of the buckets before, never in one task.
 
-Defined results: a null or empty text has size 0 and takes nothing; null sources are one source, the last; null doc_ids and
-repeated rows count like any other. An empty table gives no rows; a source without words has target 0. The same seed and
+Defined results: a null or empty text has size 0 and takes nothing; null sources are one source, the last; rows with a
+null doc_id stand by their text; repeated rows count like any other. An empty table gives no rows; a source without words has target 0. The same seed and
 rows give the same mix.
 """
 
@@ -46,10 +46,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGE
     """doc_id, size, source_size, target, copies, taken for each row; columns named in carry come along in a struct named row."""
     text = F.col(text_col).cast("string")
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source_col).cast("string").alias("source"),
+        F.col(id_col).alias("doc_id"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source_col).cast("string").alias("source"), F.md5(text.cast("binary")).alias("t"),
         *([F.struct(*carry).alias("row")] if carry else []),
     ).withColumn("s", source_key(F.col("source")))
-    rows = rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))).withColumn("b", F.substring("h", 1, 2))
+    rows = rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("t"), F.lit(""))).cast("binary"))).withColumn("b", F.substring("h", 1, 2))
     counts = rows.groupBy("s", "source", "size", "b").agg(F.count("*").alias("n"))
     level = targets(counts.groupBy("s", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, budget, limit)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "s").cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGE
     smaller = counts.groupBy("s", "size").agg(F.sum("n").alias("n")).select("s", "size", F.coalesce(F.sum("n").over(run("s").orderBy("size")), F.lit(0)).alias("smaller"))
     beside = counts.select("s", "size", "b", F.coalesce(F.sum("n").over(run("s", "size").orderBy("b")), F.lit(0)).alias("beside"))
     before = beside.join(smaller, ["s", "size"]).select("s", "size", "b", (F.col("smaller") + F.col("beside")).alias("before"))
-    placed = rows.drop("source").join(before, ["s", "size", "b"]).withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("s", "size", "b").orderBy("h", "doc_id")))
+    placed = rows.drop("source").join(before, ["s", "size", "b"]).withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("s", "size", "b").orderBy("h", "doc_id", "t")))
     crossed = F.floor(F.col("i") * F.col("e") + F.col("u")) - F.floor((F.col("i") - 1) * F.col("e") + F.col("u"))
     out = placed.join(level, "s").withColumn("copies", crossed).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select("doc_id", "size", "source_size", "target", "copies", "taken", *(["row"] if carry else []))
@@ -72,7 +72,7 @@ def op8_systematic_mix(spark: SparkSession, root: str) -> DataFrame:
 
 OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS s, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-             md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+             md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')) AS h FROM documents),
 z AS (SELECT s, source, sum(size) AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap FROM z),
 r AS (SELECT *, cap / weight AS ratio, (1.5 * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))

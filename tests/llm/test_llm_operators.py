@@ -486,6 +486,19 @@ def test_media(spark, docs, rows, none):
         p = b + bytes(-len(b) % 64 if b else 64)
         want[r[0], len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
     assert Counter((g["doc_id"], g["n_bytes"], g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) for g in got) == want
+    same = defaultdict(set)
+    for r in got:
+        same[r["payload_sha256"]].add((r["media_bytes"], r["media_sha256"], r["feature"]))
+    assert all(len(x) == 1 for x in same.values())
+    for r in rows:
+        # Each stored form is an image of these samples, and the feature is that of its cells.
+        b = (r[1] or "").encode()
+        p = b + bytes(-len(b) % 64 if b else 64)
+        png = media.to_png(p)
+        x = np.frombuffer(p, np.uint8).reshape(-1, 64).astype(float)
+        cells = [x[i * len(x) // 8:(i + 1) * len(x) // 8, j * 8:j * 8 + 8] for i in range(8) for j in range(8)]
+        bits = "".join(str(int(c.size and c.mean() > x.mean() + 1e-9)) for c in cells)
+        assert same[hashlib.sha256(p).hexdigest()] == {(len(png), hashlib.sha256(png).hexdigest(), f"{len(x)}x64:{int(x.mean())}:{int(bits, 2):016x}")}
     for r in got:
         assert r["media_bytes"] > 0 and re.fullmatch(r"\d+x64:\d+:[0-9a-f]{16}", r["feature"])
     empty = work_folder(spark, "a")
@@ -493,6 +506,24 @@ def test_media(spark, docs, rows, none):
     assert spark.read.format("media_archive").option("path", empty).load().count() == 0
 
 
+def test_directory_blocks(spark, tmp_path, monkeypatch):
+    """Ranges of any size give each member once, whatever blocks the directory has; very long members and clashing names too."""
+    monkeypatch.setattr(media, "RANGE_BYTES", 700)
+    writer = media._Writer({"path": str(tmp_path)}, spark.createDataFrame([], "doc_id long, n_bytes long, media binary").schema, False)
+    members = [bytes([k]) * n for k, n in enumerate([10, 5000, 1, 699, 700, 701, 0, 20] * 4)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([len(m)], pa.int64()), pa.array([m])], names=["doc_id", "n_bytes", "media"]) for k, m in enumerate(members)]
+    done = writer.write(iter(batches))
+    store = Store(str(tmp_path))
+    assert media.directory(store, done.name)["id"].to_pylist() == list(range(len(members)))
+    for step in (100, 700, 1500, 10**6):
+        got = [i for a in range(0, done.size + 1, step) for i in media.directory(store, done.name, a, a + step)["id"].to_pylist()]
+        assert got == list(range(len(members)))
+    long = spark.createDataFrame([(1, "x y " * 200_000, "m"), (2, None, "n")], "doc_id long, text string, media string")
+    at = work_folder(spark, "a")
+    media.to_media(long).write.format("media_archive").mode("append").option("path", at).save()
+    assert sorted((r["doc_id"], r["n_bytes"]) for r in spark.read.format("media_archive").option("path", at).load().collect()) == [(1, 800_000), (2, 0)]
+
+
 def test_member_is_read_again(tmp_path):
     store, data = Store(str(tmp_path)), b"abcdefgh" * 10
     store.write("a.arc", [data])

@@ -65,6 +65,40 @@ def test_mix_repeats_rows(spark, docs):
     assert out.columns == docs.columns and Counter(r["doc_id"] for r in out.collect()) == +want
 
 
+def test_decontaminated_keeps_the_rest(spark, docs, rows, tmp_path):
+    leak = rows[15][1].split()[45:80]
+    leak[4], leak[20] = "zz", "yy"
+    spark.createDataFrame([(1, " ".join(leak)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = p.decontaminated(spark, docs, str(tmp_path))
+    gone = Counter(r[0] for r in rows) - Counter(r["doc_id"] for r in out.collect())
+    assert out.columns == docs.columns and gone == Counter(r[0] for r in rows if " ".join(rows[15][1].split()[45:49]) in (r[1] or ""))
+
+
+def test_token_ids(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    from loomspan.llm import token_store
+
+    t, out = Tokenizer.from_file(token_store.default_tokenizer()), p.token_ids(spark, docs, ROOT).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in out) == Counter((r[0], len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in rows)
+    assert p.token_ids(spark, docs.limit(0), ROOT).count() == 0
+
+
+def test_run_is_its_stages(spark, docs, none, tmp_path):
+    """run() on documents equals the stages one after the other; on an empty table it gives nothing."""
+    spark.createDataFrame([(1, "some words of a benchmark that nobody copied at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    step = docs
+    for _, stage in p.STAGES:
+        step = stage(spark, step, str(tmp_path))
+    pick = lambda df: Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in df.collect())
+    got = pick(p.run(spark, str(tmp_path)))
+    assert got == pick(step) and sum(got.values()) > 10
+    none.write.mode("overwrite").parquet(f"{tmp_path}/e/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/e/benchmark.parquet")
+    assert p.run(spark, f"{tmp_path}/e").count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(ROOT), reason="needs the test tables")
 @pytest.mark.parametrize("name", [n for n in registry.queries() if n in registry.oracles()])
 def test_sql(spark, name):
