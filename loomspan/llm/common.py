@@ -6,6 +6,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,20 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def blocks(batches: Iterator, column: int, most: int) -> Iterator:
+    """The rows of Arrow batches, in runs of at most this many bytes of column, or of one row where that is longer."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        size = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        done, a = np.cumsum(size), 0
+        while a < len(size):
+            z = max(a + 1, int(np.searchsorted(done, done[a] - size[a] + most, "right")))
+            yield b.slice(a, z - a)
+            a = z
+
+
 def release_memory() -> None:
     """Give freed memory back to the system, where the C library can."""
     import ctypes

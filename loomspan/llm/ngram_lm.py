@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import LOWER, SPACES, UPPER, Store, release_memory, small_batches, stored, tasks, work_folder
+from loomspan.llm.common import LOWER, SPACES, UPPER, Store, blocks, release_memory, small_batches, stored, tasks, work_folder
 from loomspan.llm.elias_fano import EliasFano
 from loomspan.llm.langid import held_out
 from loomspan.sources.tables import table
@@ -47,6 +47,8 @@ from loomspan.sources.tables import table
 HASH_BITS, LABEL_BITS = 56, 40
 #: Text of a shard; text of the sample in which hot contexts are looked for.
 SHARD_BYTES, SAMPLE_BYTES = 24 << 20, 32 << 20
+#: Bytes of texts that are counted or scored at a time; bytes of files that a scoring task keeps mapped between these.
+BLOCK_BYTES, MAPPED_BYTES = 3 << 20, 128 << 20
 #: Stand for a text's start (a context only) and its end (a token): no word has a space.
 START, END = b" start", b" end"
 _SEQUENCES = ("contexts", "counts", "pointers", "pairs", "pointers3", "triples")
@@ -89,6 +91,11 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
 
 
+def _by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
+    """The order of rows by shard; few shards are sorted by their digits."""
+    return np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+
+
 class Counts:
     """A batch's distinct pairs (a, b: places in known; c: counts) and triples (pair: place in them, w: the next word, n: counts),
     and for each token its pair and, past a text's first, its triple."""
@@ -159,13 +166,11 @@ def _unblock(data: bytes) -> tuple[np.ndarray, ...]:
 
 def _counter(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in blocks(batches, 0, BLOCK_BYTES):
             x = Counts(batch.column(0))
             a, b = x.known[x.a], x.known[x.b]
             shard = layout.of_pair(a, b)
-            order = np.lexsort((np.arange(len(a)), shard))
+            order = _by_shard(shard, layout.shards)
             place = np.empty(len(a), np.int64)
             place[order] = np.arange(len(a))
             by_pair = np.argsort(place[x.pair], kind="stable")
@@ -332,7 +337,7 @@ class Trie:
     """All files of a trie; each is mapped when it is first needed."""
 
     def __init__(self, root: str):
-        self.store, self.shards = Store(root), {}
+        self.store, self.shards, self.mapped = Store(root), {}, 0
         with self.store.open("meta.json") as f:
             self.meta = json.loads(bytes(f.read()))
         self.made, self.layout = set(self.meta["made"]), Layout(self.meta["shards"], np.array(self.meta["layout"], np.uint64))
@@ -341,9 +346,15 @@ class Trie:
 
     def _shard(self, k: int) -> Shard:
         if k not in self.shards:
-            self.shards[k] = Shard(self.store.mapped(f"trie/{k:06d}.bin"))
+            data = self.store.mapped(f"trie/{k:06d}.bin")
+            self.shards[k], self.mapped = Shard(data), self.mapped + len(data)
         return self.shards[k]
 
+    def unmap(self) -> None:
+        """Let go of the files, if they are many bytes: pages that a task touched count as its memory."""
+        if self.mapped > MAPPED_BYTES:
+            self.shards, self.mapped = {}, 0
+
     def _words(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count of each word, and the mass that it leaves to the next shorter context (1 where it is unknown)."""
         count, mass = np.zeros(len(known), np.int64), np.zeros(len(known))
@@ -372,7 +383,7 @@ class Trie:
         pairs, triples = len(x.a), len(x.pair)
         kept2, count2, many2, kept3, rest3 = np.zeros(pairs), np.zeros(pairs), np.zeros(pairs, np.int64), np.zeros(triples), np.ones(triples)
         shard = self.layout.of_pair(known[x.a], known[x.b])
-        order, order3 = np.argsort(shard, kind="stable"), np.argsort(shard[x.pair], kind="stable")
+        order, order3 = _by_shard(shard, self.layout.shards), _by_shard(shard[x.pair], self.layout.shards)
         cut, cut3 = (np.searchsorted(v, np.arange(self.layout.shards + 1)) for v in (shard[order], shard[x.pair][order3]))
         place = np.full(pairs, -1, np.int64)
         for k in np.flatnonzero(np.diff(cut)).tolist():
@@ -407,11 +418,13 @@ def score(docs: DataFrame, root: str, text_col: str = "text", keep: list[str] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(root)
-        for b in batches:
-            if b.num_rows:
-                got = trie.score(b.column(0))
-                n = np.full(b.num_rows, trie.meta["tokens"], np.int64)
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got["n_tokens"]), pa.array(got["n_known"]), pa.array(n), pa.array(got["base_score"]), pa.array(got["score"])], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for b in blocks(batches, 0, BLOCK_BYTES):
+            got = trie.score(b.column(0))
+            trie.unmap()
+            n = np.full(b.num_rows, trie.meta["tokens"], np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got["n_tokens"]), pa.array(got["n_known"]), pa.array(n), pa.array(got["base_score"]), pa.array(got["score"])], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        del trie
+        release_memory()
 
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_tokens long, n_known long, train_tokens long, base_score double, score double"]))
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Store, drop_folder, release_memory, small_batches, stored, tasks, work_folder
+from loomspan.llm.common import Store, blocks, drop_folder, release_memory, small_batches, stored, tasks, work_folder
 
 #: Ids in a chunk: least, on average past that, most.
 LEAST, MEAN, MOST = 256, 1024, 8192
@@ -203,17 +203,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of batches, in runs of at most this many bytes of column, or of one row where that is longer."""
-    for b in batches:
-        size = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        done, a = np.cumsum(size), 0
-        while a < len(size):
-            z = max(a + 1, int(np.searchsorted(done, done[a] - size[a] + most, "right")))
-            yield b.slice(a, z - a)
-            a = z
-
-
 def cuts(ids: np.ndarray, ends: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[list[int]]:
     """For each document (ids up to each of ends), where its chunks end. A cut depends on the 16 ids before it and on the
     distance to the cut before; it never looks across a document's start."""
@@ -276,7 +265,7 @@ def _packer(root: str, tokenizer: str, end_id: int, schema: pa.Schema):
         held: list[bytes] = []
         size, pack, row = 0, 0, part << 33
         name = f"{part:06d}-{pack:03d}"
-        for b in blocks(batches, 1):
+        for b in blocks(batches, 1, BLOCK_BYTES):
             flat, ends = enc.encode(b.column(1), end_id)
             data, w = flat.tobytes(), enc.dtype.itemsize
             digests, packs, starts, lengths, sizes, per, a = [], [], [], [], [], [], 0
