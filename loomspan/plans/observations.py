@@ -112,7 +112,16 @@ def evidence_confidence(spark: SparkSession, root: str) -> DataFrame:
     return ranking.first_per(rows, ["l_partkey"], [F.desc("confidence"), F.col("l_orderkey"), F.col("l_linenumber")]).select("l_partkey", "l_orderkey", "confidence")
 
 
-@query()
+@query(f"""
+WITH e AS (SELECT CAST(source AS VARCHAR) AS s, CAST(target AS VARCHAR) AS t FROM ({_EDGES})), w0 AS (SELECT DISTINCT s AS start, s AS "at", CAST([] AS VARCHAR[]) AS used FROM e),
+j0 AS (SELECT w.start, w."at", w.used, e.s, e.t, e.s || '>' || e.t AS edge, e.t IS NOT NULL AND NOT list_contains(w.used, e.s || '>' || e.t) AS free FROM w0 w LEFT JOIN e ON e.s = w."at"),
+w1 AS (SELECT start, CASE WHEN free THEN t ELSE "at" END AS "at", CASE WHEN free THEN list_append(used, edge) ELSE used END AS used FROM j0 QUALIFY row_number() OVER (PARTITION BY start ORDER BY free DESC, md5('5:' || edge), edge) = 1),
+j1 AS (SELECT w.start, w."at", w.used, e.s, e.t, e.s || '>' || e.t AS edge, e.t IS NOT NULL AND NOT list_contains(w.used, e.s || '>' || e.t) AS free FROM w1 w LEFT JOIN e ON e.s = w."at"),
+w2 AS (SELECT start, CASE WHEN free THEN t ELSE "at" END AS "at", CASE WHEN free THEN list_append(used, edge) ELSE used END AS used FROM j1 QUALIFY row_number() OVER (PARTITION BY start ORDER BY free DESC, md5('6:' || edge), edge) = 1),
+j2 AS (SELECT w.start, w."at", w.used, e.s, e.t, e.s || '>' || e.t AS edge, e.t IS NOT NULL AND NOT list_contains(w.used, e.s || '>' || e.t) AS free FROM w2 w LEFT JOIN e ON e.s = w."at"),
+w3 AS (SELECT start, CASE WHEN free THEN t ELSE "at" END AS "at", CASE WHEN free THEN list_append(used, edge) ELSE used END AS used FROM j2 QUALIFY row_number() OVER (PARTITION BY start ORDER BY free DESC, md5('7:' || edge), edge) = 1)
+SELECT start, "at" AS "end", array_to_string(used, ' ') AS path FROM w3
+""")
 def link_trail(spark: SparkSession, root: str) -> DataFrame:
     """A walk of three links from each nation, no link twice."""
     e = _edges(spark, root).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))
