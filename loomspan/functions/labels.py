@@ -61,3 +61,14 @@ def person_of_domain(domain: Column, reserved: tuple[str, ...] = RESERVED) -> Co
     parts = F.split(F.regexp_replace(F.lower(F.trim(domain)), r"\.$", ""), r"\.")
     good = (F.size(parts) == 3) & F.forall(parts, lambda p: p.rlike("^[a-z]{2,24}$")) & ~F.get(parts, F.lit(0)).isin(*reserved) & ~F.get(parts, F.lit(1)).isin(*reserved)
     return F.when(good, F.initcap(F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))))
+
+
+def person_of_intro(text: Column, domain: Column) -> Column:
+    """The name of two or three words in `I'm …`, `I am …` or `My name is …` at a sentence's start, if the host's first label is that
+    name written together; null otherwise."""
+    pattern = r"(?:^|[.!?]\s+)(?i:I['’]m|I am|My name is)\s+(\p{L}[\p{L}'’-]*(?:\s+\p{L}[\p{L}'’-]*){1,2}?)(?=\s*[.,:;!?]|\s|$)"
+    three = pattern.replace("{1,2}?", "{2}")
+    own = F.regexp_replace(F.lower(F.split(F.regexp_replace(domain, r"^www\.", ""), r"\.")[0]), "[^a-z0-9]", "")
+    fits = lambda n: (n != "") & (F.regexp_replace(F.lower(n), r"[^\p{L}]", "") == own)
+    names = [F.regexp_extract(squeezed(text), p, 1) for p in (three, pattern)]
+    return F.coalesce(*(F.when(fits(n) & n.rlike(r"^\p{Lu}"), n) for n in names))

@@ -137,3 +137,36 @@ def migrated(rows: DataFrame, version: str, steps: dict[tuple[int, int], object]
             passed.add(at)
         out = own if out is None else out.unionByName(own)
     return rows.where("false") if out is None else out
+
+
+#: Outcomes of a look that failed; coverage and outcomes that prove something.
+FAILED = ("timeout", "http_failure", "network_failure", "dns_failure", "tls_failure", "deferred", "robots_disallowed", "budget_exhausted")
+
+
+def removals(observations: DataFrame, policies: DataFrame, source: str, family: str) -> DataFrame:
+    """source, may_remove, reason: whether looks at a source (outcome, coverage, found: why it was looked at) may remove it by the policy
+    of its family (family, meaning, feeds: whether looks at feeds prove absences)."""
+    rows = observations.join(policies, family, "left")
+    complete = (F.col("coverage") == "complete") & F.col("outcome").isin("success", "unchanged")
+    proves = (F.col("coverage") == "complete") & (F.col("outcome") == "success") & (F.coalesce("feeds", F.lit(True)) | ~F.coalesce(F.col("found"), F.lit("")).rlike("(?i)feed|rss|atom"))
+    g = rows.groupBy(source).agg(F.bool_or(F.col("outcome").isin(*FAILED)).alias("failed"), F.bool_and(F.coalesce(complete, F.lit(False))).alias("complete"), F.bool_or(F.coalesce(proves, F.lit(False))).alias("proves"), F.max("meaning").alias("meaning"))
+    meaning = F.coalesce("meaning", F.lit("none"))
+    reason = F.when(F.col("failed"), "failed-or-incomplete-fetch").when(~F.col("complete"), "incomplete-coverage").when(~F.col("proves"), "policy-rejects-absence").otherwise(F.concat(F.when(meaning == "none", "disappearance-means-").otherwise("disappearance-"), meaning))
+    return g.select(source, (reason == "disappearance-removal").alias("may_remove"), reason.alias("reason"))
+
+
+def request_view(states: DataFrame, families: DataFrame, site: str) -> DataFrame:
+    """site, requests, categories of open requests (site, category, request) by the primary of their site's family."""
+    own = families.select(F.col("secondary").alias(site), F.col("primary").alias("_p"))
+    rows = states.join(own, site, "left").withColumn(site, F.coalesce("_p", site))
+    return rows.groupBy(site).agg(F.countDistinct("request").alias("requests"), F.countDistinct(F.lower("category")).alias("categories"))
+
+
+def migration_report(claims: DataFrame) -> DataFrame:
+    """part, n of classified claims (origin, name, stored, tool, role): merged (an observed id that has a tool now), compounds (names
+    joined by and or with), and what each role holds."""
+    part = F.array(
+        F.when((F.col("role") == "ranked") & F.col("stored").startswith("observed:") & F.col("tool").isNotNull(), "merged"), F.when(F.col("name").rlike(r"(?i)\b(and|with)\b"), "compounds"),
+        F.when(F.col("role") == "ranked", "slots").when(F.col("role") == "detail", "details").when(F.col("role") == "rejected", "rejected").otherwise("unsorted"),
+    )
+    return claims.select(F.explode(F.filter(part, lambda x: x.isNotNull())).alias("part")).groupBy("part").agg(F.count("*").alias("n"))

@@ -150,3 +150,33 @@ def use_items(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     b = b.select(key, "n", tx.label(label).alias("label"), F.regexp_extract("text", split, 2).alias("context"), F.substring_index("section", " / ", -1).alias("section"), uses.status(F.concat_ws(" ", "section", "text")).alias("status"), "href", "text")
     good = (F.col("label") != "") & ~uses.is_sentence(F.col("label")) & ~uses.is_article(F.col("label")) & (F.col("status") != "unspecified") & ~((F.lower("label") == F.lower("section")) & (F.col("context") == ""))
     return b.where(good).select(key, "n", "label", "context", "section", "status", "href", uses.purposes(F.concat_ws(" ", "section", "context")).alias("purposes"))
+
+
+def requests(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
+    """key, n, description, title, categories, url of listings marked as wanted (h-listing with p-action); those without a description go."""
+    block = r"""(?is)<(\w+)\b[^>]*class=["'][^"']*\bh-listing\b[^"']*["'][^>]*>(.*?)</\1>"""
+    rows, b = pages.select(key, url, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(block), 2)).alias("n", "b")), F.col("b")
+    plain = lambda name: tx.extracted(F.regexp_replace(F.regexp_extract(b, _inner(name), 1), r"<[^>]+>", " "))
+    cats = F.transform(F.regexp_extract_all(b, F.lit(_inner("p-category")), 1), lambda c: tx.squeezed(F.regexp_replace(c, r"<[^>]+>", " ")))
+    out = rows.where(F.lower(plain("p-action")) == "wanted").select(key, "n", F.substring(F.coalesce(F.nullif(plain("p-description"), F.lit("")), plain("e-description")), 1, tx.SUMMARY).alias("description"), plain("p-name").alias("title"), cats.alias("categories"), F.col(url).alias("url"))
+    return out.where("description <> ''")
+
+
+def albums(pages: DataFrame, key: str, html: str, url: str, mark: str = "album-in-list-link") -> DataFrame:
+    """key, url, title of marked album links within the page's own site, each address once, titled by their first span, else by their picture."""
+    both = F.arrays_zip(F.regexp_extract_all(F.col(html), F.lit(rf"""(?is)<a\b([^>]*\bclass=["']?[^"'>]*{mark}[^>]*)>.*?</a>"""), 1).alias("a"), F.regexp_extract_all(F.col(html), F.lit(rf"""(?is)<a\b[^>]*\bclass=["']?[^"'>]*{mark}[^>]*>(.*?)</a>"""), 1).alias("i"))
+    rows = pages.select(key, url, F.posexplode(both).alias("n", "x"))
+    inner = F.col("x.i")
+    title = F.coalesce(F.nullif(tx.extracted(F.regexp_replace(F.regexp_extract(inner, r"(?is)<span[^>]*>(.*?)</span>", 1), r"<[^>]+>", " ")), F.lit("")), tx.extracted(attribute(F.regexp_extract(inner, r"(?is)<img\b([^>]*)>", 1), "alt")))
+    out = rows.select(key, "n", urls.same_resource(F.col(url), F.nullif(attribute(F.col("x.a"), "href"), F.lit(""))).alias("u"), title.alias("t"), F.col(url).alias("p"))
+    return out.where((urls.origin(F.col("u")) == urls.origin(F.col("p"))) & (F.col("t") != "")).groupBy(key, F.col("u").alias("url")).agg(F.min_by("t", "n").alias("title"))
+
+
+def children(links: DataFrame, key: str, page: str, href: str, most: int = 200) -> DataFrame:
+    """key, url: the pages of its own site that an index page (page) links to (links: key, page, n, href), each once, the first `most`; not
+    the index itself and no static files."""
+    from loomspan.operators.ranking import capped
+
+    rows = links.withColumn("url", urls.without_fragment(urls.same_resource(F.col(page), F.col(href))))
+    good = (urls.origin(F.col("url")) == urls.origin(F.col(page))) & (urls.path(F.col("url")) != urls.path(F.col(page))) & ~urls.path(F.col("url")).rlike(r"(?i)\.(css|js|jpe?g|png|gif|webp|avif|svg|ico|pdf|zip|mp3|mp4|webm|woff2?)$")
+    return capped(rows.where(good).groupBy(key, "url").agg(F.min("n").alias("n")), [key], [F.col("n")], most).select(key, "url")
