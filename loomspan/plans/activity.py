@@ -161,7 +161,7 @@ def round_robin(spark: SparkSession, root: str) -> DataFrame:
 
 @query(r"""
 WITH p AS (SELECT page_id, regexp_extract(lower(url), '^https?://([^/?#]+)', 1) AS host, regexp_replace(url, '[?#].*$', '') AS bare,
-  trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '<[^>]+>', ' ', 'g'), '[^\p{L}\p{N}\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages),
+  trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '<[^>]+>', ' ', 'g'), '[^\p{L}\p{N}\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages),
 k AS (SELECT page_id, CASE WHEN t <> '' THEN host || chr(31) || t END AS a, host || chr(31) || bare AS b FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY page_id) AS na, row_number() OVER (PARTITION BY b ORDER BY page_id) AS nb FROM k)
 SELECT page_id FROM r WHERE (a IS NULL OR na = 1) AND nb = 1

@@ -182,7 +182,7 @@ def page_meta(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(r"""
-SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading,
+SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '\s+', ' ', 'g')), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)', 1), '\s+', ' ', 'g')), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading,
  CAST(len(regexp_extract_all(html, '<a href=')) AS INT) AS links, false AS noindex FROM pages
 """)
 def page_outline(spark: SparkSession, root: str) -> DataFrame:

@@ -92,9 +92,9 @@ def html_links(spark: SparkSession, root: str) -> DataFrame:
 
 @query(r"""
 WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', ' ', 'g'), '(?s)<title>.*?</title>', ' ', 'g') AS b FROM pages)
-SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
- trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(b, '(?s)<nav>.*?</nav>|<footer>.*?</footer>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS main,
- trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(array_to_string(regexp_extract_all(b, '(?s)<nav>.*?</nav>|<footer>.*?</footer>'), ' '), '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS around FROM b
+SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+ trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(b, '(?s)<nav>.*?</nav>|<footer>.*?</footer>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS main,
+ trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(array_to_string(regexp_extract_all(b, '(?s)<nav>.*?</nav>|<footer>.*?</footer>'), ' '), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS around FROM b
 """)
 def html_regions(spark: SparkSession, root: str) -> DataFrame:
     """Title, language and visible text of pages, from a parser."""
