@@ -10,7 +10,8 @@ slices of the fractional rank), sum those counts, and number rows within buckets
 Texts aren't moved unless asked for in carry.
 
 Defined results: a null text has no bytes; null sources are one source; null doc_ids and repeated rows are ranked like any
-other, ties falling to rows that are equal in all that is returned. An empty table gives no rows. With fewer rows than
+other, ties falling to rows that are equal in all that is returned (rows of equal id and text share a bucket). Equal texts under
+different ids aren't kept together: they are spread like any others. An empty table gives no rows. With fewer rows than
 shards, some shards are empty.
 """
 
@@ -64,6 +65,6 @@ def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 7, **names
 
 
 def op7_interleaved_shards(spark: SparkSession, root: str) -> DataFrame:
-    """documents in shards 0 to 39, by the law of even row counts."""
+    """All documents in shards 0 to 39, by the law of even row counts; null texts have size 16."""
     out = interleave(table(spark, root, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -111,6 +111,16 @@ def test_shards(spark, docs, rows, none):
         n = sum(r[3] == s for r in rows)
         assert all(abs(of[k, s] - n / 4) < 2 for k in range(4))
     assert multi(sharding.interleave(docs, 4)) == multi(sharding.interleave(docs.repartition(7), 4))
+    # The placement, from ranks over whole sources and the whole table.
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    t = docs.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), sharding.source_key(F.col("source")).alias("s"))
+    t = t.withColumn("h", F.xxhash64(F.lit(7), "doc_id", "text_crc32", "size"))
+    rank, n = F.row_number().over(Window.partitionBy("s").orderBy(F.expr("shiftrightunsigned(h, 52)"), "h", "doc_id")), F.count("*").over(Window.partitionBy("s"))
+    plain = sorted(t.withColumn("f", (rank - sharding.unit(F.concat(F.lit("7:"), "s"))) / n).collect(), key=lambda r: (r["f"], r["h"], r["s"]))
+    want = Counter((r["doc_id"], k * 4 // len(plain), k - -(-(k * 4 // len(plain)) * len(plain) // 4)) for k, r in enumerate(plain))
+    assert Counter((g["doc_id"], g["shard"], g["slot"]) for g in got) == want
     assert sharding.interleave(none, 4).count() == 0
 
 
@@ -326,6 +336,48 @@ def test_languages(spark, none):
     assert langid.predict(rows, model, keep=rows.columns).columns == [*rows.columns, "lang_pred", "score"]
 
 
+def test_mixtures_equal_plain_inference(spark, none):
+    """Proportions and the chosen set against EM in plain loops over the same probabilities; odd texts, ties and clashing names."""
+    r = random.Random(8)
+    sounds = {"aa": ["ka", "ro", "mi"], "bb": ["the", "ing", "er"], "cc": ["sch", "ung", "ei"]}
+    make = lambda lang, n: " ".join("".join(r.choice(sounds[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(k, make(lang, 60), lang) for lang in sounds for k in range(25)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "bb", "cc"]
+
+    def em(at, c, langs, pi):
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * len(langs)
+            for b, n in zip(at, c):
+                total = sum(q * model.p[b, k] for q, k in zip(pi, langs))
+                for j, k in enumerate(langs):
+                    new[j] += n * pi[j] * model.p[b, k] / total
+            pi = [x / sum(new) for x in new]
+        return pi, sum(n * math.log(sum(q * model.p[b, k] for q, k in zip(pi, langs))) for b, n in zip(at, c))
+
+    for text in [make("aa", 30), make("aa", 30) + " " + make("bb", 20), make("bb", 9) + " " + make("cc", 9), make("aa", 20) + " " + make("bb", 20) + " " + make("cc", 20), "ka"]:
+        at, c = (x.tolist() for x in langid.trigrams(text))
+        single = [sum(n * math.log(model.p[b, k]) for b, n in zip(at, c)) for k in range(3)]
+        chosen, best, pi = [max(range(3), key=lambda k: (single[k], -k))], max(single), [1.0]
+        whole, _ = em(at, c, [0, 1, 2], [1 / 3] * 3)
+        for k in sorted(range(3), key=lambda k: -whole[k]):
+            if k not in chosen:
+                w = max(whole[k], 0.05)
+                more, ll = em(at, c, [*chosen, k], [q * (1 - w) for q in pi] + [w])
+                if ll - best <= langid.PENALTY * math.log(1 + sum(c)):
+                    break
+                chosen, best, pi = [*chosen, k], ll, more
+        assert model.proportions(text) == pytest.approx({model.languages[k]: q for k, q in zip(chosen, pi)}, abs=1e-9), text
+    assert len(model.proportions(make("aa", 30) + " " + make("bb", 30))) == 2
+    odd = [(1, None, "x", 1.0), (2, "", "x", 1.0), (3, "12 !?", "x", 1.0), (4, "schung " * 200_000, "x", 1.0), (4, "schung " * 200_000, "x", 1.0), (None, "therer", "x", 1.0)]
+    df = spark.createDataFrame(odd, "doc_id long, text string, lang string, p double")
+    got = langid.predict(df, model, keep=["doc_id", "p"]).collect()
+    assert [(g["doc_id"], g["lang_pred"]) for g in got] == [(1, "und"), (2, "und"), (3, "und"), (4, "cc"), (4, "cc"), (None, "bb")] and got[3] == got[4] and all(0 <= g["score"] <= 1 for g in got)
+    same = langid.Model(["aa", "bb"], np.ones((langid.BUCKETS, 2)))
+    assert same.predict("any words at all")[0] == "aa"
+    assert langid.predict(none, model, keep=["doc_id"]).count() == 0 and langid.fit(none).predict("words") == ("und", 0.0)
+
+
 # Personal data
 
 _EMAIL, _IPX, _CARDX, _PHONEX = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
