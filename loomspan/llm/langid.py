@@ -118,7 +118,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     name = [F.col(id_col).cast("string")] if id_col in docs.columns else []
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(3), F.col(text_col).cast("string"), *name).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
     share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    drawn = rows.join(share, "lang").where((F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))) < F.col("share"))
+    few = share.count() * 64 <= 48 << 20  # a row for each language
+    drawn = rows.join(F.broadcast(share) if few else share, "lang").where((F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))) < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
