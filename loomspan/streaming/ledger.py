@@ -24,6 +24,11 @@ def base_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A new name in the shared folder."""
+    return f"{base_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+
+
 def source(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table's files as a stream."""
     path = f"{root.rstrip('/')}/{name}.parquet"
@@ -56,7 +61,7 @@ def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
 
 def daily_active(spark: SparkSession, root: str) -> DataFrame:
     """What the stream has counted once it has read all files of events."""
-    folder = f"{base_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    folder = new_folder(spark, "stream")
     run(counted(source(spark, root, "events")), folder, "update")
     return latest(spark, folder, ["day", "event_type"])
 
