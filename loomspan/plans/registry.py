@@ -43,4 +43,4 @@ def adoption_daily(spark: SparkSession, root: str) -> DataFrame:
 
 def load() -> None:
     """Register all queries of the package."""
-    from loomspan.plans import activity, catalogs, extracts, general, generations, graphs, history, labels, network, observations, people, rules, streams, texts, trees, views  # noqa: F401
+    from loomspan.plans import activity, catalogs, extracts, general, generations, graphs, history, labels, network, observations, people, rules, sites, streams, texts, trees, views  # noqa: F401
