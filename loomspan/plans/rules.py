@@ -72,7 +72,7 @@ def slug_rules(spark: SparkSession, root: str) -> DataFrame:
 WITH s AS (SELECT p_partkey, p_type, unnest(['Web Maps', 'a/b', 'THE', '  Rivers &amp; Lakes ', '7', '']) AS raw, unnest(['rss:category', 'meta:keywords', 'schema:keywords', 'nlp', 'tfidf_x', 'my_own:source']) AS source FROM part)
 SELECT p_partkey, raw, CASE raw WHEN 'Web Maps' THEN raw WHEN '  Rivers &amp; Lakes ' THEN 'Rivers & Lakes' ELSE '' END AS label, CASE raw WHEN 'Web Maps' THEN 'web-maps' WHEN '  Rivers &amp; Lakes ' THEN 'river-lake' END AS slug,
  source IN ('rss:category', 'schema:keywords') AS eligible, source IN ('meta:keywords', 'schema:keywords') AS discovery,
- CASE source WHEN 'rss:category' THEN 'RSS category' WHEN 'meta:keywords' THEN 'Keywords' WHEN 'schema:keywords' THEN 'Schema keywords' WHEN 'my_own:source' THEN 'my own source' ELSE 'Published content' END AS source_label FROM s
+ CASE WHEN source IN ('nlp', 'tfidf_x') THEN 'text' ELSE regexp_replace(source, '[_:-]+', ' ', 'g') END AS source_label FROM s
 """)
 def topic_evidence(spark: SparkSession, root: str) -> DataFrame:
     """Raw labels as topic evidence: label, slug, and what their source is worth."""
@@ -128,7 +128,7 @@ WITH x AS (SELECT p_partkey, p_size, ['photograph', 'game', 'project', 'article'
 k AS (SELECT *, CASE t WHEN 'photograph' THEN 'photography' WHEN 'presentation' THEN 'talks' WHEN 'podcast_episode' THEN 'podcasts' WHEN 'game' THEN CASE p_size % 4 WHEN 0 THEN 'apps' WHEN 2 THEN 'software' ELSE 'games' END
   WHEN 'project' THEN CASE p_size % 4 WHEN 0 THEN 'apps' WHEN 1 THEN 'books' WHEN 2 THEN 'software' ELSE 'project' END WHEN 'collection' THEN CASE p_size % 4 WHEN 0 THEN 'apps' WHEN 1 THEN 'books' WHEN 2 THEN 'software' ELSE 'project' END ELSE 'other' END AS kind FROM x),
 d AS (SELECT *, p_size % 10 = 9 AND t <> 'presentation' AS stale, p_size % 5 = 0 AS portfolio, p_size % 50 AS age FROM k)
-SELECT p_partkey, kind, CASE kind WHEN 'photography' THEN 'Photography' WHEN 'talks' THEN 'Talks & Presentations' WHEN 'podcasts' THEN 'Podcasts and live streams' WHEN 'apps' THEN CASE WHEN p_size % 2 = 1 THEN 'App' ELSE 'Apps' END WHEN 'books' THEN CASE WHEN p_size % 2 = 1 THEN 'Book' ELSE 'Books' END
+SELECT p_partkey, kind, CASE kind WHEN 'photography' THEN 'Photography' WHEN 'talks' THEN CASE WHEN p_size % 2 = 1 THEN 'Talk' ELSE 'Talks' END WHEN 'podcasts' THEN CASE WHEN p_size % 2 = 1 THEN 'Podcast' ELSE 'Podcasts' END WHEN 'apps' THEN CASE WHEN p_size % 2 = 1 THEN 'App' ELSE 'Apps' END WHEN 'books' THEN CASE WHEN p_size % 2 = 1 THEN 'Book' ELSE 'Books' END
   WHEN 'games' THEN CASE WHEN p_size % 2 = 1 THEN 'Game' ELSE 'Games' END WHEN 'project' THEN CASE WHEN p_size % 2 = 1 THEN 'Project' ELSE 'Projects' END WHEN 'software' THEN 'Software' ELSE 'Other' END AS label,
  NOT stale AND (t NOT IN ('article', '') OR portfolio) AS durable, (NOT stale AND (t NOT IN ('article', '') OR portfolio)) OR age <= 14 AS shown, NOT stale AND (t NOT IN ('article', '') OR portfolio OR age <= 30) AS cached, CASE WHEN p_size % 6 = 0 THEN 'photograph' ELSE t END AS typed FROM d
 """)
@@ -171,7 +171,7 @@ def claim_windows(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'linked to' WHEN 1 THEN 'linked to' WHEN 2 THEN 'credits' WHEN 3 THEN 'replied to' ELSE 'other' END AS relation, CASE WHEN c_custkey % 3 = 0 THEN 'Assessed Uses page' ELSE 'odd' END AS reason, CASE c_custkey % 4 WHEN 0 THEN 'affirmed' WHEN 1 THEN 'declined' WHEN 2 THEN 'undeclared' END AS identity,
+SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'links to' WHEN 1 THEN 'links to' WHEN 2 THEN 'thanks' WHEN 3 THEN 'answers' ELSE 'other' END AS relation, CASE WHEN c_custkey % 3 = 0 THEN 'read, counts' ELSE 'odd' END AS reason, CASE c_custkey % 4 WHEN 0 THEN 'affirmed' WHEN 1 THEN 'declined' WHEN 2 THEN 'undeclared' END AS identity,
  c_custkey % 10 < 5 OR c_custkey % 10 < 0.3 * (c_custkey % 40) OR c_custkey % 40 = 0 AS early, CASE WHEN c_custkey % 2 = 0 THEN 'Ada Byron' END AS person FROM customer
 """)
 def label_rules(spark: SparkSession, root: str) -> DataFrame:

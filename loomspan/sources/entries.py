@@ -148,7 +148,7 @@ def use_items(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     split = r"^(.*?)(?:\s[-–—]\s|:\s|\s\()(.*?)\)?$"
     label = F.when(F.col("text").rlike(split), F.regexp_extract("text", split, 1)).otherwise(F.col("text"))
     b = b.select(key, "n", tx.label(label).alias("label"), F.regexp_extract("text", split, 2).alias("context"), F.substring_index("section", " / ", -1).alias("section"), uses.status(F.concat_ws(" ", "section", "text")).alias("status"), "href", "text")
-    good = (F.col("label") != "") & ~uses.is_sentence(F.col("label")) & ~uses.is_article(F.col("label")) & (F.col("status") != "unspecified") & ~((F.lower("label") == F.lower("section")) & (F.col("context") == ""))
+    good = (F.col("label") != "") & ~uses.is_sentence(F.col("label"), clean=True) & ~uses.is_article(F.col("label"), clean=True) & (F.col("status") != "unspecified") & ~((F.lower("label") == F.lower("section")) & (F.col("context") == ""))
     return b.where(good).select(key, "n", "label", "context", "section", "status", "href", uses.purposes(F.concat_ws(" ", "section", "context")).alias("purposes"))
 
 
