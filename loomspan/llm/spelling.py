@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import LOWER, UPPER, drop_folder, release_memory, small_batches, stored, work_folder
+from loomspan.llm.common import LOWER, UPPER, drop_folder, release_memory, small_batches, stored, tasks, work_folder
 from loomspan.sources.tables import table
 
 LEAST_LENGTH, LEAST_COUNT, FACTOR, EVERY, POWER = 5, 3, 2, 97, 5
 PRIME, BASE = (1 << 61) - 1, 1_000_003
 #: Words that a task counts before it hands them on; characters of a text that are cut into runs at a time.
 HELD, STRETCH = 400_000, 1 << 20
+#: Rows of forms in a file.
+ROWS = 500_000
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _BREAK = re.compile("[^A-Za-zÀ-ÿ]")
 _LOW = str.maketrans(UPPER, LOWER)
@@ -163,13 +165,14 @@ def near(known: DataFrame) -> DataFrame:
 
 def roots(forms: DataFrame, folder: str) -> DataFrame:
     """forms (id, form): id and the last of the forms that follow it. Each round doubles the steps that are known; counts at
-    least double along forms, so there are at most some six rounds."""
+    least double along forms, so there are at most some six rounds. Few rows are written as few files."""
     spark, k = forms.sparkSession, 0
-    now = stored(forms.select("id", F.col("form").alias("root")), f"{folder}/root0")
+    files = min(tasks(spark), 1 + forms.count() // ROWS)
+    now = stored(forms.select("id", F.col("form").alias("root")).coalesce(files), f"{folder}/root0")
     while True:
         step = now.select(F.col("id").alias("root"), F.col("root").alias("next"))
         k += 1
-        new = stored(now.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), f"{folder}/root{k}")
+        new = stored(now.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")).coalesce(files), f"{folder}/root{k}")
         if not new.where("moved").limit(1).count():
             return new.select("id", "root")
         now = new.select("id", "root")
@@ -184,13 +187,14 @@ def variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int
     rows = words(docs, least_length, least_count, every, id_col, text_col).mapInArrow(_keys, "word string, n long, key long, seq long")
     known = stored(rows.withColumn("id", F.unhex(F.md5(F.col("word").cast("binary")))), f"{folder}/words")
     links = stored(near(known), f"{folder}/links")
-    best = stored(links.groupBy("id").agg(F.sum("near").alias("n_near"), F.max(F.when(F.col("other_n") >= F.col("n") * factor, F.col("other_n"))).alias("form_n")), f"{folder}/best")
+    count = links.groupBy("id").agg(F.sum("near").alias("n_near"))
     name = known.select(F.col("id").alias("other"), F.col("word").alias("form"))
-    first = links.join(best, "id").where(F.col("other_n") == F.col("form_n")).select("id", "other").join(name, "other").groupBy("id").agg(F.min(F.struct("form", "other")).alias("x"))
-    forms = stored(first.select("id", "x.form", F.col("x.other").alias("next")), f"{folder}/forms")
+    # Only neighbours that may be a form need their names, which decide ties.
+    best = links.where(F.col("other_n") >= F.col("n") * factor).join(name, "other").groupBy("id").agg(F.min(F.struct((-F.col("other_n")).alias("m"), "form", "other")).alias("x"))
+    forms = stored(best.select("id", "x.form", F.col("x.other").alias("next"), (-F.col("x.m")).alias("form_n")), f"{folder}/forms")
     last = roots(forms.select("id", F.col("next").alias("form")), folder)
     named = last.join(name.withColumnRenamed("form", "root_word"), F.col("root") == F.col("other")).select("id", "root_word")
-    out = known.select("id", "word", "n").join(best, "id", "left").join(forms.select("id", "form"), "id", "left").join(named, "id", "left")
+    out = known.select("id", "word", "n").join(count, "id", "left").join(forms.drop("next"), "id", "left").join(named, "id", "left")
     return out.select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 
