@@ -1,10 +1,13 @@
-"""Topics: tf-idf, communities, co-occurrence, mentions, search."""
+"""Topics: tf-idf, those that texts suggest with their evidence, communities, co-occurrence, mentions, search."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import content
+from loomspan.functions import text as tx
+
 
 def tfidf(docs: DataFrame, doc: str, tokens: str, most: int) -> DataFrame:
     """slug, tf, df, value of the `most` weightiest tokens; value is tf / N * ln(1 + N / (1 + df)), N the documents with tokens. doc
@@ -18,6 +21,50 @@ def tfidf(docs: DataFrame, doc: str, tokens: str, most: int) -> DataFrame:
     return per.where("slug <> ''").crossJoin(F.broadcast(whole)).withColumn("value", value).drop("n").orderBy(F.desc("value"), "slug").limit(most)
 
 
+#: Topics of a site, pages that a topic cites, the least count of a word, the least value that stays by itself, pages from which
+#: on a share of them is a site's boilerplate.
+TOPICS, CITED, LEAST_COUNT, LEAST_VALUE, SITE_PAGES, BOILERPLATE = 200, 5, 2, 0.5, 8, 0.8
+
+
+def with_phrases(rows: DataFrame, sentence: str) -> DataFrame:
+    """rows with phrases: the words of a sentence that may name subjects, then its pairs of neighbours that are both such words. Each step
+    is a column of its own, so that none is worked out twice."""
+    rows = rows.withColumn("_raw", F.filter(F.split(F.regexp_replace(F.lower(sentence), r"[^a-z0-9\s-]", " "), r"\s+"), lambda w: w != ""))
+    good = lambda w: ~w.isin(*tx.STOPWORDS) & F.when(w.isin(*tx.AMBIGUOUS), tx.names_subject(F.col(sentence), w)).otherwise(F.length(w) > 2)
+    rows = rows.withColumn("_raw", F.transform("_raw", lambda w: F.when(good(w), w)))  # null where a word names nothing
+    n = F.greatest(F.size("_raw") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("_raw", F.lit(1), n), F.slice("_raw", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return rows.withColumn("phrases", F.array_compact(F.concat("_raw", pairs))).drop("_raw")
+
+
+def suggested(docs: DataFrame, site: str, doc: str, text: str, title: Column, most: int = TOPICS) -> DataFrame:
+    """site, slug, label, tf, df, value, boilerplate, contextual, accepted, reason, pages of the `most` weightiest topics that a site's
+    texts suggest. A topic stays if it occurs often enough, or in two pages, or in a title, or weighs enough. label is its first
+    phrase by document and place, pages the first CITED documents. Words are counted where they are read, then by (site, slug, document),
+    then by (site, slug); pages are cut to the first before they move. doc names a document once; null sites are one site."""
+    rows = docs.where(F.col(text) != "").select(F.col(site).alias("site"), F.col(doc).alias("doc"), F.col(text).alias("text"), title.alias("title"))
+    pages = rows.groupBy(F.col("site").alias("_of")).agg(F.count("*").alias("pages_n"))
+    named = F.transform(tx.content_tokens(F.col("title")), lambda t: tx.singular_slug(tx.slug(t)))
+    one = rows.select("site", "doc", named.alias("named"), F.posexplode(F.split("text", r"[.!?\n]+")).alias("s", "sentence"))
+    one = with_phrases(one, "sentence").select("site", "doc", "named", "s", F.posexplode("phrases").alias("p", "phrase"))
+    one = one.select("site", "doc", "named", F.struct("s", "p", "phrase").alias("at"), tx.singular_slug(tx.slug(F.col("phrase"))).alias("slug"))
+    per = one.groupBy("site", "slug", "doc").agg(F.count("*").alias("tf"), F.min("at").alias("at"), F.bool_or(F.array_contains("named", F.col("slug"))).alias("titled"))
+    per = per.where((F.length("slug") >= 3) & ~tx.is_artifact(F.col("slug")) & ~tx.is_no_subject(F.col("slug")))
+    g = per.groupBy("site", "slug").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"), F.min(F.struct("doc", "at")).alias("first"), F.bool_or("titled").alias("titled"))
+    g = g.join(F.broadcast(pages), F.col("site").eqNullSafe(F.col("_of"))).drop("_of")  # a row for each site
+    value = F.round(F.col("tf") / F.col("pages_n") * F.log(1 + F.col("pages_n") / (1 + F.col("df"))), 6)
+    label = F.col("first.at.phrase")
+    g = g.withColumn("label", label).withColumn("value", value).withColumn("boilerplate", (F.col("pages_n") >= SITE_PAGES) & (F.col("df") / F.col("pages_n") >= BOILERPLATE)).withColumn("contextual", label.contains(" ") | F.col("titled"))
+    g = g.where((F.col("tf") >= LEAST_COUNT) | (F.col("df") >= 2) | F.col("titled") | (F.col("value") >= LEAST_VALUE))
+    g = g.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("value"), "slug"))).where(F.col("rank") <= most)
+    accepted = ~F.col("boilerplate") & content.qualifies(F.col("slug"), F.col("df"), F.col("tf"), F.col("contextual"))
+    reason = F.when(accepted, "").otherwise(content.rejection(F.col("slug"), F.col("boilerplate"), F.col("contextual")))
+    cited = per.withColumn("k", F.row_number().over(Window.partitionBy("site", "slug").orderBy("doc"))).where(F.col("k") <= CITED).groupBy("site", "slug").agg(F.array_sort(F.collect_list("doc")).alias("pages"))
+    g = g.select(F.col("site").alias("_site"), F.col("slug").alias("_slug"), "label", "tf", "df", "value", "boilerplate", "contextual", accepted.alias("accepted"), reason.alias("reason"))
+    out = cited.join(g, F.col("site").eqNullSafe(F.col("_site")) & (F.col("slug") == F.col("_slug")))
+    return out.select(F.col("site").alias(site), "slug", "label", "tf", "df", "value", "boilerplate", "contextual", "accepted", "reason", "pages")
+
+
 def communities(rows: DataFrame, slug: str, site: str, declared: str, least: int = 2) -> DataFrame:
     """slug, members, declared: public with `least` members or any declaration."""
     per = rows.groupBy(slug, site).agg(F.max(F.col(declared).cast("int")).alias("d")).groupBy(slug).agg(F.count("*").alias("members"), (F.max("d") == 1).alias("declared"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.functions import content, times, urls
+from loomspan.functions import content, times, urls, uses
 from loomspan.functions import labels as lb
 from loomspan.functions import text as tx
 from loomspan.plans.registry import query
@@ -182,3 +182,31 @@ def label_rules(spark: SparkSession, root: str) -> DataFrame:
         "c_custkey", content.relation_label(rel).alias("relation"), content.coverage_reason(F.when(k % 3 == 0, "verified").otherwise("odd")).alias("reason"),
         content.declared_identity(F.when(k % 4 == 3, 2).otherwise(1), F.when(k % 4 == 0, True).when(k % 4 == 1, False)).alias("identity"), content.is_early(k % 10, k % 40).alias("early"), lb.person_of_domain(F.when(k % 2 == 0, "ada.byron.net").otherwise("docs.byron.net")).alias("person"),
     )
+
+
+def _holds(words: str) -> str:
+    """SQL: whether a label holds one of some words, as whole words."""
+    return rf"regexp_matches(t, '(?i)\b(?:{words})\b')".replace("it's", "it''s").replace("let's", "let''s")
+
+
+def _begins(words: str, then: str = r"\b") -> str:
+    return rf"regexp_matches(t, '(?i)^(?:{words}){then}')".replace("it's", "it''s").replace("let's", "let''s")
+
+
+@query(rf"""
+WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?\n]+')) AS raw FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, substr(trim(regexp_replace(regexp_replace(raw, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g')), 1, 120) AS t FROM s),
+n AS (SELECT doc_id, t, len(string_split(t, ' ')) AS n FROM t WHERE t <> ''),
+r AS (SELECT doc_id, {_begins(uses.OPENERS)} OR ({_begins(uses.SPEAKERS, r"\s+\S")} AND {_holds(uses.VERBS)}) OR {_begins(r"i\s+(?:am|was)")} OR (n >= 4 AND (contains(t, '..') OR contains(t, '…'))) OR (n >= 5 AND {_holds(uses.ASIDES)}) OR ({_holds("copilot")} AND {_holds("and yes|i have|occasionally|useful")}) AS sentence,
+ {_begins(r"top\s+\d+")} OR {_begins(rf"\d+\s+(?:{uses.COUNTED})")} OR (n >= 3 AND ({_begins(uses.ESSAYS)} OR regexp_matches(t, '(?i)\bvs(?:\b|\.\b)'))) OR (n >= 7 AND {_holds(uses.ESSAY_WORDS)}) OR {_begins(rf"the\s+(?:{uses.OF_THE})")} OR {_holds(uses.TURNS)} AS article,
+ regexp_matches(t, '(?i)\b(?:i (?:do not|don''t|dont) use|not using|never use|avoid(?:s|ing)?|formerly|used to use|no longer us(?:e|ing)|stopped using|replaced by|previous(?:ly)?|retired|considering|evaluating|thinking about|might (?:try|use)|looking at|wishlist|want(?:s|ed)? to (?:try|buy|get)|on my list|someday)\b') AS qualified FROM n)
+SELECT doc_id, count(*) AS labels, count(*) FILTER (WHERE sentence) AS sentences, count(*) FILTER (WHERE article) AS articles, count(*) FILTER (WHERE qualified) AS not_current FROM r GROUP BY doc_id
+""")
+def sentence_labels(spark: SparkSession, root: str) -> DataFrame:
+    """What the sentences of documents would be as labels of things used: how many read like talk or like titles, or tell another state
+    than a present use."""
+    d = table(spark, root, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", r"[.!?\n]+")).alias("raw"))
+    t = d.select("doc_id", tx.label(F.col("raw")).alias("t")).where("t <> ''")
+    c = F.col("t")
+    rows = t.select("doc_id", uses.is_sentence(c, clean=True).alias("sentence"), uses.is_article(c, clean=True).alias("article"), (uses.status(c) != "current").alias("qualified"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("labels"), F.count_if("sentence").alias("sentences"), F.count_if("article").alias("articles"), F.count_if("qualified").alias("not_current"))

@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions import content, urls
 from loomspan.functions import text as tx
-from loomspan.functions import urls
 from loomspan.operators import quality, ranking, topics
 from loomspan.plans.registry import query
 from loomspan.sources.pages import links, regions
@@ -232,3 +232,39 @@ def chart_shape(spark: SparkSession, root: str) -> DataFrame:
     s = table(spark, root, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
     share = F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("p_type"))).cast("bigint")
     return s.withColumn("share", share).groupBy("p_type").agg(F.collect_list("share").alias("s")).select("p_type", quality.chart_shape(F.col("s")).alias("shape"))
+
+
+_IN = lambda words: ", ".join(f"'{w}'" for w in words)
+_GOOD = rf"""NOT list_contains([{_IN(tx.STOPWORDS)}], w) AND CASE w WHEN 'go' THEN regexp_matches(s, '\bin Go\b|\bGolang\b|\bGo programming\b') WHEN 'rust' THEN regexp_matches(s, '\bin Rust\b|\bRust programming\b|\bRust language\b')
+ WHEN 'python' THEN regexp_matches(s, '\bin Python\b|\bPython programming\b') WHEN 'java' THEN regexp_matches(s, '\bin Java\b|\bJava programming\b') WHEN 'apple' THEN false WHEN 'windows' THEN false ELSE length(w) > 2 END"""
+_FOLD = rf"""CASE WHEN {{0}} IN ({_IN(tx.NO_PLURALS)}) OR length({{0}}) < 5 THEN {{0}} WHEN {{0}} LIKE '%ies' THEN substr({{0}}, 1, length({{0}}) - 3) || 'y' WHEN regexp_matches({{0}}, '(xes|zes|ches|shes|sses)$') THEN substr({{0}}, 1, length({{0}}) - 2)
+ WHEN {{0}} LIKE '%s' AND NOT regexp_matches({{0}}, '(ss|sis|us|is|as|os)$') THEN substr({{0}}, 1, length({{0}}) - 1) ELSE {{0}} END"""
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, source, text, regexp_extract(text, '[^.!?\n]+') AS title FROM documents WHERE text <> ''), n AS (SELECT source, count(*) AS pages_n FROM d GROUP BY 1),
+ti AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: length(w) > 2 AND NOT list_contains([{_IN(tx.STOPWORDS)}], w)),
+   lambda w: list_aggregate(list_transform(list_filter(string_split(rtrim(substr(trim(regexp_replace(w, '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), '-'), '-'), lambda v: v <> ''), lambda v: {_FOLD.format("v")}), 'string_agg', '-')) AS named FROM d),
+se AS (SELECT doc_id, source, unnest(regexp_split_to_array(text, '[.!?\n]+')) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?\n]+'), 1) AS k FROM d),
+ra AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(lower(s), '[^a-z0-9\s-]', ' ', 'g'), '\s+'), lambda w: w <> '') AS raw FROM se),
+fl AS (SELECT doc_id, source, k, list_filter(raw, lambda w: {_GOOD}) AS own, list_transform(range(1, greatest(len(raw), 1)), lambda i: [raw[i], raw[i + 1]]) AS near, s FROM ra),
+ph AS (SELECT doc_id, source, k, list_concat(own, list_transform(list_filter(near, lambda x: list_contains(own, x[1]) AND list_contains(own, x[2])), lambda x: x[1] || ' ' || x[2])) AS phrases FROM fl),
+w AS (SELECT doc_id, source, k, unnest(phrases) AS phrase, generate_subscripts(phrases, 1) AS p FROM ph),
+u AS (SELECT DISTINCT phrase FROM w),
+sl AS (SELECT phrase, list_aggregate(list_transform(list_filter(string_split(rtrim(substr(trim(regexp_replace(phrase, '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), '-'), '-'), lambda v: v <> ''), lambda v: {_FOLD.format("v")}), 'string_agg', '-') AS slug FROM u),
+ok AS (SELECT * FROM sl WHERE length(slug) >= 3 AND NOT regexp_matches(slug, '^(quot|x27|nbsp|amp|class|span|div|script|style)$|^(?:feeds?|keywords?|tags?)-|^class-|^\d{{4}}$|^\d{{4}}-') AND NOT (regexp_matches(slug, '\d') AND contains(slug, 'post')) AND NOT slug LIKE 'about-%'
+   AND NOT (contains(slug, '-') AND string_split(slug, '-')[1] IN ({_IN(tx.FILLERS)})) AND NOT len(list_filter(string_split(slug, '-'), lambda v: NOT (list_contains([{_IN(tx.STOPWORDS)}], v) OR regexp_matches(v, '^\d+$')))) = 0),
+per AS (SELECT source, slug, doc_id, count(*) AS tf, min((k, p, phrase)) AS pos FROM w JOIN ok USING (phrase) GROUP BY ALL),
+pt AS (SELECT per.*, list_contains(ti.named, slug) AS titled FROM per JOIN ti USING (doc_id)),
+g AS (SELECT source, slug, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df, min((doc_id, pos)) AS f, bool_or(titled) AS titled, list_sort(list(doc_id))[1:5] AS pages FROM pt GROUP BY ALL),
+v AS (SELECT g.*, f[2][3] AS label, round(tf / pages_n * ln(1 + pages_n / (1 + df)), 6) AS value, pages_n >= 8 AND df / pages_n >= 0.8 AS boilerplate FROM g JOIN n ON g.source IS NOT DISTINCT FROM n.source),
+x AS (SELECT *, contains(label, ' ') OR titled AS contextual FROM v WHERE tf >= 2 OR df >= 2 OR titled OR value >= 0.5 QUALIFY row_number() OVER (PARTITION BY source ORDER BY value DESC, slug) <= 200),
+y AS (SELECT *, slug IN ({_IN(content.SENSITIVE)}) AS sensitive FROM x), z AS (SELECT *, NOT boilerplate AND NOT sensitive AND contextual AND df >= 2 AND (tf >= 4 OR df >= 3) AS accepted FROM y)
+SELECT source, slug, label, tf, df, value, boilerplate, contextual, accepted, CASE WHEN accepted THEN '' WHEN boilerplate THEN 'site-boilerplate' WHEN sensitive THEN 'sensitive-attribute' WHEN NOT contextual THEN 'insufficient-context' ELSE 'low-subject-relevance' END AS reason, array_to_string(pages, ',') AS pages FROM z
+""")
+def suggested_topics(spark: SparkSession, root: str) -> DataFrame:
+    """The topics that the documents of each source suggest, why others don't count, and the first documents that hold them. A document's
+    title is its first sentence."""
+    docs = table(spark, root, "documents").select("doc_id", "source", "text")
+    rows = topics.suggested(docs, "source", "doc_id", "text", F.regexp_extract("text", r"[^.!?\n]+", 0))
+    return rows.withColumn("pages", F.array_join("pages", ","))
