@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -50,9 +51,17 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch may hold, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bound what one Arrow batch may hold, so that long texts don't fill a Python worker; a smaller bound that is set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).removesuffix("b")
+    spark.conf.set(key, str(min(most, int(now)) if now.isdigit() and int(now) > 0 else most))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nobody holds any more: Spark removes them when their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def tasks(spark: SparkSession) -> int:
