@@ -11,11 +11,11 @@ from loomspan.functions import text as tx
 
 def tfidf(docs: DataFrame, doc: str, tokens: str, most: int) -> DataFrame:
     """slug, tf, df, value of the `most` weightiest tokens; value is tf / N * ln(1 + N / (1 + df)), N the documents with tokens. doc
-    names a document once. Each token is counted for itself and its first time in a document: one shuffle, of sums by token."""
-    own = F.concat(F.transform(tokens, lambda t: F.struct(t.alias("slug"), F.lit(0).alias("first"))), F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("slug"), F.lit(1).alias("first"))))
+    names a document once. Tokens are counted by document where they are read, then by token."""
     # N rides along as the count of a token that no text has.
-    own = F.concat(own, F.when(F.size(tokens) > 0, F.array(F.struct(F.lit("").alias("slug"), F.lit(1).alias("first")))).otherwise(F.array().cast("array<struct<slug:string,first:int>>")))
-    per = docs.select(F.explode(own).alias("x")).groupBy("x.slug").agg(F.sum(1 - F.col("x.first")).alias("tf"), F.sum("x.first").alias("df"))
+    own = F.concat(F.array(F.lit("")), F.col(tokens))
+    in_doc = docs.where(F.size(tokens) > 0).select(doc, F.explode(own).alias("slug")).groupBy(doc, "slug").agg(F.count("*").alias("n"))
+    per = in_doc.groupBy("slug").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
     whole = per.where("slug = ''").select(F.col("df").alias("n"))  # one row
     value = F.round(F.col("tf") / F.col("n") * F.log(1 + F.col("n") / (1 + F.col("df"))), 6)
     return per.where("slug <> ''").crossJoin(F.broadcast(whole)).withColumn("value", value).drop("n").orderBy(F.desc("value"), "slug").limit(most)
@@ -78,22 +78,42 @@ def cooccurrence(rows: DataFrame, item: str, slug: str, least: int = 1) -> DataF
     return a.join(b, item).where("left_slug < right_slug").groupBy("left_slug", "right_slug").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def mentions(docs: DataFrame, doc: str, text: str, phrases: DataFrame, key: str, phrase: str) -> DataFrame:
-    """(doc, key) where the words of a phrase stand next to each other in a text, whatever their case. A theta join made of an
-    equi-join on the hash of the whole phrase: texts give the hashes of their runs of as many words as phrases have, each once.
-    Phrases are broadcast while their counted bytes are few; past that the join shuffles."""
+def _bits(hashes: DataFrame, h: str, size: int):
+    """A test of hashes against a bit table of `size` (a power of two) bits: false says that a hash is none of them."""
+    top = 64 - size.bit_length() + 1  # the first bits of a hash are its place
+    place = F.shiftrightunsigned(h, top)
+    words = hashes.select(F.shiftrightunsigned(place, 6).cast("int").alias("k"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bits"))
+    bits = [0] * (size >> 6)
+    for r in words.collect():  # no more rows than the table has longs
+        bits[r["k"]] = r["bits"]
+    known = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # folded to one constant
+
+    def test(x: Column) -> Column:
+        at = F.shiftrightunsigned(x, top)
+        return F.call_function("shiftrightunsigned", F.get(known, F.shiftrightunsigned(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
+
+
+def mentions(docs: DataFrame, doc: str, text: str, phrases: DataFrame, key: str, phrase: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, columns of keep, key) where the words of a phrase stand next to each other in a text, whatever their case. A theta join made
+    of an equi-join on the hash of the whole phrase: texts give the hashes of their runs of as many words as phrases have, each once.
+    Runs that a bit table of the phrases' hashes (64 bits for each, up to 2**22) rules out don't leave their document's row. Phrases
+    are broadcast while their counted bytes are few; past that the join shuffles."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
     p = phrases.select(key, words(F.col(phrase)).alias("v")).where(F.size("v") > 0).select(key, F.size("v").alias("n"), F.xxhash64(F.transform("v", lambda w: F.xxhash64(w))).alias("h"))
-    lengths = [r["n"] for r in p.groupBy("n").count().orderBy("n").collect()]  # as many as phrases have different lengths
-    d = docs.select(doc, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
+    lengths = [(r["n"], r["count"]) for r in p.groupBy("n").count().orderBy("n").collect()]  # as many as phrases have different lengths
+    count = sum(k for _, k in lengths)
+    maybe = _bits(p, "h", 1 << max(12, min(22, (64 * count).bit_length())))
+    d = docs.select(doc, *keep, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
 
     def runs(n: int):
         some = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))
-        return F.when(F.size("w") >= n, F.array_distinct(some)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size("w") >= n, F.array_distinct(F.filter(some, maybe))).otherwise(F.array().cast("array<bigint>"))
 
-    every = F.concat(*(F.transform(runs(n), _sized(n)) for n in lengths)) if lengths else F.array().cast("array<struct<n:int,h:bigint>>")
-    few = p.count() * 64 <= 48 << 20
-    return d.select(doc, F.explode(every).alias("x")).select(doc, "x.*").join(F.broadcast(p) if few else p, ["n", "h"]).select(doc, key)
+    every = F.concat(*(F.transform(runs(n), _sized(n)) for n, _ in lengths)) if lengths else F.array().cast("array<struct<n:int,h:bigint>>")
+    few = count * 64 <= 48 << 20
+    return d.select(doc, *keep, F.explode(every).alias("x")).select(doc, *keep, "x.*").join(F.broadcast(p) if few else p, ["n", "h"]).select(doc, *keep, key)
 
 
 def _sized(n: int):

@@ -161,8 +161,8 @@ SELECT slug, members, declared FROM c WHERE members >= 2 OR declared
 def topic_communities(spark: SparkSession, root: str) -> DataFrame:
     """Long words as topics: public with two sources, or with one document of quality."""
     long = F.filter(tx.letter_tokens(F.col("text")), lambda w: F.length(w) >= 9)
-    d = table(spark, root, "documents").select("source", "doc_id", F.explode(F.array_distinct(long)).alias("slug"))
-    rows = d.join(table(spark, root, "labels"), "doc_id", "left").withColumn("declared", F.coalesce("quality", F.lit(0)) == 1)
+    d = table(spark, root, "documents").select("source", "doc_id", F.array_distinct(long).alias("slugs")).join(table(spark, root, "labels").select("doc_id", "quality"), "doc_id", "left")
+    rows = d.select("source", F.explode("slugs").alias("slug"), (F.coalesce("quality", F.lit(0)) == 1).alias("declared"))
     return topics.communities(rows, "slug", "source", "declared").where("public").drop("public")
 
 

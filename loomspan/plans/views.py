@@ -104,7 +104,7 @@ def catalog_matches(spark: SparkSession, root: str) -> DataFrame:
     """Topics of a catalog that sources mention without declaring them, and in how many documents."""
     t = spark.createDataFrame([("the",), ("of the",), ("und",), ("zzzz",)], "slug string").withColumn("phrase", F.col("slug"))
     d = table(spark, root, "documents")
-    found = topics.mentions(d, "doc_id", "text", t, "slug", "phrase").join(d.select("doc_id", "source"), "doc_id").where("source IS NOT NULL")
+    found = topics.mentions(d.where("source IS NOT NULL"), "doc_id", "text", t, "slug", "phrase", keep=("source",))
     own = views.catalog_matches(found, spark.createDataFrame([("src1", "the")], "source string, slug string"), ["source", "slug"], "doc_id")
     return own
 

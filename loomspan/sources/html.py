@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from loomspan.functions import text as tx
-from loomspan.functions import urls
 
 #: Elements whose text isn't read; those around a page's main text; those that end a line of text.
 SILENT, AROUND = frozenset({"script", "style", "noscript", "template"}), frozenset({"nav", "header", "footer", "aside"})
@@ -41,54 +40,6 @@ def attribute(attrs: Column, name: str) -> Column:
     return F.concat(*(F.regexp_extract(attrs, pattern, k) for k in (1, 2, 3)))
 
 
-def metas(html: Column, key: str) -> Column:
-    """The contents of all meta tags of a property or name, in order."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<meta\b([^>]*)>"), 1)
-    own = lambda a, n: F.lower(F.trim(attribute(a, n))) == key.lower()
-    raw = F.transform(F.filter(tags, lambda a: own(a, "property") | own(a, "name")), lambda a: attribute(a, "content"))
-    return F.filter(F.transform(decoded_all(raw), lambda x: F.trim(x)), lambda x: x != "")
-
-
-def meta(html: Column, *keys: str) -> Column:
-    """The first content that any of the keys has, in their order; empty without one."""
-    return F.coalesce(*(F.get(metas(html, k), F.lit(0)) for k in keys), F.lit(""))
-
-
-def poster(html: Column, page: Column) -> Column:
-    """The image that a page shows where it is shared, over https only; null without one."""
-    href = urls.same_resource(page, F.nullif(meta(html, "og:image", "twitter:image", "twitter:image:src"), F.lit("")))
-    return F.when(href.rlike("^https://[^/@]+(/|$)"), href)
-
-
-def share_text(html: Column) -> Column:
-    return tx.readable(meta(html, "og:description", "description", "twitter:description"))
-
-
-def first_paragraph(html: Column) -> Column:
-    """The first paragraph outside navigation, header and footer with PARAGRAPH characters or more; empty without one."""
-    bare = without_scripts(F.coalesce(html, F.lit("")))
-    for tag in ("nav", "header", "footer"):
-        bare = F.regexp_replace(bare, rf"(?is)<{tag}.*?</{tag}>", " ")
-    found = decoded_all(F.transform(F.regexp_extract_all(bare, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), 1), lambda p: F.regexp_replace(p, r"<[^>]+>", " ")))
-    return F.coalesce(F.get(F.filter(F.transform(found, lambda p: F.substring(tx.squeezed(p), 1, tx.SUMMARY)), lambda p: F.length(p) >= PARAGRAPH), F.lit(0)), F.lit(""))
-
-
-def canonical(html: Column, page: Column) -> Column:
-    """Where a page says that it belongs, resolved against its own place; empty without a link."""
-    tags = F.filter(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<link\b([^>]*)>"), 1), lambda a: attribute(a, "rel").rlike(r"(?i)\bcanonical\b") & (attribute(a, "href") != ""))
-    return F.coalesce(urls.same_resource(page, F.get(decoded_all(F.transform(tags, lambda a: attribute(a, "href"))), F.lit(0))), F.lit(""))
-
-
-def feeds(html: Column, page: Column, most: int = 2) -> Column:
-    """The feeds that a page's links name, as (url, kind): alternates, and links that look like feeds; distinct, the first `most`."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<(?:link|a)\b([^>]*)>"), 1)
-    hint = lambda a: F.lower(F.concat_ws(" ", attribute(a, "type"), attribute(a, "href")))
-    looks = lambda a: attribute(a, "rel").rlike(r"(?i)\balternate\b") & attribute(a, "type").rlike(r"(?i)rss|atom|feed|xml|json") | attribute(a, "href").rlike(r"(?i)/(?:feed|rss|atom)(?:[./]|$)|\.(?:rss|atom)$")
-    kind = lambda a: F.when(hint(a).contains("json"), "json").when(hint(a).contains("atom"), "atom").otherwise("rss")
-    found = F.transform(F.filter(tags, lambda a: looks(a) & (attribute(a, "href") != "")), lambda a: F.struct(urls.same_resource(page, attribute(a, "href")).alias("url"), kind(a).alias("kind")))
-    return F.slice(F.array_distinct(F.filter(found, lambda x: x["url"].isNotNull())), 1, most)
-
-
 def json_ld(html: Column) -> Column:
     """The objects of a page's JSON-LD blocks as JSON texts: those of lists and graphs one by one, a graph's holder too. A block
     that isn't JSON is left out."""
@@ -105,19 +56,6 @@ def _strings(o: Column, path: str) -> Column:
     return F.when(v.isNull(), F.array().cast("array<string>")).when(v.startswith("["), F.coalesce(F.from_json(v, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(v))
 
 
-def schema_types(html: Column) -> Column:
-    """The types that a page declares, without their vocabularies; Article too where it shares itself as one."""
-    own = F.flatten(F.transform(json_ld(html), lambda o: _strings(o, "$.@type")))
-    bare = F.filter(F.transform(own, lambda t: F.substring_index(t, "/", -1)), lambda t: t != "")
-    return F.array_distinct(F.concat(bare, F.when(F.lower(meta(html, "og:type")) == "article", F.array(F.lit("Article"))).otherwise(F.array().cast("array<string>"))))
-
-
-def knows_about(html: Column) -> Column:
-    """What a page's persons and organisations say that they know."""
-    who = F.filter(json_ld(html), lambda o: F.exists(_strings(o, "$.@type"), lambda t: F.lower(F.substring_index(t, "/", -1)).isin("person", "organization")))
-    return F.filter(F.flatten(F.transform(who, lambda o: F.transform(_strings(o, "$.knowsAbout"), lambda x: F.trim(F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x))))), lambda x: x.isNotNull() & (x != ""))
-
-
 _LINK = "struct<href:string,text:string,rel:array<string>,classes:array<string>,place:string>"
 PAGE = f"lang string, title string, headings array<struct<level:int,text:string>>, main string, around string, code string, noindex boolean, links array<{_LINK}>"
 

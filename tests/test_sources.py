@@ -9,7 +9,7 @@ from loomspan.functions import content, times, urls, uses
 from loomspan.functions import text as tx
 from loomspan.operators import catalog, edges, graph, history, items, ranking, rollup, timed, views
 from loomspan.sinks import documents as sink
-from loomspan.sources import entries, feeds, html, stores
+from loomspan.sources import entries, facts, feeds, html, stores, tree
 
 
 def rows(df):
@@ -44,10 +44,16 @@ def test_pages(spark):
     got = {r["page_id"]: r["page"] for r in html.parsed(p).collect()}
     assert got[1]["links"] == [] and got[2]["main"] == "" and got[4]["links"] == [] and got[4]["noindex"] and got[4]["code"] == "c" and got[4]["headings"][0]["text"] == "hi"
     assert [(x["href"], x["text"], x["place"], x["classes"], x["rel"]) for x in got[3]["links"]] == [("/x", "one two", "main", ["a", "b"], ["me"]), ("y", "z", "nav", [], [])]
-    h = lambda s: F.lit(s).cast("string")
-    assert one(spark, html.meta(h(None), "x")) == "" and one(spark, html.canonical(h(None), F.lit("https://x.example/"))) == ""
-    assert one(spark, html.schema_types(h('<script type="application/ld+json">[{"@type":"A/B"},{"@type":["C"]},5]</script><script type="application/ld+json"></script>'))) == ["B", "C"]
-    assert one(spark, html.first_paragraph(h("<p>short</p>"))) == "" and one(spark, html.feeds(h("<link rel=alternate type=text/html href=/x>"), F.lit("https://x.example/"))) == []
+    def fact(source, f):
+        t = tree.trees(spark.createDataFrame([(1, source)], "page_id int, html string"))
+        return t.select(f(F.col("tree")).alias("x")).first()["x"]
+
+    page = F.lit("https://x.example/a/b")
+    assert fact(None, lambda t: facts.meta(t, "x")) is None and fact(None, lambda t: facts.canonical(t, page)) == "" and fact(None, facts.share_text) == ""
+    assert fact('<script type="application/ld+json">[{"@type":"A/B"},{"@type":["C"]},5]</script><script type="application/ld+json"></script>', facts.schema_types) == ["B", "C"]
+    assert fact("<p>short</p>", facts.first_paragraph) == "" and fact("<link rel=alternate type=text/html href=/x>", lambda t: facts.feeds(t, page)) == []
+    assert fact("<meta name=twitter:image content=//i.example/p.png><meta property=og:image content=''>", lambda t: facts.poster(t, page)) == "https://i.example/p.png" and fact("<meta name=twitter:image content=http://i.example/p>", lambda t: facts.poster(t, page)) is None
+    assert [tuple(f) for f in fact("<link rel='x alternate' type=application/atom+xml href=f><a href=/feed/>f</a><a href=/feed/>again</a><a href=/x.rss>y</a>", lambda t: facts.feeds(t, page))] == [("https://x.example/a/f", "atom"), ("https://x.example/feed/", "rss")]
     b = entries.outline_blocks(p.union(spark.createDataFrame([(5, "<h2>S</h2><ul><li>a<ul><li>b</li></ul>c</li></ul><table><tr><td>r</td></tr></table>")], p.schema)))
     assert rows(b.select("section", "text", "depth", "parent")) == [("S", "ac", 1, None), ("S", "b", 2, 0), ("S", "r", 1, None)]
 
