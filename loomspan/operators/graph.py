@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.streaming.ledger import new_folder
+
 
 def aggregate_edges(links: DataFrame, keys: list[str], evidence: list[str]) -> DataFrame:
     """One edge for each key: its first evidence and the number of distinct pieces of evidence."""
@@ -19,11 +21,12 @@ def closure(pairs: DataFrame, source: str, target: str) -> DataFrame:
     step = pairs.groupBy(F.col(source).alias("s")).agg(F.min(target).alias("t"))
     # low: the least node passed so far; a cycle never stops moving, so its sources end when `low` and the length say so.
     step = step.select("s", "t", F.col("t").alias("low"))
-    n, covered = None, 1
+    n, covered, folder = None, 1, new_folder(pairs.sparkSession, "closure")
     while True:
         far = step.select(F.col("s").alias("t"), F.col("t").alias("t2"), F.col("low").alias("low2"))
         joined = step.join(far, "t", "left").select("s", F.coalesce("t2", "t").alias("t"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("t2").isNotNull().alias("moves"))
-        joined = joined.checkpoint() if joined.sparkSession.sparkContext.getCheckpointDir() else joined.cache()
+        joined.write.parquet(f"{folder}/{covered}")  # survives its executors
+        joined = pairs.sparkSession.read.schema(joined.schema).parquet(f"{folder}/{covered}")
         n, covered = n or joined.count(), covered * 2
         moving = joined.where("moves").limit(1).count()
         step = joined.drop("moves")

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from loomspan.functions import labels as lb
 from loomspan.functions import text as tx
 from loomspan.functions import urls
+from loomspan.operators import graph
 
 #: Enums of an observation; keys of JSON objects that only say when; relations of topics.
 OUTCOMES, COMPLETE = ("changed", "unchanged", "missing", "failed"), ("complete", "partial", "unknown")
@@ -60,15 +61,15 @@ def collection(documents: DataFrame, key: str, body: str, name: str, item: str)
 
 def alias_rows(aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From aliases (from, to, kind): equivalent ones by folded slug, relations, and errors (code, from, to): aliases that aren't
-    equivalent, that have two targets, or that lead in a circle."""
+    equivalent, that have two targets (the least is followed), or that lead in a circle, of whatever length: its least member stands for it."""
     fold = lambda c: tx.singular_slug(tx.slug(F.col(c)))
     rows = aliases.select(fold("from").alias("from"), fold("to").alias("to"), F.coalesce("kind", F.lit("equivalent")).alias("kind")).where("`from` <> '' AND `to` <> '' AND `from` <> `to`").distinct()
     relations, own = rows.where(F.col("kind").isin(*RELATED)), rows.where(~F.col("kind").isin(*RELATED))
     good = own.where("kind = 'equivalent'").groupBy("from").agg(F.min("to").alias("to"), F.countDistinct("to").alias("n"))
     odd = own.where("kind <> 'equivalent'").select(F.lit("alias-not-equivalent").alias("code"), "from", "to")
     several = good.where("n > 1").select(F.lit("alias-conflict").alias("code"), "from", "to")
-    back = good.select(F.col("from").alias("to"), F.col("to").alias("from"))
-    circle = good.select("from", "to").join(back, ["from", "to"], "left_semi").where("`from` < `to`").select(F.lit("alias-cycle").alias("code"), "from", "to")
+    ends = graph.closure(good.select("from", "to"), "from", "to").where("`from` = `to`").select("from")
+    circle = good.select("from", "to").join(ends, "from").select(F.lit("alias-cycle").alias("code"), "from", "to")
     return good.select("from", "to"), relations, odd.unionByName(several).unionByName(circle)
 
 

@@ -210,3 +210,29 @@ def sentence_labels(spark: SparkSession, root: str) -> DataFrame:
     c = F.col("t")
     rows = t.select("doc_id", uses.is_sentence(c, clean=True).alias("sentence"), uses.is_article(c, clean=True).alias("article"), (uses.status(c) != "current").alias("qualified"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("labels"), F.count_if("sentence").alias("sentences"), F.count_if("article").alias("articles"), F.count_if("qualified").alias("not_current"))
+
+
+@query("""
+SELECT CAST(l_suppkey AS VARCHAR) AS tool, count(*) AS claims, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_tax >= 0.05) AS kept, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_tax >= 0.05 AND l_linestatus = 'O' AND l_quantity > 25) AS adopted FROM lineitem GROUP BY 1
+""")
+def kept_claims(spark: SparkSession, root: str) -> DataFrame:
+    """Lines as claims of a tool (their supplier), sure by ten times their tax: how many a state keeps, and how many are adoptions."""
+    tool, kind = F.col("l_suppkey").cast("string"), F.when(F.col("l_linestatus") == "F", "equipment")
+    own = (tool, F.col("l_returnflag") == "R", kind, F.col("l_tax") * 10)
+    rows = table(spark, root, "lineitem").select(tool.alias("tool"), uses.is_kept(*own).alias("kept"), uses.is_adoption(*own, F.when(F.col("l_quantity") > 25, "current").otherwise("former")).alias("adopted"))
+    return rows.groupBy("tool").agg(F.count("*").alias("claims"), F.count_if("kept").alias("kept"), F.count_if("adopted").alias("adopted"))
+
+
+@query("""
+WITH g AS (SELECT user_id, min(ts) FILTER (WHERE event_type = 'view') AS v, min(ts) FILTER (WHERE event_type = 'click') AS c, min(ts) FILTER (WHERE event_type = 'purchase') AS p, min(ts) AS f FROM events GROUP BY 1)
+SELECT g.user_id, strftime(CASE WHEN v <= c THEN v ELSE c END, '%Y-%m-%d %H:%M:%S') AS first_look, strftime(coalesce(p, f), '%Y-%m-%d %H:%M:%S') AS active, count(e.event_id) AS later
+FROM g LEFT JOIN events e ON e.user_id = g.user_id AND e.ts >= coalesce(p, f) + INTERVAL 1 MILLISECOND GROUP BY ALL
+""")
+def user_cursors(spark: SparkSession, root: str) -> DataFrame:
+    """Each user's first look, the time of their first purchase (of their first event without one), and how many events come after it."""
+    e = table(spark, root, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    first = lambda kind: F.min(F.when(F.col("event_type") == kind, F.col("ts")))
+    g = e.groupBy("user_id").agg(times.earlier(first("view"), first("click")).alias("look"), times.activity_time(first("purchase"), F.min("ts")).alias("active"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    rows = e.join(g, "user_id").groupBy("user_id", "look", "active").agg(F.count_if(F.col("ts") >= times.exclusive_after(F.col("active"))).alias("later"))
+    return rows.select("user_id", text("look").alias("first_look"), text("active").alias("active"), "later")

@@ -85,12 +85,17 @@ def collection_rows(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT unnest([{'f': 'car', 't': 'auto', 'k': 'equivalent'}, {'f': 'auto', 't': 'car', 'k': 'equivalent'}, {'f': 'web map', 't': 'map', 'k': 'equivalent'}, {'f': 'bike', 't': 'cycle', 'k': 'equivalent'}, {'f': 'bike', 't': 'motor', 'k': 'equivalent'}]) AS r)
-SELECT 'alias' AS kind, r.f AS a, r.t AS b FROM a WHERE r.f <> 'web map' AND r.t <> 'motor' UNION ALL SELECT 'alias', 'web-map', 'map' UNION ALL SELECT 'broader', 'river', 'water' UNION ALL SELECT 'alias-not-equivalent', 'tree', 'plant' UNION ALL SELECT 'alias-conflict', 'bike', 'cycle' UNION ALL SELECT 'alias-cycle', 'auto', 'car'
+WITH RECURSIVE e AS (SELECT DISTINCT 'user-' || a.user_id AS f, 'user-' || b.user_id AS t, CASE a.event_type WHEN 'signup' THEN 'broader' WHEN 'error' THEN 'kind-of' ELSE 'equivalent' END AS kind FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.user_id <> b.user_id),
+g AS (SELECT f, min(t) AS t, count(*) AS n FROM e WHERE kind = 'equivalent' GROUP BY f), w AS (SELECT f AS s, t AS reached FROM g UNION SELECT w.s, g.t FROM w JOIN g ON g.f = w.reached),
+c AS (SELECT s FROM w GROUP BY s HAVING bool_or(s = reached) AND min(reached) = s)
+SELECT 'alias' AS kind, f AS a, t AS b FROM g UNION ALL SELECT 'broader', f, t FROM e WHERE kind = 'broader' UNION ALL SELECT 'alias-not-equivalent', f, t FROM e WHERE kind = 'kind-of'
+UNION ALL SELECT 'alias-conflict', f, t FROM g WHERE n > 1 UNION ALL SELECT 'alias-cycle', f, t FROM g JOIN c ON c.s = g.f
 """)
 def alias_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Aliases and relations of topics by folded slug, and what is wrong with them."""
-    a = spark.createDataFrame([("Car", "Auto", None), ("auto", "car", "equivalent"), ("Web Map", "map", None), ("bike", "cycle", "equivalent"), ("bike", "motor", None), ("Rivers", "water", "broader"), ("tree", "plant", "kind-of"), ("same", "Same", None)], "from string, to string, kind string")
+    """Who acts after whom as aliases and relations by folded slug, and what is wrong with them: other kinds, two targets, circles."""
+    e = table(spark, root, "events").select("event_id", "event_type", F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("who"))
+    kind = F.when(F.col("event_type") == "signup", "broader").when(F.col("event_type") == "error", "kind-of").when(F.col("event_type") == "view", "equivalent")
+    a = e.select(F.col("event_id") + 1, F.col("who").alias("from"), kind.alias("kind")).toDF("event_id", "from", "kind").join(e.select("event_id", F.col("who").alias("to")), "event_id").drop("event_id")
     good, relations, errors = views.alias_rows(a)
     return good.select(F.lit("alias").alias("kind"), F.col("from").alias("a"), F.col("to").alias("b")).union(relations.select("kind", "from", "to")).union(errors.select("code", "from", "to"))
 
