@@ -249,14 +249,15 @@ def _key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def repeated(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int = BATCHES, folder: str | None = None) -> DataFrame:
+def repeated(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int = BATCHES, folder: str | None = None, name: str | None = None) -> DataFrame:
     """docs (doc_id, text) joined with parts: array of (s, m), m the bits of the windows from s on that occur elsewhere too (null: none).
 
     Texts are dealt once, into a table of buckets by r, 128 bits that name a row by its doc_id and text; whatever is found of them
-    later comes to them there, so that they don't move again."""
+    later comes to them there, so that they don't move again. The table is called name and lies in folder: both are there
+    until `release`, as what is returned reads them."""
     spark = docs.sparkSession
     folder, buckets = folder or work_folder(spark, "substrings"), tasks(spark)
-    name = f"texts_{uuid.uuid4().hex[:12]}"
+    name = name or f"texts_{uuid.uuid4().hex[:12]}"
     row = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("k").cast("string")).cast("binary"))
     placed = docs.withColumn("k", _key(F.col("text"))).withColumn("r", row)
     placed.repartition(buckets, "r").write.format("parquet").bucketBy(buckets, "r").option("path", f"{folder}/{name}").saveAsTable(name)
@@ -283,6 +284,12 @@ def repeated(docs: DataFrame, words: int = WORDS, gram: int = GRAM, batches: int
     return docs.join(parts, "r", "left").select("doc_id", "text", "parts")
 
 
+def release(spark: SparkSession, folder: str, name: str) -> None:
+    """Remove the table and the folder of `repeated`."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    drop_folder(spark, folder)
+
+
 def kept_words(text: str | None, parts: list[dict] | None, words: int = WORDS) -> tuple[int, list[bytes]]:
     """The number of words, and those that no repeated window covers."""
     ws = (text or "").encode().split()
@@ -298,27 +305,33 @@ def kept_words(text: str | None, parts: list[dict] | None, words: int = WORDS) -
     return len(ws), [w for w, k in zip(ws, keep.tolist()) if k]
 
 
-def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_words, n_removed and kept, the words left joined by one space."""
-    small_batches(docs.sparkSession)
-    marked = repeated(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), words, gram, batches)
+def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM, batches: int = BATCHES, kept: Column | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed and kept, the words left joined by one space, or what `kept` makes of them. The result is written to
+    the shared folder and read from there; nothing else of this call remains."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder, name = work_folder(spark, "substrings"), f"texts_{uuid.uuid4().hex[:12]}"
+    marked = repeated(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), words, gram, batches, folder, name)
 
     def run(batches):
         for b in batches:
-            n, left, kept = [], [], []
+            n, left, own_words = [], [], []
             for text, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 all_words, own = kept_words(text, parts, words)
                 n.append(all_words)
                 left.append(all_words - len(own))
-                kept.append(b" ".join(own).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(left, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                own_words.append(b" ".join(own).decode())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(left, pa.int64()), pa.array(own_words, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return marked.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    rows = marked.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    out = stored(rows if kept is None else rows.withColumn("kept", kept), work_folder(spark, "kept"))
+    release(spark, folder, name)
+    return out
 
 
 def op5_log_structured_substrings(spark: SparkSession, root: str) -> DataFrame:
     """documents without words of 35-word windows that occur elsewhere too."""
-    return dedupe(table(spark, root, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedupe(table(spark, root, "documents"), kept=F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")
 
 
 OP5_SQL = r"""

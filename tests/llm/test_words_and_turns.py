@@ -207,3 +207,14 @@ def test_repair_of_long_conversations(spark):
     rows = some_turns(r, 1, 700, long=True) + some_turns(r, 2, 900) + [(3, 7, "user", f"Line {k}.") for k in range(600)] + [(4, None, "assistant", "Same.")] * 600 + some_turns(r, 5, 4)
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     assert sorted(map(tuple, turns.repair(turns.damaged(frame), 300).collect()), key=str) == plain_repair(rows)
+
+
+# What a call leaves
+
+
+def test_substrings_leave_no_tables(spark, docs):
+    from loomspan.llm import substring
+
+    before = set(spark.catalog.listTables())
+    rows = substring.dedupe(docs)
+    assert set(spark.catalog.listTables()) == before and rows.count() == docs.count()
