@@ -69,10 +69,13 @@ def confidence(resolved: Column, current: Column, section: Column, use_case: Col
 
 
 def trail(edges: DataFrame, starts: DataFrame, source: str, target: str, seed: int, hops: int = 3) -> DataFrame:
-    """A walk of up to `hops` edges from each start, at each step the unused edge of the least hash."""
+    """A walk of up to `hops` edges from each start, at each step the unused edge of the least hash. A walk has used k edges before
+    step k, so only the first k + 1 edges of a node can be next: no hub's whole list is joined."""
     walk = starts.select(F.col(source).alias("start"), F.col(source).alias("at"), F.array().cast("array<string>").alias("used"))
     for k in range(hops):
-        out = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t"), F.concat_ws(">", source, target).alias("edge"))
+        out = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t"), F.concat_ws(">", source, target).alias("edge")).distinct()
+        by_hash = Window.partitionBy("_s").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed + k)), "edge").cast("binary")), "edge")
+        out = out.withColumn("_k", F.row_number().over(by_hash)).where(F.col("_k") <= k + 1).drop("_k")
         step = walk.join(out, F.col("at") == F.col("_s"), "left").withColumn("free", F.col("_t").isNotNull() & ~F.exists("used", lambda u: u == F.col("edge")))
         order = Window.partitionBy("start").orderBy(F.desc("free"), F.md5(F.concat_ws(":", F.lit(str(seed + k)), "edge").cast("binary")), "edge")
         step = step.withColumn("n", F.row_number().over(order)).where("n = 1")

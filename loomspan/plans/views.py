@@ -269,16 +269,21 @@ def stored_bodies(spark: SparkSession, root: str) -> DataFrame:
     return named.join(spark.read.parquet(at).select("sha"), "sha").groupBy("sha").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'first' AS what, true AS written UNION ALL SELECT 'same in another order', false UNION ALL SELECT 'changed', true UNION ALL SELECT 'records', true UNION ALL SELECT 'lacking', false")
+@query("""
+SELECT 'view' AS what, CAST(c_nationkey AS VARCHAR) AS k, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS s, CAST(2 AS INT) AS writes FROM customer WHERE c_acctbal > 0 GROUP BY c_nationkey
+UNION ALL SELECT 'record', c_mktsegment, count(*), CAST(sum(c_nationkey) AS BIGINT), CAST(1 AS INT) FROM customer GROUP BY c_mktsegment
+""")
 def stored_views(spark: SparkSession, root: str) -> DataFrame:
-    """Views that are written only if they changed; records by key; documents that lack."""
+    """A view of customers by nation, offered three times (as it is, in another order, changed) and written twice, as it stands in the
+    end; and customers as JSON records in folders by segment, read back."""
     at = f"{base_folder(spark)}/views-{uuid.uuid4().hex[:12]}"
-    n = table(spark, root, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    done = [("first", stores.write_if_changed(n, f"{at}/v", ["n_nationkey", "n_name"])), ("same in another order", stores.write_if_changed(n.orderBy(F.desc("n_name")), f"{at}/v", ["n_nationkey", "n_name"])), ("changed", stores.write_if_changed(n.where("n_nationkey > 0"), f"{at}/v", ["n_nationkey", "n_name"]))]
-    stores.write_records(n, f"{at}/r", "n_regionkey", F.struct("n_nationkey", "n_name"))
-    back = spark.read.text(f"{at}/r")
-    done += [("records", back.count() == n.count()), ("lacking", stores.documents(spark, f"{at}/none", "x long").count() > 0)]
-    return spark.createDataFrame(done, "what string, written boolean")
+    c = table(spark, root, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    view = lambda rows: rows.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("s"))
+    writes = sum(stores.write_if_changed(v, f"{at}/v", ["c_nationkey", "n", "s"]) for v in (view(c), view(c).orderBy(F.desc("n")), view(c.where("c_acctbal > 0"))))
+    stores.write_records(c, f"{at}/r", "c_mktsegment", F.struct("c_custkey", "c_nationkey"))
+    stands = spark.read.parquet(f"{at}/v/rows").select(F.lit("view").alias("what"), F.col("c_nationkey").cast("string").alias("k"), "n", "s", F.lit(writes).alias("writes"))
+    back = spark.read.text(f"{at}/r").select("c_mktsegment", F.from_json("value", "c_custkey long, c_nationkey long").alias("x")).groupBy("c_mktsegment").agg(F.count("x.c_custkey").alias("n"), F.sum("x.c_nationkey").alias("s"))
+    return stands.union(back.select(F.lit("record"), "c_mktsegment", "n", "s", F.lit(1)))
 
 
 @query(r"""

@@ -57,6 +57,9 @@ def write_if_changed(view: DataFrame, path: str, columns: list[str]) -> bool:
     digest = snapshot_hash(view, columns).first()["digest"]
     if exists(spark, f"{path}/digest") and spark.read.text(f"{path}/digest").first()[0] == digest:
         return False
+    # The old digest goes first: rows that a run left half-written are under none.
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/digest")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     view.write.mode("overwrite").parquet(f"{path}/rows")
     spark.createDataFrame([(digest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/digest")
     return True
