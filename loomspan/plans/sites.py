@@ -1,4 +1,4 @@
-"""Queries over hosts, over sites that are near each other, and over records that are damaged."""
+"""Queries over hosts, over sites and vectors that are near each other, and over records that are damaged."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import urls
-from loomspan.operators import hosts, similar
+from loomspan.operators import hosts, prototypes, similar
 from loomspan.plans.registry import query
 from loomspan.sources import quarantine, tree
 from loomspan.sources.tables import table
@@ -75,3 +75,16 @@ def damaged_records(spark: SparkSession, root: str) -> DataFrame:
         own = own.union(bad.groupBy(F.lit(kind), F.col("reason")).agg(F.count("*"), F.lit(None).cast("double")))
         out = own if out is None else out.union(own)
     return out
+
+
+@query("""
+WITH x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings), p AS (SELECT label, d, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY ALL),
+n AS (SELECT label, sqrt(sum(m * m)) AS n FROM p GROUP BY 1), w AS (SELECT vec_id, sqrt(sum(CAST(v AS DOUBLE) * v)) AS w FROM x GROUP BY 1),
+s AS (SELECT x.vec_id, p.label, round(sum(CAST(x.v AS DOUBLE) * p.m) / (any_value(n.n) * any_value(w.w)), 9) AS s FROM x JOIN p USING (d) JOIN n ON n.label = p.label JOIN w ON w.vec_id = x.vec_id GROUP BY x.vec_id, p.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS k FROM s), t AS (SELECT vec_id, max(CASE WHEN k = 1 THEN s END) AS a, max(CASE WHEN k = 2 THEN s END) AS b, max(CASE WHEN k = 1 THEN label END) AS label FROM r GROUP BY 1)
+SELECT vec_id, CASE WHEN a >= 0.3 AND (b IS NULL OR a - b >= 0.05) THEN label END AS slot FROM t
+""")
+def prototype_slots(spark: SparkSession, root: str) -> DataFrame:
+    """The label whose prototype a vector is clearly most like, over all dimensions; null where none is."""
+    e = table(spark, root, "embeddings")
+    return prototypes.proposed(e, "vec_id", "embedding", prototypes.fitted(e, "embedding", "label"), "label", 0.3, 0.05)
