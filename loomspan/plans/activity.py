@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text as tx
 from loomspan.functions import urls
-from loomspan.operators import ledger, ranking, rollup
+from loomspan.operators import ledger, ranking, rollup, summaries
 from loomspan.plans.registry import query
 from loomspan.sources.tables import table
 from loomspan.streaming.ledger import daily_active
@@ -253,3 +253,50 @@ def name_vote(spark: SparkSession, root: str) -> DataFrame:
 def streaming_ledger(spark: SparkSession, root: str) -> DataFrame:
     """Events of each type by day, from a stream of files with repeated events dropped within a watermark."""
     return daily_active(spark, root)
+
+
+def _claims(spark: SparkSession, root: str) -> DataFrame:
+    """Events as claims of a tool (their type) for a use (a quarter of k), by weeks of their month; errors are claims of nothing."""
+    e = table(spark, root, "events")
+    tool = F.when(F.col("event_type") != "error", F.col("event_type"))
+    return e.select(F.concat(F.date_format("ts", "yyyy-MM"), F.lit("-w"), F.floor((F.dayofmonth("ts") - 1) / 7).cast("string")).alias("period"), "user_id", tool.alias("tool"), F.floor(F.get_json_object("props", "$.k").cast("int") / 25).alias("use"))
+
+
+_CLAIMS = """c AS (SELECT strftime(ts, '%Y-%m') || '-w' || ((day(ts) - 1) // 7) AS period, user_id, CASE WHEN event_type <> 'error' THEN event_type END AS tool, CAST(props->>'$.k' AS INT) // 25 AS use FROM events),
+n AS (SELECT count(DISTINCT user_id) AS eligible FROM events), w AS (SELECT period, count(DISTINCT user_id) AS verified FROM c GROUP BY 1),
+t AS (SELECT period, tool, count(DISTINCT user_id) AS n FROM c WHERE tool IS NOT NULL GROUP BY ALL), tt AS (SELECT period, count(*) AS tools, string_agg(tool || ':' || n, ',' ORDER BY n DESC, tool) AS top_tools FROM t GROUP BY 1),
+u AS (SELECT period, tool, use, count(DISTINCT user_id) AS n FROM c WHERE tool IS NOT NULL AND use IS NOT NULL GROUP BY ALL), uu AS (SELECT period, use, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY ALL), us AS (SELECT period, string_agg(use || ':' || n, ',' ORDER BY n DESC, use) AS uses FROM uu GROUP BY 1)"""
+
+
+@query(f"""
+WITH {_CLAIMS}
+SELECT period, eligible, verified, coalesce(tools, 0) AS tools, verified < 5 OR verified < 0.3 * eligible OR eligible = 0 AS early, coalesce(top_tools, '') AS top_tools, coalesce(uses, '') AS uses FROM w CROSS JOIN n LEFT JOIN tt USING (period) LEFT JOIN us USING (period)
+""")
+def period_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """What each week's events say of the use of tools, for the public."""
+    c = _claims(spark, root)
+    return summaries.summaries(c, "period", "user_id", "tool", "use", c.agg(F.countDistinct("user_id")).first()[0])
+
+
+@query(f"""
+WITH {_CLAIMS}
+SELECT string_agg(period, ',' ORDER BY period DESC) AS periods, arg_max(verified < 5 OR verified < 0.3 * eligible OR eligible = 0, period) AS early, CAST(sum(verified) AS BIGINT) AS claims FROM w, n
+""")
+def summary_index(spark: SparkSession, root: str) -> DataFrame:
+    """The index over all weeks' summaries."""
+    return summaries.index(period_summaries(spark, root), "snapshot").drop("snapshot")
+
+
+@query("""
+WITH s AS (SELECT user_id, CASE WHEN bool_or(event_type = 'purchase' AND value >= 50) THEN 'verified' WHEN bool_or(event_type = 'purchase') THEN 'uncertain' WHEN bool_or(event_type = 'error') THEN 'blocked' ELSE 'unreachable' END AS state FROM events GROUP BY 1),
+b AS (SELECT DISTINCT user_id || ':' || event_type AS k FROM events WHERE ts < TIMESTAMP '2024-01-16'), a AS (SELECT DISTINCT user_id || ':' || event_type AS k FROM events WHERE ts >= TIMESTAMP '2024-01-16')
+SELECT count(*) AS eligible, count(*) FILTER (WHERE state = 'verified') AS verified, count(*) FILTER (WHERE state = 'uncertain') AS uncertain, count(*) FILTER (WHERE state = 'blocked') AS blocked, count(*) FILTER (WHERE state = 'unreachable') AS unreachable,
+ (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS added, (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS removed FROM s
+""")
+def run_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """The counts of a run over users by what they did, and which habits came and went between the halves of the month."""
+    e = table(spark, root, "events").select("user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("k"))
+    bought, failed = F.col("event_type") == "purchase", F.col("event_type") == "error"
+    state = F.when(F.bool_or(bought & (F.col("value") >= 50)), "verified").when(F.bool_or(bought), "uncertain").when(F.bool_or(failed), "blocked").otherwise("unreachable")
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    return summaries.metrics(e.groupBy("user_id").agg(state.alias("state")), "state", e.where(~late), e.where(late), "k")
