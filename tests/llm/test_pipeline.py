@@ -102,12 +102,16 @@ def test_run_is_its_stages(spark, docs, none, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(ROOT), reason="needs the test tables")
 @pytest.mark.parametrize("name", [n for n in registry.queries() if n in registry.oracles()])
 def test_sql(spark, name):
+    import numbers
+
     import duckdb
+    import pandas as pd
 
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{ROOT}/{t}.parquet'")
     got, want = registry.queries()[name](spark, ROOT), con.execute(registry.oracles()[name]).df()
     cols = sorted(want.columns)
-    tidy = lambda df: sorted((tuple(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in df[cols].itertuples(index=False)), key=str)
+    plain = lambda v: "-" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, numbers.Real) else str(v)
+    tidy = lambda df: sorted((tuple(map(plain, r)) for r in df[cols].itertuples(index=False)), key=str)
     assert sorted(got.columns) == cols and tidy(got.toPandas()) == tidy(want)
