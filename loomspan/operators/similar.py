@@ -4,6 +4,8 @@ Topics of a site are ranked, rare ones first, over all sites alike. Two sets tha
 each (the prefix), so only prefixes meet, in an inverted index; common topics stand at the ends of large sets and hardly ever do.
 A pair must also pass the bound by sizes and the bound by places (what is left of both sets after the topic they meet at). What
 passes is counted exactly, topic by topic, in joins: no set is gathered. Sites without topics have no pairs; null topics are none.
+The nearest sites are looked for among distinct sets only: sites with the same topics stand behind the least of them, and copies never
+meet as pairs.
 """
 
 from __future__ import annotations
@@ -37,9 +39,29 @@ def pairs(sets: DataFrame, site: str, topic: str, least: float) -> DataFrame:
     return shared.withColumn("similarity", F.col("shared") / (n + m - F.col("shared"))).where(F.col("similarity") >= least).select("left", "right", "shared", "similarity")
 
 
+def classes(own: DataFrame, site: str, topic: str) -> DataFrame:
+    """site, of: the least site with just the same topics. Sets are compared by their size and two sums of 64-bit hashes."""
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), topic).cast("decimal(38,0)"))
+    sums = own.groupBy(site).agg(F.count("*").alias("_n"), h(1).alias("_a"), h(2).alias("_b"))
+    least = sums.groupBy("_n", "_a", "_b").agg(F.min(site).alias("of"))
+    return sums.join(least, ["_n", "_a", "_b"]).select(site, "of")
+
+
 def nearest(sets: DataFrame, site: str, topic: str, least: float, most: int) -> DataFrame:
-    """site, other, shared, similarity, rank: the `most` nearest sites of each. Only the first rows of a site are sent on by each task."""
-    found = pairs(sets, site, topic, least)
-    both = found.select(F.col("left").alias(site), F.col("right").alias("other"), "shared", "similarity").union(found.select("right", "left", "shared", "similarity"))
-    w = Window.partitionBy(site).orderBy(F.desc("similarity"), "other")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    """site, other, shared, similarity, rank: the `most` nearest sites of each. Distinct sets are held against each other; of each near set
+    its first `most` sites may be among the nearest, of a site's own set the first `most` and one, as the site itself is none. Only the first
+    rows of a site are sent on by each task."""
+    own = sets.select(site, topic).dropna().distinct()
+    c = classes(own, site, topic)
+    one = own.join(c.where(F.col(site) == F.col("of")).select(site), site, "left_semi")
+    found = pairs(one, site, topic, least)
+    sizes = one.groupBy(site).agg(F.count("*").alias("shared"))
+    both = found.select(F.col("left").alias("_of"), F.col("right").alias("of"), "shared", "similarity").union(found.select("right", "left", "shared", "similarity"))
+    # Sets behind `most` others that are strictly nearer hold none of the nearest sites.
+    near = both.withColumn("_k", F.rank().over(Window.partitionBy("_of").orderBy(F.desc("similarity")))).where(F.col("_k") <= most).drop("_k")
+    near = near.union(sizes.select(F.col(site).alias("_of"), F.col(site).alias("of"), "shared", F.lit(1.0).alias("similarity")))
+    first = c.withColumn("_k", F.row_number().over(Window.partitionBy("of").orderBy(site))).where(F.col("_k") <= most + 1).select("of", F.col(site).alias("other"))
+    order = (F.desc("similarity"), "other")
+    by_set = near.join(first, "of").withColumn("_k", F.row_number().over(Window.partitionBy("_of").orderBy(*order))).where(F.col("_k") <= most + 1).drop("_k", "of")
+    rows = c.withColumnRenamed("of", "_of").join(by_set, "_of").where(F.col(site) != F.col("other")).select(site, "other", "shared", "similarity")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(site).orderBy(*order))).where(F.col("rank") <= most)

@@ -73,3 +73,18 @@ def test_quarantine(spark):
     ok, aside = quarantine.split(quarantine.csv_lines(spark, f"{at}/c", "id long, name string, v double", ["id"]), f"{at}/bc")
     assert sorted(tuple(r)[:3] for r in ok.collect()) == [x for x in lines.values() if isinstance(x, tuple)]
     assert {r["line"]: r["reason"] for r in aside.collect()} == {k: v for k, v in lines.items() if isinstance(v, str)}
+
+
+def test_nearest_among_copies(spark):
+    """Sites with the same topics are held against others once: their pairs aren't made, the nearest sites are those of all pairs."""
+    rng = random.Random(5)
+    kinds = [sorted(rng.sample(range(9), rng.randint(1, 5))) for _ in range(9)]
+    sets = {i: set(kinds[i % 9]) for i in range(40)}
+    rows = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "site long, topic long")
+    want = set()
+    for i, a in sets.items():
+        near = sorted((-len(a & b) / len(a | b), j, len(a & b)) for j, b in sets.items() if j != i and len(a & b) / len(a | b) >= 0.25)
+        want |= {(i, j, n, -s, k + 1) for k, (s, j, n) in enumerate(near[:3])}
+    found = similar.nearest(rows, "site", "topic", 0.25, 3)
+    assert {tuple(r) for r in found.collect()} == want
+    assert similar.classes(rows, "site", "topic").select("of").distinct().count() == len({tuple(k) for k in kinds})
