@@ -19,6 +19,8 @@ NO_PLURALS = (
 #: Slugs that keep their plural; words that name a subject only in context; fillers that open no subject.
 WHOLE_SLUGS, AMBIGUOUS = ("internet-of-things", "united-states"), ("apple", "go", "java", "python", "rust", "windows")
 FILLERS = ("actually", "basically", "currently", "definitely", "freely", "probably", "really", "simply", "usually")
+#: How a sentence uses an ambiguous word as a subject; those without an entry never are.
+SUBJECTS = {"go": r"\bin Go\b|\bGolang\b|\bGo programming\b", "rust": r"\bin Rust\b|\bRust programming\b|\bRust language\b", "python": r"\bin Python\b|\bPython programming\b", "java": r"\bin Java\b|\bJava programming\b"}
 #: Words without a subject.
 STOPWORDS = tuple("""
 a about above after again against all am an and another any are as at be because been before being below between both but by can could did do does doing down
@@ -69,6 +71,17 @@ def singular(word: Column) -> Column:
     )
 
 
+def plain_singular(word: str) -> str:
+    """singular of a plain string."""
+    if word in NO_PLURALS or len(word) < 5 or not word.endswith("s"):
+        return word
+    if word.endswith("ies"):
+        return word[:-3] + "y"
+    if word.endswith(("xes", "zes", "ches", "shes", "sses")):
+        return word[:-2]
+    return word if word.endswith(("ss", "sis", "us", "is", "as", "os")) else word[:-1]
+
+
 def singular_slug(c: Column) -> Column:
     return F.when(c.isin(*WHOLE_SLUGS), c).otherwise(F.array_join(F.transform(F.filter(F.split(c, "-"), lambda p: p != ""), singular), "-"))
 
@@ -176,9 +189,8 @@ def phrases(tokens: Column) -> Column:
 
 def names_subject(sentence: Column, word: Column) -> Column:
     """Whether a sentence uses an ambiguous word as a subject: by its own spelling after `in`, or with its kind."""
-    forms = {"go": r"\bin Go\b|\bGolang\b|\bGo programming\b", "rust": r"\bin Rust\b|\bRust programming\b|\bRust language\b", "python": r"\bin Python\b|\bPython programming\b", "java": r"\bin Java\b|\bJava programming\b"}
     out = F.when(~word.isin(*AMBIGUOUS), True)
-    for w, pattern in forms.items():
+    for w, pattern in SUBJECTS.items():
         out = out.when(word == w, sentence.rlike(pattern))
     return out.otherwise(False)
 

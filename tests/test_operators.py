@@ -130,3 +130,13 @@ def test_pages(spark):
     got = {r["page_id"]: r for r in regions(d).collect()}
     assert got[1][1:] == ("en", "T", "main text z", "n")
     assert got[2][2:] == ("", "", "")
+
+
+def test_phrases_are_counted_by_document(spark):
+    """counted() folds as the Column functions do, once for each slug of a document; the first phrase by place names it."""
+    odd = ["united states", "internet-of-things", "--- boxes", "-", "--", "cities news", "class glasses", "x" * 90 + " ies", "bus this", "a-b-ties"]
+    rows = spark.createDataFrame([(p,) for p in odd], "p string").select("p", tx.singular_slug(tx.slug(F.col("p"))).alias("s")).collect()
+    assert {r["p"]: r["s"] for r in rows} == {p: topics._folded(p) for p in odd}
+    docs = spark.createDataFrame([("x", 1, "Red gardens. red garden! the in Go go", ["garden"]), (None, 2, "...", None)], "site string, doc long, text string, named array<string>")
+    want = [("garden", 2, "gardens", True), ("go", 2, "go", False), ("go-go", 1, "go go", False), ("red", 2, "red", False), ("red-garden", 2, "red gardens", False)]
+    assert sorted(map(tuple, topics.counted(docs).collect())) == [("x", 1, *w) for w in want]
