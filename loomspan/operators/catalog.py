@@ -48,10 +48,10 @@ def named_within(claims: DataFrame, names: DataFrame, key: str, context: str, mo
     words = claims.select(key, F.split(F.lower(context), r"[^a-z0-9+#.]+").alias("w"))
     runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _run(n))).otherwise(F.array().cast("array<struct<a:int,n:int,name:string>>"))
     every = words.select(key, F.explode(F.concat(*(runs(n) for n in range(1, most_words + 1)))).alias("x")).select(key, "x.*")
-    hit = every.join(names, "name")
-    inside = hit.select(key, F.col("a").alias("a2"), F.col("n").alias("n2"))
-    outer = hit.join(inside, key).where((F.col("n2") > F.col("n")) & (F.col("a2") <= F.col("a")) & (F.col("a2") + F.col("n2") >= F.col("a") + F.col("n"))).select(key, "a", "n").distinct()
-    return hit.join(outer, [key, "a", "n"], "left_anti").select(key, "tool").distinct()
+    # What is found is gathered by context, no more than the runs of one context, and held against itself there.
+    hits = every.join(names, "name").groupBy(key).agg(F.collect_list(F.struct("a", "n", "tool")).alias("h"))
+    inside = lambda x: F.exists("h", lambda y: (y["n"] > x["n"]) & (y["a"] <= x["a"]) & (y["a"] + y["n"] >= x["a"] + x["n"]))
+    return hits.select(key, F.explode(F.array_distinct(F.transform(F.filter("h", lambda x: ~inside(x)), lambda x: x["tool"]))).alias("tool"))
 
 
 def _run(n: int):

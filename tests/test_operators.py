@@ -140,3 +140,13 @@ def test_phrases_are_counted_by_document(spark):
     docs = spark.createDataFrame([("x", 1, "Red gardens. red garden! the in Go go", ["garden"]), (None, 2, "...", None)], "site string, doc long, text string, named array<string>")
     want = [("garden", 2, "gardens", True), ("go", 2, "go", False), ("go-go", 1, "go go", False), ("red", 2, "red", False), ("red-garden", 2, "red gardens", False)]
     assert sorted(map(tuple, topics.counted(docs).collect())) == [("x", 1, *w) for w in want]
+
+
+def test_names_within_need_no_broadcast_of_what_was_found(spark):
+    from loomspan.operators import catalog
+
+    names = spark.createDataFrame([("visual studio code", "vscode"), ("code", "code"), ("studio", "studio"), ("vim", "vim"), ("vi", "vim")], "name string, tool string")
+    claims = spark.createDataFrame([(1, "Visual Studio Code, code"), (2, "studio vim vi"), (3, "none"), (4, None), (5, "visual studio code")], "k long, context string")
+    found = catalog.named_within(claims, names, "k", "context")
+    assert sorted(map(tuple, found.collect())) == [(1, "code"), (1, "vscode"), (2, "studio"), (2, "vim"), (5, "vscode")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
