@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as tx
 from loomspan.functions import urls, uses
 from loomspan.sources import feeds
-from loomspan.sources.html import AROUND, SILENT, attribute, decoded_all, json_ld, without_scripts
+from loomspan.sources.html import AROUND, SILENT, attribute, decoded_all, json_ld, whole_references, without_scripts
 
 _EVENT = r"""(?is)<(\w+)\b[^>]*class=["'][^"']*\bh-event\b[^"']*["'][^>]*>(.*?)</\1>"""
 
@@ -133,7 +133,7 @@ def outline_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -
             rows = []
             for source in b.column(1).to_pylist():
                 p = _Outline()
-                p.feed(source or "")
+                p.feed(whole_references(source))
                 p.close()
                 rows.append([{**x, "text": " ".join("".join(x["text"]).split())} for x in p.blocks])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, schema.field(1).type)], schema=schema)

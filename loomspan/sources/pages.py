@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.sources.html import attribute, decoded_all, without_scripts
+from loomspan.sources.html import attribute, decoded_all, whole_references, without_scripts
 
 #: Elements whose text isn't read, and those that aren't part of a page's main text.
 SILENT, AROUND = frozenset({"script", "style", "noscript", "template"}), frozenset({"nav", "header", "footer", "aside"})
@@ -52,7 +52,7 @@ def regions(pages: DataFrame) -> DataFrame:
             out = []
             for html in b["html"]:
                 p = _Regions()
-                p.feed(html or "")
+                p.feed(whole_references(html))
                 p.close()
                 out.append((p.lang, *(" ".join(" ".join(x).split()) for x in (p.title, p.main, p.around))))
             yield pd.DataFrame({"page_id": b["page_id"], **{k: [o[i] for o in out] for i, k in enumerate(("lang", "title", "main", "around"))}})

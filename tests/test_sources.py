@@ -129,3 +129,18 @@ def test_stores(spark, tmp_path):
     assert stores.stored_periods(spark, f"{tmp_path}/log").agg(F.sum("n")).first()[0] == 3
     assert stores.documents(spark, f"{tmp_path}/none", "x int").count() == 0
     assert views.semantic_hash is not None and rows(spark.createDataFrame([('{"a":1,"generated_at":2}',), ('{"a": 1}',), ("x",), (None,)], "t string").select(views.semantic_hash("t").alias("h")).groupBy("h").count().select("count")) == [(2,), (2,)]
+
+
+def test_references_end_with_a_semicolon(spark):
+    """A reference that was cut short is text, in all parsers alike; scripts are left as they are."""
+    from loomspan.sources import html, tree
+    from loomspan.sources.pages import regions
+
+    page = '<title>a &amp;&amp;&amp</title><h1>b &lt; &copy 1 &#38 &#x26;</h1><script type="application/ld+json">{"name":"R & D"}</script><a href="/x?a=1&copy=2">c&d</a>'
+    rows = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    r = regions(rows).where("page_id = 1").first()
+    assert (r["title"], r["main"]) == ("a &&&amp", "b < &copy 1 &#38 & c&d")
+    p = html.parsed(rows).where("page_id = 1").first()["page"]
+    assert (p["title"], p["headings"][0]["text"], p["links"][0]["href"]) == ("a &&&amp", "b < &copy 1 &#38 &", "/x?a=1&copy=2")
+    t = tree.parse(page).row()
+    assert (t["title"], t["objects"], t["links"][0]["text"]) == ("a &&&amp", ['{"name": "R & D"}'], "c&d")
