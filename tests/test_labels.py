@@ -66,3 +66,12 @@ def test_links(spark):
     assert walk["a"]["path"] == "a>b b>a" and walk["a"]["end"] == "a"
     h = observation.snapshot_hash(m, ["m"]).first()
     assert h == observation.snapshot_hash(m.orderBy(F.desc("m")).repartition(3), ["m"]).first() and h["n"] == 3
+
+
+def test_words_of_labels_end_at_accents(spark):
+    """Ends of words are ASCII, whatever Java takes them for: an accented letter ends a word as any other sign does."""
+    from loomspan.functions import uses
+
+    assert one(spark, uses.is_sentence(F.lit("Soé there"))) and not one(spark, uses.is_sentence(F.lit("Sore there")))
+    assert one(spark, uses.status(F.lit("éavoid it"))) == "unspecified" and one(spark, uses.status(F.lit("xavoid it"))) == "current"
+    assert one(spark, uses.is_article(F.lit("a évs b"))) and one(spark, uses.is_empty_title(F.lit("5 min read")))
