@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import labels as lb
+from loomspan.functions import text as tx
 from loomspan.functions import uses
 from loomspan.operators import history
 from loomspan.plans.registry import query
 from loomspan.sources import entries
-from loomspan.sources.tables import table
+from loomspan.sources.tables import spread, table
 
 
 @query("""
@@ -22,9 +23,10 @@ SELECT p_partkey, t, CASE t WHEN 'Neovim - my editor' THEN 'Neovim' WHEN 'Dell U
 def named_things(spark: SparkSession, root: str) -> DataFrame:
     """Names and contexts of labels, names that one label joins, and how many there are."""
     texts = ("Neovim - my editor", "Dell U2720Q: a screen", "Aeron. It's comfortable", "iTerm2 on my Mac", "plain words", "Vim and Emacs", "Zsh, Tmux, Git", "Mouse with a wheel", "two Macs", "3 Macs", "Macs")
-    rows = table(spark, root, "part").select("p_partkey", F.explode(F.array(*map(F.lit, texts))).alias("t"))
-    both = uses.name_and_context(F.col("t"))
-    return rows.select("p_partkey", "t", both["name"].alias("name"), both["context"].alias("context"), F.array_join(uses.names_of(F.col("t")), "|").alias("parts"), uses.quantity(F.col("t"), F.lit("Macs")).alias("quantity"))
+    rows = spread(table(spark, root, "part")).select("p_partkey", F.explode(F.array(*map(F.lit, texts))).alias("t"))
+    label = F.col("label")  # made once; so is what is told by it
+    rows = rows.withColumn("label", tx.label(F.col("t"))).withColumn("both", uses.name_and_context(label, clean=True))
+    return rows.select("p_partkey", "t", "both.name", "both.context", F.array_join(uses.names_of(label, clean=True), "|").alias("parts"), uses.quantity(label, F.lit("Macs"), clean=True).alias("quantity"))
 
 
 @query("""
@@ -44,7 +46,7 @@ SELECT p_partkey, CAST(0 AS INT) AS n, 'I look for ' || p_name AS description, p
 def marked_requests(spark: SparkSession, root: str) -> DataFrame:
     """Listings of pages that are marked as wanted; offers and empty ones are left out."""
     body = F.concat(F.lit("<article class='h-listing'><b class=\"p-action\">Wanted</b><h2 class='p-name'>"), "p_type", F.lit("</h2><p class='p-description'>I look for <i>"), "p_name", F.lit("</i></p><span class='p-category'>"), "p_brand", F.lit("</span><span class='p-category'>rare</span></article><div class='h-listing'><b class='p-action'>offer</b><p class='p-description'>x</p></div><section class='h-listing'><b class='p-action'>wanted</b></section>"))
-    pages = table(spark, root, "part").select("p_partkey", F.lit("https://x.example/seeking").alias("url"), body.alias("html"))
+    pages = spread(table(spark, root, "part")).select("p_partkey", F.lit("https://x.example/seeking").alias("url"), body.alias("html"))
     return entries.requests(pages, "p_partkey", "html", "url").select("p_partkey", "n", "description", "title", F.array_join("categories", ",").alias("categories"))
 
 
@@ -55,7 +57,7 @@ def page_albums(spark: SparkSession, root: str) -> DataFrame:
     """Albums that pages list, by their span or picture, each once and only of the own site."""
     k = F.col("p_partkey").cast("string")
     body = F.concat(F.lit("<a class='album-in-list-link' href='/albums/"), k, F.lit("'><span>"), "p_name", F.lit("</span></a><a href=/albums/z class=album-in-list-link><img alt='"), "p_type", F.lit("'></a><a class='album-in-list-link' href='/albums/z'><span>again</span></a><a class='album-in-list-link' href='https://else.example/'><span>x</span></a>"))
-    pages = table(spark, root, "part").select("p_partkey", F.lit("https://x.example/photos").alias("url"), body.alias("html"))
+    pages = spread(table(spark, root, "part")).select("p_partkey", F.lit("https://x.example/photos").alias("url"), body.alias("html"))
     return entries.albums(pages, "p_partkey", "html", "url")
 
 
