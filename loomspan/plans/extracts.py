@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomspan.plans.registry import query
 from loomspan.sinks import documents as sink
 from loomspan.sources import facts, feeds, html, tree
-from loomspan.sources.tables import table
+from loomspan.sources.tables import spread, table
 
 _PART = """p AS (SELECT p_brand AS brand, p_partkey, p_name, p_type, 'https://example.org/p/' || p_partkey || '?a=1&b=2' AS url, TIMESTAMP '2023-11-14 22:13:20' + to_seconds(p_partkey * 60) AS ts FROM part),
 t AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY ts DESC, url) - 1 AS n FROM p)"""
@@ -174,7 +174,7 @@ def page_meta(spark: SparkSession, root: str) -> DataFrame:
         F.lit("<body><nav><p>a paragraph of the navigation that is long</p></nav><p>short</p><p class=x>"), "p_name", F.lit(" says <b>enough</b> here for a paragraph.</p><a href='/rss'>feed</a></body></html>"),
     )
     t, page = F.col("tree"), F.lit("https://site.example/x/y")
-    rows = tree.trees(table(spark, root, "part").select("p_partkey", body.alias("html")), "p_partkey")
+    rows = tree.trees(spread(table(spark, root, "part")).select("p_partkey", body.alias("html")), "p_partkey")
     return rows.select(
         "p_partkey", facts.meta(t, "og:title").alias("title"), facts.poster(t, page).alias("poster"), facts.share_text(t).alias("description"), facts.canonical(t, page).alias("canonical"), F.array_join(facts.schema_types(t), ",").alias("types"),
         F.array_join(facts.knows_about(t), ",").alias("knows"), F.array_join(F.transform(facts.feeds(t, page), lambda f: F.concat_ws(" ", f["url"], f["kind"])), ",").alias("feeds"), facts.first_paragraph(t).alias("paragraph"),
