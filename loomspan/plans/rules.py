@@ -9,7 +9,7 @@ from loomspan.functions import content, times, urls, uses
 from loomspan.functions import labels as lb
 from loomspan.functions import text as tx
 from loomspan.plans.registry import query
-from loomspan.sources.tables import table
+from loomspan.sources.tables import spread, table
 
 
 @query(r"""
@@ -63,7 +63,7 @@ SELECT p_partkey, slug, none AS no_subject, slug IN ('quot', '2018-gifs', 'tags-
 """)
 def slug_rules(spark: SparkSession, root: str) -> DataFrame:
     """Which slugs name subjects, which may count, and why others don't."""
-    rows = table(spark, root, "part").select("p_partkey", "p_size", F.explode(F.array(*map(F.lit, _SLUGS))).alias("slug"))
+    rows = spread(table(spark, root, "part")).select("p_partkey", "p_size", F.explode(F.array(*map(F.lit, _SLUGS))).alias("slug"))
     s, k = F.col("slug"), F.col("p_size")
     return rows.select("p_partkey", "slug", tx.is_no_subject(s).alias("no_subject"), tx.is_artifact(s).alias("artifact"), content.qualifies(s, k % 5, k % 7, k % 3 != 0).alias("qualifies"), content.rejection(s, k % 11 == 0, k % 3 != 0).alias("reason"), tx.singular_slug(s).alias("folded"))
 
@@ -77,7 +77,7 @@ SELECT p_partkey, raw, CASE raw WHEN 'Web Maps' THEN raw WHEN '  Rivers &amp; La
 def topic_evidence(spark: SparkSession, root: str) -> DataFrame:
     """Raw labels as topic evidence: label, slug, and what their source is worth."""
     both = (("Web Maps", "rss:category"), ("a/b", "meta:keywords"), ("THE", "schema:keywords"), ("  Rivers &amp; Lakes ", "nlp"), ("7", "tfidf_x"), ("", "my_own:source"))
-    rows = table(spark, root, "part").select("p_partkey", F.explode(F.array(*(F.struct(F.lit(r).alias("raw"), F.lit(s).alias("source")) for r, s in both))).alias("x")).select("p_partkey", "x.*")
+    rows = spread(table(spark, root, "part")).select("p_partkey", F.explode(F.array(*(F.struct(F.lit(r).alias("raw"), F.lit(s).alias("source")) for r, s in both))).alias("x")).select("p_partkey", "x.*")
     r, s = F.col("raw"), F.col("source")
     return rows.select("p_partkey", "raw", content.topic_label(r).alias("label"), content.topic_slug(r).alias("slug"), content.is_eligible(s).alias("eligible"), content.is_discovery(s).alias("discovery"), content.source_label(s).alias("source_label"))
 
