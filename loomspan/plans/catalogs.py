@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions import text as tx
 from loomspan.functions import uses
 from loomspan.operators import catalog, rollup
 from loomspan.plans.registry import query
 from loomspan.sources import entries
-from loomspan.sources.tables import table
+from loomspan.sources.tables import spread, table
 
 
 def _day(c: str):
@@ -26,7 +27,7 @@ def page_events(spark: SparkSession, root: str) -> DataFrame:
     k = F.col("p_partkey").cast("string")
     marked = F.concat(F.lit("<section class='h-event'><h2 class='p-name'><i>"), "p_name", F.lit("</i></h2><a class='u-url' href='"), F.when(F.col("p_size") % 2 == 0, "/e/").otherwise("https://else.example/"), k, F.lit("'>#</a><span class=\"x p-location\">"), "p_type", F.lit(" &amp; hall</span><time class='dt-start' datetime='"), _day("p_partkey"), F.lit("'>soon</time></section><div class='h-event'><b class='p-name'>no date</b></div>"))
     declared = F.concat(F.lit('<script type="application/ld+json">[{"@type":"MusicEvent","name":"'), "p_type", F.lit('","url":"https://site.example/d/'), k, F.lit('","startDate":"'), _day("p_partkey"), F.lit('","location":{"name":"'), "p_brand", F.lit('"},"eventStatus":"https://schema.org/'), F.when(F.col("p_size") % 3 == 0, "EventCancelled").otherwise("EventScheduled"), F.lit('"},{"@type":"Event","name":"undated"},{"@type":"Person"}]</script>'))
-    pages = table(spark, root, "part").select("p_partkey", F.lit("https://site.example/events").alias("url"), F.concat(declared, marked).alias("html"))
+    pages = spread(table(spark, root, "part")).select("p_partkey", F.lit("https://site.example/events").alias("url"), F.concat(declared, marked).alias("html"))
     a = entries.marked_events(pages, "p_partkey", "html", "url").select("p_partkey", F.lit("marked").alias("kind"), "url", "title", "location", F.unix_timestamp("start").cast("double").alias("start"), F.lit(False).alias("cancelled"))
     return a.unionByName(entries.declared_events(pages, "p_partkey", "html").select("p_partkey", F.lit("declared").alias("kind"), "url", "title", "location", F.unix_timestamp("start").cast("double").alias("start"), "cancelled"))
 
@@ -38,7 +39,7 @@ def page_figures(spark: SparkSession, root: str) -> DataFrame:
     """Figures that lead to a page; those that lead to a picture or to another site are left out."""
     k = F.col("p_partkey").cast("string")
     body = F.concat(F.lit("<figure><a href=/w/"), k, F.lit("><img src='/i/"), k, F.lit(".jpg' alt='x'></a><figcaption>"), "p_name", F.lit(" <b>&amp;</b> co</figcaption></figure><figure><img src=/a.png alt='a picture'></figure><figure><a href='https://else.example/'><img alt='b' src=b></a></figure>"))
-    pages = table(spark, root, "part").select("p_partkey", F.lit("https://site.example/works").alias("url"), body.alias("html"))
+    pages = spread(table(spark, root, "part")).select("p_partkey", F.lit("https://site.example/works").alias("url"), body.alias("html"))
     return entries.figures(pages, "p_partkey", "html", "url")
 
 
@@ -49,7 +50,7 @@ def outbound_links(spark: SparkSession, root: str) -> DataFrame:
     """Links to a host and what lies below it, each address once."""
     k = F.col("p_partkey").cast("string")
     body = F.concat(F.lit("<a href='https://band.music.example/t/"), k, F.lit("?utm_source=x'><b>"), "p_name", F.lit("</b></a><a href='https://band.music.example/t/"), k, F.lit("'>again</a><a href=https://www.music.example/>x</a><a href=\"https://music.example/\">All &amp; more</a><a href='/own'>own</a><a href='https://notmusic.example/'>no</a><script>'<a href=https://music.example/js>'</script>"))
-    pages = table(spark, root, "part").select("p_partkey", F.lit("https://site.example/sounds").alias("url"), body.alias("html"))
+    pages = spread(table(spark, root, "part")).select("p_partkey", F.lit("https://site.example/sounds").alias("url"), body.alias("html"))
     return entries.outbound(pages, "p_partkey", "html", "url", ("music.example",)).where("url <> 'https://www.music.example/'")
 
 
@@ -64,7 +65,7 @@ def use_items(spark: SparkSession, root: str) -> DataFrame:
         F.lit("<nav><ul><li>Home</li></ul></nav><h1>Uses</h1><h2>Hardware</h2><ul><li><a href=/x>"), "p_name", F.lit("</a> - for writing notes</li><li>Old "), "p_brand", F.lit(" (no longer using it)</li></ul><h2>Software</h2><h3>Editor</h3><ul><li>"), "p_type",
         F.lit("<ul><li>Part of it</li></ul></li><li>I have a long story</li><li>I don't use this</li><li>Editor</li><li>Why it is good</li></ul>"),
     )
-    rows = entries.use_items(table(spark, root, "part").select("p_partkey", body.alias("html")), "p_partkey", "html")
+    rows = entries.use_items(spread(table(spark, root, "part")).select("p_partkey", body.alias("html")), "p_partkey", "html")
     return rows.withColumn("purposes", F.array_join("purposes", ","))
 
 
@@ -78,7 +79,7 @@ def label_shapes(spark: SparkSession, root: str) -> DataFrame:
     n, t = F.col("p_name"), F.col("p_type")
     texts = F.array(F.concat(F.lit("I used to use "), n), F.concat(F.lit("might try "), n), F.lit("on my list"), n, F.lit("I don't use it"), F.concat(F.lit("and then "), n), F.concat(F.lit("Why "), n, F.lit(" matters")), F.concat(F.lit("My "), t, F.lit(" is old")), F.lit('Dell S3425DW 34"'), F.lit("monitor"), F.lit("LG 27 in"), F.lit(", 2026"), F.lit("5 min read"), F.lit("iPhone 12"))
     c = F.col("t")
-    return table(spark, root, "part").select("p_partkey", F.explode(texts).alias("t")).select("p_partkey", "t", uses.status(c).alias("status"), uses.is_sentence(c).alias("sentence"), uses.is_article(c).alias("article"), uses.shape_slot(c).alias("slot"), uses.is_empty_title(c).alias("empty_title"))
+    return spread(table(spark, root, "part")).select("p_partkey", F.explode(texts).alias("t")).withColumn("label", tx.label(c)).select("p_partkey", "t", uses.status(c).alias("status"), uses.is_sentence(F.col("label"), clean=True).alias("sentence"), uses.is_article(F.col("label"), clean=True).alias("article"), uses.shape_slot(c).alias("slot"), uses.is_empty_title(c).alias("empty_title"))
 
 
 @query("""

@@ -49,7 +49,8 @@ def figures(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
     tag = lambda t: F.regexp_extract(b, rf"(?is)<{t}\b([^>]*)>", 1)
     caption = F.coalesce(F.nullif(F.regexp_extract(b, r"(?is)<figcaption\b[^>]*>(.*?)</figcaption>", 1), F.lit("")), attribute(tag("img"), "alt"))
     src, href = urls.same_resource(F.col(url), F.nullif(attribute(tag("img"), "src"), F.lit(""))), urls.same_resource(F.col(url), F.nullif(attribute(tag("a"), "href"), F.lit("")))
-    out = rows.select(key, "n", F.coalesce(href, src).alias("u"), tx.extracted(F.regexp_replace(caption, r"<[^>]+>", " ")).alias("title"), F.when(src.startswith("https://"), src).alias("image"), urls.origin(F.col(url)).alias("o"))
+    made = F.struct("n", F.coalesce(href, src).alias("u"), tx.extracted(F.regexp_replace(caption, r"<[^>]+>", " ")).alias("title"), F.when(src.startswith("https://"), src).alias("image"), urls.origin(F.col(url)).alias("o"))
+    out = rows.select(key, F.explode(F.array(made)).alias("x")).select(key, "x.*")  # so that the filter reads what is made here
     return out.where((F.col("title") != "") & (urls.origin(F.col("u")) == F.col("o")) & ~F.col("u").rlike(r"(?i)\.(jpe?g|png|gif|webp|avif|svg|mp3|mp4|webm|ogg|wav|pdf)([?#]|$)")).select(key, "n", F.col("u").alias("url"), "title", "image")
 
 
@@ -147,7 +148,9 @@ def use_items(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     b = outline_blocks(pages, key, html)
     split = r"^(.*?)(?:\s[-–—]\s|:\s|\s\()(.*?)\)?$"
     label = F.when(F.col("text").rlike(split), F.regexp_extract("text", split, 1)).otherwise(F.col("text"))
-    b = b.select(key, "n", tx.label(label).alias("label"), F.regexp_extract("text", split, 2).alias("context"), F.substring_index("section", " / ", -1).alias("section"), uses.status(F.concat_ws(" ", "section", "text")).alias("status"), "href", "text")
+    made = F.struct("n", tx.label(label).alias("label"), F.regexp_extract("text", split, 2).alias("context"), F.substring_index("section", " / ", -1).alias("section"), uses.status(F.concat_ws(" ", "section", "text")).alias("status"), "href")
+    # Through explode(), so that the filter below reads the label instead of making it anew in each of its patterns.
+    b = b.select(key, F.explode(F.array(made)).alias("x")).select(key, "x.*")
     good = (F.col("label") != "") & ~uses.is_sentence(F.col("label"), clean=True) & ~uses.is_article(F.col("label"), clean=True) & (F.col("status") != "unspecified") & ~((F.lower("label") == F.lower("section")) & (F.col("context") == ""))
     return b.where(good).select(key, "n", "label", "context", "section", "status", "href", uses.purposes(F.concat_ws(" ", "section", "context")).alias("purposes"))
 

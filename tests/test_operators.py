@@ -150,3 +150,16 @@ def test_names_within_need_no_broadcast_of_what_was_found(spark):
     found = catalog.named_within(claims, names, "k", "context")
     assert sorted(map(tuple, found.collect())) == [(1, "code"), (1, "vscode"), (2, "studio"), (2, "vim"), (5, "vscode")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_narrow_tables_are_spread(spark, tmp_path):
+    """Long work on rows of a small file is dealt over all cores."""
+    from loomspan.plans import registry
+    from loomspan.sources.tables import spread
+
+    registry.load()
+    spark.createDataFrame([(1, "a b", "T", "B", 3)], "p_partkey long, p_name string, p_type string, p_brand string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(3).coalesce(1)).rdd.getNumPartitions() == 4 * cores
+    for name in ("named_things", "page_albums", "page_meta", "label_shapes", "use_items", "topic_evidence", "page_figures", "outbound_links", "marked_requests"):
+        assert "Repartition" in registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString(), name
