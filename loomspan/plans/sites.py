@@ -9,7 +9,7 @@ from loomspan.functions import urls
 from loomspan.operators import hosts, prototypes, similar
 from loomspan.plans.registry import query
 from loomspan.sources import quarantine, tree
-from loomspan.sources.tables import table
+from loomspan.sources.tables import spread, table
 from loomspan.streaming.ledger import new_folder
 
 
@@ -60,7 +60,7 @@ def damaged_records(spark: SparkSession, root: str) -> DataFrame:
     field too many: what a tolerant read takes and what it sets aside. None is lost."""
     at, schema, keys = new_folder(spark, "damaged"), "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double", ["o_orderkey", "o_custkey"]
     h = F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 1), 16, 10).cast("int")
-    o = table(spark, root, "orders").select("o_orderkey", F.when(h != 2, F.col("o_custkey")).alias("o_custkey"), F.concat("o_orderpriority", F.lit(', "urgent"')).alias("o_orderpriority"), F.when(h == 1, "much").otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"), h.alias("h"))
+    o = spread(table(spark, root, "orders")).select("o_orderkey", F.when(h != 2, F.col("o_custkey")).alias("o_custkey"), F.concat("o_orderpriority", F.lit(', "urgent"')).alias("o_orderpriority"), F.when(h == 1, "much").otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"), h.alias("h"))
     fields = [c for c in o.columns if c != "h"]
     cut = lambda line: F.when(F.col("h") == 0, F.expr("left(line, length(line) - 12)")).otherwise(line)
     quoted = F.concat(F.lit('"'), F.replace("o_orderpriority", F.lit('"'), F.lit('""')), F.lit('"'))
