@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,11 +107,16 @@ def html_regions(spark: SparkSession, root: str) -> DataFrame:
 @query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def unicode_normalize(spark: SparkSession, root: str) -> DataFrame:
     """Texts in composed form."""
-    @F.pandas_udf("string")
-    def nfc(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFC")
+    docs = table(spark, root, "documents").select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 64):  # few texts at a time, however long they are
+                part = b.slice(a, 64)
+                texts = [t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return table(spark, root, "documents").select("doc_id", nfc("text").alias("text"))
+    return docs.mapInArrow(run, docs.schema)
 
 
 @query(r"""
