@@ -25,8 +25,8 @@ SELECT network, count(*) AS links, count(*) FILTER (WHERE network LIKE 'own %' A
 def link_networks(spark: SparkSession, root: str) -> DataFrame:
     """All pages and their links by network: hosts with five pages are networks of their own, others lie below the host after their first
     label. Which of a network's addresses look like profiles."""
-    pages = tree.trees(table(spark, root, "pages"), keep=("url",))
-    links = pages.select(F.col("url").alias("link")).union(pages.select(F.explode("tree.links").alias("x"), "url").select(urls.same_resource(F.col("url"), F.col("x.href"))))
+    pages = table(spark, root, "pages")  # parsed for their links only
+    links = pages.select(F.col("url").alias("link")).union(tree.trees(pages, keep=("url",)).select(F.explode("tree.links").alias("x"), "url").select(urls.same_resource(F.col("url"), F.col("x.href"))))
     per = pages.groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
     below = F.regexp_extract("host", r"^[^.]+\.(.*)", 1)
     own = per.where("n >= 5").select("host", F.lit(True).alias("exact"), F.concat(F.lit("own "), "host").alias("network"))

@@ -163,3 +163,19 @@ def test_narrow_tables_are_spread(spark, tmp_path):
     assert spread(spark.range(3).coalesce(1)).rdd.getNumPartitions() == 4 * cores
     for name in ("named_things", "page_albums", "page_meta", "label_shapes", "use_items", "topic_evidence", "page_figures", "outbound_links", "marked_requests"):
         assert "Repartition" in registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_work_is_done_once(spark, tmp_path):
+    """Sketches aren't kept for each user beside a distinct count; pages are parsed where their links are read, not for their addresses."""
+    from loomspan.plans import registry
+
+    registry.load()
+    spark.sql("SELECT 1L AS event_id, timestamp '2024-01-01' AS ts, 5L AS user_id, 'view' AS event_type, 2.0D AS value UNION ALL SELECT 2L, timestamp '2024-01-01', NULL, NULL, 1.0D").write.parquet(str(tmp_path / "events.parquet"))
+    spark.sql("SELECT 1L AS page_id, 'https://a.b.example/x' AS url, '<a href=\"/y\">y</a>' AS html").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.sql("SELECT 1L AS doc_id, 'é' AS text UNION ALL SELECT 2L, NULL").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    counts = registry.QUERIES["approximate_counts"](spark, str(tmp_path))
+    assert "count(distinct" not in plan(counts) and sorted((r["event_type"] or "", r["n"]) for r in counts.collect()) == [("", 1), ("view", 1)]
+    assert plan(registry.QUERIES["link_networks"](spark, str(tmp_path))).count("MapInArrow") == 2
+    texts = registry.QUERIES["unicode_normalize"](spark, str(tmp_path))
+    assert "MapInArrow" in plan(texts) and sorted(map(tuple, texts.collect())) == [(1, "é"), (2, None)]
