@@ -70,6 +70,14 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE, seed: int =
     return np.packbits(2 * counts > totals[:, None], axis=1, bitorder="little").view("<i8").reshape(-1) if len(texts) else np.zeros(0, "<i8")
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of one text by its shingles' hashes (uint64), as a signed 64-bit number."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), BLOCK):
+        counts += np.unpackbits(hashes[i:i + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) for each row."""
     small_batches(docs.sparkSession)
@@ -98,16 +106,30 @@ def _chain(x: Column, segments: int, distance: int) -> Column:
     return ok
 
 
-def classes(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """fps (fp, distinct): (fp, root) with root the least fingerprint reachable by links of at most distance bits."""
-    folder = work_folder(fps.sparkSession, "simhash")
+def _ring(fps: DataFrame, distance: int, segments: int) -> DataFrame:
+    """fp, i, r (fp rotated by i segments) and key (the segments of r that chains within distance leave equal) for each fp and i."""
     width = 64 // segments
     key_bits = width * next(n for n in range(segments, 0, -1) if n * distance // segments == 0)
     ring = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _rotated(F.col("fp"), i * width).alias("r")) for i in range(segments)))).alias("x"))
-    ring = ring.select("fp", "x.i", "x.r", F.shiftrightunsigned("x.r", 64 - key_bits).alias("key"))
+    return ring.select("fp", "x.i", "x.r", F.shiftrightunsigned("x.r", 64 - key_bits).alias("key"))
+
+
+def _beside(ring: DataFrame, distance: int, segments: int) -> DataFrame:
     bucket = Window.partitionBy("i", "key").orderBy("r")
-    beside = ring.withColumn("was", F.lag("r").over(bucket)).withColumn("v", F.lag("fp").over(bucket)).where(F.col("was").isNotNull() & _chain(F.col("r").bitwiseXOR(F.col("was")), segments, distance))
-    near = components(beside.select(F.col("fp").alias("u"), "v"))
+    both = ring.withColumn("was", F.lag("r").over(bucket)).withColumn("v", F.lag("fp").over(bucket))
+    return both.where(F.col("was").isNotNull() & _chain(F.col("r").bitwiseXOR(F.col("was")), segments, distance)).select(F.col("fp").alias("u"), "v")
+
+
+def beside(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """fps (fp, distinct): pairs (u, v) of at most distance bits that are neighbours in some bucket of the ring, sixteen for each fp at most."""
+    return _beside(_ring(fps, distance, segments), distance, segments)
+
+
+def classes(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """fps (fp, distinct): (fp, root) with root the least fingerprint reachable by links of at most distance bits."""
+    folder = work_folder(fps.sparkSession, "simhash")
+    ring = _ring(fps, distance, segments)
+    near = components(_beside(ring, distance, segments))
     known = stored(fps.join(near.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("v", "fp").alias("c")), f"{folder}/known")
     rows = ring.join(known, "fp")
     per = rows.groupBy("i", "key", "c").agg(F.count("*").alias("n")).groupBy("i", "key").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("several")).where("several > 1")

@@ -55,6 +55,48 @@ def test_near_duplicates_by_shingles(spark):
     assert 20 < len(want) < len(texts) - 20
 
 
+def _copies(r: random.Random, n: int, changes: tuple[int, int], words: int = 150) -> list[str]:
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(words)]
+    texts = [" ".join(base)]
+    for _ in range(n - 1):
+        own = list(base)
+        for at in r.sample(range(words), r.randint(*changes)):
+            own[at] = word()
+        texts.append(" ".join(own))
+    return texts
+
+
+def _pairs_of_classes(spark, monkeypatch, texts: list[str]) -> tuple[list[list[tuple]], dict]:
+    """The pairs that are looked at, first and last ones, and each text's class."""
+    from loomspan.llm import near_copies
+
+    seen, near = [], near_copies._near
+
+    def counted(pairs, *rest):
+        seen.append([tuple(x) for x in pairs.collect()])
+        return near(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_near", counted)
+    out = near_copies.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    return seen, {x["doc_id"]: x["component_id"] for x in out}
+
+
+def test_near_copies_come_through_fingerprints(spark, monkeypatch):
+    """Operator 9's fingerprints of five-word shingles give first candidates: copies of a long text that its ring brings together."""
+    from loomspan.llm import near_copies, simhash
+
+    r = random.Random(4)
+    texts = [t for _ in range(6) for t in _copies(r, 4, (1, 1), 3000)]
+    asked = []
+    monkeypatch.setattr(near_copies.simhash, "beside", lambda fps, real=simhash.beside: asked.append(real(fps).collect()) or real(fps))
+    monkeypatch.setattr(near_copies, "CENTERS", 0)  # so that only fingerprints name candidates at first
+    seen, got = _pairs_of_classes(spark, monkeypatch, texts)
+    assert got == {k: k // 4 * 4 for k in range(24)}
+    assert len(asked) == 1 and len(seen[0]) >= 6 and len(seen) == 2
+    assert asked[0] and all(((u ^ v) & (1 << 64) - 1).bit_count() <= 2 for u, v in asked[0])
+
+
 def test_mix_repeats_rows(spark, docs):
     from loomspan.llm import mixing
 
