@@ -82,6 +82,21 @@ def _pairs_of_classes(spark, monkeypatch, texts: list[str]) -> tuple[list[list[t
     return seen, {x["doc_id"]: x["component_id"] for x in out}
 
 
+def test_near_copies_of_a_large_group_do_not_meet_as_pairs(spark, monkeypatch):
+    """Of 300 copies of one text most are too far from any other, some are near to the first: pairs don't grow with the group's square."""
+    texts = _copies(random.Random(3), 300, (1, 9))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    comp = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if comp[i] != comp[j] and 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    seen, got = _pairs_of_classes(spark, monkeypatch, texts)
+    assert got == dict(enumerate(comp)) and 50 < len(set(comp)) < 250
+    assert sum(map(len, seen)) < 20 * len(texts)
+
+
 def test_near_copies_come_through_fingerprints(spark, monkeypatch):
     """Operator 9's fingerprints of five-word shingles give first candidates: copies of a long text that its ring brings together."""
     from loomspan.llm import near_copies, simhash
