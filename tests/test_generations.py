@@ -184,3 +184,54 @@ def test_spells_equal_the_batch_where_none_expires(spark):
     want = history.pending(spark.createDataFrame(looks, schema), ["user_id"], "ts", "present").select("user_id", "state")
     got = absences.results(spark, folder).where("state <> 'unseen'")
     assert rows(got.select("user_id", "state")) == rows(want) and not got.where("expired").count()
+
+
+def test_spells_of_a_group_share_state_and_timer():
+    """A group's users take one row of state and one timer, however many they are; each is forgotten at its own time."""
+    import pandas as pd
+
+    class Handle:
+        value, timers, calls = None, set(), 0
+
+        def getValueState(self, name, schema):
+            return self
+
+        def exists(self):
+            self.calls += 1
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.calls, self.value = self.calls + 1, None
+
+        def registerTimer(self, at):
+            self.calls, self.timers = self.calls + 1, self.timers | {at}
+
+        def deleteTimer(self, at):
+            self.calls, self.timers = self.calls + 1, self.timers - {at}
+
+    class Mark:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    hour, p, h = 3_600_000_000, absences.Spells(36 * 3_600_000_000), Handle()
+    p.init(h)
+    rows = pd.DataFrame({"user_id": [*range(50), 7], "us": [*((u + 1) * hour for u in range(50)), 50 * hour], "present": [u % 2 == 0 for u in range(51)]})
+    out = pd.concat(p.handleInputRows((0,), iter([rows]), Mark(0)))
+    assert len(out) == 51 and out["expired"].sum() == 1 and h.calls <= 5
+    assert h.timers == {37 * 3_600_000 + 1}
+    h.timers.clear()
+    gone = pd.concat(p.handleExpiredTimer((0,), Mark(46 * 3_600_000 + 1), None))
+    assert sorted(gone["user_id"]) == [0, 1, 2, 3, 4, 5, 6, 8, 9] and gone["expired"].all()
+    assert h.timers == {47 * 3_600_000 + 1}
+    h.timers.clear()
+    assert len(pd.concat(p.handleExpiredTimer((0,), Mark(10**9), None))) == 41 and h.value is None and not h.timers
