@@ -51,9 +51,9 @@ def full(claims: DataFrame, changes: DataFrame) -> DataFrame:
     slot (distinct origins, or the units of all its claims where its basis is units), score, name (the one most claims use, the least of
     equals), purposes (the number of distinct ones), ever (distinct origins of changes in the period). claims: slot, tool, origin,
     units, basis, name, purpose; changes: tool, origin."""
-    per = claims.groupBy("slot", "tool", "origin", "basis").agg(F.max("units").alias("u"))
+    per = claims.groupBy("slot", "tool", "origin", "basis").agg(F.max("units").alias("u"), F.sum("units").alias("s"))
     rows = per.groupBy("slot", "tool", "basis").agg(F.count("*").alias("active"), F.sum("u").alias("units"))
-    whole = claims.groupBy("slot", "basis").agg(F.countDistinct("origin").alias("o"), F.sum("units").alias("all_units"))
+    whole = per.groupBy("slot", "basis", "origin").agg(F.sum("s").alias("s")).groupBy("slot", "basis").agg(F.count("origin").alias("o"), F.sum("s").alias("all_units"))
     votes = claims.groupBy("slot", "tool", "name").agg(F.count("*").alias("n")).groupBy("slot", "tool").agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("name"))
     purposes = claims.groupBy("slot", "tool").agg(F.countDistinct("purpose").alias("purposes"))
     ever = changes.groupBy("tool").agg(F.countDistinct("origin").alias("ever"))

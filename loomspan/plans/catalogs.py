@@ -10,7 +10,7 @@ from loomspan.functions import uses
 from loomspan.operators import catalog, rollup
 from loomspan.plans.registry import query
 from loomspan.sources import entries
-from loomspan.sources.tables import spread, table
+from loomspan.sources.tables import dealt, spread, table
 
 
 def _day(c: str):
@@ -146,7 +146,10 @@ _CLAIMS = """c AS (SELECT l_returnflag AS slot, p_brand AS tool, o_custkey AS or
 
 
 def _claims(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "lineitem").join(table(spark, root, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, root, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, root, "lineitem")
+    n = lines.count()
+    rows = dealt(lines, "l_orderkey", of=n).join(dealt(table(spark, root, "orders"), "o_orderkey", of=n), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = dealt(rows, "l_partkey", of=n).join(dealt(table(spark, root, "part"), "p_partkey", of=n), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(F.col("l_returnflag").alias("slot"), F.col("p_brand").alias("tool"), F.col("o_custkey").alias("origin"), F.col("l_linenumber").cast("bigint").alias("units"), F.when(F.col("l_returnflag") == "A", "units").otherwise("publishers").alias("basis"), F.col("p_type").alias("name"), (F.col("p_size") % 7).alias("purpose"), "o_orderdate")
 
 
@@ -161,7 +164,7 @@ def whole_rollup(spark: SparkSession, root: str) -> DataFrame:
     """The whole rollup of claims by slot and tool: origins, units, denominators, votes, purposes, changes of a month."""
     c = _claims(spark, root)
     month = c.where("o_orderdate >= TIMESTAMP_NTZ '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP_NTZ '1996-02-01 00:00:00'").select("tool", "origin")
-    return rollup.full(c, month)
+    return rollup.full(dealt(c, "origin", of=table(spark, root, "lineitem").count()), month)
 
 
 @query(f"""
@@ -169,5 +172,6 @@ WITH {_CLAIMS}, r AS (SELECT slot, tool, count(DISTINCT origin) AS active FROM c
 """)
 def one_row_per_tool(spark: SparkSession, root: str) -> DataFrame:
     """Of a tool's rows the one that counts most."""
-    r = _claims(spark, root).groupBy("slot", "tool").agg(F.countDistinct("origin").alias("active"))
+    c = dealt(_claims(spark, root), "origin", of=table(spark, root, "lineitem").count())
+    r = c.select("slot", "tool", "origin").distinct().groupBy("slot", "tool").agg(F.count("origin").alias("active"))
     return rollup.one_per_tool(r, r.select("tool", F.lit("R").alias("slot")).distinct())

@@ -179,3 +179,20 @@ def test_work_is_done_once(spark, tmp_path):
     assert plan(registry.QUERIES["link_networks"](spark, str(tmp_path))).count("MapInArrow") == 2
     texts = registry.QUERIES["unicode_normalize"](spark, str(tmp_path))
     assert "MapInArrow" in plan(texts) and sorted(map(tuple, texts.collect())) == [(1, "é"), (2, None)]
+
+
+def test_rollup_tasks_do_not_grow_with_the_table(spark, monkeypatch):
+    """Joins and counts of claims are dealt over tasks by the rows of lineitem; results stay."""
+    from loomspan.plans import catalogs
+    from loomspan.sources import tables
+
+    root = "/root/testdata/sf0.001"
+    for q in (catalogs.whole_rollup, catalogs.one_row_per_tool):
+        monkeypatch.setattr(tables, "TASK_ROWS", 1 << 19)
+        want = sorted(map(tuple, q(spark, root).collect()))
+        monkeypatch.setattr(tables, "TASK_ROWS", 500)
+        got = q(spark, root)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        n = -(-tables.table(spark, root, "lineitem").count() // 500)
+        assert n > 4 and all(f"hashpartitioning({k}" in plan for k in ("l_orderkey", "l_partkey", "origin")) and f", {n}), REPARTITION_BY_NUM" in plan
+        assert sorted(map(tuple, got.collect())) == want
