@@ -11,18 +11,26 @@ from functools import cached_property
 import numpy as np
 
 _U = np.uint64
+_EACH, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Where the k-th set bit of a byte stands, at k * 256 + byte.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8) for b in range(256)], np.int64)
 
 
 def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Where the k-th (from 0) set bit of each word stands."""
-    word, k, at = word.copy(), k.astype(np.int64), np.zeros(len(word), np.int64)
-    for s in (32, 16, 8, 4, 2, 1):
-        n = np.bitwise_count(word & _U((1 << s) - 1)).astype(np.int64)
-        over = k >= n
-        k -= np.where(over, n, 0)
-        word = np.where(over, word >> _U(s), word)
-        at += over * s
-    return at
+    """Where the k-th (from 0) set bit of each word stands: its byte by running sums over the bytes, then its place in the byte."""
+    k = k.astype(np.uint64)
+    sums = word - ((word >> _U(1)) & _U(0x5555555555555555))
+    sums = (sums & _U(0x3333333333333333)) + ((sums >> _U(2)) & _U(0x3333333333333333))
+    sums = ((sums + (sums >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _EACH
+    byte = np.bitwise_count(((k * _EACH) | _TOPS) - sums & _TOPS).astype(np.uint64) << _U(3)
+    k -= ((sums << _U(8)) >> byte) & _U(255)
+    return _IN_BYTE[((k << _U(8)) | ((word >> byte) & _U(255))).astype(np.int64)] + byte.astype(np.int64)
+
+
+def _bits(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """57 bits or more from each place in bytes, eight of which follow any place asked for."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    return words[at >> 3] >> (at & 7).astype(np.uint64)
 
 
 def _pack(low: np.ndarray, width: int) -> np.ndarray:
@@ -64,41 +72,71 @@ class EliasFano:
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), np.uint64)
-        bit = i * self.width
-        words = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))
-        return (words[bit >> 3] >> (bit & 7).astype(np.uint64)) & _U((1 << self.width) - 1)
+        return _bits(self.low, i * self.width) & _U((1 << self.width) - 1)
+
+    def _one(self, i: np.ndarray) -> np.ndarray:
+        """Where the i-th set bit stands."""
+        j = np.searchsorted(self.rank, i.astype(np.uint32), "right") - 1
+        return j * 64 + _select(self.high[j], i - self.rank[j])
+
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Where the k-th clear bit stands."""
+        j = np.searchsorted(self.zeros, k, "right") - 1
+        return j * 64 + _select(~self.high[j], k - self.zeros[j])
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places i."""
-        j = np.searchsorted(self.rank, i, "right") - 1
-        place = j * 64 + _select(self.high[j], i - self.rank[j])
-        return ((place - i).astype(np.uint64) << _U(self.width)) | self._low(i)
-
-    def _before(self, h: np.ndarray) -> np.ndarray:
-        """How many numbers have a high part below h."""
-        k = h.astype(np.int64) - 1
-        kk = np.maximum(k, 0)
-        j = np.searchsorted(self.zeros, kk, "right") - 1
-        place = j * 64 + _select(~self.high[j], kk - self.zeros[j])
-        return np.where(k < 0, 0, place - kk)
-
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """For each x the place of the first number that isn't less: the bucket of its high part, then halving in the bucket."""
-        h = x >> _U(self.width)
-        lo, hi, want = self._before(h), self._before(h + _U(1)), x & _U((1 << self.width) - 1)
+        return ((self._one(i) - i).astype(np.uint64) << _U(self.width)) | self._low(i)
+
+    def step(self, i: np.ndarray) -> np.ndarray:
+        """By how much the numbers at places i + 1 exceed those at i: the clear bits up to the next set one, and the low bits."""
+        rest = _bits(self.high.view(np.uint8), self._one(i) + 1)
+        up = np.bitwise_count((rest & (~rest + _U(1))) - _U(1)).astype(np.uint64)
+        out = (up << _U(self.width)) + self._low(i + 1) - self._low(i)
+        far = np.flatnonzero(up > 56)
+        if len(far):
+            out[far] = self.get(i[far] + 1) - self.get(i[far])
+        return out
+
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the numbers with high part h begin and end: the set bits that follow the clear bit before them."""
+        h = h.astype(np.int64)
+        start = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1, 0)
+        ones = _bits(self.high.view(np.uint8), start)
+        n = np.bitwise_count(ones & ~(ones + _U(1))).astype(np.int64)
+        lo = start - h
+        hi = lo + n
+        far = np.flatnonzero(n > 56)
+        if len(far):
+            hi[far] = self._zero(h[far]) - h[far]
+        return lo, hi
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each x the place of the first number that isn't less, where its bucket ends, and its low part: halving in the bucket."""
+        lo, hi = self._bucket(x >> _U(self.width))
+        want = x & _U((1 << self.width) - 1)
         open_ = np.flatnonzero(lo < hi)
+        a, z, low = lo[open_], hi[open_], want[open_]
         while len(open_):
-            a, z = lo[open_], hi[open_]
             mid = (a + z) >> 1
-            less = self._low(mid) < want[open_]
-            lo[open_], hi[open_] = np.where(less, mid + 1, a), np.where(less, z, mid)
-            open_ = open_[lo[open_] < hi[open_]]
-        return lo
+            less = self._low(mid) < low
+            a, z = np.where(less, mid + 1, a), np.where(less, z, mid)
+            lo[open_] = a
+            go = np.flatnonzero(a < z)
+            open_, a, z, low = open_[go], a[go], z[go], low[go]
+        return lo, hi, want
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """For each x the place of the first number that isn't less."""
+        return self._search(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each x, or -1 where it isn't there."""
+        out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
-            return np.full(len(x), -1, np.int64)
-        at = self.successor(x)
-        inside = np.minimum(at, self.n - 1)
-        return np.where((at < self.n) & (self.get(inside) == x), inside, -1)
+            return out
+        at, end, want = self._search(x)
+        i = np.flatnonzero(at < end)
+        i = i[self._low(at[i]) == want[i]]
+        out[i] = at[i]
+        return out

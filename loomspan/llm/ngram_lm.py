@@ -31,7 +31,8 @@ rows. Other columns are ignored.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +57,14 @@ _LOW = np.uint64(HASH_BITS - LABEL_BITS)
 _WIDE = LABEL_BITS // 8
 
 
-def _hash(word: bytes) -> int:
+def _hashes(words: Iterable[bytes], n: int) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(word, 17) >> (64 - HASH_BITS)
+    return np.fromiter(map(xxh64_intdigest, words, repeat(17)), np.uint64, n) >> np.uint64(64 - HASH_BITS)
+
+
+def _hash(word: bytes) -> int:
+    return int(_hashes([word], 1)[0])
 
 
 def read_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,11 +73,10 @@ def read_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
     offsets = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    hashes = np.array([*(_hash(w.encode()) for w in words), _hash(START), _hash(END)], np.uint64)
-    known, place = np.unique(hashes, return_inverse=True)
+    words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    known, place = np.unique(np.concatenate((_hashes(words, len(words)), _hashes((START, END), 2))), return_inverse=True)
     index = coded.indices.to_numpy().astype(np.int64)
-    full = np.array([w != "" for w in words] or [True], bool)[index] if len(index) else np.zeros(0, bool)
+    full = (pc.binary_length(coded.dictionary).to_numpy() > 0)[index] if len(index) else np.zeros(0, bool)
     ends = np.concatenate(([0], np.cumsum(full)))[offsets - offsets[0]]
     tokens = np.insert(place[index[full]], ends[1:], place[-1])
     return known, tokens, ends[1:] + np.arange(1, len(texts) + 1)
@@ -98,7 +102,7 @@ def _by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
 
 class Counts:
     """A batch's distinct pairs (a, b: places in known; c: counts) and triples (pair: place in them, w: the next word, n: counts),
-    and for each token its pair and, past a text's first, its triple."""
+    and for each token its pair and, past a text's first, its triple. Pairs are sorted by a and b, triples by pair and w."""
 
     def __init__(self, texts: pa.Array):
         self.known, self.tokens, self.ends = read_tokens(texts)
@@ -110,7 +114,7 @@ class Counts:
         follows = np.ones(len(self.tokens), bool)
         follows[self.starts] = False
         self.at = np.flatnonzero(follows)  # tokens with a triple
-        triples, self.first, self.triple_of, self.n = np.unique(self.of[self.at - 1] * m + self.tokens[self.at], return_index=True, return_inverse=True, return_counts=True)
+        triples, self.triple_of, self.n = np.unique(self.of[self.at - 1] * m + self.tokens[self.at], return_inverse=True, return_counts=True)
         self.pair, self.w = np.divmod(triples, m)
 
 
@@ -122,7 +126,8 @@ class Layout:
         self.bounds = np.array([(k << HASH_BITS) // shards for k in range(shards)], np.uint64)
 
     def is_hot(self, a: np.ndarray) -> np.ndarray:
-        return np.isin(a, self.hot)
+        at = np.minimum(np.searchsorted(self.hot, a), len(self.hot) - 1)
+        return self.hot[at] == a if len(self.hot) else np.zeros(len(a), bool)
 
     def of_word(self, a: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, a, "right") - 1
@@ -191,7 +196,7 @@ def _counter(layout: Layout):
 def _summed(owner: np.ndarray, label: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys (owner * 2**LABEL_BITS + label), their counts, and where each row went."""
     keys = (owner.astype(np.uint64) << np.uint64(LABEL_BITS)) | label
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = _runs(keys)
     where = np.empty(len(order), np.int64)
@@ -253,33 +258,39 @@ class Shard:
         self.arrays = {k: np.ndarray((m,), t, data, base + at) for k, (t, at, m) in json.loads(data[8:8 + n].tobytes()).items()}
         self.contexts, self.counts, self.pointers, self.pairs, self.pointers3, self.triples = (EliasFano({k: self.arrays[f"{s}.{k}"] for k in ("shape", "low", "high", "rank")}) for s in _SEQUENCES)
         self.discount, self.discount3 = float(self.arrays["codes.discount"][0]), float(self.arrays["codes3.discount"][0])
+        self.book, self.book3 = 10.0 ** self.arrays["codes.book"], 10.0 ** self.arrays["codes3.book"]
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place (or -1), count and number of successors of each word as a context."""
         at = self.contexts.find(hashes)
-        ok, count, many = at >= 0, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        i = at[ok]
-        count[ok] = (self.counts.get(i + 1) - self.counts.get(i)).astype(np.int64)
-        many[ok] = (self.pointers.get(i + 1) - self.pointers.get(i)).astype(np.int64)
+        ok, count, many = np.flatnonzero(at >= 0), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        count[ok], many[ok] = self.counts.step(at[ok]), self.pointers.step(at[ok])
         return at, count, many
 
-    def _found(self, level: EliasFano, codes: str, owner: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place (or -1) and discounted count (or 0) of each successor of an owner (or of -1, which has none)."""
-        at = np.where(owner >= 0, level.find((np.maximum(owner, 0).astype(np.uint64) << np.uint64(LABEL_BITS)) | labels), -1)
-        if not level.n:
-            return at, np.zeros(len(at))
-        return at, np.where(at >= 0, 10.0 ** self.arrays[f"{codes}.book"][self.arrays[codes][np.maximum(at, 0)]], 0.0)
+    @staticmethod
+    def _found(level: EliasFano, owner: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the successors of an owner (or of -1, which has none) are there, and their places."""
+        i = np.flatnonzero(owner >= 0)
+        at = level.find((owner[i].astype(np.uint64) << np.uint64(LABEL_BITS)) | labels[i])
+        there = np.flatnonzero(at >= 0)
+        return i[there], at[there]
 
     def successors(self, owner: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place, discounted count, count and number of successors of each pair."""
-        at, kept = self._found(self.pairs, "codes", owner, labels)
-        i = np.maximum(at, 0)
-        many = (self.pointers3.get(i + 1) - self.pointers3.get(i)).astype(np.int64) if self.pairs.n else np.zeros(len(at), np.int64)
-        return at, kept, np.where(at >= 0, kept + self.discount, 0.0), np.where(at >= 0, many, 0)
+        """Place (or -1), discounted count, count and number of successors (or 0) of each pair."""
+        place, kept, count, many = np.full(len(owner), -1, np.int64), np.zeros(len(owner)), np.zeros(len(owner)), np.zeros(len(owner), np.int64)
+        i, at = self._found(self.pairs, owner, labels)
+        if len(i):
+            place[i], kept[i], many[i] = at, self.book[self.arrays["codes"][at]], self.pointers3.step(at)
+            count[i] = kept[i] + self.discount
+        return place, kept, count, many
 
     def last(self, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        """The discounted count of each triple."""
-        return self._found(self.triples, "codes3", owner, labels)[1]
+        """The discounted count of each triple, or 0."""
+        kept = np.zeros(len(owner))
+        i, at = self._found(self.triples, owner, labels)
+        if len(i):
+            kept[i] = self.book3[self.arrays["codes3"][at]]
+        return kept
 
 
 def layout_of(docs: DataFrame) -> Layout:
@@ -383,22 +394,26 @@ class Trie:
         pairs, triples = len(x.a), len(x.pair)
         kept2, count2, many2, kept3, rest3 = np.zeros(pairs), np.zeros(pairs), np.zeros(pairs, np.int64), np.zeros(triples), np.ones(triples)
         shard = self.layout.of_pair(known[x.a], known[x.b])
-        order, order3 = _by_shard(shard, self.layout.shards), _by_shard(shard[x.pair], self.layout.shards)
-        cut, cut3 = (np.searchsorted(v, np.arange(self.layout.shards + 1)) for v in (shard[order], shard[x.pair][order3]))
+        shard3 = shard[x.pair]
+        order, order3 = _by_shard(shard, self.layout.shards), _by_shard(shard3, self.layout.shards)
+        cut, cut3 = (np.searchsorted(v, np.arange(self.layout.shards + 1)) for v in (shard[order], shard3[order3]))
         place = np.full(pairs, -1, np.int64)
         for k in np.flatnonzero(np.diff(cut)).tolist():
             if k not in self.made:
                 continue
             s, own, own3 = self._shard(k), order[cut[k]:cut[k + 1]], order3[cut3[k]:cut3[k + 1]]
-            ctx, back = np.unique(x.a[own], return_inverse=True)
-            place[own], kept2[own], count2[own], many2[own] = s.successors(s.contexts.find(known[ctx])[back], labels[x.b[own]])
+            a = x.a[own]
+            first = _runs(a)
+            owner = np.repeat(s.contexts.find(known[a[first]]), np.diff(np.append(first, len(a))))
+            place[own], kept2[own], count2[own], many2[own] = s.successors(owner, labels[x.b[own]])
             if len(own3):
                 pair = x.pair[own3]
                 kept3[own3] = s.last(place[pair], labels[x.w[own3]])
                 rest3[own3] = s.discount3 * many2[pair]
         total = count[x.a]
         p2 = np.divide(kept2, total, out=np.zeros(pairs), where=total > 0) + share[x.a] * p1[x.b]
-        below = p2[x.of[x.at[x.first]]] if triples else np.zeros(0)
+        below = np.zeros(triples)
+        below[x.triple_of] = p2[x.of[x.at]]
         whole = count2[x.pair]
         seen = (whole > 0) & (many2[x.pair] > 0)
         p3 = np.where(seen, np.divide(kept3 + rest3 * below, whole, out=np.zeros(triples), where=whole > 0), below)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from loomspan.llm import decontaminate, langid, media, mixing, ngram_lm, pii, sharding, simhash, substring, token_store
+from loomspan.llm import decontaminate, elias_fano, langid, media, mixing, ngram_lm, pii, sharding, simhash, substring, token_store
 from loomspan.llm.common import Store, work_folder
 from loomspan.llm.components import components
 from loomspan.llm.elias_fano import EliasFano
@@ -470,6 +470,27 @@ def test_elias_fano(n, universe):
     assert n == 0 or (e.successor(q) == np.searchsorted(v, q)).all()
 
 
+def test_lookups_select_once(monkeypatch):
+    """What a scoring task does most: a search selects one bit for each number asked for, a step from a number to the next one too."""
+    r = np.random.default_rng(5)
+    crowd = np.uint64(77 << 40) + r.integers(0, 1 << 20, 3000, dtype=np.uint64)  # buckets and gaps longer than a word
+    v = np.unique(np.concatenate((r.integers(0, 1 << 55, 20000, dtype=np.uint64), crowd, np.array([(1 << 56) - 1], np.uint64))))
+    e, asked, select = EliasFano(EliasFano.build(v, 1 << 56)), [], elias_fano._select
+    monkeypatch.setattr(elias_fano, "_select", lambda word, k: asked.append(len(word)) or select(word, k))
+    q = np.sort(np.concatenate((v[::2], r.integers(0, 1 << 55, 10000, dtype=np.uint64))))
+    at = e.find(q)
+    assert ((at >= 0) == np.isin(q, v)).all() and (v[at[at >= 0]] == q[at >= 0]).all()
+    assert sum(asked) < 1.2 * len(q)  # once more only in such a bucket
+    asked.clear()
+    assert (e.step(np.arange(len(v) - 1)) == np.diff(v)).all()
+    assert sum(asked) < 1.2 * len(v)
+    for width in (1, 8, 64):
+        ones = r.integers(0, 1 << 63, 500, dtype=np.uint64) | np.uint64(1) << np.uint64(width - 1)
+        for k in range(int(np.bitwise_count(ones).min())):
+            want = [[b for b in range(64) if int(x) >> b & 1][k] for x in ones]
+            assert (select(ones, np.full(len(ones), k)) == want).all()
+
+
 def test_scores(spark, docs, rows, none):
     at = work_folder(spark, "m")
     train = [r for r in rows if zlib.crc32((str(r[0]) if r[0] is not None else "").encode()) % 5 != 1]
