@@ -21,7 +21,7 @@ of the word in training; an unknown context gives P'.
 A pair lies in the shard of its context's hash. Contexts that a large part of all tokens follow (found in a bounded sample; the
 text's start always) lie in all shards, a pair by the hash of both words; their counts are summed up, some for each shard. A
 shard takes about SHARD_BYTES of text, so shards grow in number with the corpus and not in size; each is made by one task, and a
-task that scores maps the files and touches the parts that its batch needs. Words are known by 56 bits of their hash.
+task that scores maps each file once for GROUP_BYTES of text. Words are known by 56 bits of their hash.
 
 Defined results: a null or empty text is its end alone; null doc_ids count as the empty text where the id's CRC holds documents
 out, and are kept; repeated rows are counted and scored each. Without training rows every count is 0. An empty table gives no
@@ -48,8 +48,8 @@ from loomspan.sources.tables import table
 HASH_BITS, LABEL_BITS = 56, 40
 #: Text of a shard; text of the sample in which hot contexts are looked for.
 SHARD_BYTES, SAMPLE_BYTES = 24 << 20, 32 << 20
-#: Bytes of texts that are counted or scored at a time; bytes of files that a scoring task keeps mapped between these.
-BLOCK_BYTES, MAPPED_BYTES = 3 << 20, 128 << 20
+#: Bytes of texts that are counted at a time; bytes of texts that are looked up together, each file being mapped once for them.
+BLOCK_BYTES, GROUP_BYTES = 3 << 20, 20 << 20
 #: Stand for a text's start (a context only) and its end (a token): no word has a space.
 START, END = b" start", b" end"
 _SEQUENCES = ("contexts", "counts", "pointers", "pairs", "pointers3", "triples")
@@ -258,7 +258,6 @@ class Shard:
         self.arrays = {k: np.ndarray((m,), t, data, base + at) for k, (t, at, m) in json.loads(data[8:8 + n].tobytes()).items()}
         self.contexts, self.counts, self.pointers, self.pairs, self.pointers3, self.triples = (EliasFano({k: self.arrays[f"{s}.{k}"] for k in ("shape", "low", "high", "rank")}) for s in _SEQUENCES)
         self.discount, self.discount3 = float(self.arrays["codes.discount"][0]), float(self.arrays["codes3.discount"][0])
-        self.book, self.book3 = 10.0 ** self.arrays["codes.book"], 10.0 ** self.arrays["codes3.book"]
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place (or -1), count and number of successors of each word as a context."""
@@ -275,22 +274,43 @@ class Shard:
         there = np.flatnonzero(at >= 0)
         return i[there], at[there]
 
-    def successors(self, owner: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place (or -1), discounted count, count and number of successors (or 0) of each pair."""
-        place, kept, count, many = np.full(len(owner), -1, np.int64), np.zeros(len(owner)), np.zeros(len(owner)), np.zeros(len(owner), np.int64)
+    def successors(self, owner: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place (or -1), code and number of successors (or -1) of each pair."""
+        place, code, many = np.full(len(owner), -1, np.int64), np.zeros(len(owner), np.uint8), np.full(len(owner), -1, np.int32)
         i, at = self._found(self.pairs, owner, labels)
         if len(i):
-            place[i], kept[i], many[i] = at, self.book[self.arrays["codes"][at]], self.pointers3.step(at)
-            count[i] = kept[i] + self.discount
-        return place, kept, count, many
+            place[i], code[i], many[i] = at, self.arrays["codes"][at], self.pointers3.step(at)
+        return place, code, many
 
     def last(self, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        """The discounted count of each triple, or 0."""
-        kept = np.zeros(len(owner))
+        """The code of each triple, or -1."""
+        code = np.full(len(owner), -1, np.int16)
         i, at = self._found(self.triples, owner, labels)
         if len(i):
-            kept[i] = self.book3[self.arrays["codes3"][at]]
-        return kept
+            code[i] = self.arrays["codes3"][at]
+        return code
+
+
+class Asked:
+    """What a block of texts asks of the trie, in the order of shards, and the answers: of words their count and mass, of pairs
+    codes and numbers of successors, of triples codes."""
+
+    def __init__(self, texts: pa.Array, layout: Layout):
+        x = Counts(texts)
+        self.known, self.ends, self.starts = x.known, x.ends, x.starts
+        self.a, self.b, self.pair, self.w, self.of, self.triple_of = (v.astype(np.int32) for v in (x.a, x.b, x.pair, x.w, x.of, x.triple_of))
+        del x
+        shard = layout.of_pair(self.known[self.a], self.known[self.b])
+        shard3 = shard[self.pair]
+        self.order, self.order3 = _by_shard(shard, layout.shards).astype(np.int32), _by_shard(shard3, layout.shards).astype(np.int32)
+        every = np.arange(layout.shards + 1)
+        self.cut0, self.cut, self.cut3 = np.searchsorted(layout.of_word(self.known), every), np.searchsorted(shard[self.order], every), np.searchsorted(shard3[self.order3], every)
+        self.count, self.mass = np.zeros(len(self.known), np.int64), np.zeros(len(self.known))
+        self.code, self.many, self.code3 = np.zeros(len(self.a), np.uint8), np.full(len(self.a), -1, np.int32), np.full(len(self.pair), -1, np.int16)
+
+    def shards(self) -> np.ndarray:
+        """Which shards are asked."""
+        return (np.diff(self.cut0) > 0) | (np.diff(self.cut) > 0)
 
 
 def layout_of(docs: DataFrame) -> Layout:
@@ -345,85 +365,94 @@ def fit(docs: DataFrame, root: str, text_col: str = "text") -> dict:
 
 
 class Trie:
-    """All files of a trie; each is mapped when it is first needed."""
+    """All files of a trie; each is mapped while it answers a group of blocks, since pages that a task touched count as its memory."""
 
     def __init__(self, root: str):
-        self.store, self.shards, self.mapped = Store(root), {}, 0
+        self.store, self.books = Store(root), {}
         with self.store.open("meta.json") as f:
             self.meta = json.loads(bytes(f.read()))
         self.made, self.layout = set(self.meta["made"]), Layout(self.meta["shards"], np.array(self.meta["layout"], np.uint64))
         self.hot = {int(np.int64(h).view(np.uint64)): (n, mass) for h, n, mass in self.meta["hot"]}
         self.floor = self.meta["tokens"] + 0.5 * (self.meta["words"] + 1)
 
-    def _shard(self, k: int) -> Shard:
-        if k not in self.shards:
-            data = self.store.mapped(f"trie/{k:06d}.bin")
-            self.shards[k], self.mapped = Shard(data), self.mapped + len(data)
-        return self.shards[k]
-
-    def unmap(self) -> None:
-        """Let go of the files, if they are many bytes: pages that a task touched count as its memory."""
-        if self.mapped > MAPPED_BYTES:
-            self.shards, self.mapped = {}, 0
-
-    def _words(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count of each word, and the mass that it leaves to the next shorter context (1 where it is unknown)."""
-        count, mass = np.zeros(len(known), np.int64), np.zeros(len(known))
-        shard, hot = self.layout.of_word(known), self.layout.is_hot(known)
-        first = _runs(shard)
-        for i, z in zip(first.tolist(), [*first[1:].tolist(), len(known)]):
-            if shard[i] in self.made:
-                s = self._shard(int(shard[i]))
-                _, count[i:z], many = s.words(known[i:z])
-                mass[i:z] = s.discount * many
-        for i in np.flatnonzero(hot).tolist():
+    def _answer(self, k: int, asked: list[Asked]) -> None:
+        """Look up what the blocks ask of a shard, all at once."""
+        s = Shard(self.store.mapped(f"trie/{k:06d}.bin"))
+        if k not in self.books:
+            self.books[k] = 10.0 ** s.arrays["codes.book"], s.discount, 10.0 ** s.arrays["codes3.book"], s.discount3
+        at, count, many = s.words(np.concatenate([x.known[x.cut0[k]:x.cut0[k + 1]] for x in asked]))
+        done = 0
+        for x in asked:
+            n = x.cut0[k + 1] - x.cut0[k]
+            x.count[x.cut0[k]:x.cut0[k + 1]], x.mass[x.cut0[k]:x.cut0[k + 1]] = count[done:done + n], s.discount * many[done:done + n]
+            done += n
+        own, own3 = [x.order[x.cut[k]:x.cut[k + 1]] for x in asked], [x.order3[x.cut3[k]:x.cut3[k + 1]] for x in asked]
+        context = np.concatenate([x.known[x.a[i]] for x, i in zip(asked, own)])
+        first = _runs(context)
+        owner = np.repeat(s.contexts.find(context[first]), np.diff(np.append(first, len(context))))
+        place, code, many = s.successors(owner, np.concatenate([x.known[x.b[i]] for x, i in zip(asked, own)]) >> _LOW)
+        done, owner3 = 0, []
+        for x, i, j in zip(asked, own, own3):
+            x.code[i], x.many[i] = code[done:done + len(i)], many[done:done + len(i)]
+            owner3.append(place[done:done + len(i)][np.searchsorted(i, x.pair[j])])
+            done += len(i)
+        code3 = s.last(np.concatenate(owner3), np.concatenate([x.known[x.w[j]] for x, j in zip(asked, own3)]) >> _LOW)
+        done = 0
+        for x, j in zip(asked, own3):
+            x.code3[j] = code3[done:done + len(j)]
+            done += len(j)
+
+    def _scored(self, x: Asked) -> dict[str, np.ndarray]:
+        """n_tokens, n_known, base_score and score of each text of a block whose questions are answered."""
+        known, count, mass = x.known, x.count, x.mass
+        for i in np.flatnonzero(self.layout.is_hot(known)).tolist():
             count[i], mass[i] = self.hot.get(int(known[i]), (0, 0.0))
-        return count, np.divide(mass, count, out=np.ones(len(known)), where=count > 0)
-
-    def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
-        """n_tokens, n_known, base_score and score of each text."""
-        x = Counts(texts)
-        known = x.known
-        count, share = self._words(known)
+        share = np.divide(mass, count, out=np.ones(len(known)), where=count > 0)
         # As a token, the end occurs as often as the start does as a context.
         start, end = np.searchsorted(known, np.array([_hash(START), _hash(END)], np.uint64))
         occurs = count.copy()
         occurs[end], occurs[start] = count[start], 0
         p1 = (occurs + 0.5) / self.floor
-        labels = known >> _LOW
         pairs, triples = len(x.a), len(x.pair)
-        kept2, count2, many2, kept3, rest3 = np.zeros(pairs), np.zeros(pairs), np.zeros(pairs, np.int64), np.zeros(triples), np.ones(triples)
-        shard = self.layout.of_pair(known[x.a], known[x.b])
-        shard3 = shard[x.pair]
-        order, order3 = _by_shard(shard, self.layout.shards), _by_shard(shard3, self.layout.shards)
-        cut, cut3 = (np.searchsorted(v, np.arange(self.layout.shards + 1)) for v in (shard[order], shard3[order3]))
-        place = np.full(pairs, -1, np.int64)
-        for k in np.flatnonzero(np.diff(cut)).tolist():
-            if k not in self.made:
-                continue
-            s, own, own3 = self._shard(k), order[cut[k]:cut[k + 1]], order3[cut3[k]:cut3[k + 1]]
-            a = x.a[own]
-            first = _runs(a)
-            owner = np.repeat(s.contexts.find(known[a[first]]), np.diff(np.append(first, len(a))))
-            place[own], kept2[own], count2[own], many2[own] = s.successors(owner, labels[x.b[own]])
-            if len(own3):
-                pair = x.pair[own3]
-                kept3[own3] = s.last(place[pair], labels[x.w[own3]])
-                rest3[own3] = s.discount3 * many2[pair]
+        kept2, count2, kept3, rest3 = np.zeros(pairs), np.zeros(pairs), np.zeros(triples), np.ones(triples)
+        for k in np.flatnonzero(np.diff(x.cut)).tolist():
+            if k in self.books:
+                book, discount, book3, discount3 = self.books[k]
+                own, own3 = x.order[x.cut[k]:x.cut[k + 1]], x.order3[x.cut3[k]:x.cut3[k + 1]]
+                there = own[x.many[own] >= 0]
+                kept2[there] = book[x.code[there]]
+                count2[there] = kept2[there] + discount
+                there = own3[x.code3[own3] >= 0]
+                kept3[there] = book3[x.code3[there]]
+                rest3[own3] = discount3 * x.many[x.pair[own3]]
         total = count[x.a]
         p2 = np.divide(kept2, total, out=np.zeros(pairs), where=total > 0) + share[x.a] * p1[x.b]
+        follows = np.ones(len(x.of), bool)
+        follows[x.starts] = False
         below = np.zeros(triples)
-        below[x.triple_of] = p2[x.of[x.at]]
+        below[x.triple_of] = p2[x.of[follows]]
         whole = count2[x.pair]
-        seen = (whole > 0) & (many2[x.pair] > 0)
+        seen = (whole > 0) & (x.many[x.pair] > 0)
         p3 = np.where(seen, np.divide(kept3 + rest3 * below, whole, out=np.zeros(triples), where=whole > 0), below)
         logs = np.log10(p2)[x.of]
-        logs[x.at] = np.log10(p3)[x.triple_of]
+        logs[follows] = np.log10(p3)[x.triple_of]
+        tokens = x.b[x.of]
         return {
-            "n_tokens": x.ends - x.starts, "n_known": np.add.reduceat((occurs > 0)[x.tokens].astype(np.int64), x.starts),
-            "base_score": np.add.reduceat(np.log10(p1)[x.tokens], x.starts), "score": np.add.reduceat(logs, x.starts),
+            "n_tokens": x.ends - x.starts, "n_known": np.add.reduceat((occurs > 0)[tokens].astype(np.int64), x.starts),
+            "base_score": np.add.reduceat(np.log10(p1)[tokens], x.starts), "score": np.add.reduceat(logs, x.starts),
         }
 
+    def scores(self, asked: list[Asked]) -> Iterator[dict[str, np.ndarray]]:
+        """The scores of each block; each file is mapped once for all of them."""
+        for k in np.flatnonzero(np.any([x.shards() for x in asked], axis=0)).tolist():
+            if k in self.made:
+                self._answer(k, asked)
+        return map(self._scored, asked)
+
+    def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        """n_tokens, n_known, base_score and score of each text."""
+        return next(self.scores([Asked(texts, self.layout)]))
+
 
 def score(docs: DataFrame, root: str, text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """The columns in keep, n_tokens, n_known, train_tokens, base_score and score for each row."""
@@ -432,12 +461,24 @@ def score(docs: DataFrame, root: str, text_col: str = "text", keep: list[str] =
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(root)
+        trie, asked, kept, size = Trie(root), [], [], 0
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            for got, columns in zip(trie.scores(asked), kept):
+                n = np.full(len(got["score"]), trie.meta["tokens"], np.int64)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(got["n_tokens"]), pa.array(got["n_known"]), pa.array(n), pa.array(got["base_score"]), pa.array(got["score"])], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
         for b in blocks(batches, 0, BLOCK_BYTES):
-            got = trie.score(b.column(0))
-            trie.unmap()
-            n = np.full(b.num_rows, trie.meta["tokens"], np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got["n_tokens"]), pa.array(got["n_known"]), pa.array(n), pa.array(got["base_score"]), pa.array(got["score"])], names=[*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            more = b.column(0).nbytes
+            if asked and size + more > GROUP_BYTES:
+                yield from scored()
+                asked, kept, size = [], [], 0
+            asked.append(Asked(b.column(0), trie.layout))
+            kept.append(b.columns[1:])
+            size += more
+        if asked:
+            yield from scored()
+        asked.clear()
         del trie
         release_memory()
 

@@ -545,6 +545,19 @@ def test_scores(spark, docs, rows, none):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in ngram_lm.score(docs.limit(3), empty).collect())
 
 
+def test_files_are_mapped_once_for_many_blocks(spark, docs, rows, monkeypatch):
+    at = work_folder(spark, "m")
+    ngram_lm.fit(docs, at)
+    trie, mapped, real = ngram_lm.Trie(at), [], ngram_lm.Store.mapped
+    monkeypatch.setattr(ngram_lm.Store, "mapped", lambda self, name: mapped.append(name) or real(self, name))
+    parts = [pa.array([r[1] for r in rows[i::5]] + ["never seen", None], pa.string()) for i in range(5)]
+    alone = [trie.score(x) for x in parts]
+    mapped.clear()
+    both = list(trie.scores([ngram_lm.Asked(x, trie.layout) for x in parts]))
+    assert len(mapped) == len(set(mapped)) <= trie.layout.shards
+    assert all((x[k] == y[k]).all() for x, y in zip(alone, both) for k in x)
+
+
 # Media
 
 
