@@ -130,6 +130,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
         for lang, n in totals.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
+        release_memory()
 
     summed = drawn.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(summed["lang"].unique().tolist())

@@ -36,13 +36,15 @@ from loomspan.llm.common import Store, blocks, drop_folder, release_memory, smal
 
 #: Ids in a chunk: least, on average past that, most.
 LEAST, MEAN, MOST = 256, 1024, 8192
-PACK_BYTES = 64 << 20
+#: A task holds a pack until it is written.
+PACK_BYTES = 16 << 20
 #: Children of a node of the Merkle tree.
 FAN = 1024
-#: Words whose ids a worker remembers, within a task: half of them are the latest, half are from the generation before.
-CACHE = 300_000
-#: Words that go to the tokenizer in one call, which holds some 200 bytes for each of their ids; bytes of texts encoded at a time.
-CALL, BLOCK_BYTES = 1 << 14, 5 << 20
+#: Words whose ids a worker remembers, within a task: if there are more, the half that was used last stays.
+CACHE = 150_000
+#: Words, and bytes of whole texts, that go to the tokenizer in one call, which holds some 200 bytes for each of their ids; bytes of
+#: texts encoded at a time; ids of documents read at a time.
+CALL, CALL_BYTES, BLOCK_BYTES, READ_IDS = 1 << 12, 1 << 18, 3 << 19, 1 << 20
 #: White space in any sense, the space and the line end apart: a text with it is encoded as it is.
 _ODD = "[\\t\\x{0b}\\f\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: A letter and marks at the end: the pre-tokenizer always cuts between the two.
@@ -50,25 +52,34 @@ _MARKS, _TAIL = ".,;:!?", "[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?]{1,4}$"
 
 
 class _Words:
-    """Ids of words, as bytes, each after the same sign: the latest of them are remembered."""
+    """Ids of words, as bytes, each after the same sign: those used last are remembered, in Arrow arrays, which take a tenth of a dict's memory."""
 
     def __init__(self, encode):
-        self.encode, self.young, self.old = encode, {}, {}
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        out = [young.get(w) or old.get(w) for w in words]
-        new = [w for w, x in zip(words, out) if x is None]
-        if new:
-            found = dict(zip(new, self.encode(new), strict=True))
-            out = [found[w] if x is None else x for w, x in zip(words, out)]
-        young.update(zip(words, out))
-        if len(young) > CACHE // 2:
-            self.young, self.old = {}, young
+        self.encode = encode
+        self.forget()
+
+    def ids(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        self.turn += 1
+        self.used[at.drop_null().to_numpy()] = self.turn
+        if len(new):
+            first = len(self.words)
+            self.words = pa.concat_arrays([self.words, new])
+            self.found = pa.concat_arrays([self.found, pa.array(self.encode(new.to_pylist()), pa.large_binary())])
+            self.used = np.append(self.used, np.full(len(new), self.turn))
+            place = at.to_numpy(zero_copy_only=False).copy()
+            place[np.isnan(place)] = np.arange(first, len(self.words))
+            at = pa.array(place.astype(np.int64))
+        out = self.found.take(at)
+        if len(self.words) > CACHE:
+            keep = pa.array(np.sort(np.argsort(self.used, kind="stable")[-(CACHE // 2):]))
+            self.words, self.found, self.used = self.words.take(keep), self.found.take(keep), self.used[keep.to_numpy()]
         return out
 
     def forget(self) -> None:
-        self.young, self.old = {}, {}
+        self.words, self.found, self.used, self.turn = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64), 0
 
 
 class Encoder:
@@ -97,6 +108,11 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _alone(self, texts: pa.Array) -> pa.Array:
+        """The ids of texts that are encoded as they are, CALL_BYTES in one call."""
+        few = blocks([pa.RecordBatch.from_arrays([texts], names=["text"])], 0, CALL_BYTES)
+        return pa.array([x for b in few for x in self._whole(b.column(0).to_pylist())], pa.large_binary())
+
     def _joined(self, words: list[str], mark: str, skip: int) -> list[bytes]:
         """The ids of words, each after mark, without the first `skip` bytes; CALL words in one call: the ids tell where each starts."""
         if len(words) > CALL:
@@ -112,7 +128,7 @@ class Encoder:
         cut = pc.match_substring_regex(pieces, _TAIL)
         heads = pc.if_else(cut, pc.utf8_rtrim(pieces, characters=_MARKS), pieces)
         coded = heads.dictionary_encode()
-        out = pa.array(words.ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        out = words.ids(coded.dictionary).take(coded.indices)
         length = (pc.binary_length(pieces).to_numpy() - pc.binary_length(heads).to_numpy()).astype(np.int64)
         tails, place = [b""], np.zeros(len(pieces), np.int64)
         for n in range(1, 5):
@@ -120,7 +136,7 @@ class Encoder:
             if len(at):
                 own = pc.utf8_slice_codeunits(pieces.take(pa.array(at)), start=-n).dictionary_encode()
                 place[at] = len(tails) + own.indices.to_numpy()
-                tails += self.tails.ids(own.dictionary.to_pylist())
+                tails += self.tails.ids(own.dictionary).to_pylist()
         return pc.binary_join_element_wise(out, pa.array(tails, pa.large_binary()).take(pa.array(place)), pa.scalar(b"", pa.large_binary()))
 
     def forget(self) -> None:
@@ -174,15 +190,18 @@ class Encoder:
             parts.append(pc.binary_join_element_wise(line, ids, pa.scalar(b"", pa.large_binary())) if len(own) else ids)
             # Each text's first piece stands after nothing, as one after a line end does.
             opening = pieces.take(pa.array(index[offsets[:-1]])).dictionary_encode()
-            words = opening.dictionary.to_pylist()
-            known = dict(zip((v := [x for x in words if x]), self.after_line.ids(v)))
-            opened = pa.array([known.get(x, b"") for x in words], pa.large_binary()).take(opening.indices)
+            words = opening.dictionary
+            some = pc.binary_length(words).to_numpy() > 0
+            known = pa.array([b""], pa.large_binary()).take(pa.array(np.zeros(len(words), np.int64)))
+            if some.any():
+                known = pc.replace_with_mask(known, pa.array(some), self.after_line.ids(words.filter(pa.array(some))))
+            opened = known.take(opening.indices)
             size = len(at) + len(own)
         else:
             parts, place, size, opened = [], np.zeros(len(pieces), np.int64), 0, pa.array([b""] * n, pa.large_binary())
         at = np.flatnonzero(slow)
         if len(at):
-            opened = pc.replace_with_mask(opened, pa.array(slow), pa.array(self._whole(texts.take(pa.array(at)).to_pylist()), pa.large_binary()))
+            opened = pc.replace_with_mask(opened, pa.array(slow), self._alone(texts.take(pa.array(at))))
         every = pa.concat_arrays([*parts, opened, pa.array([end], pa.large_binary())])
         index = place[index]
         index[offsets[:-1]] = size + np.arange(n)
@@ -317,6 +336,8 @@ def _keeper(root: str):
                 where.append(at)
                 at += n
         store.write(f"packs/{name}.bin", parts)
+        del parts
+        release_memory()
         return g.assign(offset=where)[["digest", "pack", "offset", "length"]]
 
     return run
@@ -372,6 +393,15 @@ def _recipes(spark: SparkSession, root: str) -> DataFrame:
         return spark.read.schema(json.loads(bytes(f.read()))["recipes"]).parquet(f"{root}/recipes")
 
 
+def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of READ_IDS ids at most, or of one row where it has more."""
+    done, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        z = max(a + 1, int(np.searchsorted(done, done[a] - sizes[a] + READ_IDS, "right")))
+        yield a, z
+        a = z
+
+
 def read_store(spark: SparkSession, root: str, with_ids: bool = True) -> DataFrame:
     """Documents rebuilt from a store: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids. A chunk or document that
     doesn't match its hash stops the job."""
@@ -388,7 +418,7 @@ def read_store(spark: SparkSession, root: str, with_ids: bool = True) -> DataFra
         with store.open("root.json") as f:
             dtype = np.dtype(json.loads(bytes(f.read()))["dtype"])
         files: dict[str, object] = {}
-        for b in batches:
+        for b in (b.slice(a, z - a) for b in batches for a, z in _runs(b.column(2).to_numpy())):
             crc, all_ids = [], []
             for n, leaf, chunks in zip(*(c.to_pylist() for c in b.columns[2:])):
                 raw = []
@@ -407,11 +437,13 @@ def read_store(spark: SparkSession, root: str, with_ids: bool = True) -> DataFra
                 if len(ids) != n or leaf is None:
                     raise ValueError("a recipe doesn't match its leaf")
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                all_ids.append(ids.astype(np.int32))
+                if with_ids:
+                    all_ids.append(ids.astype(np.int32))
             cols = [b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())]
             if with_ids:
                 cols.append(pa.array(all_ids, pa.list_(pa.int32())).cast(schema.field(4).type))
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
+        release_memory()
 
     return recipes.mapInArrow(run, ddl)
 

@@ -48,6 +48,38 @@ def test_encoder_equals_the_library():
         assert flat[a:z].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 2], t
 
 
+def test_encoder_holds_little(monkeypatch):
+    """A remembered word takes less than 100 bytes, texts that are encoded as they are go to the tokenizer a few at a time, and what is forgotten is encoded anew."""
+    import gc
+    import tracemalloc
+
+    e, r = token_store.Encoder(token_store.default_tokenizer()), random.Random(6)
+    texts = [" ".join("".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(5000)) for _ in range(20)]
+    gc.collect()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    try:
+        e.encode(pa.array(texts), 2)
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert held < 100 * 100_000
+    monkeypatch.setattr(token_store, "CACHE", 3000)
+    for t in texts + texts[:2]:
+        flat, _ = e.encode(pa.array([t]), 2)
+        assert flat.tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2]
+    calls, whole = [], e._whole
+    monkeypatch.setattr(e, "_whole", lambda few: calls.append(sum(map(len, few))) or whole(few))
+    e.encode(pa.array([t + "\t" for t in texts]), 2)
+    assert sum(calls) >= 20 * len(texts[0]) and max(calls) <= 1 << 18
+
+
+def test_reading_a_store_holds_no_ids_of_other_documents():
+    runs = list(token_store._runs(np.array([5, 2 << 20, 1 << 19, 1 << 19, 1, 0])))
+    assert runs == [(0, 1), (1, 2), (2, 4), (4, 6)] and list(token_store._runs(np.zeros(0, np.int64))) == []
+
+
 def test_cuts_follow_content():
     r = np.random.default_rng(1)
     x = r.integers(0, 50000, 60000).astype(np.uint16)
