@@ -146,3 +146,28 @@ def test_passages(spark):
     pages = [(1, f"<h1>T</h1><article><h2>In</h2><p>{long}</p></article><article></article><nav><article>no</article></nav>"), (2, "<h1>T</h1><p>a b. c</p><footer><p>f</p></footer>"), (3, None)]
     got = sorted(tuple(r) for r in works.passages(tree.trees(spark.createDataFrame(pages, "page_id long, html string")), "page_id").drop("n").collect())
     assert got == [(1, "article", "T", ("In" + long)[:800].rstrip(), 57), (2, "paragraph", "T", "a b. c", 2)]
+
+
+def test_ampersands_of_titles_that_are_cut_short(spark):
+    page = "<title>A &amp</title><h1>B &amp&amp</h1><article><h1>C &quot</h1><p>D &amp;amp E &copy F</p></article><script type='application/ld+json'>{\"n\":\"&amp\"}</script>"
+    row = tree.trees(spark.createDataFrame([(1, page)], "page_id long, html string"), loose=True).first()["tree"]
+    assert (row["title"], row["paragraphs"][0]["section"], row["passages"][0]["section"], row["objects"]) == ("A &", "C &quot", "B &&", ['{"n": "&amp"}'])
+    assert row["passages"][0]["text"] == "C &quotD &amp E &copy F" and tree.parse(page).row()["title"] == "A &amp"
+
+
+def test_queries_read_ampersands_as_their_sql(spark, tmp_path):
+    """On a page whose title ends within a reference."""
+    import duckdb
+
+    from loomspan.plans import registry
+
+    registry.load()
+    words = "A paragraph of enough words &amp; signs"
+    page = f"<html><head><title>One &amp</title></head><body><nav><ul>{''.join(f'<li><a href=\"/{k}\">x{k} &amp</a></li>' for k in range(3))}</ul></nav><article><h1>One &amp</h1><p>{words} &amp</p><p>{words}.</p><p>{words}!</p></article></body></html>"
+    spark.createDataFrame([(1, URL, page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        for name in ("topic_passages", "section_paragraphs", "collected_works", "repeated_blocks", "portfolio_works"):
+            want = con.sql(registry.ORACLES[name])
+            got = registry.QUERIES[name](spark, str(tmp_path)).select(*want.columns)
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str), name
