@@ -131,7 +131,8 @@ def classes(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     ring = _ring(fps, distance, segments)
     near = components(_beside(ring, distance, segments))
     known = stored(fps.join(near.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("v", "fp").alias("c")), f"{folder}/known")
-    rows = ring.join(known, "fp")
+    # Spark sizes the ring as its fingerprints, of which it is a multiple: a hint keeps it from being broadcast.
+    rows = ring.hint("merge").join(known, "fp")
     per = rows.groupBy("i", "key", "c").agg(F.count("*").alias("n")).groupBy("i", "key").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("several")).where("several > 1")
     # Buckets of one component have nothing left to find; in the others every pair of components has a side that isn't the largest.
     rest = rows.join(per.drop("several"), ["i", "key"])

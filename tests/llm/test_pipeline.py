@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from loomspan.llm import registry
@@ -172,3 +173,24 @@ def test_sql(spark, name):
     plain = lambda v: "-" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, numbers.Real) else str(v)
     tidy = lambda df: sorted((tuple(map(plain, r)) for r in df[cols].itertuples(index=False)), key=str)
     assert sorted(got.columns) == cols and tidy(got.toPandas()) == tidy(want)
+
+
+def _kinds_of_joins(df) -> list[str]:
+    import re
+
+    return re.findall(r"(\w+Join)\b", df._jdf.queryExecution().sparkPlan().toString())
+
+
+def test_rows_that_grow_are_not_broadcast(spark, monkeypatch):
+    """A ring, or shingles one by one, are many times what Spark sizes them as: however few they look, they are joined by a shuffle."""
+    from loomspan.llm import near_copies, simhash
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    seen, kept, stored = [], {}, near_copies.stored
+    monkeypatch.setattr(simhash, "components", lambda links, real=simhash.components: seen.append(links) or real(links))
+    monkeypatch.setattr(near_copies, "stored", lambda df, path: kept.update({path.rsplit("/", 1)[1]: _kinds_of_joins(df)}) or stored(df, path))
+    assert simhash.classes(spark.range(5000).select(F.xxhash64("id").alias("fp"))).count() == 5000
+    assert len(seen) == 2 and not [x for df in seen for x in _kinds_of_joins(df) if x.startswith("Broadcast")]
+    texts = [t for _ in range(3) for t in _copies(random.Random(1), 4, (1, 3))]
+    assert near_copies.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 12
+    assert set(kept["shared"]) == set(kept["rest"]) == {"SortMergeJoin"}
