@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most bytes of names that are broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 48 << 20
+
+
+def _bounded(names: DataFrame) -> DataFrame:
+    """names, all of texts, to be broadcast if the sum of their bytes is small enough, else shuffled. Left alone, Spark would broadcast what is
+    joined with them, whose rows it sizes as before they were taken apart."""
+    size = names.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in names.columns), F.lit(64)))).first()[0] or 0
+    return F.broadcast(names) if size <= BROADCAST_BYTES else names.hint("merge")
+
 
 def _some(needles, hay):
     return F.exists(F.coalesce(needles, F.array().cast("array<string>")), lambda x: F.contains(hay, x))
@@ -38,7 +48,7 @@ def section_slots(claims: DataFrame, slots: DataFrame, key: str, section: str) -
     A name of several slots is none."""
     one = slots.groupBy("name").agg(F.countDistinct("slot").alias("n"), F.min("slot").alias("slot")).where("n = 1").select("name", "slot")
     parts = claims.select(key, F.posexplode(F.split(F.lower(section), r"\s*/\s*")).alias("at", "name"))
-    best = parts.join(one, "name").groupBy(key).agg(F.max_by("slot", "at").alias("slot"))
+    best = parts.join(_bounded(one), "name").groupBy(key).agg(F.max_by("slot", "at").alias("slot"))
     return claims.select(key).join(best, key, "left")
 
 
@@ -49,7 +59,7 @@ def named_within(claims: DataFrame, names: DataFrame, key: str, context: str, mo
     runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _run(n))).otherwise(F.array().cast("array<struct<a:int,n:int,name:string>>"))
     every = words.select(key, F.explode(F.concat(*(runs(n) for n in range(1, most_words + 1)))).alias("x")).select(key, "x.*")
     # What is found is gathered by context, no more than the runs of one context, and held against itself there.
-    hits = every.join(names, "name").groupBy(key).agg(F.collect_list(F.struct("a", "n", "tool")).alias("h"))
+    hits = every.join(_bounded(names.select("name", "tool")), "name").groupBy(key).agg(F.collect_list(F.struct("a", "n", "tool")).alias("h"))
     inside = lambda x: F.exists("h", lambda y: (y["n"] > x["n"]) & (y["a"] <= x["a"]) & (y["a"] + y["n"] >= x["a"] + x["n"]))
     return hits.select(key, F.explode(F.array_distinct(F.transform(F.filter("h", lambda x: ~inside(x)), lambda x: x["tool"]))).alias("tool"))
 

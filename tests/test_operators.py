@@ -152,6 +152,20 @@ def test_names_within_need_no_broadcast_of_what_was_found(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
+def test_names_are_broadcast_and_not_what_is_joined_with_them(spark, tmp_path, monkeypatch):
+    """Runs and parts of contexts are many more rows than Spark takes them for; past a bound of the names' bytes the join shuffles."""
+    from loomspan.operators import catalog
+    from loomspan.plans import registry
+
+    registry.load()
+    spark.range(9).selectExpr("id AS p_partkey", "CAST(id AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("umbrella_names", "section_slots"):
+        for most, join in ((48 << 20, "BuildRight"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(catalog, "BROADCAST_BYTES", most)
+            plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+            assert join in plan and "BuildLeft" not in plan, (name, plan)
+
+
 def test_narrow_tables_are_spread(spark, tmp_path):
     """Long work on rows of a small file is dealt over all cores."""
     from loomspan.plans import registry
