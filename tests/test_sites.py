@@ -88,3 +88,30 @@ def test_nearest_among_copies(spark):
     found = similar.nearest(rows, "site", "topic", 0.25, 3)
     assert {tuple(r) for r in found.collect()} == want
     assert similar.classes(rows, "site", "topic").select("of").distinct().count() == len({tuple(k) for k in kinds})
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    """Sets that nearly all meet are held against each other in blocks; what comes out is that of the join, whatever the blocks."""
+    rng = random.Random(6)
+    kinds = [sorted(rng.sample([f"t{k}" for k in range(30)], rng.randint(1, 20))) for _ in range(60)]
+    sets = {f"s{i}": set(kinds[i % 60]) for i in range(70)} | {"é": {"x"}, "z": {"x", "y"}}
+    rows = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s] + [("n", None), (None, "t1")], "site string, topic string")
+    want = set()
+    for i, a in sets.items():
+        near = sorted((-len(a & b) / len(a | b), j, len(a & b)) for j, b in sets.items() if j != i and len(a & b) / len(a | b) >= 0.25)
+        want |= {(i, j, n, -s, k + 1) for k, (s, j, n) in enumerate(near[:3])}
+    assert {tuple(r) for r in similar.nearest(rows, "site", "topic", 0.25, 3).collect()} == want
+    monkeypatch.setattr(similar, "MEETINGS", 0)
+    for changed in ({}, {"SETS": 20, "ROWS": 7, "COLUMNS": 4, "CELLS": 40}):
+        for name, value in changed.items():
+            monkeypatch.setattr(similar, name, value)
+        found = similar.nearest(rows, "site", "topic", 0.25, 3)
+        assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {tuple(r) for r in found.collect()} == want
+
+
+def test_crowded_sets_do_not_meet_as_rows(spark):
+    """Users who all do much the same make no rows by their square."""
+    rows = spark.range(1500).selectExpr("id AS site", "explode(filter(sequence(0, 99), x -> pmod(xxhash64(id, x), 2) = 0)) AS topic")
+    plan = similar.nearest(rows, "site", "topic", 0.25, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
