@@ -44,7 +44,7 @@ FAN = 1024
 CACHE = 150_000
 #: Words, and bytes of whole texts, that go to the tokenizer in one call, which holds some 200 bytes for each of their ids; bytes of
 #: texts encoded at a time; ids of documents read at a time.
-CALL, CALL_BYTES, BLOCK_BYTES, READ_IDS = 1 << 12, 1 << 18, 3 << 19, 1 << 20
+CALL, CALL_BYTES, BLOCK_BYTES, READ_IDS = 1 << 12, 1 << 18, 3 << 19, 1 << 18
 #: White space in any sense, the space and the line end apart: a text with it is encoded as it is.
 _ODD = "[\\t\\x{0b}\\f\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: A letter and marks at the end: the pre-tokenizer always cuts between the two.

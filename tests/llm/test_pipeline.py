@@ -142,6 +142,20 @@ def test_token_ids(spark, docs, rows):
     assert p.token_ids(spark, docs.limit(0), ROOT).count() == 0
 
 
+def test_token_ids_are_given_and_verified(spark, docs, rows, monkeypatch):
+    """The result holds the ids themselves; a store that doesn't match its roots stops the stage."""
+    from tokenizers import Tokenizer
+
+    from loomspan.llm import token_store
+
+    t = Tokenizer.from_file(token_store.default_tokenizer())
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in p.token_ids(spark, docs, ROOT).collect())
+    assert got == Counter((r[0], (*t.encode(r[1] or "", add_special_tokens=False).ids, 2)) for r in rows)
+    monkeypatch.setattr(token_store, "_top", lambda roots, real=token_store._top, calls=[]: calls.append(0) or real(roots) + "x" * (len(calls) > 1))
+    with pytest.raises(ValueError, match="doesn't match its root"):
+        p.token_ids(spark, docs, ROOT)
+
+
 def test_run_is_its_stages(spark, docs, none, tmp_path):
     """run() on documents equals the stages one after the other; on an empty table it gives nothing."""
     spark.createDataFrame([(1, "some words of a benchmark that nobody copied at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
