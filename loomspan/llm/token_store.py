@@ -43,8 +43,8 @@ FAN = 1024
 #: Words whose ids a worker remembers, within a task: if there are more, the half that was used last stays.
 CACHE = 150_000
 #: Words, and bytes of whole texts, that go to the tokenizer in one call, which holds some 200 bytes for each of their ids; bytes of
-#: texts encoded at a time; ids of documents read at a time.
-CALL, CALL_BYTES, BLOCK_BYTES, READ_IDS = 1 << 12, 1 << 18, 3 << 19, 1 << 18
+#: texts encoded at a time; ids of documents read at a time, a quarter of them where they are given too.
+CALL, CALL_BYTES, BLOCK_BYTES, READ_IDS = 1 << 12, 1 << 18, 3 << 19, 1 << 20
 #: White space in any sense, the space and the line end apart: a text with it is encoded as it is.
 _ODD = "[\\t\\x{0b}\\f\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: A letter and marks at the end: the pre-tokenizer always cuts between the two.
@@ -393,11 +393,11 @@ def _recipes(spark: SparkSession, root: str) -> DataFrame:
         return spark.read.schema(json.loads(bytes(f.read()))["recipes"]).parquet(f"{root}/recipes")
 
 
-def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows of READ_IDS ids at most, or of one row where it has more."""
+def _runs(sizes: np.ndarray, most: int = READ_IDS) -> Iterator[tuple[int, int]]:
+    """Runs of rows of `most` ids at most, or of one row where it has more."""
     done, a = np.cumsum(sizes), 0
     while a < len(sizes):
-        z = max(a + 1, int(np.searchsorted(done, done[a] - sizes[a] + READ_IDS, "right")))
+        z = max(a + 1, int(np.searchsorted(done, done[a] - sizes[a] + most, "right")))
         yield a, z
         a = z
 
@@ -418,7 +418,7 @@ def read_store(spark: SparkSession, root: str, with_ids: bool = True) -> DataFra
         with store.open("root.json") as f:
             dtype = np.dtype(json.loads(bytes(f.read()))["dtype"])
         files: dict[str, object] = {}
-        for b in (b.slice(a, z - a) for b in batches for a, z in _runs(b.column(2).to_numpy())):
+        for b in (b.slice(a, z - a) for b in batches for a, z in _runs(b.column(2).to_numpy(), READ_IDS // 4 if with_ids else READ_IDS)):
             crc, all_ids = [], []
             for n, leaf, chunks in zip(*(c.to_pylist() for c in b.columns[2:])):
                 raw = []
